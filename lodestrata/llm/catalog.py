@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import queries_mixes, queries_pairs, queries_tokens
+from lodestrata.llm import queries_mixes, queries_pairs, queries_text, queries_tokens
 
-_MODULES = [queries_mixes, queries_pairs, queries_tokens]
+_MODULES = [queries_mixes, queries_pairs, queries_text, queries_tokens]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
