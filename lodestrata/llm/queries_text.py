@@ -7,6 +7,23 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.records import all_texts
 from lodestrata.llm.residue import residue_segments
+from lodestrata.llm.truncation import truncated_texts
+
+
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    return truncated_texts(all_texts(spark, directory)).select("origin", "row_id").distinct()
+
+
+def p2_rates(spark: SparkSession, directory: str) -> DataFrame:
+    """Rows, cut rows and their share by origin and source; null sources are one group."""
+    rows = all_texts(spark, directory).select("origin", "row_id", "source").distinct()
+    cut = p2_found(spark, directory).withColumn("cut", F.lit(1))
+    return (
+        rows.join(cut, ["origin", "row_id"], "left")
+        .groupBy("origin", "source")
+        .agg(F.count("*").alias("rows"), F.count("cut").alias("cut_rows"))
+        .withColumn("cut_share", F.col("cut_rows") / F.col("rows"))
+    )
 
 
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
@@ -24,5 +41,5 @@ def p3_clean(spark: SparkSession, directory: str) -> DataFrame:
     return rows.select("origin", "row_id").distinct().join(p3_found(spark, directory), ["origin", "row_id"], "left_anti")
 
 
-QUERIES = {"p3_found": p3_found, "p3_labels": p3_labels, "p3_clean": p3_clean}
+QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_labels": p3_labels, "p3_clean": p3_clean}
 ORACLES: dict[str, str] = {}
