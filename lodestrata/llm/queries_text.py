@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.records import all_texts
+from lodestrata.llm.pair_defects import defective_pairs
+from lodestrata.llm.records import all_texts, clean_key, first_content, table
 from lodestrata.llm.residue import residue_segments
 from lodestrata.llm.truncation import truncated_texts
 
@@ -41,5 +42,19 @@ def p3_clean(spark: SparkSession, directory: str) -> DataFrame:
     return rows.select("origin", "row_id").distinct().join(p3_found(spark, directory), ["origin", "row_id"], "left_anti")
 
 
-QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_labels": p3_labels, "p3_clean": p3_clean}
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    return defective_pairs(
+        table(spark, directory, "pilot_records").select(
+            "record_id", first_content("user").alias("question"), first_content("assistant").alias("answer"), clean_key("_meta.source").alias("source")
+        )
+    )
+
+
+def p4_report(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs by source and kind of defect; null kind: sound pairs."""
+    sources = table(spark, directory, "pilot_records").select("record_id", clean_key("_meta.source").alias("source")).distinct()
+    return sources.join(p4_found(spark, directory), "record_id", "left").groupBy("source", "defect").agg(F.count("*").alias("pairs"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_labels": p3_labels, "p3_clean": p3_clean, "p4_found": p4_found, "p4_report": p4_report}
 ORACLES: dict[str, str] = {}
