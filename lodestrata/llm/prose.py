@@ -29,8 +29,14 @@ _CODE_LINE = re.compile(
 )
 
 
+#: Lines that end like code but are open template syntax or the body of an error.
+_NOT_CODE = re.compile(
+    r"""^(?!\s*(?:return|const|let|var|export|import|yield|throw)\b)(?:[^{}=;]*(?:\{\{[^{}]*\}\}|\{%[^{}]*%\}|(?<![\w)])\$?\{[a-z]+(?:_[a-z]+)*\}))+[\s.]*$|^\s*\{\s*["']\w+["']\s*:""", re.I
+)
+
+
 def is_code_line(line: str) -> bool:
-    return bool(_CODE_LINE.match(line))
+    return bool(_CODE_LINE.match(line)) and not (line[:1] not in " \t" and _NOT_CODE.match(line))
 
 
 def without_code_blocks(text: str) -> str:
@@ -38,7 +44,8 @@ def without_code_blocks(text: str) -> str:
 
     def inner(match: re.Match) -> str:
         body = match.group(2).strip()
-        if len(body) <= 600 and body and not any(is_code_line(x) for x in body.splitlines()):
+        lines = body.splitlines()
+        if len(body) <= 600 and body and (len(lines) == 1 and " " not in body or not any(is_code_line(x) for x in lines)):
             return "\n" + body + "\n"
         return "\n"
 
@@ -51,8 +58,10 @@ def prose_lines(text: str) -> list[str]:
     """Lines of ``text`` outside code, with code spans in back ticks written as `I`."""
     out = []
     for line in without_code_blocks(text).splitlines():
+        if "`" in line:
+            line = TICKS.sub("`I`", line)
         if line.strip() and not is_code_line(line):
-            out.append(TICKS.sub("`I`", line) if "`" in line else line)
+            out.append(line)
     return out
 
 
