@@ -67,22 +67,27 @@ def prose_lines(text: str) -> list[str]:
 
 _FIELD_NAME = re.compile(r"^\s*(?:" + "|".join(FIELDS) + r")\s*:[ \t]*", re.I)
 _TAG = re.compile(r"</?\w+>")
-_SENTENCE = re.compile(r"(?<=[.!?])[)\"']?\s+(?=\S)|(?<=[。！？])")
+_SENTENCE_END = re.compile(r"[.!?][)\"'\]”’]*\s+|[。！？]")
+_VISIBLE = re.compile(r"[^\W_]")
+
+
+def split_sentences(line: str) -> list[str]:
+    """Sentences of one line, each with its end mark."""
+    out, at = [], 0
+    for match in _SENTENCE_END.finditer(line):
+        out.append(line[at : match.end()].strip())
+        at = match.end()
+    rest = line[at:].strip()
+    if rest:
+        out.append(rest)
+    return out
 
 
 def segments(text: str) -> list[str]:
     """Sentences of the prose of ``text``, without tags and field names."""
-    out = []
-    for line in prose_lines(text):
-        line = _FIELD_NAME.sub("", line)
-        for part in _SENTENCE.split(line):
-            part = part.strip()
-            if part:
-                out.append(part)
-    return out
+    return [part for line in prose_lines(text) for part in split_sentences(_FIELD_NAME.sub("", line)) if part]
 
 
-def visible_rest(text: str) -> str:
-    """What is left of an answer without tags, field names and invisible characters."""
-    lines = [_FIELD_NAME.sub("", x) for x in _TAG.sub(" ", text).splitlines()]
-    return re.sub(rf"[\s{INVISIBLE}\W_]+", "", "".join(lines))
+def has_visible(text: str) -> bool:
+    """Whether anything shows in an answer beside tags, field names and invisible characters."""
+    return any(_VISIBLE.search(_FIELD_NAME.sub("", _TAG.sub(" ", line))) for line in text.splitlines())

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.prose import CODE_TAGS, FIELDS, INVISIBLE, TICKS, is_code_line, prose_lines, visible_rest
+from lodestrata.llm.prose import CODE_TAGS, FIELDS, INVISIBLE, TICKS, has_visible, is_code_line, prose_lines, split_sentences
 from lodestrata.llm.residue import text_label
 from lodestrata.staging import stage
 
@@ -61,7 +61,9 @@ _TOKEN = re.compile(
 )
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿]")
 _IDENTIFIER = re.compile(r"[_$\d]|[a-z][A-Z]")
-_SPLIT = re.compile(r"(?<=[.!?])[)\"']?\s+(?=\S)|(?<=[。！？])(?=.)")
+_CLOSED = re.compile(r"</(?:" + "|".join((*CODE_TAGS, "think")) + r")>$|```$", re.I)
+#: Characters at the end of a text in which its last piece, end mark or sign is sought (none is longer).
+_REACH = 96
 _FIELD_LINE = re.compile(r"^\s*(" + "|".join(FIELDS) + r")\s*:", re.I)
 _OPEN_TAG = re.compile(r"<(/?)(" + "|".join((*CODE_TAGS, "think")) + r")>", re.I)
 
@@ -99,7 +101,7 @@ def sentences(text: str) -> tuple[list[str], str | None]:
     last: str | None = None
     lines = prose_lines(text)
     for number, line in enumerate(lines):
-        parts = [p for p in _SPLIT.split(line.strip()) if p.strip()]
+        parts = split_sentences(line)
         for at, part in enumerate(parts):
             if number == len(lines) - 1 and at == len(parts) - 1 and not _ENDED.search(part):
                 last = part
@@ -143,20 +145,21 @@ def look_at_end(text: str) -> tuple[str, str | None, str | None, list[str]] | No
     to decide.
     """
     whole = body_of(text)
-    if not whole or not visible_rest(whole):
+    if not whole or not has_visible(whole):
         return None
-    sign = SIGN.search(whole)
+    reach = whole[-_REACH:]
+    sign = SIGN.search(reach)
     if sign:
-        return ("cut", None, None, []) if visible_rest(whole[: sign.start()]) else None
+        return ("cut", None, None, []) if has_visible(whole[: len(whole) - len(reach) + sign.start()]) else None
     if _open_tag(whole) or whole.count("```") % 2:
         return ("cut", None, None, [])
     last_line = whole.rsplit("\n", 1)[-1]
-    if re.search(r"</(?:" + "|".join(CODE_TAGS) + r"|think)>$|```$", whole, re.I):
+    if _CLOSED.search(reach):
         return None
     if last_line.count("`") % 2:
         # a template literal of a code text may span lines; a code span of prose does not
         return ("cut", None, None, []) if not is_code_line(last_line) or whole.count("`") % 2 else None
-    last_piece = _LAST_PIECE.search(whole)
+    last_piece = _LAST_PIECE.search(reach)
     piece = pieces_of(last_piece.group(1))[-1] if last_piece and pieces_of(last_piece.group(1)) else None
     if is_code_line(last_line) and not _FIELD_LINE.match(last_line):
         lines = whole.split("\n")
@@ -166,12 +169,9 @@ def look_at_end(text: str) -> tuple[str, str | None, str | None, list[str]] | No
         if unbalanced("\n".join(lines[first:])):
             return ("cut", None, None, [])
         return ("open", piece, None, []) if piece else None
-    if _ENDED.search(last_line):
+    if _ENDED.search(last_line[-_REACH:]):
         return None
-    _, last = sentences(whole)
-    if last is None:
-        last = last_line
-    masked = TICKS.sub("`I`", last)
+    masked = (split_sentences(TICKS.sub("`I`", last_line)) or [last_line])[-1]
     for a, b in ("()", "[]", "{}"):
         if masked.count(a) > masked.count(b):
             return ("cut", None, None, [])
@@ -182,7 +182,7 @@ def look_at_end(text: str) -> tuple[str, str | None, str | None, list[str]] | No
             return ("cut", None, None, [])
     if field and not last_line[field.end() :].strip():
         return ("cut", None, None, []) if re.search(r"(?m)^\s*\w+\s*:[ \t]*\S", whole) else None
-    cwe = re.search(r"(?i)\bcwe(?:-\d*)?$", last_line)
+    cwe = re.search(r"(?i)\bcwe(?:-\d*)?$", last_line[-_REACH:])
     if cwe:
         return ("open", cwe.group(0).lower(), "cwe", [])
     words = tokens(masked)
@@ -193,15 +193,22 @@ def look_at_end(text: str) -> tuple[str, str | None, str | None, list[str]] | No
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: Counter = Counter()
+    spoken: Counter = Counter()
     other: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
+        # each distinct word and sentence is taken apart once
         pieces: Counter = Counter()
         for word, n in words.items():
             for piece in pieces_of(word):
                 pieces[piece] += n
-        rows = [("w", k, n) for k, n in pieces.items()] + [(kind, key, n) for (kind, key), n in other.items()]
+        skeletons: Counter = Counter()
+        for sentence, n in spoken.items():
+            skeletons[" ".join(tokens(sentence))] += n
+        rows = [("w", k, n) for k, n in pieces.items()] + [("s", k, n) for k, n in skeletons.items()]
+        rows += [(kind, key, n) for (kind, key), n in other.items()]
         words.clear()
+        spoken.clear()
         other.clear()
         kinds, keys, counts = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.record_batch(
@@ -216,21 +223,21 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             whole = body_of(text)
             found = _LETTERS.findall(whole)
-            if found and _LAST_PIECE.search(whole):
+            reach = whole[-_REACH:]
+            if found and _LAST_PIECE.search(reach):
                 found.pop()  # what stands last may be cut: it vouches for no word
             words.update(found)
-            for cwe in _CWE.findall(whole[:-1]):
-                if not whole.lower().endswith(cwe.lower()):
-                    other["c", cwe.lower()] += 1
+            for cwe in _CWE.finditer(whole):
+                if cwe.end() < len(whole):
+                    other["c", cwe.group().lower()] += 1
             done, last = sentences(whole)
-            for sentence in done:
-                other["s", " ".join(tokens(sentence.rstrip(".!?。！？")))] += 1
+            spoken.update(sentence.rstrip(".!?。！？") for sentence in done)
             if last is not None and last.count("`") % 2 == 0:
-                other["s", " ".join(tokens(last))] += 1
-            ended = bool(_ENDED.search(whole))
+                spoken[last] += 1
+            ended = bool(_ENDED.search(reach))
             for unit, size in (("c", len(text)), ("b", len(text.encode("utf-8", "replace")))):
                 other["l", f"{part}\t{source or ''}\t{unit}\t{size}\t{int(ended)}"] += 1
-            if len(words) + len(other) > MOST_KEYS:
+            if len(words) + len(spoken) + len(other) > MOST_KEYS:
                 yield flush()
     yield flush()
 
