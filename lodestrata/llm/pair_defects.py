@@ -17,13 +17,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.prose import FIELDS, TICKS, prose_lines, visible_rest
-from lodestrata.llm.residue import text_label
+from lodestrata.llm.prose import TICKS, has_visible, segments
+from lodestrata.llm.residue import rule_label
 from lodestrata.llm.truncation import truncated_texts
 from lodestrata.staging import stage
 
@@ -80,12 +81,16 @@ SCRIPTS = (
     ("he", re.compile(r"[֐-׿]")),
     ("hi", re.compile(r"[ऀ-ॿ]")),
 )
-_FIELD = re.compile(r"^\s*(?:" + "|".join(FIELDS) + r")\s*:\s*", re.I)
+_TAG = re.compile(r"</?\w+>")
 _PLAIN_VALUE = re.compile(r"^(?:none|n/?a|safe|vuln\w*|confirmed|needs[ _]context|low|medium|high|critical|cwe-\d+|\d+|-)?\W*$", re.I)
 
 
+@lru_cache(maxsize=1 << 16)
 def line_language(line: str) -> tuple[str | None, int]:
-    """Language of one prose sentence or line and its weight in words (wide script: letters / 2)."""
+    """Language of one prose sentence and its weight in words (wide script: letters / 2)."""
+    line = _TAG.sub(" ", line)
+    if _PLAIN_VALUE.match(line):
+        return None, 0
     line = TICKS.sub(" ", line).replace("`I`", " ")
     letters = len(re.findall(r"[^\W\d_]", line))
     if not letters:
@@ -113,17 +118,13 @@ def line_language(line: str) -> tuple[str | None, int]:
     return (best, len(words)) if not others or score - others[0][1] >= LEAST_LEAD else (None, 0)
 
 
-def prose_language(text: str | None) -> str | None:
-    """Language that most of the prose of ``text`` is in; null where there is none to tell."""
+def prose_language(sentences: list[str]) -> str | None:
+    """Language that most of the prose is in; null where there is none to tell."""
     votes: Counter = Counter()
-    for line in prose_lines(text or ""):
-        line = _FIELD.sub("", re.sub(r"</?\w+>", " ", line))
-        if _PLAIN_VALUE.match(line):
-            continue
-        for sentence in re.split(r"(?<=[.!?。！？])\s*", line):
-            language, weight = line_language(sentence)
-            if language:
-                votes[language] += weight
+    for sentence in sentences:
+        language, weight = line_language(sentence)
+        if language:
+            votes[language] += weight
     return max(votes.items(), key=lambda kv: (kv[1], kv[0]))[0] if votes else None
 
 
@@ -147,28 +148,27 @@ def copy_share(answer: str, question: str) -> float:
     return len(zstandard.ZstdCompressor(dict_data=known, compression_params=settings).compress(a)) / plain
 
 
-def is_refusal(answer: str) -> bool:
-    """Whether the answer declines; one that states a verdict and only mentions limits does not."""
-    for line in prose_lines(answer):
-        if REFUSAL.search(line):
-            return True
-    return False
+@lru_cache(maxsize=1 << 16)
+def declines(sentence: str) -> bool:
+    """Whether a sentence of an answer declines to answer."""
+    return bool(REFUSAL.search(sentence))
 
 
 def own_defect(question: str | None, answer: str | None) -> str | None:
     """The defect that the pair shows by itself (all kinds but truncated)."""
     if answer is None:
         return "empty"
-    if text_label(answer) is not None:
+    said = segments(answer)
+    if any(map(rule_label, said)):
         return None
-    if not visible_rest(answer):
+    if not has_visible(answer):
         return "empty"
     if question and copy_share(answer, question) <= COPY_SHARE:
         return "copy"
-    if is_refusal(answer):
+    if any(map(declines, said)):
         return "refusal"
-    language = prose_language(answer)
-    if language and language != (prose_language(question) or "en"):
+    language = prose_language(said)
+    if language and language != (prose_language(segments(question or "")) or "en"):
         return "other_language"
     return None
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,7 @@ SCRIPT_NOTICE = re.compile(
 )
 
 
+@lru_cache(maxsize=1 << 16)
 def rule_label(segment: str) -> str | None:
     """placeholder, filler, error_page or script_notice; null for anything in doubt.
 
