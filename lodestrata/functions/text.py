@@ -74,8 +74,8 @@ def last_field(name: str, c: Column) -> Column:
     pairs = F.arrays_zip(
         F.regexp_extract_all(c, F.lit(_ALL_FIELDS), 1).alias("k"), F.regexp_extract_all(c, F.lit(_ALL_FIELDS), 2).alias("v")
     )
-    own = F.filter(pairs, lambda p: F.lower(p["0"]) == name)
-    value = F.try_element_at(own, F.lit(-1))["1"]
+    own = F.filter(pairs, lambda p: F.lower(p["k"]) == name)
+    value = F.try_element_at(own, F.lit(-1))["v"]
     return F.when(~F.lower(value).isin("none", "n/a", "-", ""), value)
 
 
