@@ -1 +1,215 @@
-"""Queries."""
+"""Queries on code: diffs, repair, syntax trees, patches, SARIF, sniffed schemas."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrata.functions import text as T
+from lodestrata.operators import findings as O
+from lodestrata.operators import hints as H
+from lodestrata.operators import quality as Q
+from lodestrata.operators import regions as R
+from lodestrata.operators import traces
+from lodestrata.plans import duck as D
+from lodestrata.plans.registry import query
+from lodestrata.sources import corpus, patches
+from lodestrata.sources.sniff import resolve
+
+
+@query()
+def diff_region(spark: SparkSession, d: str) -> DataFrame:
+    """Changed lines and identifiers of every fix (checked against the standard library's matcher in the tests)."""
+    return R.regions(corpus.pairs(spark, d), "pair_id", "vuln_code", "fixed_code")
+
+
+@query()
+def located_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Grounded traces of all fixes against the gates, by CWE: what the assembler writes has to pass them."""
+    p = corpus.pairs(spark, d)
+    t = R.vulnerable_traces(p, "pair_id").where("ok")
+    both = t.join(p.select("pair_id", "vuln_code", "cwe"), "pair_id").join(R.regions(p, "pair_id", "vuln_code", "fixed_code").drop("source"), "pair_id")
+    failed = Q.gate_failures(F.col("trace"), F.col("vuln_code"), F.col("lines"), F.col("identifiers"), F.col("cwe"))
+    return both.select("cwe", F.size(failed).alias("failed")).groupBy("cwe").agg(F.count("*").alias("traces"), F.count_if(F.col("failed") == 0).alias("passed"))
+
+
+@query()
+def repair_output(spark: SparkSession, d: str) -> DataFrame:
+    """Answers with repaired fields, and whether that changed them."""
+    rec = corpus.records(spark, d).select("record_id", F.col("answer").alias("text"))
+    fixed = R.repair(rec, "record_id").withColumnRenamed("text", "repaired")
+    return rec.join(fixed, "record_id").select("record_id", F.sha2("repaired", 256).alias("repaired_hash"), (T.strip(F.col("text")) != T.strip(F.col("repaired"))).alias("changed"))
+
+
+@query()
+def normalize_safe(spark: SparkSession, d: str) -> DataFrame:
+    """Safe answers with fields that fit their verdict."""
+    rec = corpus.records(spark, d).where("label = 'safe'").select("record_id", F.col("answer").alias("text"))
+    return R.normalize_safe(rec, "record_id")
+
+
+@query()
+def python_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Functions of the Python tasks."""
+    t = corpus.tasks(spark, d).where("language = 'python' and code is not null").select("task_no", "code")
+    return R.python_functions(t, "task_no").select("task_no", "name", "first_line", "last_line")
+
+
+@query()
+def clean_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Python functions of 3 to 30 lines without risky calls or suspicious words."""
+    t = corpus.tasks(spark, d).where("language = 'python' and code is not null").select("task_no", "code")
+    f = R.python_functions(t, "task_no", whole_module=False)
+    risky = T.any_contains(F.col("source"), RISKY_CALLS)
+    words = T.any_contains(F.lower(F.concat_ws("\n", "docstring", F.array_join(F.regexp_extract_all("source", F.lit(r"(#[^\n]*)"), 1), "\n"))), SUSPICIOUS_WORDS)
+    lines = T.nonblank_lines(F.col("source"))
+    return f.where(lines.between(3, 30) & ~risky & ~words).select("task_no", "name", "first_line", "last_line")
+
+
+#: Calls and words that keep a function from standing as a clean example. Fixed values.
+RISKY_CALLS = (
+    "eval(", "exec(", "os.system(", "os.popen(", "subprocess.Popen", "subprocess.call", "subprocess.run", "subprocess.check_output", "subprocess.check_call",
+    "pickle.load", "pickle.loads", "marshal.loads", "marshal.load", "__import__(", "compile(", "yaml.load(", "input(", "shell=True", "verify=False", "ssl.CERT_NONE",
+    "MD5", "md5(", "sha1(", "SHA1", "DES(", "RC4", "random.random(", "random.randint(", "random.choice(", "// nosec", "# nosec",
+)
+SUSPICIOUS_WORDS = (
+    "vulnerable", "vulnerability", "exploit", "attack", "attacker", "insecure", "unsafe", "dangerous", "deprecated", "do not use", "todo: security", "fixme: security",
+    "xss", "csrf", "sql injection", "command injection", "path traversal", "rce", "buffer overflow",
+)
+
+
+@query()
+def code_hints(spark: SparkSession, d: str) -> DataFrame:
+    """Concrete elements of every task's code, rendered for a prompt."""
+    t = corpus.tasks(spark, d).where("length(code) >= 20").select("task_no", "code", "language")
+    named = R.python_names(t.where("language = 'python'"), "task_no")
+    code, language = F.col("code"), F.col("language")
+    joined = t.join(named, "task_no", "left")
+    empty = F.array().cast("array<string>")
+    script = H.is_script(language)
+    names = F.coalesce(F.col("names"), F.when(script, H.script_names(code)), empty)
+    imports = F.coalesce(F.col("imports"), F.when(script, H.script_imports(code)), empty)
+    parts = joined.select("task_no", H.taint_sources(code, language).alias("taints"), H.sinks(code, language).alias("found"), names.alias("names"), imports.alias("imports"))
+    return parts.select("task_no", F.size("taints").alias("taints"), F.size("found").alias("sinks"), H.render(F.col("taints"), F.col("found"), F.col("names"), F.col("imports")).alias("hints"))
+
+
+@query()
+def template_traces(spark: SparkSession, d: str) -> DataFrame:
+    """Vulnerable traces assembled from the fixes, declined ones without text."""
+    return R.vulnerable_traces(corpus.pairs(spark, d), "pair_id")
+
+
+@query()
+def safe_traces(spark: SparkSession, d: str) -> DataFrame:
+    """Safe traces of fixed code of three lines or more."""
+    p = corpus.pairs(spark, d).where(T.nonblank_lines(F.col("fixed_code")) >= 3)
+    return p.select("pair_id", R.render_safe(F.col("cwe")).alias("trace"))
+
+
+@query()
+def rich_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Trace and fix summaries of every reasoning, plain and rich."""
+    rec = corpus.records(spark, d).select("record_id", "cwe", "language", (T.norm_label(F.col("label")) == "vuln").alias("v"), T.strip(T.think(F.col("answer"))).alias("t"))
+    args = [F.col(c) for c in ("t", "cwe", "language", "v")]
+    return rec.select("record_id", traces.trace_summary(*args).alias("trace"), traces.fix_summary(args[0], args[3]).alias("fix"), traces.rich_trace(*args).alias("rich_trace"))
+
+
+@query()
+def rewritten_traces(spark: SparkSession, d: str) -> DataFrame:
+    """Answers whose trace field is replaced by the summary of their thought."""
+    rec = corpus.records(spark, d).where("answer is not null")
+    summary = traces.trace_summary(T.strip(T.think(F.col("answer"))), F.col("cwe"), F.col("language"), T.norm_label(F.col("label")) == "vuln")
+    return rec.select("record_id", F.sha2(traces.rewrite_field(F.col("answer"), "trace", summary), 256).alias("answer_hash"))
+
+
+@query(D.query(D.REC, body=r"SELECT record_id, regexp_matches(answer, '(?i)(^|\n)trace\s*:') AS has_trace FROM rec WHERE answer IS NOT NULL"))
+def has_trace_line(spark: SparkSession, d: str) -> DataFrame:
+    """Answers with a trace line at the start of a line."""
+    return corpus.records(spark, d).where("answer is not null").select("record_id", F.col("answer").rlike(r"(?i)(^|\n)trace\s*:").alias("has_trace"))
+
+
+def _patches(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.documents(spark, d).where("kind = 'patch' and text is not null").select("doc_id", "text")
+
+
+@query()
+def patch_hunks(spark: SparkSession, d: str) -> DataFrame:
+    """Hunks of the patch documents."""
+    return patches.patch_hunks(patches.patch_files(_patches(spark, d)))
+
+
+@query()
+def patch_fix_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Fix pairs from the patch documents, filtered and classified."""
+    return patches.fix_pairs(_patches(spark, d))
+
+
+@query()
+def patch_sides(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled rows of both sides of the patch documents' files."""
+    return patches.flattened_sides(patches.patch_files(_patches(spark, d)))
+
+
+@query(
+    "SELECT doc_id, CAST(len(regexp_extract_all(text, '(?m)^diff --git a/.+ b/.+$')) AS BIGINT) AS files FROM documents WHERE kind = 'patch' AND text IS NOT NULL"
+)
+def patch_file_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Number of files in every patch document."""
+    return _patches(spark, d).select("doc_id", F.regexp_count("text", F.lit(r"(?md)^diff --git a/.+ b/.+$")).cast("bigint").alias("files"))
+
+
+@query(
+    "SELECT doc_id FROM documents WHERE kind = 'patch' AND len(regexp_extract_all(text, '(?m)^diff --git a/.+ b/.+\\.(?:py|js|ts|jsx|tsx|php|rb)\\s*$')) >= 2"
+)
+def multi_file_patches(spark: SparkSession, d: str) -> DataFrame:
+    """Patches over two files or more of languages that need no build."""
+    return _patches(spark, d).where(F.regexp_count("text", F.lit(r"(?md)^diff --git a/.+ b/.+\.(?:py|js|ts|jsx|tsx|php|rb)\s*$")) >= 2).select("doc_id")
+
+
+@query()
+def sarif_report(spark: SparkSession, d: str) -> DataFrame:
+    """SARIF results of the findings, one JSON object a row."""
+    return O.sarif_results(corpus.findings(spark, d).where("file is not null and cwe is not null"))
+
+
+@query()
+def sarif_rules(spark: SparkSession, d: str) -> DataFrame:
+    """SARIF rules of the findings' CWEs."""
+    return O.sarif_rules(corpus.findings(spark, d).where("cwe is not null"))
+
+
+@query()
+def sarif_flows(spark: SparkSession, d: str) -> DataFrame:
+    """Cross-file flows read back from SARIF that the findings of each repository make up."""
+    return O.flow_trace(O.sarif_flows(_sarif_of_repositories(spark, d)))
+
+
+def _sarif_of_repositories(spark: SparkSession, d: str) -> DataFrame:
+    """One SARIF document for each finding whose trace is a chain; its steps lie in two files."""
+    f = corpus.findings(spark, d).where("trace like '%->%' and file is not null and cwe is not null")
+    steps = F.split("trace", " -> ")
+    at = F.transform(
+        steps,
+        lambda s, i: F.struct(
+            F.struct(
+                F.struct(s.alias("text")).alias("message"),
+                F.struct(
+                    F.struct(F.when(i % 2 == 0, F.col("file")).otherwise(F.concat(F.col("file"), F.lit(".helper"))).alias("uri")).alias("artifactLocation"),
+                    F.struct((i + F.coalesce("line", F.lit(1))).cast("int").alias("startLine")).alias("region"),
+                ).alias("physicalLocation"),
+            ).alias("location")
+        ),
+    )
+    rule = F.struct(F.lit("r").alias("id"), F.struct(F.array(F.concat(F.lit("external/cwe/cwe-"), F.regexp_extract("cwe", r"(\d+)", 1))).alias("tags")).alias("properties"))
+    result = F.struct(F.lit("r").alias("ruleId"), F.struct(F.lit("flow").alias("text")).alias("message"), F.array(F.struct(F.array(F.struct(at.alias("locations"))).alias("threadFlows"))).alias("codeFlows"))
+    run = F.struct(F.struct(F.struct(F.array(rule).alias("rules")).alias("driver")).alias("tool"), F.array(result).alias("results"))
+    return f.select(F.to_json(F.struct(F.array(run).alias("runs"))).alias("text"))
+
+
+@query("SELECT p_partkey AS id, p_name AS vuln, p_type AS description FROM part WHERE length(p_name) > 5")
+def weak_schema_sniff(spark: SparkSession, d: str) -> DataFrame:
+    """Columns assigned to roles by parts of their names, on a renamed table."""
+    part = corpus.table(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("Vulnerable_Code"), F.col("p_type").alias("msg_description"), F.col("p_brand").alias("brand")
+    )
+    return resolve(part, {"vuln": ("vuln", "before", "bad"), "fixed": ("fix", "after", "good"), "description": ("desc", "message")}, keep=("id",)).where(F.length("vuln") > 5).select("id", "vuln", "description")

@@ -1 +1,43 @@
-"""Queries."""
+"""Queries that run a stream to its end (availableNow) and return what it wrote."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lodestrata.plans.registry import query
+from lodestrata.session import ship_package
+from lodestrata.staging import shared_folder
+from lodestrata.streaming import incremental
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/lodestrata/stream-{uuid.uuid4().hex}"
+
+
+@query("SELECT DISTINCT event_type FROM events")
+def stream_dedup_available_now(spark: SparkSession, d: str) -> DataFrame:
+    """First-seen event types of the event stream, by keyed state."""
+    source = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(_stream_input(d, "events"))
+    return incremental.first_seen(source, "event_type", _folder(spark)).select("event_type")
+
+
+@query("SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS hour, CAST(count(*) AS BIGINT) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2 HAVING time_bucket(INTERVAL '1 hour', ts) IS NOT NULL")
+def stream_hourly_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Events by type and hour, complete result of a windowed stream."""
+    source = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(_stream_input(d, "events"))
+    return incremental.hourly_counts(source, "ts", "event_type", _folder(spark))
+
+
+@query()
+def stream_gauntlet(spark: SparkSession, d: str) -> DataFrame:
+    """Records routed to clean and quarantine tables micro-batch by micro-batch; counts by route."""
+    ship_package(spark)
+    source = spark.readStream.schema(spark.read.parquet(f"{d}/pilot_records.parquet").schema).parquet(_stream_input(d, "pilot_records"))
+    return incremental.gauntlet(source, _folder(spark)).groupBy("disposition").count().withColumnRenamed("count", "n")
+
+
+def _stream_input(d: str, name: str) -> str:
+    """A glob that a file stream accepts for one file and for a folder of files alike."""
+    return f"{d}/{name}.parque[t]"
