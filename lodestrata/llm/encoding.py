@@ -26,6 +26,8 @@ from lodestrata.llm.shingles import slices
 FOLDER = "/opt/tokenizers"
 NAME = "byte_bpe_50k"
 SPAN = 1 << 16
+#: Words a tokenizer remembers (some 100 bytes each), and bytes of text it gets at once.
+CACHED_WORDS, PORTION = 1 << 19, 1 << 17
 #: The splitting pattern of the byte-level vocabularies, as their README gives it. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -38,6 +40,8 @@ def hub_tokenizer(folder: str, name: str):
 
     tokenizer = Tokenizer.from_file(f"{folder}/{name}.json")
     tokenizer.encode_special_tokens = True
+    if hasattr(tokenizer.model, "_resize_cache"):  # its own word cache, which takes no more words once full
+        tokenizer.model._resize_cache(CACHED_WORDS)
     return tokenizer
 
 
@@ -114,7 +118,7 @@ def _encode(folder: str, name: str, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = hub_tokenizer(folder, name)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", PORTION):
                 pieces, counts = _pieces(part.column("text").to_pylist())
                 encoded = tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
                 yield pa.record_batch({key: part.column(key), "ids": _lists([e.ids for e in encoded], counts)})
@@ -126,7 +130,7 @@ def _encode_offsets(folder: str, name: str, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = hub_tokenizer(folder, name)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 19):
+            for part in slices(batch, "text", PORTION):
                 pieces, counts = _pieces(part.column("text").to_pylist())
                 encoded = tokenizer.encode_batch(pieces, add_special_tokens=False)
                 lengths = np.array([len(p) for p in pieces], dtype=np.int64)
