@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
 from lodestrata.operators import metrics as M
+from lodestrata.operators import prediction as P
 from lodestrata.operators import quality as Q
 from lodestrata.plans import duck as D
 from lodestrata.plans.registry import query
@@ -195,3 +196,46 @@ def smoke_metrics(spark: SparkSession, d: str) -> DataFrame:
     tp, fp, fn, tn, miss = (F.col(x) for x in ("tp", "fp", "fn", "tn", "miss"))
     judged = tp + fp + fn + tn
     return c.select("run", T.percent(tp + tn, judged + miss).alias("accuracy"), T.percent(fp, fp + tn).alias("fpr"), T.percent(fn, fn + tp).alias("fnr"), T.percent(judged, judged + miss).alias("parsed"))
+
+
+@query()
+def parse_by_shape(spark: SparkSession, d: str) -> DataFrame:
+    """Every answer under the parser of its shape (checked on fixtures in the tests)."""
+    rec = corpus.records(spark, d).where("answer is not null")
+    p = P.parsed(F.col("shape"), F.col("answer"))
+    return rec.select("record_id", "shape", p.alias("p")).select(
+        "record_id",
+        F.coalesce("p.shape1.status", "p.shape2.status", "p.shape3.status").alias("status"),
+        F.size("p.shape2.open_refs").alias("open_refs"),
+        F.size("p.shape3.follow_up_refs").alias("follow_ups"),
+        F.size("p.shape4.ranked").alias("ranked"),
+    )
+
+
+@query()
+def synthesis_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Structural scores of synthesis answers."""
+    rec = corpus.records(spark, d).where("shape = 'shape4' and answer is not null").select(P.synthesis_scores(F.col("answer"), F.col("usr")).alias("s")).select("s.*")
+    return rec.agg(F.count("*").alias("total"), *[F.count_if(c).alias(c) for c in rec.columns])
+
+
+@query()
+def predicted_with_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of a stand-in predictor for every evaluation question, cached ones not predicted again."""
+    rec = corpus.records(spark, d).where("split = 'eval' and usr is not null and shape is not null")
+    prompts = rec.select(P.cache_key("stub", F.col("shape"), F.col("usr")).alias("key"), F.col("usr").alias("prompt")).dropDuplicates(["key"])
+    cached = prompts.where("key < '4'").select("key", F.lit("cached").alias("raw_text"))
+    return P.predict(prompts, _stub, cached)
+
+
+def _stub(prompts: list[str]) -> list[str]:
+    return ["status: safe" for _ in prompts]
+
+
+@query()
+def perturbed_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers with the verdict of about a fifth turned around: statuses before and after."""
+    rec = corpus.records(spark, d).where("answer is not null")
+    turned = P.perturbed(F.col("answer"), 0.2, "perturb", F.col("record_id"))
+    status = lambda c: T.prediction_status(T.nonempty(T.field("status", c)))
+    return rec.groupBy(status(F.col("answer")).alias("before"), status(turned).alias("after")).agg(F.count("*").alias("n"))

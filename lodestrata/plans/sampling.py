@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from lodestrata.functions import dims
 from lodestrata.functions import text as T
-from lodestrata.operators import dedup, sampling
+from lodestrata.operators import dedup, generation, regions, sampling
 from lodestrata.operators.quality import severities_fall
 from lodestrata.plans import duck as D
 from lodestrata.plans.registry import query
@@ -287,3 +287,32 @@ def short_ids(spark: SparkSession, d: str) -> DataFrame:
     """Task ids made from the hash of the code."""
     t = corpus.tasks(spark, d).where("code is not null and source is not null")
     return t.select("task_no", F.concat_ws(":", F.lit("shape1"), "source", dedup.fingerprint(F.col("code"), length=10)).alias("short_id"))
+
+
+@query()
+def ratio_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """The first 300 generation tasks of a pool in which every prefix is 30 % safe, with ids by source."""
+    pool = corpus.tasks(spark, d).select(F.col("task_no").alias("ord"), "code", "language", "label", "source")
+    return generation.ratio_tasks(pool, 300, "shape1", "pool").select("task_id", "label", F.col("ord").alias("task_no"))
+
+
+@query()
+def balanced_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """The first 60 located fixes, vulnerability types taking turns."""
+    p = corpus.pairs(spark, d).where("vuln_type is not null")
+    where = regions.regions(p, "pair_id", "vuln_code", "fixed_code").withColumnRenamed("source", "region_source")
+    return generation.balanced_tasks(p.join(where, "pair_id"), 60).select("pair_id", "vuln_type")
+
+
+@query()
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Scan prompts of all tasks, as hashes."""
+    t = corpus.tasks(spark, d).where("code is not null")
+    return t.select("task_no", F.sha2(generation.scan_prompt(F.col("code"), F.col("language"), cwe=F.col("cwe")), 256).alias("prompt_hash"))
+
+
+@query(D.query(D.FINDS, body="SELECT finding_id % 40 AS task, arg_max(finding_id, row(length(coalesce(trace, '')), -finding_id)) AS finding_id FROM finds GROUP BY 1"))
+def best_candidate(spark: SparkSession, d: str) -> DataFrame:
+    """The best candidate of every task by its score, the first among equals."""
+    f = corpus.findings(spark, d).select((F.col("finding_id") % 40).alias("task"), F.col("finding_id").alias("n"), F.col("finding_id").alias("text"), "trace")
+    return generation.best_candidate(f, "task", F.length(F.coalesce("trace", F.lit("")))).withColumnRenamed("text", "finding_id")

@@ -28,19 +28,23 @@ def jsonl(spark: SparkSession, path: str | list[str], schema: str, strict: bool
     if strict:
         rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
         return _located(rows), spark.createDataFrame([], f"{_CORRUPT} string, file string")
-    wide = spark.read.schema(f"{schema}, {_CORRUPT} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT).json(path)
-    located = _located(wide)
-    rows = located.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
-    rejects = located.where(F.col(_CORRUPT).isNotNull()).select(_CORRUPT, "file")
+    # lines are parsed here, not by the reader, so that rejects can be asked for on their own
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    lines = _located(spark.read.text(path).where(F.trim("value") != ""))
+    parsed = lines.withColumn("_row", F.from_json("value", f"{schema}, {_CORRUPT} string", options))
+    rows = parsed.where(F.col(f"_row.{_CORRUPT}").isNull()).select("_row.*", "file", F.col("shape").alias("_stem"), "ord").drop(_CORRUPT)
+    rows = rows.drop("_stem") if "shape" in rows.columns else rows.withColumnRenamed("_stem", "shape")
+    rejects = parsed.where(F.col(f"_row.{_CORRUPT}").isNotNull()).select(F.col("value").alias(_CORRUPT), "file")
     return rows, rejects
 
 
 def _located(df: DataFrame) -> DataFrame:
     """File name, its stem and an ordinal, taken before any exchange: files in their order, rows in theirs."""
+    stem = [] if "shape" in df.columns else [F.regexp_extract("_metadata.file_name", r"(.+?)\.[^.]+$", 1).alias("shape")]
     return df.select(
         *df.columns,
         F.col("_metadata.file_name").alias("file"),
-        F.regexp_extract("_metadata.file_name", r"(.+?)\.[^.]+$", 1).alias("shape"),
+        *stem,
         F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("ord"),
     )
 
@@ -145,7 +149,7 @@ def split_dataset(spark: SparkSession, path: str, splits: tuple[str, ...] = ("tr
 
 def paired_files(spark: SparkSession, folder: str, pattern: str = "*.js") -> DataFrame:
     """bucket, name, before, after of files that stand in bucket/before and bucket/after."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True)
     path = F.col("_metadata.file_path")
     located = files.select(
         F.regexp_extract(path, r"([^/]+)/(?:before|after)/[^/]+$", 1).alias("bucket"),
@@ -166,7 +170,7 @@ SKIP_PARTS = (
 
 def source_tree(spark: SparkSession, folder: str, least: int = 100, most: int = 100_000, pattern: str = "*.py", skip: str | None = SKIP_PARTS) -> DataFrame:
     """path, code of source files within a size, outside skipped folders; paths are filtered before files are read."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True)
     located = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("code"))
     inside = F.replace(F.col("path"), F.lit(folder), F.lit(""))
     kept = located.where((F.col("size") > least) & (F.col("size") < most * 4))
@@ -177,7 +181,7 @@ def source_tree(spark: SparkSession, folder: str, least: int = 100, most: int =
 
 def scan_targets(spark: SparkSession, folder: str) -> DataFrame:
     """path, language, code of every file a scan can read, none of them under .git."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder)
+    files = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True)
     path = F.col("_metadata.file_path")
     found = files.select(path.alias("path"), T.extension_language(F.lower(path), dims.SCAN_EXTENSIONS).alias("language"), F.col("value").alias("code"))
     return found.where(F.col("language").isNotNull() & ~F.contains("path", F.lit("/.git/")))
