@@ -28,8 +28,9 @@ from lodestrata.llm.residue import rule_label
 from lodestrata.llm.truncation import truncated_texts
 from lodestrata.staging import stage
 
-#: A copy: compressed with the question it has at most this share of its own compressed size.
-COPY_SHARE, COPY_BYTES, COPY_LEVEL = 0.25, 40, 3
+#: A copy: with the question as dictionary it takes at most this share of its own compressed size, or so few
+#: bytes (a lead-in) and the second share. Shorter answers are no copies.
+COPY_SHARE, COPY_LEAD_IN, COPY_SHARE_WITH_LEAD_IN, COPY_BYTES, COPY_LEVEL = 0.25, 40, 0.5, 40, 3
 #: Lead over the next language that a sentence needs; letters of another script that count.
 LEAST_LEAD, LEAST_LETTERS = 0.3, 4
 
@@ -134,18 +135,26 @@ def folded(text: str) -> bytes:
     return re.sub(r"\s+", " ", text).strip().encode("utf-8", "replace")
 
 
-def copy_share(answer: str, question: str) -> float:
-    """Size of the answer compressed with the question as dictionary, by its size without."""
+def copy_sizes(answer: str, question: str) -> tuple[int, int]:
+    """Bytes of the answer compressed with the question as dictionary, and without."""
     import zstandard
 
     a, q = folded(answer), folded(question)
     if len(a) < COPY_BYTES or len(q) < 8:
-        return 1.0
+        return 1, 1
     size = 1 << max(10, min(27, (len(a) + len(q)).bit_length() + 1))
-    settings = zstandard.ZstdCompressionParameters.from_level(COPY_LEVEL, window_log=size.bit_length() - 1)
+    settings = zstandard.ZstdCompressionParameters.from_level(
+        COPY_LEVEL, window_log=size.bit_length() - 1, write_content_size=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS
+    )
     plain = len(zstandard.ZstdCompressor(compression_params=settings).compress(a))
     known = zstandard.ZstdCompressionDict(q, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return len(zstandard.ZstdCompressor(dict_data=known, compression_params=settings).compress(a)) / plain
+    return len(zstandard.ZstdCompressor(dict_data=known, compression_params=settings).compress(a)), plain
+
+
+def is_copy(answer: str, question: str) -> bool:
+    """Whether the question explains nearly all of the answer, but for a lead-in."""
+    known, plain = copy_sizes(answer, question)
+    return known <= COPY_SHARE * plain or (known <= COPY_LEAD_IN and known <= COPY_SHARE_WITH_LEAD_IN * plain)
 
 
 @lru_cache(maxsize=1 << 16)
@@ -163,7 +172,7 @@ def own_defect(question: str | None, answer: str | None) -> str | None:
         return None
     if not has_visible(answer):
         return "empty"
-    if question and copy_share(answer, question) <= COPY_SHARE:
+    if question and is_copy(answer, question):
         return "copy"
     if any(map(declines, said)):
         return "refusal"
