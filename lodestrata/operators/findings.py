@@ -151,10 +151,10 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
 
 def sarif_document(findings: DataFrame, tool: str = "lodestrata") -> DataFrame:
     """The whole SARIF report as one row, for reports of a bounded number of findings."""
-    results = sarif_results(findings).agg(F.array_sort(F.collect_list(F.struct("finding_id", "result"))).alias("r"))
-    rules = sarif_rules(findings).agg(F.array_sort(F.collect_list("rule")).alias("u"))
+    rules = sarif_rules(findings).agg(F.array_sort(F.collect_list("rule"))).scalar()
+    results = sarif_results(findings).agg(F.array_sort(F.collect_list(F.struct("finding_id", "result"))).alias("r")).withColumn("u", rules)
     body = F.concat(
         F.lit('{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":{"name":"' + tool + '","version":"0.1","rules":['),
         F.array_join("u", ","), F.lit("]}},\"results\":["), F.array_join(F.transform("r", lambda x: x["result"]), ","), F.lit("]}]}"),
     )
-    return results.crossJoin(rules).select(body.alias("document"))  # one row by one row
+    return results.select(body.alias("document"))

@@ -25,7 +25,7 @@ def per_group(df: DataFrame, groups: list[str], order: list[Column | str], cap:
 
 def quota_by_group(df: DataFrame, groups: list[str], quotas: DataFrame, order: Column, quota: str = "quota") -> DataFrame:
     """The first ``quota`` rows of each group, quotas from a small table; groups without one give none."""
-    ranked = df.join(F.broadcast(quotas), groups).withColumn("_rank", F.row_number().over(Window.partitionBy(*groups).orderBy(order)))
+    ranked = df.join(quotas, groups).withColumn("_rank", F.row_number().over(Window.partitionBy(*groups).orderBy(order)))
     return ranked.where(F.col("_rank") <= F.col(quota)).drop("_rank", quota)
 
 
@@ -39,7 +39,7 @@ def round_robin(df: DataFrame, group: str, order: str, limit: int) -> DataFrame:
     ranked = df.withColumn("_turn", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("_turn") <= limit)
     first = df.groupBy(group).agg(F.min(order).alias("_first"))
     return (
-        ranked.join(F.broadcast(first), group)  # as many rows as groups
+        ranked.join(first, group)
         .orderBy("_turn", "_first")
         .limit(limit)
         .drop("_first")
@@ -72,7 +72,7 @@ def weighted_with_replacement(weights: DataFrame, key: str, weight: str, draws:
     table = shares.agg(F.array_sort(F.collect_list(F.struct("n", "upto", key))).alias("strata"))
     hit = F.get(F.filter("strata", lambda s: s["upto"] > F.col(uniform)), 0)[key]
     last = F.try_element_at(F.col("strata"), F.lit(-1))[key]
-    return draws.crossJoin(F.broadcast(table)).withColumn(key, F.coalesce(hit, last)).drop("strata")  # one row of strata
+    return draws.withColumn("strata", table.scalar()).withColumn(key, F.coalesce(hit, last)).drop("strata")
 
 
 def budget_prefix(df: DataFrame, order: str, size: str, budget: int, buckets: int = 1024) -> DataFrame:
@@ -81,14 +81,12 @@ def budget_prefix(df: DataFrame, order: str, size: str, budget: int, buckets: in
     Sizes are summed by range of ``order`` first, so only the one range in
     which the budget ends is ever ordered row by row. ``order`` is an integer.
     """
-    bounds = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    spread = df.crossJoin(F.broadcast(bounds)).withColumn(  # one row of bounds
-        "_bucket", F.floor((F.col(order) - F.col("_lo")) * buckets / (F.col("_hi") - F.col("_lo") + 1)).cast("int")
-    )
+    low, high = df.agg(F.min(order)).scalar(), df.agg(F.max(order)).scalar()
+    spread = df.withColumn("_bucket", F.floor((F.col(order) - low) * buckets / (high - low + 1)).cast("int"))
     whole = spread.groupBy("_bucket").agg(F.sum(size).alias("_sum"))
     before = whole.withColumn("_before", F.sum("_sum").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum"))
     open_ = before.where(F.col("_before") <= budget)
-    kept = spread.join(F.broadcast(open_), "_bucket")
+    kept = spread.join(F.broadcast(open_), "_bucket")  # at most ``buckets`` rows
     inside = kept.where(F.col("_before") + F.col("_sum") <= budget)
     edge = kept.where(F.col("_before") + F.col("_sum") > budget).withColumn(
         "_run", F.col("_before") + F.sum(size).over(Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))

@@ -239,7 +239,7 @@ def scenario_cross_join(spark: SparkSession, d: str) -> DataFrame:
     """Generation grid of category, scenario and label: two seed tables of fixed size and an array."""
     category = corpus.table(spark, d, "region").select(F.col("r_name").alias("category"))
     scenario = corpus.table(spark, d, "nation").select(F.col("n_name").alias("scenario"))
-    grid = category.crossJoin(F.broadcast(scenario))  # seed tables of 5 and 25 rows at every scale
+    grid = category.crossJoin(scenario)  # seed tables of 5 and 25 rows at every scale
     return grid.select("category", "scenario", F.explode(F.array(F.lit("vuln"), F.lit("safe"))).alias("label"))
 
 
