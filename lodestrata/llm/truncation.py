@@ -9,7 +9,9 @@ sentences, and the lengths of the texts of each source. Around them stand
   but a proper prefix of known ones was cut inside a word;
 * a terminal-context model: how often the last one to three tokens of a
   sentence end sentences, and how often they go on. A text that stops in a
-  context that hardly ever ends a sentence was cut between words;
+  context that hardly ever ends a sentence was cut between words. Ends of
+  whole texts without an end mark count as ends only beside contexts that are
+  known otherwise, as they may be cuts themselves;
 * length evidence: a source in which texts without an end pile up at one
   length cuts there, and weaker context evidence is enough for such a text.
 
@@ -69,7 +71,7 @@ _OPEN_TAG = re.compile(r"<(/?)(" + "|".join((*CODE_TAGS, "think")) + r")>", re.I
 
 
 def tokens(sentence: str) -> list[str]:
-    """Tokens of a prose sentence: identifiers as `I` or i, numbers as 0, wide script by character."""
+    """Tokens of a prose sentence: identifiers as `I` or _i, numbers as 0, wide script by character."""
     out = []
     for token in _TOKEN.findall(sentence):
         if token.startswith("`I`"):
@@ -77,7 +79,7 @@ def tokens(sentence: str) -> list[str]:
         elif token[0].isdigit():
             out.append("0")
         elif _IDENTIFIER.search(token) and token[0].isascii():
-            out.append("i")
+            out.append("_i")
         elif _WIDE.match(token):
             out.extend(token)
         else:
@@ -96,17 +98,23 @@ def body_of(text: str) -> str:
 
 
 def sentences(text: str) -> tuple[list[str], str | None]:
-    """Complete sentences of the prose, and the last fragment if it has no end mark."""
+    """Complete sentences of the prose, and the last fragment if it has no end mark.
+
+    A last fragment that ends in a sign of omission is neither.
+    """
     done: list[str] = []
     last: str | None = None
     lines = prose_lines(text)
     for number, line in enumerate(lines):
         parts = split_sentences(line)
         for at, part in enumerate(parts):
-            if number == len(lines) - 1 and at == len(parts) - 1 and not _ENDED.search(part):
-                last = part
-            else:
+            if number < len(lines) - 1 or at < len(parts) - 1:
                 done.append(part)
+            elif not SIGN.search(part[-_REACH:]):
+                if _ENDED.search(part[-_REACH:]):
+                    done.append(part)
+                else:
+                    last = part
     return done, last
 
 
@@ -194,6 +202,7 @@ def look_at_end(text: str) -> tuple[str, str | None, str | None, list[str]] | No
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: Counter = Counter()
     spoken: Counter = Counter()
+    last_words: Counter = Counter()
     other: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
@@ -205,10 +214,14 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         skeletons: Counter = Counter()
         for sentence, n in spoken.items():
             skeletons[" ".join(tokens(sentence))] += n
-        rows = [("w", k, n) for k, n in pieces.items()] + [("s", k, n) for k, n in skeletons.items()]
+        loose: Counter = Counter()
+        for sentence, n in last_words.items():
+            loose[" ".join(tokens(sentence))] += n
+        rows = [("w", k, n) for k, n in pieces.items()] + [("s", k, n) for k, n in skeletons.items()] + [("u", k, n) for k, n in loose.items()]
         rows += [(kind, key, n) for (kind, key), n in other.items()]
         words.clear()
         spoken.clear()
+        last_words.clear()
         other.clear()
         kinds, keys, counts = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.record_batch(
@@ -233,11 +246,11 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             done, last = sentences(whole)
             spoken.update(sentence.rstrip(".!?。！？") for sentence in done)
             if last is not None and last.count("`") % 2 == 0:
-                spoken[last] += 1
+                last_words[last] += 1
             ended = bool(_ENDED.search(reach))
             for unit, size in (("c", len(text)), ("b", len(text.encode("utf-8", "replace")))):
                 other["l", f"{part}\t{source or ''}\t{unit}\t{size}\t{int(ended)}"] += 1
-            if len(words) + len(spoken) + len(other) > MOST_KEYS:
+            if len(words) + len(spoken) + len(last_words) + len(other) > MOST_KEYS:
                 yield flush()
     yield flush()
 
@@ -245,18 +258,20 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ends: Counter = Counter()
+        loose: Counter = Counter()
         goes_on: Counter = Counter()
-        for skeleton, n in zip(batch.column("key").to_pylist(), batch.column("n").to_pylist(), strict=True):
+        for kind, skeleton, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "key", "n")), strict=True):
             words = skeleton.split(" ")
             for at in range(len(words)):
-                into = ends if at == len(words) - 1 else goes_on
+                into = goes_on if at < len(words) - 1 else ends if kind == "s" else loose
                 for context in contexts(words[max(0, at - 2) : at + 1] if at >= 2 else words[: at + 1]):
                     into[context] += n
-        keys = list(ends.keys() | goes_on.keys())
+        keys = list(ends.keys() | goes_on.keys() | loose.keys())
         yield pa.record_batch(
             {
                 "context": pa.array(keys, pa.string()),
                 "ends": pa.array([ends[k] for k in keys], pa.int64()),
+                "loose": pa.array([loose[k] for k in keys], pa.int64()),
                 "goes_on": pa.array([goes_on[k] for k in keys], pa.int64()),
             }
         )
@@ -289,20 +304,20 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _known(counts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(piece, unknown_prefix) for the wanted pieces, by the trie of the vocabulary."""
+    """(piece, unknown_prefix, prefix) for the wanted pieces, by the trie of the vocabulary.
+
+    A prefix is an inner node: it begins known words. It is unknown if it is
+    no word of its own, measured by the words it begins.
+    """
     whole = wanted.join(counts, wanted["piece"] == counts["key"], "left").select("piece", F.coalesce("n", F.lit(0)).alias("own"))
     inner = counts.where(F.length("key") > 1).select(
         F.explode(F.transform(F.sequence(F.lit(1), F.length("key") - 1), lambda i: F.substring("key", F.lit(1), i))).alias("piece"),
         "n",
     )
     begun = inner.join(wanted, "piece", "left_semi").groupBy("piece").agg(F.sum("n").alias("begun"))
-    return whole.join(begun, "piece", "left").select(
-        "piece",
-        (
-            (F.coalesce("begun", F.lit(0)) >= KNOWN_COUNT)
-            & (F.col("own") < F.greatest(F.lit(float(KNOWN_COUNT)), F.col("begun") * KNOWN_RATIO))
-        ).alias("unknown_prefix"),
-    )
+    prefix = F.coalesce("begun", F.lit(0)) >= KNOWN_COUNT
+    rare = F.col("own") < F.greatest(F.lit(float(KNOWN_COUNT)), F.col("begun") * KNOWN_RATIO)
+    return whole.join(begun, "piece", "left").select("piece", (prefix & rare).alias("unknown_prefix"), prefix.alias("prefix"))
 
 
 def _limits(lengths: DataFrame) -> DataFrame:
@@ -361,18 +376,19 @@ def truncated_texts(texts: DataFrame) -> DataFrame:
     known = _known(vocabulary, pieces.select("piece").distinct())
     wanted = undecided.select("row", F.posexplode("contexts").alias("order", "context"))
     counts = (
-        statistics.where("kind = 's' and key <> ''")
-        .select("key", "n")
-        .mapInArrow(_context_rows, "context string, ends bigint, goes_on bigint")
+        statistics.where("kind in ('s', 'u') and key <> ''")
+        .select("kind", "key", "n")
+        .mapInArrow(_context_rows, "context string, ends bigint, loose bigint, goes_on bigint")
         .join(wanted.select("context").distinct(), "context", "left_semi")
         .groupBy("context")
-        .agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
+        .agg(*[F.sum(c).alias(c) for c in ("ends", "loose", "goes_on")])
         .where(F.col("ends") + F.col("goes_on") >= LEAST_SEEN)
+        .select("context", ((F.col("ends") + F.col("loose")) / (F.col("ends") + F.col("loose") + F.col("goes_on"))).alias("share"))
     )
     judged = (
         wanted.join(counts, "context")
         .groupBy("row")
-        .agg(F.min_by(F.col("ends") / (F.col("ends") + F.col("goes_on")), "order").alias("end_share"))
+        .agg(F.min_by("share", "order").alias("end_share"))
     )
     limits = _limits(statistics.where("kind = 'l'"))
     at_limit = F.coalesce("char_limit", F.lit(False)) | F.coalesce("byte_limit", F.lit(False))
@@ -396,9 +412,10 @@ def truncated_texts(texts: DataFrame) -> DataFrame:
         .join(octets, same_octets, "left")
         .withColumn(
             "evidence",
-            F.when(F.col("unknown_prefix"), "word").when(
-                F.col("end_share") < F.when(at_limit, RARE_END_AT_LIMIT).otherwise(RARE_END), "context"
-            ),
+            F.when(F.col("unknown_prefix"), "word")
+            # in prose no sentence knows the last token: the beginning of a word, even if it is one elsewhere
+            .when(F.col("prefix") & (F.size("contexts") > 0) & F.col("end_share").isNull(), "word")
+            .when(F.col("end_share") < F.when(at_limit, RARE_END_AT_LIMIT).otherwise(RARE_END), "context"),
         )
         .where("evidence is not null")
     )
