@@ -1,12 +1,12 @@
 """Problem 3: template residue, filler and error-page text.
 
 Texts are cut into prose segments (sentences outside code, tags and code
-spans). Rules over fixed phrases label segments that are residue beyond doubt.
-Every distinct segment gets a 64-bit SimHash; four tables of 16-bit blocks find
-all pairs within three bits, and labelled segments also probe the blocks one
-bit away, which finds everything within seven bits of them. Pairs are verified
-by Hamming distance and word overlap, and labels spread over the connected
-components of what is verified. A text that holds a labelled segment is a case.
+spans). Rules over fixed phrases label segments that are residue beyond doubt. Every distinct segment gets a 64-bit SimHash, kept in four tables
+by its 16-bit blocks. Labelled segments probe them, also one bit away, which
+finds everything within seven bits; what they reach probes for segments within
+three bits, and so on. Pairs are verified by Hamming distance and word overlap,
+and labels spread over the connected components of what is verified. A text
+that holds a labelled segment is a case.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.components import connected_components
@@ -26,6 +26,8 @@ from lodestrata.llm.shingles import mix
 from lodestrata.staging import stage
 
 NEAR, FAR, ALIKE = 3, 7, 0.6
+#: Hops over unlabelled segments: a longer chain of ever less alike segments tells nothing.
+MOST_HOPS = 8
 
 _NAME = r"[a-z][a-z0-9]*(?:[_ .-][a-z0-9]+)*"
 #: Template syntax around a name. Fixed values.
@@ -56,6 +58,7 @@ FILLER = re.compile(
     |\bblah\b(?:\W+\w+)?\W+blah\b
     |^\W*(?:tbd|tba|tbc|todo|fixme|xxx+|n/?a|placeholder|to\ be\ (?:done|filled|determined|added|written))\W*$
     |^\W*(?:todo|fixme|tbd)\b\s*[:\-]?\s*\w
+    |^\W*(?:\w+\s+)?to\s+be\s+(?:completed|provided|supplied|filled(?:\s+in)?|written|added|determined|decided|announced)\b
     |\bfill\s+(?:this\s+|me\s+)?in\s+(?:later|here)\b
     |\bplaceholder\s+(?:\w+\s+)?(?:for|text|content|value)\b
     |^\W*(?:insert|add|put|write|enter)\s+(?:the\s+|your\s+)?(?:\w+\s+)?(?:analysis|text|content|answer|explanation|reasoning|description|code|verdict)(?:\s+here)?\W*$
@@ -186,6 +189,30 @@ def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"skeleton": batch.column("skeleton"), "label": batch.column("label"), "mark": pa.array(marks)})
 
 
+def _blocks() -> Column:
+    """The four 16-bit blocks of a mark, as (table, block)."""
+    block = lambda i: F.shiftrightunsigned("mark", 16 * i).bitwiseAND(F.lit(0xFFFF))
+    return F.array(*[F.struct(F.lit(i).alias("table"), block(i).alias("block")) for i in range(4)])
+
+
+def _neighbours(frontier: DataFrame, index: DataFrame, reach: int) -> DataFrame:
+    """(a, b) of nodes of the frontier and their near-duplicates within ``reach`` bits.
+
+    Up to 3 bits apart some block is equal; up to 7 bits apart some block
+    differs in one bit at most, so the blocks one bit away are probed too.
+    """
+    flips = F.array(F.lit(0), *([F.lit(1 << j) for j in range(16)] if reach > 3 else []))
+    probes = frontier.select(
+        F.col("node").alias("a"), F.col("mark").alias("mark_a"), F.array_distinct(F.split("skeleton", " ")).alias("words_a"), F.inline(_blocks())
+    ).withColumn("block", F.explode(F.transform(flips, lambda f: F.col("block").bitwiseXOR(f.cast("bigint")))))
+    near = probes.join(index, ["table", "block"]).where(
+        (F.col("a") != F.col("b"))
+        & (F.bit_count(F.col("mark_a").bitwiseXOR(F.col("mark_b"))) <= reach)
+        & (F.size(F.array_intersect("words_a", "words_b")) >= ALIKE * F.size(F.array_union("words_a", "words_b")))
+    )
+    return near.select("a", "b").distinct()
+
+
 def residue_segments(texts: DataFrame) -> DataFrame:
     """origin, row_id, part, skeleton, label of every residue segment of ``texts``.
 
@@ -206,33 +233,21 @@ def residue_segments(texts: DataFrame) -> DataFrame:
         distinct.mapInArrow(_hash_rows, "skeleton string, label string, mark bigint").withColumn("node", F.xxhash64("skeleton")),
         "marks",
     )
-    blocks = F.array(*[F.struct(F.lit(i).alias("table"), F.shiftrightunsigned("mark", 16 * i).bitwiseAND(F.lit(0xFFFF)).alias("block")) for i in range(4)])
-    index = marked.select("node", "mark", "label", F.inline(blocks))
-    flips = F.array(F.lit(0), *[F.lit(1 << j) for j in range(16)])
-    probes = index.where("label is not null").select(
-        "node", "mark", "label", "table", F.explode(F.transform(flips, lambda f: F.col("block").bitwiseXOR(f.cast("bigint")))).alias("block")
-    )
-    left = probes.unionByName(index.where("label is null"))
-    pairs = (
-        left.select(F.col("node").alias("a"), F.col("mark").alias("mark_a"), F.col("label").alias("label_a"), "table", "block")
-        .join(index.select(F.col("node").alias("b"), F.col("mark").alias("mark_b"), "table", "block"), ["table", "block"])
-        .where(
-            (F.col("a") != F.col("b"))
-            & (F.bit_count(F.col("mark_a").bitwiseXOR(F.col("mark_b"))) <= F.when(F.col("label_a").isNotNull(), FAR).otherwise(NEAR))
-        )
-        .select("a", "b")
-        .distinct()
-    )
-    words = marked.select("node", F.array_distinct(F.split("skeleton", " ")).alias("words"))
-    alike = (
-        pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a")
-        .join(words.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
-        .where(
-            F.size(F.array_intersect("words_a", "words_b")) >= ALIKE * F.size(F.array_union("words_a", "words_b"))
-        )
-        .select("a", "b")
-    )
-    component = connected_components(alike).withColumnRenamed("id", "node")
+    words = F.array_distinct(F.split("skeleton", " "))
+    index = marked.select(F.col("node").alias("b"), F.col("mark").alias("mark_b"), words.alias("words_b"), F.inline(_blocks()))
+    frontier = marked.where("label is not null")
+    edges, reach = None, FAR
+    reached = frontier.select("node")
+    for _ in range(MOST_HOPS):
+        # only labelled segments and what they reached look for neighbours: the work follows the residue, not the corpus
+        alike = stage(_neighbours(frontier, index, reach), "alike")
+        edges = alike if edges is None else edges.unionByName(alike)
+        new = stage(alike.select(F.col("b").alias("node")).distinct().join(reached, "node", "left_anti"), "reached")
+        if new.isEmpty():
+            break
+        reached = reached.unionByName(new)
+        frontier, reach = marked.join(new, "node", "left_semi"), NEAR
+    component = connected_components(edges).withColumnRenamed("id", "node")
     placed = marked.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     trusted = (
         placed.where("label is not null")
