@@ -107,7 +107,7 @@ def mix(rows: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
         F.floor(F.col("budget") / F.col("available")).cast("int").alias("blocks"),
         (F.col("budget") % F.col("available")).alias("quota"),
     )
-    offered = one.join(F.broadcast(plan), ["mix", "source"])
+    offered = one.join(plan, ["mix", "source"])
     whole = offered.where("blocks > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("used"))
     last = take_quota(
         offered.where("quota > 0").withColumn("u", uniform(seed, "mix", "id", "blocks")), ["mix", "source"]

@@ -81,7 +81,7 @@ def draw(rows: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
     report = stage(fitted_quotas(category_report(rows, targets)), "quotas")  # as many rows as targets
     wanted = report.where("quota > 0").select("request", "category", "observed", "quota")
     slack = F.greatest(F.col("quota") * SLACK_SHARE, F.sqrt("quota") * 4) + SLACK_ROWS
-    offered = one.join(F.broadcast(wanted), ["request", "category"]).withColumn("u", uniform(seed, "request", "id"))
+    offered = one.join(wanted, ["request", "category"]).withColumn("u", uniform(seed, "request", "id"))
     accepted = F.least(F.lit(1.0), (F.col("quota") + slack) / F.col("observed"))
     first = offered.where(F.col("u") < accepted)
     got = first.groupBy("request", "category").agg(F.count("*").alias("got"))
