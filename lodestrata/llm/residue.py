@@ -98,6 +98,15 @@ SCRIPT_NOTICE = re.compile(
 )
 
 
+def monotonous(segment: str) -> bool:
+    """Whether one word makes up most of a short segment, three times at least."""
+    words = re.findall(r"\w+", segment[:200].lower())
+    if not 3 <= len(words) <= 16:
+        return False
+    most = max(map(words.count, set(words)))
+    return most >= 3 and most * 5 >= len(words) * 3
+
+
 @lru_cache(maxsize=1 << 16)
 def rule_label(segment: str) -> str | None:
     """placeholder, filler, error_page or script_notice; null for anything in doubt.
@@ -110,7 +119,7 @@ def rule_label(segment: str) -> str | None:
         return "placeholder"
     if "`I`" in segment:
         return None
-    if FILLER.search(segment):
+    if FILLER.search(segment) or monotonous(segment):
         return "filler"
     if ERROR_PAGE.search(segment):
         return "error_page"

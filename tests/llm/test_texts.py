@@ -22,6 +22,8 @@ TEXTS = "origin string, row_id long, part string, source string, text string"
         ("TBD", "filler"),
         ("LOREM IPSUM DOLOR SIT AMET", "filler"),
         ("TODO: write the analysis", "filler"),
+        ("test test scene test", "filler"),
+        ("-- to be completed by the unit team --", "filler"),
         ("HTTP Error 502: Bad Gateway", "error_page"),
         ('{"error":{"code":404,"message":"Not Found"}}', "error_page"),
         ("<SCAN>\nYour session has expired. Sign in again.\n</SCAN>", "error_page"),
