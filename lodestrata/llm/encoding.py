@@ -1,9 +1,13 @@
 """Problem 8: token ids of whole texts under a public byte-level tokenizer.
 
-The tokenizers library runs over Arrow batches. Long texts are fed to it in
-spans that end before white space that follows a visible character: the
-tokenizer's splitting pattern never joins across such a place, so the ids are
-those of the whole text while its memory stays bounded. Decoding goes through
+The tokenizers library runs over Arrow batches. A byte-level vocabulary first
+splits a text by a public pattern into words, each of which has the same ids
+wherever it stands; a worker remembers them, so that only words it has not met
+go through the library. Where the pattern could be read in two ways (rare
+scripts, whose letters depend on the Unicode version, and rare white space) the
+library gets the text itself. Long texts are fed in spans that end before white
+space that follows a visible character, where the pattern always cuts, so
+memory stays bounded. Decoding goes through
 the reversed byte table: a token stands for bytes, and characters that several
 tokens share come back once all of their bytes are together.
 """
@@ -13,6 +17,8 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,8 +32,9 @@ from lodestrata.llm.shingles import slices
 FOLDER = "/opt/tokenizers"
 NAME = "byte_bpe_50k"
 SPAN = 1 << 16
-#: Words a tokenizer remembers (some 100 bytes each), and bytes of text it gets at once.
-CACHED_WORDS, PORTION = 1 << 19, 1 << 17
+#: Words a worker remembers (some 250 bytes each; all are forgotten once it is full), the longest such word,
+#: and bytes of text that are taken at once.
+CACHED_WORDS, CACHED_LENGTH, PORTION = 1 << 18, 64, 1 << 19
 #: The splitting pattern of the byte-level vocabularies, as their README gives it. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -40,8 +47,6 @@ def hub_tokenizer(folder: str, name: str):
 
     tokenizer = Tokenizer.from_file(f"{folder}/{name}.json")
     tokenizer.encode_special_tokens = True
-    if hasattr(tokenizer.model, "_resize_cache"):  # its own word cache, which takes no more words once full
-        tokenizer.model._resize_cache(CACHED_WORDS)
     return tokenizer
 
 
@@ -74,7 +79,18 @@ def token_bytes(folder: str, name: str) -> list[bytes]:
     return out
 
 
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+#: A cut is safe before one of four plain white-space characters, behind a character that is white space nowhere.
+_SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r])")
+#: Characters that every Unicode version of the last years reads alike: Latin, Greek, Cyrillic, common signs, Japanese
+#: syllables, common Chinese characters, Korean syllables, full-width forms; without rare white space and numerals
+#: that are no digits. Fixed values.
+_UNSURE = re.compile(
+    r"[^\t\n\r\x00-\x08\x0e-\x1b\x20-\x84\x86-\x9f\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u02ff\u0370-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf"
+    r"\u3001-\u3006\u3008-\u3020\u3041-\u30ff\u4e00-\u9fcc\uac00-\ud7a3\uff01-\uff5e]"
+)
+#: PATTERN in terms of the standard library, the same on characters that are not unsure; and for ASCII texts.
+_WORDS = re.compile(r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?[^\s\w]+(?:_+[^\s\w]*)*| ?_+(?:[^\s\w]+_*)*|\s+(?!\S)|\s+")
+_ASCII_WORDS = re.compile(r" ?[A-Za-z]+| ?\d+|'(?:s|t|re|ve|m|ll|d)| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.A)
 
 
 def spans(text: str, size: int = SPAN) -> Iterator[str]:
@@ -114,14 +130,56 @@ def _lists(values: list[list[int]], counts: np.ndarray, add: np.ndarray | None =
     return pa.ListArray.from_arrays(pa.array(ends[starts].astype(np.int32)), pa.array(flat))
 
 
+class WordEncoder:
+    """Ids of texts from the ids of their words; the tokenizer sees a word once as long as it is remembered."""
+
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer, self.known = tokenizer, {}
+
+    def words(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if _UNSURE.search(text):
+            return list(spans(text))
+        return (_ASCII_WORDS if text.isascii() else _WORDS).findall(text)
+
+    def encode(self, texts: list[str | None]) -> tuple[array, list[int]]:
+        """All ids in a row, and the number of ids of each text."""
+        split = [self.words(t) for t in texts]
+        new = set().union(*split).difference(self.known)
+        if len(self.known) + len(new) > CACHED_WORDS:
+            self.known = {}
+            new = set().union(*split)
+        order = list(new)
+        for at in range(0, len(order), 4096):
+            part = order[at : at + 4096]
+            for word, encoded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[word] = array("i", encoded.ids)
+        ids, counts = array("i"), []
+        for own in split:
+            before = len(ids)
+            deque(map(ids.extend, map(self.known.__getitem__, own)), maxlen=0)
+            counts.append(len(ids) - before)
+        for word in order:
+            if len(word) > CACHED_LENGTH:  # long ones hardly come again
+                del self.known[word]
+        return ids, counts
+
+
+@lru_cache(maxsize=4)
+def word_encoder(folder: str, name: str) -> WordEncoder:
+    return WordEncoder(hub_tokenizer(folder, name))
+
+
 def _encode(folder: str, name: str, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = hub_tokenizer(folder, name)
+        encoder = word_encoder(folder, name)
         for batch in batches:
             for part in slices(batch, "text", PORTION):
-                pieces, counts = _pieces(part.column("text").to_pylist())
-                encoded = tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-                yield pa.record_batch({key: part.column(key), "ids": _lists([e.ids for e in encoded], counts)})
+                ids, counts = encoder.encode(part.column("text").to_pylist())
+                ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                values = pa.array(np.frombuffer(ids, dtype=np.int32) if ids else np.empty(0, np.int32))
+                yield pa.record_batch({key: part.column(key), "ids": pa.ListArray.from_arrays(pa.array(ends), values)})
 
     return run
 
@@ -130,7 +188,7 @@ def _encode_offsets(folder: str, name: str, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = hub_tokenizer(folder, name)
         for batch in batches:
-            for part in slices(batch, "text", PORTION):
+            for part in slices(batch, "text", 1 << 17):
                 pieces, counts = _pieces(part.column("text").to_pylist())
                 encoded = tokenizer.encode_batch(pieces, add_special_tokens=False)
                 lengths = np.array([len(p) for p in pieces], dtype=np.int64)

@@ -20,6 +20,49 @@ def test_spans_tokenize_like_the_whole(text, size):
     assert parts == whole and "".join(E.spans(text, size)) == text
 
 
+ODD = "a b\t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u2003\u2028\u3000!'s1é日_"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=ODD, max_size=40), st.text(alphabet=st.characters(codec="utf-8"), max_size=60)), max_size=5))
+def test_words_encode_like_the_whole(texts):
+    tokenizer = E.hub_tokenizer(E.FOLDER, E.NAME)
+    keep, E.CACHED_WORDS = E.CACHED_WORDS, 12
+    try:
+        encoder = E.word_encoder(E.FOLDER, E.NAME)
+        ids, counts = encoder.encode(texts)
+    finally:
+        E.CACHED_WORDS = keep
+    expected = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert counts == list(map(len, expected)) and ids.tolist() == [i for e in expected for i in e]
+
+
+def test_word_patterns_agree_with_the_public_one():
+    import regex
+
+    public = regex.compile(E.PATTERN)
+    sure = "".join(c for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000 and not E._UNSURE.search(c))
+    for c in sure:
+        text = f"a{c} {c}1{c}_ {c}'s"
+        assert (E._ASCII_WORDS if text.isascii() else E._WORDS).findall(text) == public.findall(text), hex(ord(c))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=ODD + "abcdefst've_-.,()é日1²", max_size=60))
+def test_word_patterns_agree_on_texts(text):
+    import regex
+
+    if not E._UNSURE.search(text):
+        assert (E._ASCII_WORDS if text.isascii() else E._WORDS).findall(text) == regex.findall(E.PATTERN, text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=ODD, max_size=80), st.integers(1, 9))
+def test_spans_with_odd_white_space(text, size):
+    tokenizer = E.hub_tokenizer(E.FOLDER, E.NAME)
+    assert [i for s in E.spans(text, size) for i in tokenizer.encode(s, add_special_tokens=False).ids] == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet=st.characters(codec="utf-8"), max_size=200))
 def test_both_libraries_agree(text):
