@@ -79,21 +79,20 @@ def last_field(name: str, c: Column) -> Column:
     return F.when(~F.lower(value).isin("none", "n/a", "-", ""), value)
 
 
+#: Status words. Fixed values.
+_VERDICT_WORDS = {"confirmed": "confirmed", "vuln": "confirmed", "vulnerable": "confirmed", "safe": "safe", "clean": "safe"}
+_PREDICTION_WORDS = _VERDICT_WORDS | {"synthesis": "synthesis"}
+
+
 def verdict_status(raw: Column) -> Column:
     """confirmed or safe by the first word; null otherwise."""
-    word = F.regexp_extract(F.lower(raw), r"^(\S+)", 1)
-    return F.when(word.isin("confirmed", "vuln", "vulnerable"), "confirmed").when(word.isin("safe", "clean"), "safe")
+    return dims.lookup(_VERDICT_WORDS, F.regexp_extract(F.lower(raw), r"^(\S+)", 1))
 
 
 def prediction_status(raw: Column) -> Column:
     """As ``verdict_status``, also needs_context and synthesis, and without closing marks."""
     word = F.regexp_replace(F.regexp_extract(F.lower(strip(raw)), r"^(\S+)", 1), r"^[.,;]+|[.,;]+$", "")
-    return (
-        F.when(word.isin("confirmed", "vuln", "vulnerable"), "confirmed")
-        .when(word.isin("safe", "clean"), "safe")
-        .when(word.contains("needs"), "needs_context")
-        .when(word == "synthesis", "synthesis")
-    )
+    return F.coalesce(dims.lookup(_PREDICTION_WORDS, word), F.when(word.contains("needs"), "needs_context"))
 
 
 def first_cwe(c: Column) -> Column:

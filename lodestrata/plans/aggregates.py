@@ -86,8 +86,9 @@ def label_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
 )
 def cwe_mismatch_top10(spark: SparkSession, d: str) -> DataFrame:
     """The ten most frequent pairs of stated CWE and another family's CWE read from the code."""
-    r = corpus.records(spark, d).where((T.norm_label(F.col("label")) == "vuln") & F.col("usr").isNotNull())
-    k = r.select("gt_cwe", T.classify(F.col("usr"))["cwe"].alias("code_cwe")).where(T.family(F.col("gt_cwe")) != T.family(F.col("code_cwe")))
+    known = (T.norm_label(F.col("label")) == "vuln") & F.col("usr").isNotNull()
+    r = corpus.mapped(spark, d, "records", known, "gt_cwe", T.classify(F.col("usr"))["cwe"].alias("code_cwe"))
+    k = r.where(T.family(F.col("gt_cwe")) != T.family(F.col("code_cwe")))
     return k.groupBy(F.concat_ws("->", "gt_cwe", "code_cwe").alias("pair")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "pair").limit(10)
 
 
@@ -185,7 +186,7 @@ def record_counts(spark: SparkSession, d: str) -> DataFrame:
 )
 def token_cost_estimate(spark: SparkSession, d: str) -> DataFrame:
     """Estimated cost of 1000 calls with prompts like the corpus' questions, 3 and 15 a million tokens."""
-    sample = corpus.records(spark, d).where("usr is not null").select(T.approx_tokens(F.col("usr")).alias("t"))
+    sample = corpus.mapped(spark, d, "records", "usr is not null", T.approx_tokens(F.col("usr")).alias("t"))
     return O.cost_estimate(sample, "t", calls=1000, output_tokens=1500, input_price=3.0, output_price=15.0)
 
 
@@ -198,9 +199,10 @@ def token_cost_estimate(spark: SparkSession, d: str) -> DataFrame:
 )
 def run_stats(spark: SparkSession, d: str) -> DataFrame:
     """Attempts, errors and discards of a generation run by shape; errors do not count for the rate."""
-    r = corpus.records(spark, d)
-    discarded, tried = F.count_if(F.col("answer").isNotNull() & T.think(F.col("answer")).isNull()), F.count("answer")
-    return r.groupBy("shape").agg(F.count("*").alias("attempted"), F.count_if(F.col("answer").isNull()).alias("errors"), discarded.alias("discarded"), T.ratio(discarded, tried).alias("discard_rate"))
+    answer = F.col("answer")
+    r = corpus.mapped(spark, d, "records", F.lit(True), "shape", answer.isNotNull().alias("made"), (answer.isNotNull() & T.think(answer).isNull()).alias("bad"))
+    discarded, tried = F.count_if("bad"), F.count_if("made")
+    return r.groupBy("shape").agg(F.count("*").alias("attempted"), F.count_if(~F.col("made")).alias("errors"), discarded.alias("discarded"), T.ratio(discarded, tried).alias("discard_rate"))
 
 
 @query(

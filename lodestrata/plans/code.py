@@ -17,7 +17,7 @@ from lodestrata.sources import corpus, patches
 from lodestrata.sources.sniff import resolve
 
 
-@query()
+@query(per_row=True)
 def diff_region(spark: SparkSession, d: str) -> DataFrame:
     """Changed lines and identifiers of every fix (checked against the standard library's matcher in the tests)."""
     return R.regions(corpus.pairs(spark, d), "pair_id", "vuln_code", "fixed_code")
@@ -33,29 +33,28 @@ def located_gates(spark: SparkSession, d: str) -> DataFrame:
     return both.select("cwe", F.size(failed).alias("failed")).groupBy("cwe").agg(F.count("*").alias("traces"), F.count_if(F.col("failed") == 0).alias("passed"))
 
 
-@query()
+@query(per_row=True)
 def repair_output(spark: SparkSession, d: str) -> DataFrame:
     """Answers with repaired fields, and whether that changed them."""
     rec = corpus.records(spark, d).select("record_id", F.col("answer").alias("text"))
-    fixed = R.repair(rec, "record_id").withColumnRenamed("text", "repaired")
-    return rec.join(fixed, "record_id").select("record_id", F.sha2("repaired", 256).alias("repaired_hash"), (T.strip(F.col("text")) != T.strip(F.col("repaired"))).alias("changed"))
+    return R.repair(rec, "record_id").select("record_id", F.sha2("text", 256).alias("repaired_hash"), (T.strip(F.col("text")) != T.strip(F.col("before"))).alias("changed"))
 
 
-@query()
+@query(per_row=True)
 def normalize_safe(spark: SparkSession, d: str) -> DataFrame:
     """Safe answers with fields that fit their verdict."""
     rec = corpus.records(spark, d).where("label = 'safe'").select("record_id", F.col("answer").alias("text"))
-    return R.normalize_safe(rec, "record_id")
+    return R.normalize_safe(rec, "record_id").drop("before")
 
 
-@query()
+@query(per_row=True)
 def python_functions(spark: SparkSession, d: str) -> DataFrame:
     """Functions of the Python tasks."""
     t = corpus.tasks(spark, d).where("language = 'python' and code is not null").select("task_no", "code")
     return R.python_functions(t, "task_no").select("task_no", "name", "first_line", "last_line")
 
 
-@query()
+@query(per_row=True)
 def clean_functions(spark: SparkSession, d: str) -> DataFrame:
     """Python functions of 3 to 30 lines without risky calls or suspicious words."""
     t = corpus.tasks(spark, d).where("language = 'python' and code is not null").select("task_no", "code")
@@ -99,14 +98,14 @@ def template_traces(spark: SparkSession, d: str) -> DataFrame:
     return R.vulnerable_traces(corpus.pairs(spark, d), "pair_id")
 
 
-@query()
+@query(per_row=True)
 def safe_traces(spark: SparkSession, d: str) -> DataFrame:
     """Safe traces of fixed code of three lines or more."""
     p = corpus.pairs(spark, d).where(T.nonblank_lines(F.col("fixed_code")) >= 3)
     return p.select("pair_id", R.render_safe(F.col("cwe")).alias("trace"))
 
 
-@query()
+@query(per_row=True)
 def rich_summaries(spark: SparkSession, d: str) -> DataFrame:
     """Trace and fix summaries of every reasoning, plain and rich."""
     rec = corpus.records(spark, d).select("record_id", "cwe", "language", (T.norm_label(F.col("label")) == "vuln").alias("v"), T.strip(T.think(F.col("answer"))).alias("t"))
@@ -114,7 +113,7 @@ def rich_summaries(spark: SparkSession, d: str) -> DataFrame:
     return rec.select("record_id", traces.trace_summary(*args).alias("trace"), traces.fix_summary(args[0], args[3]).alias("fix"), traces.rich_trace(*args).alias("rich_trace"))
 
 
-@query()
+@query(per_row=True)
 def rewritten_traces(spark: SparkSession, d: str) -> DataFrame:
     """Answers whose trace field is replaced by the summary of their thought."""
     rec = corpus.records(spark, d).where("answer is not null")
@@ -122,7 +121,7 @@ def rewritten_traces(spark: SparkSession, d: str) -> DataFrame:
     return rec.select("record_id", F.sha2(traces.rewrite_field(F.col("answer"), "trace", summary), 256).alias("answer_hash"))
 
 
-@query(D.query(D.REC, body=r"SELECT record_id, regexp_matches(answer, '(?i)(^|\n)trace\s*:') AS has_trace FROM rec WHERE answer IS NOT NULL"))
+@query(D.query(D.REC, body=r"SELECT record_id, regexp_matches(answer, '(?i)(^|\n)trace\s*:') AS has_trace FROM rec WHERE answer IS NOT NULL"), per_row=True)
 def has_trace_line(spark: SparkSession, d: str) -> DataFrame:
     """Answers with a trace line at the start of a line."""
     return corpus.records(spark, d).where("answer is not null").select("record_id", F.col("answer").rlike(r"(?i)(^|\n)trace\s*:").alias("has_trace"))
@@ -166,7 +165,7 @@ def multi_file_patches(spark: SparkSession, d: str) -> DataFrame:
     return _patches(spark, d).where(F.regexp_count("text", F.lit(r"(?md)^diff --git a/.+ b/.+\.(?:py|js|ts|jsx|tsx|php|rb)\s*$")) >= 2).select("doc_id")
 
 
-@query()
+@query(per_row=True)
 def sarif_report(spark: SparkSession, d: str) -> DataFrame:
     """SARIF results of the findings, one JSON object a row."""
     return O.sarif_results(corpus.findings(spark, d).where("file is not null and cwe is not null"))

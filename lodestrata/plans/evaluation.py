@@ -22,9 +22,8 @@ scored AS (SELECT *, CASE WHEN status = 'confirmed' THEN CASE WHEN vulnerable TH
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     """Every answer as the prediction of two runs: as it is, and with every fifth verdict flipped."""
     a = F.col("answer")
-    rec = corpus.records(spark, d).where("answer is not null")
-    told = rec.select(
-        "record_id", "shape", "answer", "usr", "helper_fn", "disposition", "multi_hop",
+    told = corpus.mapped(
+        spark, d, "records", "answer is not null", "shape", "disposition",
         F.coalesce("language", F.lit("unknown")).alias("language"),
         T.norm_label(F.col("label")).alias("kind"),
         F.get("cwes", 0).alias("primary_cwe"),
@@ -134,17 +133,17 @@ def cross_file_accuracy(spark: SparkSession, d: str) -> DataFrame:
 )
 def synthesis_structure(spark: SparkSession, d: str) -> DataFrame:
     """Structure of synthesis answers."""
-    r = corpus.records(spark, d).where("shape = 'shape4' and answer is not null")
     a = F.col("answer")
-    return r.agg(
-        F.count("*").alias("total"),
-        F.count_if(a.rlike(r"(?i)executive_summary\s*:")).alias("with_summary"),
-        F.count_if(a.rlike(r"(?i)ranked_findings\s*:")).alias("with_ranking"),
-        F.count_if(F.lower("usr").rlike(r"_v\d+\.")).alias("with_duplicates"),
-    )
+    flags = {
+        "with_summary": a.rlike(r"(?i)executive_summary\s*:"),
+        "with_ranking": a.rlike(r"(?i)ranked_findings\s*:"),
+        "with_duplicates": F.lower("usr").rlike(r"_v\d+\."),
+    }
+    r = corpus.mapped(spark, d, "records", "shape = 'shape4' and answer is not null", *[c.alias(name) for name, c in flags.items()])
+    return r.agg(F.count("*").alias("total"), *[F.count_if(name).alias(name) for name in flags])
 
 
-@query()
+@query(per_row=True)
 def ranked_findings(spark: SparkSession, d: str) -> DataFrame:
     """Ranked findings of synthesis answers, and whether their severities fall (checked on fixtures in the tests)."""
     r = corpus.records(spark, d).where("shape = 'shape4' and answer is not null").select("record_id", Q.ranked_findings(F.col("answer")).alias("ranked"))
@@ -198,7 +197,7 @@ def smoke_metrics(spark: SparkSession, d: str) -> DataFrame:
     return c.select("run", T.percent(tp + tn, judged + miss).alias("accuracy"), T.percent(fp, fp + tn).alias("fpr"), T.percent(fn, fn + tp).alias("fnr"), T.percent(judged, judged + miss).alias("parsed"))
 
 
-@query()
+@query(per_row=True)
 def parse_by_shape(spark: SparkSession, d: str) -> DataFrame:
     """Every answer under the parser of its shape (checked on fixtures in the tests)."""
     rec = corpus.records(spark, d).where("answer is not null")
@@ -215,15 +214,17 @@ def parse_by_shape(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def synthesis_scores(spark: SparkSession, d: str) -> DataFrame:
     """Structural scores of synthesis answers."""
-    rec = corpus.records(spark, d).where("shape = 'shape4' and answer is not null").select(P.synthesis_scores(F.col("answer"), F.col("usr")).alias("s")).select("s.*")
+    scores = P.synthesis_scores(F.col("answer"), F.col("usr"))
+    rec = corpus.mapped(spark, d, "records", "shape = 'shape4' and answer is not null", scores.alias("s")).select("s.*")
     return rec.agg(F.count("*").alias("total"), *[F.count_if(c).alias(c) for c in rec.columns])
 
 
 @query()
 def predicted_with_cache(spark: SparkSession, d: str) -> DataFrame:
     """Answers of a stand-in predictor for every evaluation question, cached ones not predicted again."""
-    rec = corpus.records(spark, d).where("split = 'eval' and usr is not null and shape is not null")
-    prompts = rec.select(P.cache_key("stub", F.col("shape"), F.col("usr")).alias("key"), F.col("usr").alias("prompt")).dropDuplicates(["key"])
+    key = P.cache_key("stub", F.col("shape"), F.col("usr"))
+    asked = corpus.mapped(spark, d, "records", "split = 'eval' and usr is not null and shape is not null", key.alias("key"), F.col("usr").alias("prompt"))
+    prompts = asked.select("key", "prompt").dropDuplicates(["key"])
     cached = prompts.where("key < '4'").select("key", F.lit("cached").alias("raw_text"))
     return P.predict(prompts, _stub, cached)
 
@@ -235,7 +236,7 @@ def _stub(prompts: list[str]) -> list[str]:
 @query()
 def perturbed_answers(spark: SparkSession, d: str) -> DataFrame:
     """Answers with the verdict of about a fifth turned around: statuses before and after."""
-    rec = corpus.records(spark, d).where("answer is not null")
     turned = P.perturbed(F.col("answer"), 0.2, "perturb", F.col("record_id"))
     status = lambda c: T.prediction_status(T.nonempty(T.field("status", c)))
-    return rec.groupBy(status(F.col("answer")).alias("before"), status(turned).alias("after")).agg(F.count("*").alias("n"))
+    rec = corpus.mapped(spark, d, "records", "answer is not null", status(F.col("answer")).alias("before"), status(turned).alias("after"))
+    return rec.groupBy("before", "after").agg(F.count("*").alias("n"))

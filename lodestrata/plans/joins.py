@@ -17,9 +17,11 @@ _KEYED = f"keyed AS (SELECT record_id, split, label, {D.norm_label('label')} AS
 
 def keyed(spark: SparkSession, d: str) -> DataFrame:
     """Records with the exact and the normalised hash of their question."""
-    rec = corpus.records(spark, d).where("usr is not null")
-    return rec.select(
-        "record_id",
+    return corpus.mapped(
+        spark,
+        d,
+        "records",
+        "usr is not null",
         "split",
         T.norm_label(F.col("label")).alias("kind"),
         T.exact_hash(F.col("usr")).alias("exact"),
@@ -132,9 +134,9 @@ def resume_anti_join(spark: SparkSession, d: str) -> DataFrame:
 )
 def resume_cache_join(spark: SparkSession, d: str) -> DataFrame:
     """Cached outputs by shape and question; what is not cached is to be computed."""
-    rec = corpus.records(spark, d).where("usr is not null and shape is not null")
-    keys = rec.select("record_id", "split", "answer", F.sha2(F.concat("shape", F.lit("\x01"), "usr"), 256).alias("k"))
-    cache = keys.where("split = 'train'").groupBy("k").agg(F.min(F.sha2("answer", 256)).alias("cached"))
+    key = F.sha2(F.concat("shape", F.lit("\x01"), "usr"), 256)
+    keys = corpus.mapped(spark, d, "records", "usr is not null and shape is not null", "split", F.sha2("answer", 256).alias("output"), key.alias("k"))
+    cache = keys.where("split = 'train'").groupBy("k").agg(F.min("output").alias("cached"))
     return keys.join(cache, "k", "left").select("record_id", F.coalesce("cached", F.lit("computed")).alias("output"))
 
 
@@ -147,8 +149,8 @@ def resume_cache_join(spark: SparkSession, d: str) -> DataFrame:
 )
 def gold_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Gold answers by question, '' where there is none."""
-    rec = corpus.records(spark, d).where("usr is not null").select("record_id", "split", "answer", T.exact_hash(F.col("usr")).alias("h"))
-    gold = rec.where("split = 'eval'").groupBy("h").agg(F.min(F.sha2("answer", 256)).alias("gold"))
+    rec = corpus.mapped(spark, d, "records", "usr is not null", "split", F.sha2("answer", 256).alias("answer"), T.exact_hash(F.col("usr")).alias("h"))
+    gold = rec.where("split = 'eval'").groupBy("h").agg(F.min("answer").alias("gold"))
     return rec.join(gold, "h", "left").select("record_id", F.coalesce("gold", F.lit("")).alias("gold"))
 
 
@@ -248,8 +250,7 @@ def scenario_cross_join(spark: SparkSession, d: str) -> DataFrame:
         D.FINDS,
         body="""SELECT finding_id, len(list_filter(string_split(coalesce(trace, ''), ' -> '), lambda t: length(t) > 0 AND contains(lower(coalesce(think, '')), lower(t)))) AS named
 FROM finds""",
-    ).replace("len(list_filter", "CAST(len(list_filter").replace("lower(t)))) AS named", "lower(t)))) AS BIGINT) AS named")
-)
+    ).replace("len(list_filter", "CAST(len(list_filter").replace("lower(t)))) AS named", "lower(t)))) AS BIGINT) AS named"), per_row=True)
 def title_containment(spark: SparkSession, d: str) -> DataFrame:
     """Steps of a trace that the thought names (containment within a row)."""
     steps = F.split(F.coalesce("trace", F.lit("")), " -> ")
@@ -282,17 +283,17 @@ def line_band_counts(spark: SparkSession, d: str) -> DataFrame:
 @query(D.query(D.PAIRS, D.TASKS, body="SELECT origin, CAST(count(*) AS BIGINT) AS n, CAST(count(code) AS BIGINT) AS with_code FROM (SELECT 'pairs' AS origin, vuln_code AS code FROM pairs UNION ALL SELECT 'tasks', code FROM tasks) GROUP BY 1"))
 def union_sources(spark: SparkSession, d: str) -> DataFrame:
     """Bag union of the code sources."""
-    p = corpus.pairs(spark, d).select(F.lit("pairs").alias("origin"), F.col("vuln_code").alias("code"))
-    t = corpus.tasks(spark, d).select(F.lit("tasks").alias("origin"), "code")
-    return p.unionByName(t).groupBy("origin").agg(F.count("*").alias("n"), F.count("code").alias("with_code"))
+    p = corpus.mapped(spark, d, "pairs", F.lit(True), F.lit("pairs").alias("origin"), F.col("vuln_code").isNotNull().alias("code"))
+    t = corpus.mapped(spark, d, "tasks", F.lit(True), F.lit("tasks").alias("origin"), F.col("code").isNotNull().alias("code"))
+    return p.select("origin", "code").unionByName(t.select("origin", "code")).groupBy("origin").agg(F.count("*").alias("n"), F.count_if("code").alias("with_code"))
 
 
 @query(D.query(D.PAIRS, D.TASKS, body=f"SELECT DISTINCT h FROM (SELECT {D.normal_hash('vuln_code')} AS h FROM pairs WHERE vuln_code IS NOT NULL UNION SELECT {D.normal_hash('code')} FROM tasks WHERE code IS NOT NULL)"))
 def norm_distinct_union(spark: SparkSession, d: str) -> DataFrame:
     """Distinct normalised code of both code sources."""
-    p = corpus.pairs(spark, d).where("vuln_code is not null").select(T.normal_hash(F.col("vuln_code")).alias("h"))
-    t = corpus.tasks(spark, d).where("code is not null").select(T.normal_hash(F.col("code")).alias("h"))
-    return p.unionByName(t).distinct()
+    p = corpus.mapped(spark, d, "pairs", "vuln_code is not null", T.normal_hash(F.col("vuln_code")).alias("h"))
+    t = corpus.mapped(spark, d, "tasks", "code is not null", T.normal_hash(F.col("code")).alias("h"))
+    return p.select("h").unionByName(t.select("h")).distinct()
 
 
 @query("SELECT DISTINCT owner_repo FROM harvest_targets EXCEPT SELECT owner_repo FROM documents WHERE owner_repo IS NOT NULL")

@@ -14,13 +14,13 @@ from lodestrata.plans.registry import query
 from lodestrata.sources import corpus
 
 
-@query(D.query(D.TASKS, body="SELECT task_no FROM tasks WHERE length(code) BETWEEN 80 AND 1500"))
+@query(D.query(D.TASKS, body="SELECT task_no FROM tasks WHERE length(code) BETWEEN 80 AND 1500"), per_row=True)
 def length_window_filter(spark: SparkSession, d: str) -> DataFrame:
     """Tasks whose code has 80 to 1500 characters."""
     return corpus.tasks(spark, d).where(F.length("code").between(80, 1500)).select("task_no")
 
 
-@query(D.query(D.TASKS, body=f"SELECT task_no, CAST({D.nonblank_lines('code')} AS BIGINT) AS lines FROM tasks WHERE {D.nonblank_lines('code')} >= 3"))
+@query(D.query(D.TASKS, body=f"SELECT task_no, CAST({D.nonblank_lines('code')} AS BIGINT) AS lines FROM tasks WHERE {D.nonblank_lines('code')} >= 3"), per_row=True)
 def line_count_filter(spark: SparkSession, d: str) -> DataFrame:
     """Tasks of three lines or more that are not blank."""
     return corpus.tasks(spark, d).select("task_no", T.nonblank_lines(F.col("code")).cast("bigint").alias("lines")).where("lines >= 3")
@@ -47,7 +47,7 @@ def path_filters(spark: SparkSession, d: str) -> DataFrame:
 _REL = D.lit("(?i)" + dims.RELEVANT_HUNK)
 
 
-@query(D.query(D.PAIRS, body=f"SELECT pair_id FROM pairs WHERE regexp_matches(vuln_code, {_REL}) OR regexp_matches(fixed_code, {_REL})"))
+@query(D.query(D.PAIRS, body=f"SELECT pair_id FROM pairs WHERE regexp_matches(vuln_code, {_REL}) OR regexp_matches(fixed_code, {_REL})"), per_row=True)
 def relevance_filter(spark: SparkSession, d: str) -> DataFrame:
     """Fix pairs one of whose sides touches a sensitive operation."""
     pattern = "(?i)" + dims.RELEVANT_HUNK
@@ -59,8 +59,7 @@ def relevance_filter(spark: SparkSession, d: str) -> DataFrame:
         D.REC,
         body=r"""SELECT record_id, CASE WHEN contains(a, 'status: safe') OR contains(a, 'no vulnerability') OR contains(a, 'is safe') THEN 'safe'
   WHEN contains(a, 'status: confirmed') OR contains(a, 'vulnerability detected') OR contains(a, 'cwe-') THEN 'vuln' END AS answered FROM (SELECT record_id, lower(answer) AS a FROM rec)""",
-    )
-)
+    ), per_row=True)
 def label_from_answer(spark: SparkSession, d: str) -> DataFrame:
     """Label that an answer states, the safe phrases first."""
     a = F.lower("answer")
@@ -80,7 +79,7 @@ bleed AS (SELECT *, CASE WHEN fam IS NOT NULL THEN {_OWN} END AS own, CASE WHEN
 mixed AS (SELECT *, CASE WHEN other > 0 THEN {_BEST} END AS other_family, coalesce(NOT (own = 0 AND other >= 3), TRUE) AS ok FROM bleed)"""
 
 
-@query(D.query(D.REC, _HITS, body="SELECT record_id, fam AS family, CAST(own AS BIGINT) AS own, CAST(other AS BIGINT) AS other, other_family, ok FROM mixed"))
+@query(D.query(D.REC, _HITS, body="SELECT record_id, fam AS family, CAST(own AS BIGINT) AS own, CAST(other AS BIGINT) AS other, other_family, ok FROM mixed"), per_row=True)
 def family_bleed(spark: SparkSession, d: str) -> DataFrame:
     """Marker hits of a trace's own family and of the strongest other one."""
     rec = corpus.records(spark, d).where("answer is not null")
@@ -104,13 +103,11 @@ _VERIFY = f"""verified AS (SELECT record_id, shape, kind, list_filter([
 
 
 def verified(spark: SparkSession, d: str) -> DataFrame:
-    rec = corpus.records(spark, d).where("answer is not null")
-    return rec.select(
-        "record_id", "shape", T.norm_label(F.col("label")).alias("kind"), Q.verify(F.col("answer"), F.col("label"), F.col("cwe")).alias("reasons")
-    )
+    reasons = Q.verify(F.col("answer"), F.col("label"), F.col("cwe"))
+    return corpus.mapped(spark, d, "records", "answer is not null", "shape", T.norm_label(F.col("label")).alias("kind"), reasons.alias("reasons"))
 
 
-@query(D.query(D.REC, _HITS, _VERIFY, body="SELECT record_id, kind, reasons FROM verified"))
+@query(D.query(D.REC, _HITS, _VERIFY, body="SELECT record_id, kind, reasons FROM verified"), per_row=True)
 def verify_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Reasons why a record fails verification, an empty list where it passes."""
     return verified(spark, d).select("record_id", "kind", "reasons")
@@ -156,8 +153,8 @@ _AUDIT = """audited AS (SELECT record_id, list_filter([
 
 
 def audited(spark: SparkSession, d: str) -> DataFrame:
-    rec = corpus.records(spark, d).where("answer is not null")
-    return rec.select("record_id", Q.audit(F.col("answer"), F.col("label"), F.col("gt_cwe")).alias("issues"))
+    issues = Q.audit(F.col("answer"), F.col("label"), F.col("gt_cwe"))
+    return corpus.mapped(spark, d, "records", "answer is not null", issues.alias("issues"))
 
 
 @query(D.query(D.REC, _HITS, _AUDIT, body="SELECT issue, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(issues) AS issue FROM audited) GROUP BY 1"))
@@ -199,28 +196,25 @@ def _gated(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_CODE, _ANSWER, _LINES, _REGION = F.col, F.col, F.col, F.col
-
-
-@query(D.query(D.REC, _GATES, body="SELECT record_id, correspondence AS ok FROM g2"))
+@query(D.query(D.REC, _GATES, body="SELECT record_id, correspondence AS ok FROM g2"), per_row=True)
 def identifiers_overlap_gate(spark: SparkSession, d: str) -> DataFrame:
     """Traces whose identifiers occur in the code."""
     return _gated(spark, d).select("record_id", Q.correspondence(F.col("answer"), F.col("code")).alias("ok"))
 
 
-@query(D.query(D.REC, _GATES, body="SELECT record_id, localization AS ok FROM g2"))
+@query(D.query(D.REC, _GATES, body="SELECT record_id, localization AS ok FROM g2"), per_row=True)
 def localization_gate(spark: SparkSession, d: str) -> DataFrame:
     """Traces that point at the changed region."""
     return _gated(spark, d).select("record_id", Q.localization(F.col("answer"), F.col("region_lines"), F.col("region_names")).alias("ok"))
 
 
-@query(D.query(D.REC, _GATES, body="SELECT record_id, cwe_ok AS ok FROM g2"))
+@query(D.query(D.REC, _GATES, body="SELECT record_id, cwe_ok AS ok FROM g2"), per_row=True)
 def cwe_gate(spark: SparkSession, d: str) -> DataFrame:
     """Verdicts that name the true CWE."""
     return _gated(spark, d).select("record_id", Q.cwe_consistency(F.col("answer"), F.col("gt_cwe")).alias("ok"))
 
 
-@query(D.query(D.REC, _GATES, body="SELECT record_id, substantive AS ok FROM g2"))
+@query(D.query(D.REC, _GATES, body="SELECT record_id, substantive AS ok FROM g2"), per_row=True)
 def substantiveness_gate(spark: SparkSession, d: str) -> DataFrame:
     """Traces that tell a flow and do not hedge."""
     return _gated(spark, d).select("record_id", Q.substantive(F.col("answer")).alias("ok"))
@@ -231,8 +225,7 @@ def substantiveness_gate(spark: SparkSession, d: str) -> DataFrame:
         D.REC, _GATES,
         body="""SELECT record_id, list_filter([CASE WHEN NOT correspondence THEN 'correspondence' END, CASE WHEN NOT localization THEN 'localization' END,
   CASE WHEN NOT cwe_ok THEN 'cwe' END, CASE WHEN NOT substantive THEN 'substantiveness' END], lambda x: x IS NOT NULL) AS failed FROM g2""",
-    )
-)
+    ), per_row=True)
 def all_gates(spark: SparkSession, d: str) -> DataFrame:
     """Failed gates of every record."""
     g = _gated(spark, d)
@@ -242,9 +235,8 @@ def all_gates(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def accept_by_shape(spark: SparkSession, d: str) -> DataFrame:
     """Answers that fit the contract of their shape, by shape."""
-    rec = corpus.records(spark, d).where("answer is not null")
     ok = Q.accept(*[F.col(c) for c in ("answer", "shape", "label", "helper_fn", "disposition", "multi_hop")], F.array(F.coalesce("usr", F.lit(""))))
-    return rec.select("shape", ok.alias("ok")).groupBy("shape").agg(F.count("*").alias("records"), F.count_if("ok").alias("accepted"))
+    return corpus.mapped(spark, d, "records", "answer is not null", "shape", ok.alias("ok")).groupBy("shape").agg(F.count("*").alias("records"), F.count_if("ok").alias("accepted"))
 
 
 _REASONING = "(SELECT record_id, coalesce(think, '') || chr(10) || coalesce(trace, '') AS t, code FROM s0)"
@@ -259,8 +251,7 @@ s2 AS (SELECT record_id, t, CASE WHEN len(names) > 0 THEN len(list_filter(names,
     D.query(
         D.REC, _SPECIFIC,
         body="SELECT record_id, CAST(CASE WHEN length(t) < 100 THEN 0.0 ELSE greatest(0.0, least(1.0, 0.40 * cover + 0.20 * cwe_refs + 0.15 * file_refs + 0.15 * specific - 0.30 * generic)) END AS DOUBLE) AS score FROM s2",
-    )
-)
+    ), per_row=True)
 def specificity_score(spark: SparkSession, d: str) -> DataFrame:
     """How much each reasoning deals with its code."""
     rec = corpus.records(spark, d).where("answer is not null")

@@ -233,7 +233,7 @@ def weighted_sample_replacement(spark: SparkSession, d: str) -> DataFrame:
     return sampling.weighted_with_replacement(weights, "shape", "weight", draws, "u").select("event_id", "shape")
 
 
-@query(D.query(D.REC, body=f"SELECT record_id, CASE WHEN {D.hash_uniform('val', 'record_id')} < 0.05 THEN 'val' ELSE 'train' END AS side FROM rec"))
+@query(D.query(D.REC, body=f"SELECT record_id, CASE WHEN {D.hash_uniform('val', 'record_id')} < 0.05 THEN 'val' ELSE 'train' END AS side FROM rec"), per_row=True)
 def train_val_split(spark: SparkSession, d: str) -> DataFrame:
     """Five in a hundred records for validation, by hash."""
     return corpus.records(spark, d).select("record_id", F.when(T.hash_uniform("val", F.col("record_id")) < 0.05, "val").otherwise("train").alias("side"))
@@ -242,7 +242,7 @@ def train_val_split(spark: SparkSession, d: str) -> DataFrame:
 _PHRASES = ("No issue found.", "The code is safe.", "Nothing to report.", "No finding.")
 
 
-@query(D.query(D.REC, body=f"SELECT record_id, [{', '.join(D.lit(p) for p in _PHRASES)}][CAST(floor({D.hash_uniform('phrase', 'record_id')} * {len(_PHRASES)}) AS INT) + 1] AS phrase FROM rec"))
+@query(D.query(D.REC, body=f"SELECT record_id, [{', '.join(D.lit(p) for p in _PHRASES)}][CAST(floor({D.hash_uniform('phrase', 'record_id')} * {len(_PHRASES)}) AS INT) + 1] AS phrase FROM rec"), per_row=True)
 def phrase_choice(spark: SparkSession, d: str) -> DataFrame:
     """A wording for every record, chosen by hash."""
     at = F.floor(T.hash_uniform("phrase", F.col("record_id")) * len(_PHRASES)).cast("int")
@@ -256,7 +256,7 @@ def best_of_n(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("event_id"))
 
 
-@query(D.query(D.REC, body=f"SELECT record_id, CASE WHEN {D.hash_uniform('flip', 'record_id')} < 0.2 THEN CASE label WHEN 'safe' THEN 'vuln' WHEN 'vuln' THEN 'safe' ELSE label END ELSE label END AS verdict FROM rec"))
+@query(D.query(D.REC, body=f"SELECT record_id, CASE WHEN {D.hash_uniform('flip', 'record_id')} < 0.2 THEN CASE label WHEN 'safe' THEN 'vuln' WHEN 'vuln' THEN 'safe' ELSE label END ELSE label END AS verdict FROM rec"), per_row=True)
 def verdict_flip(spark: SparkSession, d: str) -> DataFrame:
     """Labels with a fifth of the verdicts flipped."""
     flipped = F.when(F.col("label") == "safe", "vuln").when(F.col("label") == "vuln", "safe").otherwise(F.col("label"))
@@ -272,17 +272,17 @@ def verdict_flip(spark: SparkSession, d: str) -> DataFrame:
 )
 def converter_dedup(spark: SparkSession, d: str) -> DataFrame:
     """First pair of each vulnerable code, after the size and language filters and before the CWE filter."""
-    p = corpus.pairs(spark, d).where((F.length("vuln_code") >= 60) & F.col("language").isin("python", "javascript", "typescript"))
-    return dedup.first_by_key(p.select("pair_id", F.sha2("vuln_code", 256).alias("h")), "h", ["pair_id"]).select("pair_id")
+    fits = (F.length("vuln_code") >= 60) & F.col("language").isin("python", "javascript", "typescript")
+    return dedup.first_by_key(corpus.mapped(spark, d, "pairs", fits, F.sha2("vuln_code", 256).alias("h")), "h", ["pair_id"]).select("pair_id")
 
 
-@query(D.query(D.FINDS, body="SELECT finding_id, substring(sha256(coalesce(file, '') || coalesce(cwe, '') || coalesce(unit, '')), 1, 16) AS print FROM finds"))
+@query(D.query(D.FINDS, body="SELECT finding_id, substring(sha256(coalesce(file, '') || coalesce(cwe, '') || coalesce(unit, '')), 1, 16) AS print FROM finds"), per_row=True)
 def fingerprint(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprint of every finding over its file, CWE and unit."""
     return corpus.findings(spark, d).select("finding_id", dedup.fingerprint(F.col("file"), F.col("cwe"), F.col("unit")).alias("print"))
 
 
-@query(D.query(D.TASKS, body="SELECT task_no, 'shape1:' || source || ':' || substring(sha256(code), 1, 10) AS short_id FROM tasks WHERE code IS NOT NULL AND source IS NOT NULL"))
+@query(D.query(D.TASKS, body="SELECT task_no, 'shape1:' || source || ':' || substring(sha256(code), 1, 10) AS short_id FROM tasks WHERE code IS NOT NULL AND source IS NOT NULL"), per_row=True)
 def short_ids(spark: SparkSession, d: str) -> DataFrame:
     """Task ids made from the hash of the code."""
     t = corpus.tasks(spark, d).where("code is not null and source is not null")
@@ -304,7 +304,7 @@ def balanced_tasks(spark: SparkSession, d: str) -> DataFrame:
     return generation.balanced_tasks(p.join(where, "pair_id"), 60).select("pair_id", "vuln_type")
 
 
-@query()
+@query(per_row=True)
 def prompts(spark: SparkSession, d: str) -> DataFrame:
     """Scan prompts of all tasks, as hashes."""
     t = corpus.tasks(spark, d).where("code is not null")
@@ -314,5 +314,6 @@ def prompts(spark: SparkSession, d: str) -> DataFrame:
 @query(D.query(D.FINDS, body="SELECT finding_id % 40 AS task, arg_max(finding_id, row(length(coalesce(trace, '')), -finding_id)) AS finding_id FROM finds GROUP BY 1"))
 def best_candidate(spark: SparkSession, d: str) -> DataFrame:
     """The best candidate of every task by its score, the first among equals."""
-    f = corpus.findings(spark, d).select((F.col("finding_id") % 40).alias("task"), F.col("finding_id").alias("n"), F.col("finding_id").alias("text"), "trace")
-    return generation.best_candidate(f, "task", F.length(F.coalesce("trace", F.lit("")))).withColumnRenamed("text", "finding_id")
+    score = F.length(F.coalesce("trace", F.lit("")))
+    f = corpus.mapped(spark, d, "findings", F.lit(True), (F.col("finding_id") % 40).alias("task"), F.col("finding_id").alias("n"), F.col("finding_id").alias("text"), score.alias("score"))
+    return generation.best_candidate(f, "task", F.col("score")).withColumnRenamed("text", "finding_id")
