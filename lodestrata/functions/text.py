@@ -7,6 +7,7 @@ at ``\\n`` only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,6 +19,15 @@ FIELD_NAMES = ("status", "cwe", "severity", "line", "trace", "fix")
 _ALL_FIELDS = r"(?imd)^\s*(status|cwe|severity|line|trace|fix)\s*:\s*(.+?)\s*$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it.
+
+    Catalyst merges equal expressions only where all of them are evaluated
+    anyhow; inside conditions it computes them again.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(c: Column) -> Column:
     """Outer white space off (``trim`` takes blanks only)."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -69,14 +79,22 @@ def after_think(c: Column) -> Column:
     return F.regexp_replace(c, r"(?is)^.*?<think>.*?</think>", "")
 
 
-def last_field(name: str, c: Column) -> Column:
-    """Last value of ``name`` among all field lines; none, n/a and - are null."""
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(c, F.lit(_ALL_FIELDS), 1).alias("k"), F.regexp_extract_all(c, F.lit(_ALL_FIELDS), 2).alias("v")
+def _field_pairs(c: Column) -> Column:
+    """Array of (k, v) of all field lines, in their order."""
+    both = lambda text: F.arrays_zip(
+        F.regexp_extract_all(text, F.lit(_ALL_FIELDS), 1).alias("k"), F.regexp_extract_all(text, F.lit(_ALL_FIELDS), 2).alias("v")
     )
+    return let(c, both)
+
+
+def _last_value(pairs: Column, name: str) -> Column:
     own = F.filter(pairs, lambda p: F.lower(p["k"]) == name)
-    value = F.try_element_at(own, F.lit(-1))["v"]
-    return F.when(~F.lower(value).isin("none", "n/a", "-", ""), value)
+    return let(F.try_element_at(own, F.lit(-1))["v"], lambda v: F.when(~F.lower(v).isin("none", "n/a", "-", ""), v))
+
+
+def last_field(name: str, c: Column) -> Column:
+    """Last value of ``name`` among all field lines; none, n/a and - are null."""
+    return _last_value(_field_pairs(c), name)
 
 
 #: Status words. Fixed values.
@@ -109,16 +127,17 @@ def loose_cwe(c: Column) -> Column:
 
 def parse_verdict(c: Column) -> Column:
     """Struct of think, status, cwe, severity, line, trace, fix of a generated verdict."""
-    body = after_think(c)
-    return F.struct(
-        strip(think(c)).alias("think"),
-        verdict_status(last_field("status", body)).alias("status"),
-        first_cwe(last_field("cwe", body)).alias("cwe"),
-        last_field("severity", body).alias("severity"),
-        last_field("line", body).alias("line"),
-        last_field("trace", body).alias("trace"),
-        last_field("fix", body).alias("fix"),
-    )
+
+    def parsed(pairs: Column) -> Column:
+        value = lambda name: _last_value(pairs, name)
+        return F.struct(
+            strip(think(c)).alias("think"),
+            verdict_status(value("status")).alias("status"),
+            first_cwe(value("cwe")).alias("cwe"),
+            *[value(name).alias(name) for name in ("severity", "line", "trace", "fix")],
+        )
+
+    return let(_field_pairs(after_think(c)), parsed)
 
 
 def scan_code(c: Column) -> Column:
@@ -184,8 +203,11 @@ def type_to_cwe(c: Column, table: dict[str, str] | None = None) -> Column:
 
 def phrase_count(c: Column, phrases: tuple[str, ...]) -> Column:
     """Occurrences of all phrases in the lower-cased text, with multiplicity."""
-    low = F.lower(c)
-    return reduce(lambda a, b: a + b, [((F.length(low) - F.length(F.replace(low, F.lit(p)))) / len(p)).cast("int") for p in phrases])
+
+    def count(low: Column) -> Column:
+        return reduce(lambda a, b: a + b, [((F.length(low) - F.length(F.replace(low, F.lit(p)))) / len(p)).cast("int") for p in phrases])
+
+    return let(F.lower(c), count)
 
 
 def nonblank_lines(c: Column) -> Column:

@@ -7,8 +7,6 @@ native and stays in one stage.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,32 +20,50 @@ def reasons(*checks: tuple[Column, str | Column]) -> Column:
 
 
 def family_hits(text: Column) -> Column:
-    """Struct with the marker hits of each family."""
-    return F.struct(*[T.marker_hits(text, markers).alias(name) for name, (_, markers) in dims.FAMILIES.items()])
+    """Array of (n, turn, name): the marker hits of each family, turn falling in the order of the table."""
+
+    def hits(low: Column) -> Column:
+        return F.array(
+            *[
+                F.struct(F.size(F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(low, m))).alias("n"), F.lit(-i).alias("turn"), F.lit(name).alias("name"))
+                for i, (name, (_, markers)) in enumerate(dims.FAMILIES.items())
+            ]
+        )
+
+    return T.let(F.lower(text), hits)
 
 
 def bleed(text: Column, cwe: Column) -> Column:
-    """Struct own, other, other_family, ok: does a trace read like another family than its label's?
+    """Struct family, own, other, other_family, ok: does a trace read like another family than its label's?
 
     It does where no marker of its own family and at least three of another
     one occur; among equals the first family of the table counts. A CWE of no
     family passes.
     """
-    own_family = T.family(cwe)
-    hits = [(name, T.marker_hits(text, markers)) for name, (_, markers) in dims.FAMILIES.items()]
-    own = reduce(lambda rest, h: F.when(own_family == h[0], h[1]).otherwise(rest), hits, F.lit(0))
-    others = [
-        F.when(own_family != name, F.struct(n.alias("n"), F.lit(-i).alias("turn"), F.lit(name).alias("name"))) for i, (name, n) in enumerate(hits)
-    ]
-    best = F.greatest(*others)
-    best_n = F.coalesce(best["n"], F.lit(0))
-    return F.struct(
-        own_family.alias("family"),
-        F.when(own_family.isNotNull(), own).alias("own"),
-        F.when(own_family.isNotNull(), best_n).alias("other"),
-        F.when(best_n > 0, best["name"]).alias("other_family"),
-        F.coalesce(~((own == 0) & (best_n >= 3)), F.lit(True)).alias("ok"),
-    )
+    family = T.family(cwe)
+
+    def judge(hits: Column) -> Column:
+        own = F.get(F.filter(hits, lambda h: h["name"] == family), 0)["n"]
+        best = F.array_max(F.filter(hits, lambda h: h["name"] != family))
+        return F.struct(
+            family.alias("family"),
+            own.alias("own"),
+            best["n"].alias("other"),
+            F.when(best["n"] > 0, best["name"]).alias("other_family"),
+            F.coalesce(~((own == 0) & (best["n"] >= 3)), F.lit(True)).alias("ok"),
+        )
+
+    return T.let(family_hits(text), judge)
+
+
+def bleed_reason(text: Column, cwe: Column) -> Column:
+    """What a trace reads like, null where that is no other family."""
+
+    def told(b: Column) -> Column:
+        parts = (F.lit("bleed:reads like '"), b["other_family"], F.lit("' not '"), b["family"], F.lit("' (own=0, other="), b["other"].cast("string"), F.lit(")"))
+        return F.when(~b["ok"], F.concat(*parts))
+
+    return T.let(bleed(text, cwe), told)
 
 
 def verify(text: Column, label: Column, cwe: Column, strict_control: bool = False) -> Column:
@@ -61,7 +77,6 @@ def verify(text: Column, label: Column, cwe: Column, strict_control: bool = Fals
     body = F.regexp_replace(text, r"(?im)^\s*(?:status|cwe|severity|line)\s*:.*$", "") if strict_control else text
     thought = T.strip(F.coalesce(F.nullif(F.regexp_extract(text, r"(?s)<think>(.*?)</think>", 1), F.lit("")), F.lit("")))
     cwe_field, trace, fix = T.field("cwe", text), T.field("trace", text), F.lower(T.field("fix", text))
-    mixed = bleed(text, cwe)
     vuln, safe = kind == "vuln", kind == "safe"
     return reasons(
         ((vuln | safe) & (F.length(thought) < 40), "stub: <think> missing/too short"),
@@ -70,12 +85,7 @@ def verify(text: Column, label: Column, cwe: Column, strict_control: bool = Fals
         (vuln & ((F.length(trace) < 12) | (F.lower(trace) == "none")), "weak_trace"),
         (vuln & fix.isin("", "none"), "vuln_missing_fix"),
         (vuln & ~F.lower(T.field("severity", text)).isin("low", "medium", "high"), "vuln_bad_severity"),
-        (
-            vuln & ~mixed["ok"],
-            F.concat(
-                F.lit("bleed:reads like '"), mixed["other_family"], F.lit("' not '"), mixed["family"], F.lit("' (own=0, other="), mixed["other"].cast("string"), F.lit(")")
-            ),
-        ),
+        (vuln, bleed_reason(text, cwe)),
         (safe & (status != "safe"), F.concat(F.lit("status '"), status, F.lit("' != safe-label"))),
         (
             safe & ~F.lower(cwe_field).isin("none", "n/a", "-", ""),
@@ -110,11 +120,30 @@ def trace_line(text: Column) -> Column:
     return T.strip(F.regexp_extract(text, r"(?imd)^\s*trace:\s*(.+)$", 1))
 
 
+def _corresponds(named: Column, code: Column, code_names: Column) -> Column:
+    missing = F.filter(F.array_except(named, code_names), lambda t: ~F.contains(code, t))
+    return (F.size(named) > 0) & (F.size(missing) <= F.greatest(F.lit(1), F.floor(F.size(named) / 2)))
+
+
+def _localized(line: Column, named: Column, lines: Column, names: Column, slack: int) -> Column:
+    near = F.exists(lines, lambda x: F.abs(x - line) <= slack)
+    unknown = (F.size(lines) == 0) & (F.size(names) == 0)
+    return unknown | F.coalesce(near, F.lit(False)) | F.coalesce(F.arrays_overlap(named, names), F.lit(False))
+
+
+def _same_cwe(said: Column, cwe: Column) -> Column:
+    predicted = F.regexp_extract(said, r"(\d+)", 1)
+    return cwe.isNull() | (cwe == "") | F.coalesce((predicted != "") & (predicted == F.regexp_extract(cwe, r"(\d+)", 1)), F.lit(False))
+
+
+def _line_number(verdict: Column) -> Column:
+    return F.try_to_number(verdict["line"], F.lit("999999")).cast("int")
+
+
 def correspondence(text: Column, code: Column) -> Column:
     """Whether the identifiers of the trace occur in the code, up to half of them (one at least)."""
-    named = T.identifiers(trace_line(text))
-    missing = F.filter(F.array_except(named, T.identifiers(code)), lambda t: ~F.contains(code, t))
-    return (F.size(named) > 0) & (F.size(missing) <= F.greatest(F.lit(1), F.floor(F.size(named) / 2)))
+    facts = F.struct(T.identifiers(trace_line(text)).alias("named"), code.alias("code"), T.identifiers(code).alias("code_names"))
+    return T.let(facts, lambda f: _corresponds(f["named"], f["code"], f["code_names"]))
 
 
 def localization(text: Column, lines: Column, names: Column, slack: int = 2) -> Column:
@@ -122,32 +151,41 @@ def localization(text: Column, lines: Column, names: Column, slack: int = 2) ->
 
     Without any known line or identifier it passes.
     """
-    line = F.expr("try_cast(null as int)") if lines is None else F.try_to_number(T.parse_verdict(text)["line"], F.lit("999999")).cast("int")
-    near = F.exists(lines, lambda x: F.abs(x - line) <= slack)
-    named = F.arrays_overlap(T.identifiers(trace_line(text)), names)
-    unknown = (F.size(lines) == 0) & (F.size(names) == 0)
-    return unknown | F.coalesce(near, F.lit(False)) | F.coalesce(named, F.lit(False))
+    facts = F.struct(_line_number(T.parse_verdict(text)).alias("line"), T.identifiers(trace_line(text)).alias("named"), lines.alias("lines"), names.alias("names"))
+    return T.let(facts, lambda f: _localized(f["line"], f["named"], f["lines"], f["names"], slack))
 
 
 def cwe_consistency(text: Column, cwe: Column) -> Column:
     """Whether the predicted CWE number is the true one; passes where none is known."""
-    predicted = F.regexp_extract(T.parse_verdict(text)["cwe"], r"(\d+)", 1)
-    return cwe.isNull() | (cwe == "") | F.coalesce((predicted != "") & (predicted == F.regexp_extract(cwe, r"(\d+)", 1)), F.lit(False))
+    return _same_cwe(T.parse_verdict(text)["cwe"], cwe)
 
 
 def substantive(text: Column) -> Column:
     """No hedging, and a flow from source to sink is told."""
     blob = F.concat(F.coalesce(T.think(text), text), F.lit("\n"), trace_line(text))
-    return ~blob.rlike("(?i)" + dims.HEDGE) & blob.rlike("(?i)" + dims.FLOW)
+    return T.let(blob, lambda b: ~b.rlike("(?i)" + dims.HEDGE) & b.rlike("(?i)" + dims.FLOW))
 
 
-def gate_failures(text: Column, code: Column, lines: Column, names: Column, cwe: Column) -> Column:
+def gate_failures(text: Column, code: Column, lines: Column, names: Column, cwe: Column, slack: int = 2) -> Column:
     """Names of the failed gates in their fixed order."""
-    return reasons(
-        (~correspondence(text, code), "correspondence"),
-        (~localization(text, lines, names), "localization"),
-        (~cwe_consistency(text, cwe), "cwe"),
-        (~substantive(text), "substantiveness"),
+    facts = F.struct(
+        T.identifiers(trace_line(text)).alias("named"),
+        code.alias("code"),
+        T.identifiers(code).alias("code_names"),
+        T.parse_verdict(text).alias("verdict"),
+        lines.alias("lines"),
+        names.alias("names"),
+        cwe.alias("true_cwe"),
+        substantive(text).alias("substantive"),
+    )
+    return T.let(
+        facts,
+        lambda f: reasons(
+            (~_corresponds(f["named"], f["code"], f["code_names"]), "correspondence"),
+            (~_localized(_line_number(f["verdict"]), f["named"], f["lines"], f["names"], slack), "localization"),
+            (~_same_cwe(f["verdict"]["cwe"], f["true_cwe"]), "cwe"),
+            (~f["substantive"], "substantiveness"),
+        ),
     )
 
 

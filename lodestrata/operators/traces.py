@@ -194,8 +194,12 @@ def rewrite_field(answer: Column, name: str, value: Column) -> Column:
 
 def specificity(reasoning: Column, code_names: Column) -> Column:
     """Struct score and its five parts: how much a reasoning deals with the code at hand."""
+    return T.let(F.struct(reasoning.alias("text"), code_names.alias("names")), lambda known: _specificity(known["text"], known["names"]))
+
+
+def _specificity(reasoning: Column, code_names: Column) -> Column:
     n = F.size(code_names)
-    named = F.size(F.filter(code_names, lambda t: (F.length(t) >= 3) & F.array_contains(F.split(reasoning, r"[^A-Za-z0-9_]+"), t)))
+    named = F.size(F.array_intersect(F.filter(code_names, lambda t: F.length(t) >= 3), F.split(reasoning, r"[^A-Za-z0-9_]+")))
     parts = {
         "ident_coverage": F.least(F.when(n > 0, named / n).otherwise(F.lit(0.0)), F.lit(1.0)),
         "cwe_refs": F.least(F.regexp_count(reasoning, F.lit(r"(?i)\bCWE[-‑]?\d+\b")) / 3.0, F.lit(1.0)),
@@ -203,6 +207,11 @@ def specificity(reasoning: Column, code_names: Column) -> Column:
         "specific": F.least(T.phrase_count(reasoning, dims.SPECIFIC_PHRASES) / 3.0, F.lit(1.0)),
         "generic_penalty": F.least(T.phrase_count(reasoning, dims.GENERIC_PHRASES) / 6.0, F.lit(1.0)),
     }
-    raw = parts["ident_coverage"] * 0.40 + parts["cwe_refs"] * 0.20 + parts["file_refs"] * 0.15 + parts["specific"] * 0.15 - parts["generic_penalty"] * 0.30
-    score = F.when(F.length(F.coalesce(reasoning, F.lit(""))) < 100, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
-    return F.struct(score.alias("score"), *[c.alias(name) for name, c in parts.items()])
+
+    def score(p: Column) -> Column:
+        raw = p["ident_coverage"] * 0.40 + p["cwe_refs"] * 0.20 + p["file_refs"] * 0.15 + p["specific"] * 0.15 - p["generic_penalty"] * 0.30
+        clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
+        total = F.when(F.length(F.coalesce(reasoning, F.lit(""))) < 100, F.lit(0.0)).otherwise(clamped)
+        return F.struct(total.alias("score"), *[p[name].alias(name) for name in parts])
+
+    return T.let(F.struct(*[c.alias(name) for name, c in parts.items()]), score)
