@@ -214,6 +214,12 @@ def nonblank_lines(c: Column) -> Column:
     return F.size(F.filter(F.split(c, "\n"), lambda line: strip(line) != ""))
 
 
+def is_explanation(c: Column, least: int = 30, most: int = 2000, words: int = 5) -> Column:
+    """Whether a docstring or note explains something: its size, its words, and no to-do mark in front."""
+    spoken = F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    return F.length(c).between(least, most) & (spoken >= words) & ~c.rlike(r"(?i)^\s*(todo|fixme)")
+
+
 def approx_tokens(c: Column) -> Column:
     """Rough token count: a quarter of the characters, 1 at least, 0 for empty."""
     return F.when(F.coalesce(F.length(c), F.lit(0)) == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.length(c) / 4))).cast("bigint")

@@ -54,6 +54,27 @@ def relevance_filter(spark: SparkSession, d: str) -> DataFrame:
     return corpus.pairs(spark, d).where(F.col("vuln_code").rlike(pattern) | F.col("fixed_code").rlike(pattern)).select("pair_id")
 
 
+_PYTHON_WORDS = ("def ", "import ", "class ", "return ", "self.", "python")
+
+
+@query(f"SELECT doc_id FROM documents WHERE {D.any_contains('lower(text)', _PYTHON_WORDS)}")
+def keyword_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that look like Python by their words."""
+    return corpus.documents(spark, d).where(T.any_contains(F.lower("text"), _PYTHON_WORDS)).select("doc_id")
+
+
+@query(
+    D.query(
+        D.FINDS,
+        body=r"SELECT finding_id FROM finds WHERE length(think) BETWEEN 30 AND 2000 AND len(list_filter(regexp_split_to_array(think, '\s+'), lambda w: w <> '')) >= 5 AND NOT regexp_matches(think, '(?i)^\s*(todo|fixme)')",
+    ),
+    per_row=True,
+)
+def explanation_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Explanations of some length, five words at least, that are no to-do notes."""
+    return corpus.findings(spark, d).where(T.is_explanation(F.col("think"))).select("finding_id")
+
+
 @query(
     D.query(
         D.REC,
