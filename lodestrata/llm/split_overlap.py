@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +30,6 @@ from lodestrata.staging import stage
 BUCKETS = 1 << 20
 
 
-def needed_overlap(size_a: np.ndarray, size_b: np.ndarray, threshold: float) -> np.ndarray:
-    """Least intersection of two sets of these sizes with the overlap ``threshold``."""
-    t = Fraction(str(threshold))
-    total, p, q = size_a + size_b, t.numerator, t.numerator + t.denominator
-    return -(-(total * p) // q)
-
-
 def _histogram(k: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, dtype=np.int64)
@@ -186,8 +178,3 @@ def cross_split_pairs(
         .distinct()
     )
     return verified(candidates, rows.select("id", "text"), k, threshold), members
-
-
-def prefix_length(size: int, threshold: float) -> int:
-    """Shingles of a set of ``size`` that have to be indexed."""
-    return size - ceil(Fraction(str(threshold)) * size) + 1
