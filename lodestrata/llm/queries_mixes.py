@@ -146,4 +146,15 @@ SELECT t.mix, t.source FROM mix_targets t LEFT JOIN (
 ) r ON r.s = t.source AND (t.shape IS NULL OR t.shape = r.shape)
 GROUP BY t.mix, t.source, t.target_share, t.total_rows, t.max_repeats
 HAVING count(DISTINCT record_id) * t.max_repeats < t.target_share * t.total_rows""",
+    "p7_report": """
+WITH seen AS (
+  SELECT t.mix, t.source, t.target_share, t.max_repeats, t.total_rows, CAST(count(DISTINCT record_id) AS BIGINT) AS available
+  FROM mix_targets t LEFT JOIN (
+    SELECT DISTINCT record_id, lower(regexp_replace(_meta.source, '^\\s+|\\s+$', '', 'g')) AS s, _meta.shape AS shape FROM pilot_records
+  ) r ON r.s = t.source AND (t.shape IS NULL OR t.shape = r.shape)
+  GROUP BY ALL
+), budgets AS (SELECT *, least(available * max_repeats, CAST(round(target_share * total_rows) AS BIGINT)) AS rows FROM seen)
+SELECT mix, source, target_share, max_repeats, rows, least(rows, available) AS records, CASE WHEN rows > 0 THEN CAST(ceil(rows / available) AS BIGINT) ELSE 0 END AS most_uses,
+  CAST(rows AS DOUBLE) / greatest(sum(rows) OVER (PARTITION BY mix), 1) AS share
+FROM budgets""",
 }

@@ -87,5 +87,29 @@ def p6_groups(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_groups": p6_groups}
-ORACLES: dict[str, str] = {}
 
+
+def _overlap_sql(source: str, key: str, text: str, extra: str, match: str, columns: str) -> str:
+    """All pairs of overlap 0.6 or more by joining every shingle with every other: the definition itself."""
+    return f"""WITH w AS (SELECT DISTINCT {key} AS id, {extra} AS side, regexp_extract_all(lower({text}), '[a-z0-9_]+') AS w FROM {source} WHERE {text} IS NOT NULL),
+s AS (SELECT id, side, unnest(list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM w WHERE len(w) > 2),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND {match} GROUP BY ALL)
+SELECT {columns} FROM p JOIN n a ON a.id = x JOIN n b ON b.id = y WHERE k * 10 >= 6 * (a.n + b.n - k)"""
+
+
+_CODE_SQL = "SELECT '{origin}' AS origin, row_lo, row_hi FROM ({inner})"
+ORACLES: dict[str, str] = {
+    "p5_found": _overlap_sql(
+        "pilot_records",
+        "record_id",
+        "list_filter(messages, lambda m: m.role = 'user')[1].content",
+        "split",
+        "a.side = 'train' AND b.side IN ('val', 'eval')",
+        "least(x, y) AS record_lo, greatest(x, y) AS record_hi",
+    ),
+    "p6_found": " UNION ALL ".join(
+        _CODE_SQL.format(origin=origin, inner=_overlap_sql(origin, key, text, "NULL", "a.id < b.id", "x AS row_lo, y AS row_hi"))
+        for origin, key, text in (("fix_pairs", "pair_id", "vuln_code"), ("shape1", "task_no", "code"))
+    ),
+}
