@@ -385,10 +385,11 @@ def truncated_texts(texts: DataFrame) -> DataFrame:
         .where(F.col("ends") + F.col("goes_on") >= LEAST_SEEN)
         .select("context", ((F.col("ends") + F.col("loose")) / (F.col("ends") + F.col("loose") + F.col("goes_on"))).alias("share"))
     )
+    # an outer join: the side of all undecided texts, small as it looks in storage, is never the one to broadcast
     judged = (
-        wanted.join(counts, "context")
+        wanted.join(counts, "context", "left")
         .groupBy("row")
-        .agg(F.min_by("share", "order").alias("end_share"))
+        .agg(F.min_by("share", F.when(F.col("share").isNotNull(), F.col("order"))).alias("end_share"))
     )
     limits = _limits(statistics.where("kind = 'l'"))
     at_limit = F.coalesce("char_limit", F.lit(False)) | F.coalesce("byte_limit", F.lit(False))
