@@ -31,6 +31,12 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def clear(spark: SparkSession) -> bool:
+    """Delete all staged tables; results that still read them must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/lodestrata")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` as a table to the shared folder and return a read of it.
 

@@ -40,3 +40,13 @@ def test_texts_are_not_exchanged_by_mapped(spark, tables):
 def test_let_computes_its_value_for_the_body(spark):
     df = spark.createDataFrame([("a",), (None,)], "t string")
     assert [r["v"] for r in df.select(T.let(F.upper("t"), lambda x: F.concat(x, x)).alias("v")).collect()] == ["AA", None]
+
+
+def test_staged_tables_are_read_back_and_cleared(spark):
+    from lodestrata import staging
+
+    df = staging.stage(spark.createDataFrame([(1, "a"), (2, None)], "id long, t string"))
+    assert sorted(map(tuple, df.collect()), key=str) == [(1, "a"), (2, None)]
+    empty = staging.stage(spark.createDataFrame([], "id long, t array<string>"))
+    assert empty.count() == 0 and empty.schema.simpleString() == "struct<id:bigint,t:array<string>>"
+    assert staging.clear(spark) and not staging.clear(spark)
