@@ -43,6 +43,8 @@ def connected_components(edges: DataFrame, low: str = "a", high: str = "b", most
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select(F.col("v").alias("id")).distinct().join(now.select(F.col("u").alias("id")), "id", "left_anti")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         roots.select("id", F.col("id").alias("component"))

@@ -26,8 +26,6 @@ from lodestrata.llm.shingles import mix
 from lodestrata.staging import stage
 
 NEAR, FAR, ALIKE = 3, 7, 0.6
-#: Hops over unlabelled segments: a longer chain of ever less alike segments tells nothing.
-MOST_HOPS = 8
 
 _NAME = r"[a-z][a-z0-9]*(?:[_ .-][a-z0-9]+)*"
 #: Template syntax around a name. Fixed values.
@@ -247,7 +245,7 @@ def residue_segments(texts: DataFrame) -> DataFrame:
     frontier = marked.where("label is not null")
     edges, reach = None, FAR
     reached = frontier.select("node")
-    for _ in range(MOST_HOPS):
+    while True:  # ends, as every hop but the last reaches new segments
         # only labelled segments and what they reached look for neighbours: the work follows the residue, not the corpus
         alike = stage(_neighbours(frontier, index, reach), "alike")
         edges = alike if edges is None else edges.unionByName(alike)
