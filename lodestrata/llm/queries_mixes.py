@@ -44,7 +44,7 @@ def p1_report(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _mix_rows(spark: SparkSession, directory: str) -> DataFrame:
-    """Every record in every mix whose shape it has; there are few mixes, so they are broadcast."""
+    """Every record in every mix whose shape it has; there are few mixes, so they go into the plan as one array."""
     mixes = table(spark, directory, "mix_targets").select("mix", "shape").distinct()
     records = table(spark, directory, "pilot_records").select(
         F.col("record_id").alias("id"), clean_key("_meta.source").alias("source"), F.col("_meta.shape").alias("record_shape")
