@@ -113,6 +113,25 @@ def severity_monotonic(spark: SparkSession, d: str) -> DataFrame:
     return f.withColumn("nxt", following).groupBy("file").agg(F.count("*").alias("n"), F.coalesce(F.bool_and(F.col("rank") >= F.col("nxt")), F.lit(True)).alias("falls"))
 
 
+@query(D.query(D.FINDS, body=f"""SELECT file, CAST(count(*) AS BIGINT) AS n, coalesce(bool_and(rank >= nxt), TRUE) AS falls FROM (
+  SELECT file, rank, lead(rank) OVER (PARTITION BY file ORDER BY finding_id) AS nxt FROM (SELECT file, finding_id, coalesce(CAST({D.lookup({k: str(v) for k, v in dims.SEVERITY_RANK.items()}, 'upper(severity)')} AS INT), 0) AS rank FROM finds WHERE file IS NOT NULL)) GROUP BY 1"""))
+def severity_monotonic_all(spark: SparkSession, d: str) -> DataFrame:
+    """Whether severities fall from finding to finding within a file, over all of its findings.
+
+    Neighbours are compared range by range of ids, and the last rank of a range
+    with the first one of the file's next range, so a hot file is not one task.
+    """
+    rank = F.coalesce(dims.lookup({k: str(v) for k, v in dims.SEVERITY_RANK.items()}, F.upper("severity")).cast("int"), F.lit(0))
+    f = corpus.findings(spark, d).where("file is not null").select("file", "finding_id", rank.alias("rank")).withColumn("_range", F.floor(F.col("finding_id") / 4096))
+    following = F.lead("rank").over(Window.partitionBy("file", "_range").orderBy("finding_id"))
+    ranges = f.withColumn("nxt", following).groupBy("file", "_range").agg(
+        F.count("*").alias("n"), F.bool_and(F.col("rank") >= F.col("nxt")).alias("falls"), F.min_by("rank", "finding_id").alias("first"), F.max_by("rank", "finding_id").alias("last")
+    )
+    beyond = F.lead("first").over(Window.partitionBy("file").orderBy("_range"))
+    falls = F.bool_and("falls"), F.bool_and(F.col("last") >= F.col("beyond"))
+    return ranges.withColumn("beyond", beyond).groupBy("file").agg(F.sum("n").alias("n"), (F.coalesce(falls[0], F.lit(True)) & F.coalesce(falls[1], F.lit(True))).alias("falls"))
+
+
 @query("SELECT [1, 2] = [1, 2] AS same, TRUE AS falls, FALSE AS rises")
 def severity_arrays(spark: SparkSession, d: str) -> DataFrame:
     """The in-row form of the same check on two literal rankings."""

@@ -89,3 +89,15 @@ def test_best_candidate_and_correction(spark):
     assert sorted(map(tuple, generation.best_candidate(df, "task", F.col("s")).collect())) == [(1, "ab"), (2, "x")]
     text = spark.range(1).select(generation.correction_prompt(F.lit("p"), F.array(F.lit("cwe"), F.lit("odd"))).alias("t")).first()["t"]
     assert "give the true CWE" in text and "- odd" in text
+
+
+def test_severities_are_compared_over_all_findings(spark, tmp_path):
+    from lodestrata.plans.catalog import QUERIES
+    from lodestrata.schemas import FINDING
+
+    # ids of no third; a rise within a range, one between ranges, none at all, and a delivery twice
+    ranks = [(1, "a", "HIGH"), (2, "a", "LOW"), (4, "a", "HIGH"), (4000, "b", "LOW"), (9001, "b", "HIGH"), (5, "c", "HIGH"), (4099, "c", " medium "), (8201, "c", "LOW"), (7, "d", None), (8, None, "LOW"), (4, "a", "HIGH")]
+    rows = [(i, "s", "r", f, "u", 1, "confirmed", "CWE-1", s, "t", "f", "k") for i, f, s in ranks]
+    spark.createDataFrame(rows, f"finding_id long, source string, owner_repo string, {FINDING}").write.parquet(f"{tmp_path}/findings.parquet")
+    got = {r["file"]: (r["n"], r["falls"]) for r in QUERIES["severity_monotonic_all"](spark, str(tmp_path)).collect()}
+    assert got == {"a": (3, False), "b": (2, False), "c": (3, True), "d": (1, True)}
