@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.encoding import count_tokens
 from lodestrata.llm.mixing import actual_shares, bisect_exponent, entropy, mix, mix_report, tempered
-from lodestrata.llm.records import clean_key, first_content, table
+from lodestrata.llm.records import clean_key, table
 from lodestrata.llm.target_sample import category_report, draw, fitted_quotas
 
 
@@ -43,22 +43,42 @@ def p1_report(spark: SparkSession, directory: str) -> DataFrame:
     return fitted_quotas(category_report(_category_rows(spark, directory), _category_targets(spark, directory)))
 
 
-def _mix_rows(spark: SparkSession, directory: str) -> DataFrame:
-    """Every record in every mix whose shape it has; there are few mixes, so they go into the plan as one array."""
+def _in_mixes(spark: SparkSession, directory: str, records: DataFrame) -> DataFrame:
+    """``records`` (with record_shape) in every mix whose shape they have, as column mix instead."""
     mixes = table(spark, directory, "mix_targets").select("mix", "shape").distinct()
-    records = table(spark, directory, "pilot_records").select(
-        F.col("record_id").alias("id"), clean_key("_meta.source").alias("source"), F.col("_meta.shape").alias("record_shape")
-    )
+    names = [c for c in records.columns if c != "record_shape"]
     # the mixes go into one array on every record: a request table of a few rows, no join of two growing sides
     wanted = [(r["mix"], r["shape"]) for r in mixes.orderBy("mix", "shape").collect()]
     if not wanted:
-        return records.select(F.lit("").alias("mix"), "id", "source").limit(0)
+        return records.select(F.lit("").alias("mix"), *names).limit(0)
     each = F.array(*[F.struct(F.lit(m).alias("mix"), F.lit(s).cast("string").alias("shape")) for m, s in wanted])
     return (
-        records.select("id", "source", "record_shape", F.inline(each))
+        records.select(*names, "record_shape", F.inline(each))
         .where(F.col("shape").isNull() | (F.col("shape") == F.col("record_shape")))
-        .select("mix", "id", "source")
+        .select("mix", *names)
+    )
+
+
+def _mix_rows(spark: SparkSession, directory: str) -> DataFrame:
+    """Every record in every mix whose shape it has; there are few mixes, so they go into the plan as one array."""
+    records = table(spark, directory, "pilot_records").select(
+        F.col("record_id").alias("id"), clean_key("_meta.source").alias("source"), F.col("_meta.shape").alias("record_shape")
     )
+    return _in_mixes(spark, directory, records)
+
+
+def _mix_sizes(spark: SparkSession, directory: str) -> DataFrame:
+    """mix, source, tokens, rows: what each source has for a mix, in the records whose shape it has.
+
+    The tokens are those of the contents of all messages; a redelivered record counts once.
+    """
+    messages = table(spark, directory, "pilot_records").select(
+        "record_id", clean_key("_meta.source").alias("source"), F.col("_meta.shape").alias("record_shape"), F.posexplode_outer("messages").alias("at", "message")
+    )
+    keys = ("record_id", "source", "record_shape", "at")
+    sized = count_tokens(messages.where("source is not null").select(*keys, F.col("message.content").alias("text")), *keys).distinct()
+    first = F.coalesce("at", F.lit(0)) == 0  # each record has one such row, without messages too
+    return _in_mixes(spark, directory, sized).groupBy("mix", "source").agg(F.sum("n_tokens").alias("tokens"), F.count_if(first).alias("rows"))
 
 
 def _mix_targets(spark: SparkSession, directory: str) -> DataFrame:
@@ -79,33 +99,22 @@ def p7_report(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p7_temperature(spark: SparkSession, directory: str) -> DataFrame:
-    """Tempered weights of the sources by their tokens.
+    """Tempered weights of the sources by their tokens in the records that a mix admits.
 
     For each mix: the exponent that gives the entropy of its target shares,
     and the flattest exponent within the repetition limits.
     """
-    records = table(spark, directory, "pilot_records").dropDuplicates(["record_id"])
-    sized = count_tokens(
-        records.select(
-            "record_id",
-            clean_key("_meta.source").alias("source"),
-            F.concat_ws("\n", first_content("user"), first_content("assistant")).alias("text"),
-        ),
-        "record_id",
-        "source",
-    )
-    totals = sized.where("source is not null").groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
-    found = {r["source"]: (float(r["tokens"]), float(r["rows"])) for r in totals.collect()}
+    found = {(r["mix"], r["source"]): (float(r["tokens"]), float(r["rows"])) for r in _mix_sizes(spark, directory).collect()}
     rows = []
     requests: dict[str, list] = {}
     for r in table(spark, directory, "mix_targets").collect():
         requests.setdefault(r["mix"], []).append(r)
     for name, wanted in sorted(requests.items()):
-        tokens = {r["source"]: found.get(r["source"], (0.0, 0.0))[0] for r in wanted}
+        tokens = {r["source"]: found.get((name, r["source"]), (0.0, 0.0))[0] for r in wanted}
         shares = {s: v / (sum(tokens.values()) or 1.0) for s, v in tokens.items()}
         goal = entropy({r["source"]: r["target_share"] for r in wanted})
         alpha = bisect_exponent(shares, target_entropy=min(goal, log(max(sum(v > 0 for v in shares.values()), 1))))
-        mean = sum(tokens.values()) / max(sum(found.get(r["source"], (0, 0))[1] for r in wanted), 1.0)
+        mean = sum(tokens.values()) / max(sum(found.get((name, r["source"]), (0, 0))[1] for r in wanted), 1.0)
         beta = bisect_exponent(
             shares,
             budget=mean * wanted[0]["total_rows"],

@@ -121,3 +121,16 @@ def test_mix_queries(spark, small):
     report = {(r["request"], r["category"]): r["quota"] for r in QUERIES["p1_report"](spark, small).collect()}
     sample = {(r["request"], r["category"]): r["count"] for r in QUERIES["p1_sample"](spark, small).groupBy("request", "category").count().collect()}
     assert sample == {k: v for k, v in report.items() if v}
+
+
+def test_temperature_counts_what_a_mix_admits(spark, tmp_path):
+    text = lambda n: " ".join(["word"] * n)
+    said = lambda *ns: [("system user assistant".split()[i % 3], text(n)) for i, n in enumerate(ns)]
+    rows = [(1, said(5, 20, 5), ("one", " A ")), (1, said(5, 20, 5), ("one", " A ")), (2, said(10), ("one", "b")), (3, said(500, 500), ("two", "b")), (4, None, ("one", "b")), (5, said(70), ("one", None))]
+    spark.createDataFrame(rows, "record_id long, messages array<struct<role string, content string>>, _meta struct<shape string, source string>").write.parquet(f"{tmp_path}/pilot_records.parquet")
+    targets = [("m", "one", "a", 0.5, 1, 2), ("m", "one", "b", 0.5, 1, 2), ("all", None, "a", 0.5, 1, 2), ("all", None, "b", 0.5, 1, 2)]
+    spark.createDataFrame(targets, "mix string, shape string, source string, target_share double, max_repeats long, total_rows long").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    got = {(r["mix"], r["source"]): r for r in QUERIES["p7_temperature"](spark, str(tmp_path)).collect()}
+    assert {k: round(r["token_share"], 6) for k, r in got.items()} == {("m", "a"): 0.75, ("m", "b"): 0.25, ("all", "a"): round(30 / 1040, 6), ("all", "b"): round(1010 / 1040, 6)}
+    # mix m: 40 tokens in 3 records, so 2 rows need 80 / 3; source b gives at most 10 of them
+    assert isclose(got["m", "b"]["limit_weight"] * 80 / 3, 10, rel_tol=1e-6)
