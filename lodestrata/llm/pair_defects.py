@@ -193,19 +193,21 @@ def _defects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def defective_pairs(pairs: DataFrame, source: str = "source") -> DataFrame:
+def defective_pairs(pairs: DataFrame, source: str = "source", corpus: DataFrame | None = None) -> DataFrame:
     """(record_id, defect): one row for each defective pair.
 
     ``pairs``: record_id BIGINT, question, answer and ``source``; other
     columns are ignored, repeated rows of an id count once. A null, empty or
     blank answer is ``empty``; a null question counts as one in English
     without text. Answers of residue have no defect. An empty table gives no
-    rows.
+    rows. ``corpus``: the texts, as of ``records.all_texts`` and the pairs'
+    among them, by whose statistics cut answers are told, so that they are the
+    cases of problem 2; without it the pairs' own texts.
     """
     own = stage(
         pairs.select("record_id", "question", "answer").mapInArrow(_defects, "record_id bigint, defect string"), "defects"
     )
-    texts = pairs.select(
+    own_texts = pairs.select(
         F.lit("pilot_records").alias("origin"),
         F.col("record_id").alias("row_id"),
         F.col(source).alias("source"),
@@ -216,6 +218,6 @@ def defective_pairs(pairs: DataFrame, source: str = "source") -> DataFrame:
             )
         ),
     )
-    cut = truncated_texts(texts).where("part = 'answer'").select(F.col("row_id").alias("record_id"), F.lit("truncated").alias("defect"))
+    cut = truncated_texts(own_texts if corpus is None else corpus, "answer").select(F.col("row_id").alias("record_id"), F.lit("truncated").alias("defect"))
     order = F.array_position(F.array(*map(F.lit, ("empty", "copy", "refusal", "truncated", "other_language"))), F.col("defect"))
     return own.unionByName(cut).groupBy("record_id").agg(F.min_by("defect", order).alias("defect"))

@@ -43,11 +43,10 @@ def p3_clean(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
-    return defective_pairs(
-        table(spark, directory, "pilot_records").select(
-            "record_id", first_content("user").alias("question"), first_content("assistant").alias("answer"), clean_key("_meta.source").alias("source")
-        )
+    pairs = table(spark, directory, "pilot_records").select(
+        "record_id", first_content("user").alias("question"), first_content("assistant").alias("answer"), clean_key("_meta.source").alias("source")
     )
+    return defective_pairs(pairs, corpus=all_texts(spark, directory))
 
 
 def p4_report(spark: SparkSession, directory: str) -> DataFrame:

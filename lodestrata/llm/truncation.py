@@ -347,9 +347,12 @@ def _limits(lengths: DataFrame) -> DataFrame:
     )
 
 
-def truncated_texts(texts: DataFrame) -> DataFrame:
+def truncated_texts(texts: DataFrame, part: str | None = None) -> DataFrame:
     """origin, row_id, part, source, evidence of every text that was cut off.
 
+    With ``part`` only the texts of that part are judged, by the statistics of
+    all ``texts``: the same rows as those of that part without it.
+
     ``texts``: origin, row_id, part, source, text; other columns are ignored.
     evidence is ``sign`` (the text shows it: an omission sign, an open span,
     tag or bracket), ``word`` (cut inside a word) or ``context`` (cut between
@@ -363,7 +366,7 @@ def truncated_texts(texts: DataFrame) -> DataFrame:
         "statistics",
     )
     ends = stage(
-        rows.mapInArrow(
+        (rows if part is None else rows.where(F.col("part") == part)).mapInArrow(
             _ends,
             "origin string, row_id bigint, part string, source string, verdict string, piece string, kind string, "
             "contexts array<string>, chars bigint, octets bigint",

@@ -190,3 +190,13 @@ def test_queries_on_the_small_tables(spark, small):
     defects = [tuple(r) for r in QUERIES["p4_found"](spark, small).collect()]
     assert len(defects) == len({r for r, _ in defects})
     assert QUERIES["p4_report"](spark, small).where("defect is not null").agg({"pairs": "sum"}).first()[0] == len(defects)
+
+
+def test_cut_answers_are_told_by_traces_too(spark, tmp_path):
+    question, answer = "Review this function.", "The value reaches the query without any sanitiz"
+    messages = [[("user", question), ("assistant", answer)], [("user", question), ("assistant", "The value is bound before the call.")]]
+    spark.createDataFrame(list(enumerate(messages)), "record_id long, messages array<struct<role string, content string>>").selectExpr("*", "struct('s' as source) as _meta").write.parquet(f"{tmp_path}/pilot_records.parquet")
+    traces = [(i, "f", f"The sanitization of value {i} is missing in this place.") for i in range(5)]
+    spark.createDataFrame(traces, "finding_id long, source string, trace string").write.parquet(f"{tmp_path}/findings.parquet")
+    assert [tuple(r) for r in QUERIES["p4_found"](spark, str(tmp_path)).collect()] == [(0, "truncated")]
+    assert [tuple(r) for r in QUERIES["p2_found"](spark, str(tmp_path)).collect()] == [("pilot_records", 0)]
