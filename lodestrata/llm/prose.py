@@ -9,6 +9,8 @@ CODE_TAGS = ("SCAN", "GENERATE", "EXPLAIN", "SYNTHESIZE")
 #: Field names of a verdict. Fixed values.
 FIELDS = ("status", "cwe", "severity", "line", "trace", "fix")
 
+#: Share of code lines up to which the body of a tag is prose, whatever its length.
+CODE_SHARE = 0.1
 INVISIBLE = "​‌‍⁠﻿­"
 _CODE_BLOCK = re.compile(r"<(" + "|".join(CODE_TAGS) + r")>(.*?)(?:</\1>|\Z)", re.S | re.I)
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
@@ -39,13 +41,19 @@ def is_code_line(line: str) -> bool:
     return bool(_CODE_LINE.match(line)) and not (line[:1] not in " \t" and _NOT_CODE.match(line))
 
 
+def mostly_code(lines: list[str]) -> bool:
+    """Whether more than CODE_SHARE of the lines are lines of code; the rest is not looked at once that is plain."""
+    most = int(len(lines) * CODE_SHARE)
+    return any(n >= most for n, _ in enumerate(filter(is_code_line, lines)))
+
+
 def without_code_blocks(text: str) -> str:
-    """``text`` with tagged and fenced code taken out, unless a tag wraps prose only."""
+    """``text`` with tagged and fenced code taken out, unless a tag wraps prose."""
 
     def inner(match: re.Match) -> str:
         body = match.group(2).strip()
         lines = body.splitlines()
-        if len(body) <= 600 and body and (len(lines) == 1 and " " not in body or not any(is_code_line(x) for x in lines)):
+        if body and (len(lines) == 1 and " " not in body or not mostly_code(lines)):
             return "\n" + body + "\n"
         return "\n"
 

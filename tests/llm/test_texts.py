@@ -200,3 +200,12 @@ def test_cut_answers_are_told_by_traces_too(spark, tmp_path):
     spark.createDataFrame(traces, "finding_id long, source string, trace string").write.parquet(f"{tmp_path}/findings.parquet")
     assert [tuple(r) for r in QUERIES["p4_found"](spark, str(tmp_path)).collect()] == [(0, "truncated")]
     assert [tuple(r) for r in QUERIES["p2_found"](spark, str(tmp_path)).collect()] == [("pilot_records", 0)]
+
+
+@pytest.mark.parametrize("listed", [2, 60])
+def test_blocks_of_prose_are_read_whatever_their_length(listed):
+    items = [f"- [HIGH] CWE-{79 + i} the value is shown without escaping" for i in range(listed)]
+    block = "<SYNTHESIZE>\n" + "\n".join([*items, "Your session has expired. Sign in again."]) + "\n</SYNTHESIZE>"
+    assert R.text_label(block) == "error_page" and len(segments(block)) == listed + 2
+    code = "<SCAN>\n" + "\n".join(["x = read();", "Please enable JavaScript", "y = x;"] * listed) + "\n</SCAN>"
+    assert segments(code) == []
