@@ -12,6 +12,7 @@ that holds a labelled segment is a case.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -97,11 +98,11 @@ SCRIPT_NOTICE = re.compile(
 
 
 def monotonous(segment: str) -> bool:
-    """Whether one word makes up most of a short segment, three times at least."""
-    words = re.findall(r"\w+", segment[:200].lower())
-    if not 3 <= len(words) <= 16:
+    """Whether one word makes up most of a segment, three times at least."""
+    words = re.findall(r"\w+", segment.lower())
+    if len(words) < 3:
         return False
-    most = max(map(words.count, set(words)))
+    most = max(Counter(words).values())
     return most >= 3 and most * 5 >= len(words) * 3
 
 

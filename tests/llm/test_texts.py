@@ -209,3 +209,10 @@ def test_blocks_of_prose_are_read_whatever_their_length(listed):
     assert R.text_label(block) == "error_page" and len(segments(block)) == listed + 2
     code = "<SCAN>\n" + "\n".join(["x = read();", "Please enable JavaScript", "y = x;"] * listed) + "\n</SCAN>"
     assert segments(code) == []
+
+
+def test_monotonous_looks_at_all_words():
+    assert R.monotonous("test case " + "test " * 20 + "scene end") and R.monotonous("test test scene test")
+    long = " ".join(["aaaaaaaaaaaaaaaaaaaaaaaa"] * 8)  # 200 characters of one word, then an analysis
+    assert not R.monotonous(long + " the caller checks each value of this request before any query is built from it")
+    assert not R.monotonous("") and not R.monotonous("test test")
