@@ -12,7 +12,10 @@ from lodestrata.llm.truncation import truncated_texts
 
 
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
-    return truncated_texts(all_texts(spark, directory)).select("origin", "row_id").distinct()
+    """Texts that were cut off, but for those of problem 3, by rule or by near-duplicates."""
+    texts = all_texts(spark, directory)
+    key = ["origin", "row_id", "part"]
+    return truncated_texts(texts).select(key).join(residue_segments(texts).select(key).distinct(), key, "left_anti").select("origin", "row_id").distinct()
 
 
 def p2_rates(spark: SparkSession, directory: str) -> DataFrame:
@@ -46,7 +49,9 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     pairs = table(spark, directory, "pilot_records").select(
         "record_id", first_content("user").alias("question"), first_content("assistant").alias("answer"), clean_key("_meta.source").alias("source")
     )
-    return defective_pairs(pairs, corpus=all_texts(spark, directory))
+    texts = all_texts(spark, directory)
+    residue = residue_segments(texts).where("origin = 'pilot_records' and part = 'answer'").select(F.col("row_id").alias("record_id")).distinct()
+    return defective_pairs(pairs, corpus=texts).join(residue, "record_id", "left_anti")
 
 
 def p4_report(spark: SparkSession, directory: str) -> DataFrame:

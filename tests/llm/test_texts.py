@@ -216,3 +216,14 @@ def test_monotonous_looks_at_all_words():
     long = " ".join(["aaaaaaaaaaaaaaaaaaaaaaaa"] * 8)  # 200 characters of one word, then an analysis
     assert not R.monotonous(long + " the caller checks each value of this request before any query is built from it")
     assert not R.monotonous("") and not R.monotonous("test test")
+
+
+def test_residue_of_near_duplicates_is_no_cut_text_and_no_defect(spark, tmp_path):
+    seed = "Whoops the server at node seven was down for maintenance so nothing of the wanted report can be shown to you at this time of the day" + "".join(f" and item{chr(97 + i)}{chr(98 + i)}" for i in range(24))
+    near = seed.replace("down for maintenance", "gone for maintenance")
+    assert bin(int(R.simhash([R.skeleton(seed)])[0] ^ R.simhash([R.skeleton(near)])[0])).count("1") <= R.FAR and R.rule_label(seed) == "error_page" and R.rule_label(near) is None
+    spark.createDataFrame([(1, [("user", "Review this function."), ("assistant", near + "\nThe value of this request reaches the query ...")])], "record_id long, messages array<struct<role string, content string>>").selectExpr("*", "struct('s' as source) as _meta").write.parquet(f"{tmp_path}/pilot_records.parquet")
+    spark.createDataFrame([(1, "f", seed), (2, "f", "The value of this request reaches the query ...")], "finding_id long, source string, trace string").write.parquet(f"{tmp_path}/findings.parquet")
+    assert ("pilot_records", 1) in {tuple(r) for r in QUERIES["p3_found"](spark, str(tmp_path)).collect()}
+    assert [tuple(r) for r in QUERIES["p2_found"](spark, str(tmp_path)).collect()] == [("findings", 2)]
+    assert QUERIES["p4_found"](spark, str(tmp_path)).collect() == []
