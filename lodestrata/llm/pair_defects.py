@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.prose import TICKS, has_visible, segments
-from lodestrata.llm.residue import rule_label
+from lodestrata.llm.residue import residue_segments
 from lodestrata.llm.truncation import truncated_texts
 from lodestrata.staging import stage
 
@@ -167,11 +167,9 @@ def own_defect(question: str | None, answer: str | None) -> str | None:
     """The defect that the pair shows by itself (all kinds but truncated)."""
     if answer is None:
         return "empty"
-    said = segments(answer)
-    if any(map(rule_label, said)):
-        return None
     if not has_visible(answer):
         return "empty"
+    said = segments(answer)
     if question and is_copy(answer, question):
         return "copy"
     if any(map(declines, said)):
@@ -218,6 +216,10 @@ def defective_pairs(pairs: DataFrame, source: str = "source", corpus: DataFrame
             )
         ),
     )
-    cut = truncated_texts(own_texts if corpus is None else corpus, "answer").select(F.col("row_id").alias("record_id"), F.lit("truncated").alias("defect"))
+    texts = own_texts if corpus is None else corpus
+    residue = stage(residue_segments(texts).select("origin", "row_id", "part").distinct(), "residue")
+    answers = residue.where("origin = 'pilot_records' and part = 'answer'").select(F.col("row_id").alias("record_id"))
+    cut = truncated_texts(texts, "answer", residue).select(F.col("row_id").alias("record_id"), F.lit("truncated").alias("defect"))
     order = F.array_position(F.array(*map(F.lit, ("empty", "copy", "refusal", "truncated", "other_language"))), F.col("defect"))
-    return own.unionByName(cut).groupBy("record_id").agg(F.min_by("defect", order).alias("defect"))
+    sound = own.join(answers, "record_id", "left_anti").unionByName(cut)
+    return sound.groupBy("record_id").agg(F.min_by("defect", order).alias("defect"))

@@ -12,10 +12,13 @@ from lodestrata.llm.truncation import truncated_texts
 
 
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
-    """Texts that were cut off, but for those of problem 3, by rule or by near-duplicates."""
-    texts = all_texts(spark, directory)
-    key = ["origin", "row_id", "part"]
-    return truncated_texts(texts).select(key).join(residue_segments(texts).select(key).distinct(), key, "left_anti").select("origin", "row_id").distinct()
+    """Texts that were cut off, but for those of problem 3."""
+    return truncated_texts(all_texts(spark, directory)).select("origin", "row_id").distinct()
+
+
+def p2_evidence(spark: SparkSession, directory: str) -> DataFrame:
+    """Cut texts by the evidence that shows them."""
+    return truncated_texts(all_texts(spark, directory)).distinct().groupBy("origin", "part", "evidence").agg(F.count("*").alias("texts"))
 
 
 def p2_rates(spark: SparkSession, directory: str) -> DataFrame:
@@ -39,6 +42,13 @@ def p3_labels(spark: SparkSession, directory: str) -> DataFrame:
     return residue_segments(all_texts(spark, directory)).select("origin", "row_id", "part", "label").distinct()
 
 
+def p3_spread(spark: SparkSession, directory: str) -> DataFrame:
+    """Rows of residue by what shows them: trusted seeds, nearness to an exemplar, or spread within components (the first of these)."""
+    order = F.array_position(F.array(*map(F.lit, ("seed", "exemplar", "spread"))), F.col("how"))
+    rows = residue_segments(all_texts(spark, directory)).groupBy("origin", "row_id").agg(F.min_by("how", order).alias("how"), F.min_by("label", order).alias("label"))
+    return rows.groupBy("how", "label").agg(F.count("*").alias("rows"))
+
+
 def p3_clean(spark: SparkSession, directory: str) -> DataFrame:
     """The rows without residue."""
     rows = all_texts(spark, directory)
@@ -49,9 +59,7 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     pairs = table(spark, directory, "pilot_records").select(
         "record_id", first_content("user").alias("question"), first_content("assistant").alias("answer"), clean_key("_meta.source").alias("source")
     )
-    texts = all_texts(spark, directory)
-    residue = residue_segments(texts).where("origin = 'pilot_records' and part = 'answer'").select(F.col("row_id").alias("record_id")).distinct()
-    return defective_pairs(pairs, corpus=texts).join(residue, "record_id", "left_anti")
+    return defective_pairs(pairs, corpus=all_texts(spark, directory))
 
 
 def p4_report(spark: SparkSession, directory: str) -> DataFrame:
@@ -60,5 +68,5 @@ def p4_report(spark: SparkSession, directory: str) -> DataFrame:
     return sources.join(p4_found(spark, directory), "record_id", "left").groupBy("source", "defect").agg(F.count("*").alias("pairs"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_labels": p3_labels, "p3_clean": p3_clean, "p4_found": p4_found, "p4_report": p4_report}
+QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p2_evidence": p2_evidence, "p3_found": p3_found, "p3_labels": p3_labels, "p3_spread": p3_spread, "p3_clean": p3_clean, "p4_found": p4_found, "p4_report": p4_report}
 ORACLES: dict[str, str] = {}

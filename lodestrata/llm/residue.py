@@ -1,12 +1,16 @@
 """Problem 3: template residue, filler and error-page text.
 
-Texts are cut into prose segments (sentences outside code, tags and code
-spans). Rules over fixed phrases label segments that are residue beyond doubt. Every distinct segment gets a 64-bit SimHash, kept in four tables
-by its 16-bit blocks. Labelled segments probe them, also one bit away, which
-finds everything within seven bits; what they reach probes for segments within
-three bits, and so on. Pairs are verified by Hamming distance and word overlap,
-and labels spread over the connected components of what is verified. A text
-that holds a labelled segment is a case.
+Texts are cut into prose segments (sentences outside code and tags). What is
+trusted as residue from the start is little: open template syntax that means
+nothing else, one word over and over, and ``EXEMPLARS``, a short fixed list of sentences that stand for
+kinds of filler, error pages and script notices. Everything else is found from
+there. Every distinct segment gets a 64-bit SimHash; it is compared with the
+exemplars, a stated set of fixed size, wherever Hamming distance and text
+similarity allow. Residue then looks for its near-duplicates in partitioned
+SimHash tables, which find all that lies within three bits, and so does what
+it reaches, until nothing new comes. Pairs are verified by Hamming distance
+and word overlap, and labels spread over the connected components of what is
+verified. A text that holds a labelled segment is a case.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +31,14 @@ from lodestrata.llm.prose import segments
 from lodestrata.llm.shingles import mix
 from lodestrata.staging import stage
 
-NEAR, FAR, ALIKE = 3, 7, 0.6
+#: Bits and word overlap within which a segment is like an exemplar, and like other residue.
+FAR, LIKE_EXEMPLAR = 26, 0.5
+NEAR, ALIKE = 3, 0.6
 
 _NAME = r"[a-z][a-z0-9]*(?:[_ .-][a-z0-9]+)*"
-#: Template syntax around a name. Fixed values.
-PLACEHOLDER = re.compile(
+_WISH = r"(?:insert|your|add|enter|put|replace)\b"
+#: Template syntax around a name that stands for nothing else. Fixed values.
+OPEN_SYNTAX = re.compile(
     "|".join(
         [
             r"\{\{\s*" + _NAME + r"\s*\}\}",
@@ -39,110 +47,156 @@ PLACEHOLDER = re.compile(
             r"<<\s*" + _NAME + r"\s*>>",
             r"\$\{\s*" + _NAME + r"\s*\}",
             r"%\(" + _NAME + r"\)[sdf]",
+            r"\[\s*" + _WISH + r"[^\]\n`]*\]",
+            r"<\s*" + _WISH + r"[^>\n`]*>",
+        ]
+    ),
+    re.I,
+)
+#: Marks around a name that may be template syntax: they count if near-duplicates show it. Fixed values.
+DOUBTFUL_SYNTAX = re.compile(
+    "|".join(
+        [
             r"\$[a-z]+(?:_[a-z]+)*\$",
             r"(?<![\w.])__[a-z]+(?:_[a-z]+)*__(?![\w(])",
             r"(?<![\w$%{])\{[a-z]+(?:_[a-z]+)*\}(?!\})",
-            r"\[\s*(?:insert|your|add|enter|put|replace)\b[^\]\n`]*\]",
-            r"<\s*(?:insert|your|add|enter|put)\b[^>\n`]*>",
             r"(?<![\w<])<(?!(?:think|scan|generate|explain|synthesize|analysis|answer|br|p|div|b|i|em|ul|li|hr|pre|h\d|html|head|body|title|center|noscript|script|span|a|td|tr|table|form|section)>)[a-z]+(?:_[a-z]+)*>(?!>)",
         ]
     ),
     re.I,
 )
-_PLACEHOLDER_MARK = re.compile(r"[{\[<$%]|__")
-
-#: Filler that stands for text nobody wrote. Fixed values.
-FILLER = re.compile(
-    r"""\blorem\s+ipsum\b|\bdolor\s+sit\s+amet\b|\bipsum\b.*\blorem\b|\bconsectetur\s+adipiscing\b
-    |\bblah\b(?:\W+\w+)?\W+blah\b
-    |^\W*(?:tbd|tba|tbc|todo|fixme|xxx+|n/?a|placeholder|to\ be\ (?:done|filled|determined|added|written))\W*$
-    |^\W*(?:todo|fixme|tbd)\b\s*[:\-]?\s*\w
-    |^\W*(?:\w+\s+)?to\s+be\s+(?:completed|provided|supplied|filled(?:\s+in)?|written|added|determined|decided|announced)\b
-    |\bfill\s+(?:this\s+|me\s+)?in\s+(?:later|here)\b
-    |\bplaceholder\s+(?:\w+\s+)?(?:for|text|content|value)\b
-    |^\W*(?:insert|add|put|write|enter)\s+(?:the\s+|your\s+)?(?:\w+\s+)?(?:analysis|text|content|answer|explanation|reasoning|description|code|verdict)(?:\s+here)?\W*$
-    |^\W*x{2,}(?:\s+x{2,})+\W*$|^\s*\?{2,}\s*$
-    |\b(?:goes|comes)\s+here\W*$
-    |\b(?:dummy|filler|sample|example)\s+(?:content|text|answer|data)\b(?:\s+number)?
-    |\basdf(?:gh|asdf)?\b|\bqwerty\b|\bfoo\s+bar\s+baz\b
-    |^\W*(\w+(?:\ \w+)?)(?:\W+\1){2,}\W*$""",
-    re.I | re.X,
-)
-_REASONS = (
-    r"(?:bad\s+request|unauthorized|forbidden|not\s+found|method\s+not\s+allowed|request\s+timeout|gone|too\s+many\s+requests"
-    r"|internal\s+server\s+error|not\s+implemented|bad\s+gateway|service\s+unavailable|gateway\s+time-?out)"
-)
-#: Wording of error pages. Fixed values.
-ERROR_PAGE = re.compile(
-    rf"""\b[45]\d\d\b\W{{0,6}}{_REASONS}\b|\b{_REASONS}\b\W{{0,6}}[45]\d\d\b|\bhttp\s+(?:error|status)\W+\d{{3}}\b
-    |["']?error["']?\s*:\s*\{{|["']code["']\s*:\s*[45]\d\d
-    |\bupstream\s+(?:connect|request)\b|\breset\s+before\s+headers\b
-    |\brequest\s+(?:was\s+)?blocked\b|\bincident\s+id\b|\breference\s+(?:id\s+|\#\s*)?[0-9a-f]{{6,}}\b
-    |\bsession\s+(?:has\s+)?(?:expired|timed\s+out)\b|\bsign\s+in\s+again\b
-    |\baccess\s+(?:to\s+\S+\s+)?(?:was\s+|is\s+|has\s+been\s+)?denied\b.*\badministrator\b|^\W*access\s+denied\W*$
-    |\bdown\s+for\s+maintenance\b|\btry\s+again\s+(?:later|in\s+\d+)\b|\btemporarily\s+unavailable\b
-    |\bsomething\s+went\s+wrong\b|\btoo\s+many\s+(?:calls|requests)\b|\bretry\s+after\s+\d+\s+seconds?\b|\brate\s+limit(?:ed)?\s+exceeded\b
-    |\bpage\s+(?:is\s+)?not\s+(?:available|found)\b|\bcould\s+not\s+be\s+loaded\b|\bwas\s+moved\s+or\s+removed\b
-    |<!doctype\s+html|<html\b|<title>|<h1>|<center>""",
-    re.I | re.X,
-)
-#: Wording of notices that scripts or cookies are required. Fixed values.
-SCRIPT_NOTICE = re.compile(
-    r"""\b(?:enable|requires?|turn\s+on|allow|activate|need)\b.{0,24}\b(?:java\s?script|scripts|cookies)\b
-    |\bjava\s?script\s+(?:is|must\s+be|has\s+to\s+be|needs\s+to\s+be|was)\s+\w*\s*(?:disabled|enabled|turned|required|blocked|off)\b
-    |\b(?:not|without)\s+(?:run\s+|running\s+)?(?:java\s?)?scripts?\b|\bwithout\s+(?:java\s?)?scripts?\s+enabled\b
-    |<noscript>|\bchecking\s+your\s+browser\b|\bverify(?:ing)?\s+(?:that\s+)?you\s+are\s+(?:a\s+)?human\b
-    |\bcookies?\s+and\s+scripts?\b|\bsome\s+parts\s+of\b.*\bcannot\s+be\s+displayed\b|\bturn\s+it\s+on\s+and\s+reload\b""",
-    re.I | re.X,
-)
+_SYNTAX_MARK = re.compile(r"[{\[<$%]|__")
+#: Stands for a placeholder in a skeleton.
+SLOT = "◊"
+
+#: Trusted residue: one sentence for each kind, with any word in the place that varies. Fixed values.
+EXEMPLARS = {
+    "script_notice": """\
+Please enable JavaScript to view this page.
+JavaScript is disabled.
+JavaScript must be enabled to load the page.
+<noscript>JavaScript must be enabled to load the page.</noscript>
+This page requires JavaScript.
+You need to enable JavaScript to run this app.
+You need to turn on scripts in your browser to run this app.
+Your browser does not run scripts, so the page cannot be shown.
+Your browser does not support JavaScript.
+We're sorry but this page doesn't work properly without JavaScript enabled.
+Some parts of the page cannot be displayed.
+Turn it on and reload the page.
+Checking your browser before the page opens.
+Checking your browser before accessing the site.
+Verifying you are human.
+Please verify that you are human.
+Cookies and scripts have to be allowed for this page.
+Please enable cookies and reload the page.""",
+    "error_page": """\
+400 - Bad Request.
+401 - Unauthorized.
+403 - Forbidden.
+404 - Not Found.
+404 Page Not Found
+405 - Method Not Allowed.
+408 - Request Timeout.
+410 - Gone.
+429 - Too Many Requests.
+500 - Internal Server Error.
+501 - Not Implemented.
+502 - Bad Gateway.
+503 - Service Unavailable.
+504 - Gateway Timeout.
+HTTP Error 400: Bad Request
+HTTP Error 403: Forbidden
+HTTP Error 404: Not Found
+HTTP Error 429: Too Many Requests
+HTTP Error 500: Internal Server Error
+HTTP Error 502: Bad Gateway
+HTTP Error 503: Service Unavailable
+HTTP Error 504: Gateway Timeout
+<html><head><title>404 Not Found</title></head><body><center><h1>404 Not Found</h1></center></body></html>
+<html><head><title>502 Bad Gateway</title></head><body><center><h1>502 Bad Gateway</h1></center></body></html>
+<!doctype html><title>Page not available</title><p>The page could not be loaded.</p>
+<h2>Whoops, looks like something went wrong.</h2><p>Not Found (404)</p>
+{"error": {"code": 404, "message": "Not Found"}}
+{"error": {"code": 500, "message": "Internal Server Error"}}
+upstream connect error, reset before headers (503)
+Too many calls from this address; slow down and retry after 30 seconds.
+Too many requests, try again in 5 minutes.
+Rate limit exceeded.
+Service is down for maintenance, try again in 10 minutes.
+The service is temporarily unavailable, try again later.
+Your session has expired.
+Sign in again to view this page.
+Request blocked.
+Incident id 1234.
+Reference 1234.
+Access to /page/1234 was denied by the administrator.
+Access denied.
+Something went wrong while loading the page.
+The page you asked for was moved or removed.
+The page could not be loaded.""",
+    "filler": """\
+Lorem ipsum dolor sit amet, consectetur adipiscing elit.
+Dolor sit amet, word ipsum lorem.
+TBD
+To be determined.
+-- to be completed by the security team --
+TODO
+TODO: write the analysis
+TODO: add description
+FIXME describe the flow
+Fill in later (analysis)
+Placeholder explanation for item 1
+Placeholder text
+Text goes here
+Insert analysis...
+Insert text here
+This is dummy content number 1
+This is sample text
+sample answer sample answer sample answer
+xxxx xxx xxxxx
+asdf asdf asdf
+test test test
+blah blah blah
+qwerty qwerty
+foo bar baz
+???""",
+}
 
-
-def monotonous(segment: str) -> bool:
-    """Whether one word makes up most of a segment, three times at least."""
-    words = re.findall(r"\w+", segment.lower())
-    if len(words) < 3:
-        return False
-    most = max(Counter(words).values())
-    return most >= 3 and most * 5 >= len(words) * 3
+_DIGITS = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]+\b")
+_TOKEN = re.compile(r"[^\W_]+|[^\w\s]")
+_WORD = re.compile(rf"\w|{SLOT}")
+_LETTER = re.compile(rf"[^\W\d]|{SLOT}")
 
 
-@lru_cache(maxsize=1 << 16)
-def rule_label(segment: str) -> str | None:
-    """placeholder, filler, error_page or script_notice; null for anything in doubt.
+def skeleton(segment: str) -> tuple[str, str | None]:
+    """The lower-case tokens of a segment and its label, if its own syntax shows one.
 
-    Code spans are written `I` by then. A sentence that names code is an
-    analysis that discusses such wording, so only open template syntax makes
-    it residue.
+    Numbers and hexadecimal ids are 0, placeholders ``SLOT``; code spans, written `I` by then, stay apart from them.
     """
-    if _PLACEHOLDER_MARK.search(segment) and PLACEHOLDER.search(segment):
-        return "placeholder"
-    if "`I`" in segment:
-        return None
-    if FILLER.search(segment) or monotonous(segment):
-        return "filler"
-    if ERROR_PAGE.search(segment):
-        return "error_page"
-    if SCRIPT_NOTICE.search(segment):
-        return "script_notice"
-    return None
-
-
-def text_label(text: str) -> str | None:
-    """The first rule label of the text's segments."""
-    for segment in segments(text):
-        label = rule_label(segment)
-        if label:
-            return label
-    return None
+    label = None
+    if _SYNTAX_MARK.search(segment):
+        segment, n = OPEN_SYNTAX.subn(SLOT, segment)
+        label = "placeholder" if n else None
+        segment = DOUBTFUL_SYNTAX.sub(SLOT, segment)
+    words = " ".join(_TOKEN.findall(_DIGITS.sub("0", segment.lower())))
+    return words, label or ("filler" if monotonous(words) else None)
 
 
-_DIGITS = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]+\b")
-_WORD = re.compile(r"[^\W_]+|[^\w\s]")
+def monotonous(skeleton: str) -> bool:
+    """Whether one word makes up most of a segment, three times at least."""
+    words = re.findall(r"\w+", skeleton)
+    if len(words) < 3:
+        return False
+    most = max(Counter(words).values())
+    return most >= 3 and most * 5 >= len(words) * 3
 
 
-def skeleton(segment: str) -> str:
-    """Lower-case segment with numbers and hexadecimal ids as 0."""
-    return " ".join(_WORD.findall(_DIGITS.sub("0", segment.lower())))
+def word_set(skeleton: str) -> frozenset[str]:
+    """Words, numbers and placeholders of a skeleton; one without letters and placeholders is a word of its own."""
+    if not _LETTER.search(skeleton):
+        return frozenset(("\0" + skeleton,))
+    return frozenset(filter(_WORD.match, skeleton.split(" ")))
 
 
 def simhash(skeletons: list[str]) -> np.ndarray:
@@ -158,77 +212,122 @@ def simhash(skeletons: list[str]) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1 << 16)
 def _stable(text: str) -> int:
     import xxhash
 
     return xxhash.xxh64_intdigest(text)
 
 
+@lru_cache(maxsize=1)
+def _exemplars() -> tuple[list[str], list[frozenset[str]], np.ndarray]:
+    """Labels, word sets and marks of the trusted sentences."""
+    rows = [(label, skeleton(line)[0]) for label, lines in EXEMPLARS.items() for line in lines.splitlines()]
+    return [r[0] for r in rows], [word_set(r[1]) for r in rows], simhash([r[1] for r in rows])
+
+
+def nearest_exemplar(skeletons: list[str], marks: np.ndarray) -> list[int | None]:
+    """The exemplar that each skeleton is like: the greatest overlap, the first on ties."""
+    _, words, trusted = _exemplars()
+    close = np.bitwise_count(marks[:, None] ^ trusted[None, :]) <= FAR
+    out: list[int | None] = []
+    for text, row in zip(skeletons, close, strict=True):
+        own, best, at = word_set(text), LIKE_EXEMPLAR, None
+        for i in np.flatnonzero(row):
+            share = len(own & words[i]) / len(own | words[i])
+            if share > best or (share == best and at is None):
+                best, at = share, int(i)
+        out.append(at)
+    return out
+
+
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         for at, text in enumerate(batch.column("text").to_pylist()):
-            if not text:
-                continue
-            for segment in segments(text):
-                label = rule_label(segment)
-                # sentences that name code are analysis: they neither get nor pass on labels
-                if label or "`I`" not in segment:
-                    words = skeleton(segment)
-                    if words:
-                        rows.append((at, words, label))
+            for segment in segments(text) if text else ():
+                words, label = skeleton(segment)
+                if words:
+                    rows.append((at, words, label))
         if rows:
             at, words, labels = zip(*rows, strict=True)
             where = pa.array(at)
             yield pa.record_batch(
-                {
-                    "origin": batch.column("origin").take(where),
-                    "row_id": batch.column("row_id").take(where),
-                    "part": batch.column("part").take(where),
-                    "skeleton": pa.array(words, type=pa.string()),
-                    "label": pa.array(labels, type=pa.string()),
-                }
+                {name: batch.column(name).take(where) for name in ("origin", "row_id", "part")}
+                | {"skeleton": pa.array(words, type=pa.string()), "label": pa.array(labels, type=pa.string())}
             )
 
 
 def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = _exemplars()[0]
     for batch in batches:
-        marks = simhash(batch.column("skeleton").to_pylist()).view(np.int64)
-        yield pa.record_batch({"skeleton": batch.column("skeleton"), "label": batch.column("label"), "mark": pa.array(marks)})
+        skeletons = batch.column("skeleton").to_pylist()
+        marks = simhash(skeletons)
+        like = nearest_exemplar(skeletons, marks)
+        own = batch.column("label").to_pylist()
+        labels = [a if a or i is None else names[i] for a, i in zip(own, like, strict=True)]
+        how = ["seed" if a else None if i is None else "exemplar" for a, i in zip(own, like, strict=True)]
+        yield pa.record_batch(
+            {
+                "skeleton": batch.column("skeleton"),
+                "label": pa.array(labels, pa.string()),
+                "how": pa.array(how, pa.string()),
+                "exemplar": pa.array(like, pa.int32()),
+                "mark": pa.array(marks.view(np.int64)),
+            }
+        )
+
+
+def tables(segments: int) -> list[int]:
+    """Masks of the SimHash tables: in one of them at least, marks within ``NEAR`` bits agree.
+
+    The 64 bits are cut into NEAR + c blocks; a table is keyed by c of them, and
+    c grows with the number of distinct segments, so that a key has few of them
+    at any size. Every choice finds the same pairs.
+    """
+    chosen = 1 if segments < 1 << 18 else 2 if segments < 1 << 27 else 3
+    edges = [round(64 * i / (NEAR + chosen)) for i in range(NEAR + chosen + 1)]
+    blocks = [((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:])]
+    masks = [sum(some) for some in combinations(blocks, chosen)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _blocks() -> Column:
-    """The four 16-bit blocks of a mark, as (table, block)."""
-    block = lambda i: F.shiftrightunsigned("mark", 16 * i).bitwiseAND(F.lit(0xFFFF))
-    return F.array(*[F.struct(F.lit(i).alias("table"), block(i).alias("block")) for i in range(4)])
+def _keys(masks: list[int]) -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("table"), F.col("mark").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
 
 
-def _neighbours(frontier: DataFrame, index: DataFrame, reach: int) -> DataFrame:
-    """(a, b) of nodes of the frontier and their near-duplicates within ``reach`` bits.
+def _neighbours(frontier: DataFrame, marked: DataFrame, masks: list[int]) -> DataFrame:
+    """(a, b) of nodes of the frontier and their near-duplicates among all segments.
 
-    Up to 3 bits apart some block is equal; up to 7 bits apart some block
-    differs in one bit at most, so the blocks one bit away are probed too.
+    Only marks are exchanged; the words of the few pairs that pass come in afterwards.
     """
-    flips = F.array(F.lit(0), *([F.lit(1 << j) for j in range(16)] if reach > 3 else []))
-    probes = frontier.select(
-        F.col("node").alias("a"), F.col("mark").alias("mark_a"), F.array_distinct(F.split("skeleton", " ")).alias("words_a"), F.inline(_blocks())
-    ).withColumn("block", F.explode(F.transform(flips, lambda f: F.col("block").bitwiseXOR(f.cast("bigint")))))
-    near = probes.join(index, ["table", "block"]).where(
-        (F.col("a") != F.col("b"))
-        & (F.bit_count(F.col("mark_a").bitwiseXOR(F.col("mark_b"))) <= reach)
-        & (F.size(F.array_intersect("words_a", "words_b")) >= ALIKE * F.size(F.array_union("words_a", "words_b")))
+    probes = frontier.select(F.col("node").alias("a"), F.col("mark").alias("mark_a"), F.inline(_keys(masks)))
+    index = marked.select(F.col("node").alias("b"), F.col("mark").alias("mark_b"), F.inline(_keys(masks)))
+    close = (
+        probes.join(index, ["table", "key"])
+        .where((F.col("a") != F.col("b")) & (F.bit_count(F.col("mark_a").bitwiseXOR(F.col("mark_b"))) <= NEAR))
+        .select("a", "b")
+        .distinct()
     )
-    return near.select("a", "b").distinct()
+    words = F.array_distinct(F.filter(F.split("skeleton", " "), lambda w: w.rlike(rf"^(\w|{SLOT})")))
+    left = frontier.select(F.col("node").alias("a"), F.col("label"), words.alias("words_a"))
+    right = marked.select(F.col("node").alias("b"), words.alias("words_b"))
+    alike = F.size(F.array_intersect("words_a", "words_b")) >= ALIKE * F.size(F.array_union("words_a", "words_b"))
+    # what makes a placeholder has to be in both
+    shared = (F.col("label") != "placeholder") | F.array_contains("words_b", SLOT)
+    return close.join(left, "a").join(right, "b").where(alike & shared).select("a", "b")
 
 
 def residue_segments(texts: DataFrame) -> DataFrame:
-    """origin, row_id, part, skeleton, label of every residue segment of ``texts``.
+    """origin, row_id, part, skeleton, label, how of every residue segment of ``texts``.
 
     ``texts``: origin, row_id, part, text; other columns are ignored. Null,
     empty and blank texts have no segment; an empty table gives no rows.
-    Labels are placeholder, filler, error_page and script_notice, by rule or
-    spread from near-duplicates (a component takes its most frequent label,
-    ties by name).
+    Labels are placeholder, filler, error_page and script_notice. ``how`` says
+    what a segment has its label from: ``seed`` (open template
+    syntax, one word over and over), ``exemplar`` (near-duplicate of a trusted
+    sentence) or ``spread`` (from other segments of its component, whose most
+    frequent label it takes, ties by name).
     """
     found = stage(
         texts.select("origin", "row_id", "part", "text")
@@ -238,33 +337,43 @@ def residue_segments(texts: DataFrame) -> DataFrame:
     )
     distinct = found.groupBy("skeleton").agg(F.min("label").alias("label"))
     marked = stage(
-        distinct.mapInArrow(_hash_rows, "skeleton string, label string, mark bigint").withColumn("node", F.xxhash64("skeleton")),
+        distinct.mapInArrow(_hash_rows, "skeleton string, label string, how string, exemplar int, mark bigint").withColumn(
+            "node", F.xxhash64("skeleton")
+        ),
         "marks",
     )
-    words = F.array_distinct(F.split("skeleton", " "))
-    index = marked.select(F.col("node").alias("b"), F.col("mark").alias("mark_b"), words.alias("words_b"), F.inline(_blocks()))
+    masks = tables(marked.count())
     frontier = marked.where("label is not null")
-    edges, reach = None, FAR
+    # the exemplars are nodes too: what is like one exemplar is one component
+    edges = frontier.where("exemplar is not null").select(F.col("exemplar").cast("bigint").alias("a"), F.col("node").alias("b"))
     reached = frontier.select("node")
     while True:  # ends, as every hop but the last reaches new segments
-        # only labelled segments and what they reached look for neighbours: the work follows the residue, not the corpus
-        alike = stage(_neighbours(frontier, index, reach), "alike")
-        edges = alike if edges is None else edges.unionByName(alike)
+        # only residue and what it reached look for neighbours: the work follows the residue, not the corpus
+        alike = stage(_neighbours(frontier, marked, masks), "alike")
+        edges = edges.unionByName(alike)
         new = stage(alike.select(F.col("b").alias("node")).distinct().join(reached, "node", "left_anti"), "reached")
         if new.isEmpty():
             break
         reached = reached.unionByName(new)
-        frontier, reach = marked.join(new, "node", "left_semi"), NEAR
+        frontier = marked.join(new, "node", "left_semi").withColumn("label", F.when(F.contains("skeleton", F.lit(SLOT)), "placeholder").otherwise("other"))
     component = connected_components(edges).withColumnRenamed("id", "node")
-    placed = marked.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = marked.join(reached, "node", "left_semi").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     trusted = (
         placed.where("label is not null")
         .groupBy("component", "label")
         .count()
         .groupBy("component")
-        .agg(F.min_by("label", F.struct(-F.col("count"), F.col("label"))).alias("spread"))
+        .agg(F.min_by("label", F.struct(-F.col("count"), F.col("label"))).alias("most"))
+    )
+    labelled = placed.join(trusted, "component").select(
+        "skeleton", F.coalesce("label", "most").alias("spread"), F.coalesce("how", F.lit("spread")).alias("how")
     )
-    labelled = placed.join(trusted, "component").select("skeleton", F.coalesce("label", "spread").alias("spread"))
-    return found.join(labelled, "skeleton").select(
-        "origin", "row_id", "part", "skeleton", F.coalesce("label", "spread").alias("label")
+    return found.select("origin", "row_id", "part", "skeleton", F.col("label").alias("own")).join(labelled, "skeleton").select(
+        "origin",
+        "row_id",
+        "part",
+        "skeleton",
+        F.coalesce("own", "spread").alias("label"),
+        # a segment without open syntax of its own shares its skeleton with one that has some
+        F.when(F.col("own").isNull() & (F.col("how") == "seed"), "spread").otherwise(F.col("how")).alias("how"),
     )

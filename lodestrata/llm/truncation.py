@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.prose import CODE_TAGS, FIELDS, INVISIBLE, TICKS, has_visible, is_code_line, prose_lines, split_sentences
-from lodestrata.llm.residue import text_label
+from lodestrata.llm.residue import residue_segments
 from lodestrata.staging import stage
 
 #: A context that ends a sentence less often than this is no end; with length evidence the second holds.
@@ -284,7 +284,7 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not text:
                 continue
             seen = look_at_end(text)
-            if seen is None or text_label(text) is not None:
+            if seen is None:
                 continue
             rows.append((at, *seen, len(text), len(text.encode("utf-8", "replace"))))
         if rows:
@@ -347,11 +347,12 @@ def _limits(lengths: DataFrame) -> DataFrame:
     )
 
 
-def truncated_texts(texts: DataFrame, part: str | None = None) -> DataFrame:
+def truncated_texts(texts: DataFrame, part: str | None = None, residue: DataFrame | None = None) -> DataFrame:
     """origin, row_id, part, source, evidence of every text that was cut off.
 
     With ``part`` only the texts of that part are judged, by the statistics of
-    all ``texts``: the same rows as those of that part without it.
+    all ``texts``: the same rows as those of that part without it. ``residue``:
+    origin, row_id, part of the texts of problem 3, if they are known already.
 
     ``texts``: origin, row_id, part, source, text; other columns are ignored.
     evidence is ``sign`` (the text shows it: an omission sign, an open span,
@@ -424,6 +425,7 @@ def truncated_texts(texts: DataFrame, part: str | None = None) -> DataFrame:
         .where("evidence is not null")
     )
     names = ["origin", "row_id", "part", "source"]
-    return ends.where("verdict = 'cut'").select(*names, F.lit("sign").alias("evidence")).unionByName(
-        decided.select(*names, "evidence")
-    )
+    cut = ends.where("verdict = 'cut'").select(*names, F.lit("sign").alias("evidence")).unionByName(decided.select(*names, "evidence"))
+    if residue is None:
+        residue = residue_segments(rows).select("origin", "row_id", "part").distinct()
+    return cut.join(residue, ["origin", "row_id", "part"], "left_anti")

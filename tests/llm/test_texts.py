@@ -11,61 +11,73 @@ from lodestrata.llm.prose import is_code_line, segments
 TEXTS = "origin string, row_id long, part string, source string, text string"
 
 
-@pytest.mark.parametrize(
-    "text,label",
-    [
-        ("Summary: {{ reasoning }}.", "placeholder"),
-        ("${code} -> ${verdict}", "placeholder"),
-        ("[INSERT verdict HERE]", "placeholder"),
-        ("In <cwe_id> the call is not guarded.", "placeholder"),
-        ("trace: %(sink)s", "placeholder"),
-        ("TBD", "filler"),
-        ("LOREM IPSUM DOLOR SIT AMET", "filler"),
-        ("TODO: write the analysis", "filler"),
-        ("test test scene test", "filler"),
-        ("-- to be completed by the unit team --", "filler"),
-        ("HTTP Error 502: Bad Gateway", "error_page"),
-        ('{"error":{"code":404,"message":"Not Found"}}', "error_page"),
-        ("<SCAN>\nYour session has expired. Sign in again.\n</SCAN>", "error_page"),
-        ("Please enable JavaScript to view this page.", "script_notice"),
-        ("The template writes `{{ name }}` with escaping switched on.", None),
-        ("The page asks the user to enable JavaScript first, see `gate_check`.", None),
-        ("A missing `user` leads to a 404 page from `view`.", None),
-        ("<SCAN>\n// todo: drop this\nconst a = `${b}`;\nreturn <noscript>Please enable JavaScript.</noscript>;\n</SCAN>", None),
-        ("    # TODO later\n    x = {a_b}", None),
-        ("", None),
-    ],
-)
-def test_rule_labels(text, label):
-    assert R.text_label(text) == label
+LABELLED = [
+    ("Summary: {{ reasoning }}.", "placeholder"),
+    ("${code} -> ${verdict}", "placeholder"),
+    ("[INSERT verdict HERE]", "placeholder"),
+    ("trace: %(sink)s", "placeholder"),
+    ("In [[cwe_id]] the call is not guarded.", "placeholder"),
+    ("In <cwe_id> the call is not guarded.", "placeholder"),  # doubtful by itself, as the one before with another mark
+    ("TBD", "filler"),
+    ("LOREM IPSUM DOLOR SIT AMET", "filler"),
+    ("TODO: write the analysis", "filler"),
+    ("test test scene test", "filler"),
+    ("-- to be completed by the unit team --", "filler"),
+    ("HTTP Error 502: Bad Gateway", "error_page"),
+    ('{"error":{"code":404,"message":"Not Found"}}', "error_page"),
+    ("<SCAN>\nYour session has expired. Sign in again.\n</SCAN>", "error_page"),
+    ("Please enable JavaScript to view this harbour.", "script_notice"),
+    ("The template writes `{{ name }}` with escaping switched on.", None),
+    ("The page asks the user to enable JavaScript first, see `gate_check`.", None),
+    ("A missing `user` leads to a 404 page from `view`.", None),
+    ("Only <source> and $name$ are shown to the reader of a report.", None),  # no near-duplicate has open syntax there
+    ("The call of the handler is not guarded in this place.", None),
+    ("<SCAN>\n// todo: drop this\nconst a = `${b}`;\nreturn <noscript>Please enable JavaScript.</noscript>;\n</SCAN>", None),
+    ("    # TODO later\n    x = {a_b}", None),
+    ("42", None),
+    ("", None),
+    (None, None),
+    (" \n", None),
+]
 
 
-def test_residue_spreads_to_near_duplicates_only(spark):
-    seed = "Whoops the server at node seven was down for maintenance so nothing of the wanted report can be shown to you at this time of the day"
-    near = seed.replace("down for maintenance", "gone for maintenance")
-    rows = [("f", 1, "t", "s", seed), ("f", 2, "t", "s", near), ("f", 3, "t", "s", "A sound sentence about the flow of data in this handler."), ("f", 4, "t", "s", None), ("f", 5, "t", "s", " "), ("f", 1, "t", "s", seed)]
-    got = {(r["row_id"], r["label"]) for r in R.residue_segments(spark.createDataFrame(rows, TEXTS)).collect()}
-    assert (1, "error_page") in got and {r for r, _ in got} <= {1, 2}
-    distance = bin(int(R.simhash([R.skeleton(seed)])[0] ^ R.simhash([R.skeleton(near)])[0])).count("1")
-    assert ((2, "error_page") in got) == (distance <= R.FAR)
+def test_residue_labels(spark):
+    rows = [("f", i, "t", "s", text) for i, (text, _) in enumerate(LABELLED)]
+    got = {(r["row_id"], r["label"]) for r in R.residue_segments(spark.createDataFrame(rows * 2, TEXTS)).collect()}
+    assert got == {(i, label) for i, (_, label) in enumerate(LABELLED) if label}
     assert R.residue_segments(spark.createDataFrame([], TEXTS)).count() == 0
 
 
-def test_simhash_tables_find_all_pairs_within_reach(spark):
+def test_residue_spreads_to_near_duplicates_only(spark):
+    words = [f"token{i}" for i in range(60)]
+    seed = "{{ name }} " + " ".join(words)
+    near, far, bare = seed.replace("{{ name }}", "$name$").replace("token7 ", "word7 "), "$name$ " + " ".join(reversed(words)), seed.replace("{{ name }} ", "").replace("token7 ", "word7 ")
+    rows = [("f", i, "t", "s", text) for i, text in enumerate((seed, near, far, bare, "A sound sentence about the flow of data in this handler."))]
+    got = {(r["row_id"], r["label"], r["how"]) for r in R.residue_segments(spark.createDataFrame(rows, TEXTS)).collect()}
+    a, b = (int(R.simhash([R.skeleton(t)[0]])[0]) for t in (seed, near))
+    assert (a ^ b).bit_count() <= R.NEAR  # else this case shows nothing
+    assert got == {(0, "placeholder", "seed"), (1, "placeholder", "spread")}
+
+
+@pytest.mark.parametrize("segments_in_all", [10, 1 << 20, 1 << 30])
+def test_simhash_tables_find_all_pairs_within_reach(segments_in_all):
     rng = random.Random(8)
-    words = [f"word{i}" for i in range(400)]
-    base = [" ".join(rng.sample(words, 40)) for _ in range(12)]
-    seeds = [f"{b} service is down for maintenance" for b in base]
-    others = [s.replace("word1", "other", 1) if "word1" in s else s + " x" for s in base]
-    rows = [("f", i, "t", "s", t) for i, t in enumerate(seeds + others)]
-    marks = R.simhash([R.skeleton(t) for t in seeds + others])
-    got = {r["row_id"] for r in R.residue_segments(spark.createDataFrame(rows, TEXTS)).collect()}
-    skeletons = [set(R.skeleton(t).split()) for t in seeds + others]
-    for j in range(len(seeds), len(rows)):
-        linked = any(
-            bin(int(marks[i] ^ marks[j])).count("1") <= R.FAR and len(skeletons[i] & skeletons[j]) >= R.ALIKE * len(skeletons[i] | skeletons[j]) for i in range(len(seeds))
-        )
-        assert not linked or j in got
+    masks = [m & ((1 << 64) - 1) for m in R.tables(segments_in_all)]
+    for _ in range(3000):
+        mark = rng.getrandbits(64)
+        other = mark
+        for bit in rng.sample(range(64), R.NEAR):
+            other ^= 1 << bit
+        assert any(mark & m == other & m for m in masks)
+
+
+def test_marks_of_like_texts_are_near_the_exemplar():
+    names, words, marks = R._exemplars()
+    for label, text in (("script_notice", "Please enable JavaScript to view this anchor."), ("error_page", "Something went wrong while loading the dock.")):
+        skeleton = R.skeleton(text)[0]
+        at = R.nearest_exemplar([skeleton], R.simhash([skeleton]))[0]
+        assert names[at] == label and len(words[at] & R.word_set(skeleton)) >= R.LIKE_EXEMPLAR * len(words[at] | R.word_set(skeleton))
+    assert R.nearest_exemplar([], R.simhash([])) == []
 
 
 GOOD = [
@@ -206,7 +218,8 @@ def test_cut_answers_are_told_by_traces_too(spark, tmp_path):
 def test_blocks_of_prose_are_read_whatever_their_length(listed):
     items = [f"- [HIGH] CWE-{79 + i} the value is shown without escaping" for i in range(listed)]
     block = "<SYNTHESIZE>\n" + "\n".join([*items, "Your session has expired. Sign in again."]) + "\n</SYNTHESIZE>"
-    assert R.text_label(block) == "error_page" and len(segments(block)) == listed + 2
+    found = segments(block)
+    assert len(found) == listed + 2 and "Your session has expired." in found
     code = "<SCAN>\n" + "\n".join(["x = read();", "Please enable JavaScript", "y = x;"] * listed) + "\n</SCAN>"
     assert segments(code) == []
 
@@ -219,9 +232,8 @@ def test_monotonous_looks_at_all_words():
 
 
 def test_residue_of_near_duplicates_is_no_cut_text_and_no_defect(spark, tmp_path):
-    seed = "Whoops the server at node seven was down for maintenance so nothing of the wanted report can be shown to you at this time of the day" + "".join(f" and item{chr(97 + i)}{chr(98 + i)}" for i in range(24))
-    near = seed.replace("down for maintenance", "gone for maintenance")
-    assert bin(int(R.simhash([R.skeleton(seed)])[0] ^ R.simhash([R.skeleton(near)])[0])).count("1") <= R.FAR and R.rule_label(seed) == "error_page" and R.rule_label(near) is None
+    seed = "{{ name }} " + " ".join(f"token{i}" for i in range(60))
+    near = seed.replace("{{ name }}", "$name$").replace("token7 ", "word7 ")
     spark.createDataFrame([(1, [("user", "Review this function."), ("assistant", near + "\nThe value of this request reaches the query ...")])], "record_id long, messages array<struct<role string, content string>>").selectExpr("*", "struct('s' as source) as _meta").write.parquet(f"{tmp_path}/pilot_records.parquet")
     spark.createDataFrame([(1, "f", seed), (2, "f", "The value of this request reaches the query ...")], "finding_id long, source string, trace string").write.parquet(f"{tmp_path}/findings.parquet")
     assert ("pilot_records", 1) in {tuple(r) for r in QUERIES["p3_found"](spark, str(tmp_path)).collect()}
