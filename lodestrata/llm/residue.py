@@ -9,8 +9,9 @@ exemplars, a stated set of fixed size, wherever Hamming distance and text
 similarity allow. Residue then looks for its near-duplicates in partitioned
 SimHash tables, which find all that lies within three bits, and so does what
 it reaches, until nothing new comes. Pairs are verified by Hamming distance
-and word overlap, and labels spread over the connected components of what is
-verified. A text that holds a labelled segment is a case.
+and word overlap, so labels go through the connected components that hold
+trusted residue, and nothing is looked for in the others. A text that holds a
+labelled segment is a case.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.components import connected_components
 from lodestrata.llm.prose import segments
 from lodestrata.llm.shingles import mix
 from lodestrata.staging import stage
@@ -34,6 +34,8 @@ from lodestrata.staging import stage
 #: Bits and word overlap within which a segment is like an exemplar, and like other residue.
 FAR, LIKE_EXEMPLAR = 26, 0.5
 NEAR, ALIKE = 3, 0.6
+#: Skeletons a worker remembers to have told; it only saves telling them again.
+MOST_TOLD = 1 << 17
 
 _NAME = r"[a-z][a-z0-9]*(?:[_ .-][a-z0-9]+)*"
 _WISH = r"(?:insert|your|add|enter|put|replace)\b"
@@ -169,6 +171,7 @@ _WORD = re.compile(rf"\w|{SLOT}")
 _LETTER = re.compile(rf"[^\W\d]|{SLOT}")
 
 
+@lru_cache(maxsize=1 << 16)
 def skeleton(segment: str) -> tuple[str, str | None]:
     """The lower-case tokens of a segment and its label, if its own syntax shows one.
 
@@ -242,19 +245,30 @@ def nearest_exemplar(skeletons: list[str], marks: np.ndarray) -> list[int | None
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by node, the hash of the skeleton. The skeleton itself stands beside a node once a worker or so, and wherever a label does."""
+    told: set[int] = set()
     for batch in batches:
         rows: list[tuple] = []
         for at, text in enumerate(batch.column("text").to_pylist()):
             for segment in segments(text) if text else ():
                 words, label = skeleton(segment)
                 if words:
-                    rows.append((at, words, label))
+                    node = _stable(words)
+                    known = node in told and label is None
+                    told.add(node)
+                    rows.append((at, node, None if known else words, label))
+        if len(told) > MOST_TOLD:
+            told.clear()
         if rows:
-            at, words, labels = zip(*rows, strict=True)
+            at, nodes, words, labels = zip(*rows, strict=True)
             where = pa.array(at)
             yield pa.record_batch(
                 {name: batch.column(name).take(where) for name in ("origin", "row_id", "part")}
-                | {"skeleton": pa.array(words, type=pa.string()), "label": pa.array(labels, type=pa.string())}
+                | {
+                    "node": pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)),
+                    "skeleton": pa.array(words, type=pa.string()),
+                    "label": pa.array(labels, type=pa.string()),
+                }
             )
 
 
@@ -269,10 +283,10 @@ def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         how = ["seed" if a else None if i is None else "exemplar" for a, i in zip(own, like, strict=True)]
         yield pa.record_batch(
             {
+                "node": batch.column("node"),
                 "skeleton": batch.column("skeleton"),
                 "label": pa.array(labels, pa.string()),
                 "how": pa.array(how, pa.string()),
-                "exemplar": pa.array(like, pa.int32()),
                 "mark": pa.array(marks.view(np.int64)),
             }
         )
@@ -297,7 +311,7 @@ def _keys(masks: list[int]) -> Column:
 
 
 def _neighbours(frontier: DataFrame, marked: DataFrame, masks: list[int]) -> DataFrame:
-    """(a, b) of nodes of the frontier and their near-duplicates among all segments.
+    """(node, label): the near-duplicates of the frontier among all segments, with the label of the node that is near.
 
     Only marks are exchanged; the words of the few pairs that pass come in afterwards.
     """
@@ -315,64 +329,44 @@ def _neighbours(frontier: DataFrame, marked: DataFrame, masks: list[int]) -> Dat
     alike = F.size(F.array_intersect("words_a", "words_b")) >= ALIKE * F.size(F.array_union("words_a", "words_b"))
     # what makes a placeholder has to be in both
     shared = (F.col("label") != "placeholder") | F.array_contains("words_b", SLOT)
-    return close.join(left, "a").join(right, "b").where(alike & shared).select("a", "b")
+    return close.join(left, "a").join(right, "b").where(alike & shared).select(F.col("b").alias("node"), "label")
 
 
 def residue_segments(texts: DataFrame) -> DataFrame:
-    """origin, row_id, part, skeleton, label, how of every residue segment of ``texts``.
+    """origin, row_id, part, label, how of every residue segment of ``texts``.
 
     ``texts``: origin, row_id, part, text; other columns are ignored. Null,
     empty and blank texts have no segment; an empty table gives no rows.
     Labels are placeholder, filler, error_page and script_notice. ``how`` says
-    what a segment has its label from: ``seed`` (open template
-    syntax, one word over and over), ``exemplar`` (near-duplicate of a trusted
-    sentence) or ``spread`` (from other segments of its component, whose most
-    frequent label it takes, ties by name).
+    what a segment has its label from: ``seed`` (open template syntax, one word
+    over and over), ``exemplar`` (near-duplicate of a trusted sentence) or
+    ``spread`` (reached from labelled segments through the connected component;
+    it takes the most frequent label of its labelled neighbours, ties by name).
     """
     found = stage(
         texts.select("origin", "row_id", "part", "text")
         .where("text is not null")
-        .mapInArrow(_segment_rows, "origin string, row_id bigint, part string, skeleton string, label string"),
+        .mapInArrow(_segment_rows, "origin string, row_id bigint, part string, node bigint, skeleton string, label string"),
         "segments",
     )
-    distinct = found.groupBy("skeleton").agg(F.min("label").alias("label"))
-    marked = stage(
-        distinct.mapInArrow(_hash_rows, "skeleton string, label string, how string, exemplar int, mark bigint").withColumn(
-            "node", F.xxhash64("skeleton")
-        ),
-        "marks",
-    )
+    distinct = found.where("skeleton is not null").groupBy("node").agg(F.min("skeleton").alias("skeleton"), F.min("label").alias("label"))
+    marked = stage(distinct.mapInArrow(_hash_rows, "node bigint, skeleton string, label string, how string, mark bigint"), "marks")
     masks = tables(marked.count())
     frontier = marked.where("label is not null")
-    # the exemplars are nodes too: what is like one exemplar is one component
-    edges = frontier.where("exemplar is not null").select(F.col("exemplar").cast("bigint").alias("a"), F.col("node").alias("b"))
-    reached = frontier.select("node")
+    reached = frontier.select("node", "label", "how")
     while True:  # ends, as every hop but the last reaches new segments
         # only residue and what it reached look for neighbours: the work follows the residue, not the corpus
-        alike = stage(_neighbours(frontier, marked, masks), "alike")
-        edges = edges.unionByName(alike)
-        new = stage(alike.select(F.col("b").alias("node")).distinct().join(reached, "node", "left_anti"), "reached")
+        near = _neighbours(frontier, marked, masks).join(reached.select("node"), "node", "left_anti").groupBy("node", "label").count()
+        new = stage(near.groupBy("node").agg(F.min_by("label", F.struct(-F.col("count"), F.col("label"))).alias("label")), "reached")
         if new.isEmpty():
             break
-        reached = reached.unionByName(new)
-        frontier = marked.join(new, "node", "left_semi").withColumn("label", F.when(F.contains("skeleton", F.lit(SLOT)), "placeholder").otherwise("other"))
-    component = connected_components(edges).withColumnRenamed("id", "node")
-    placed = marked.join(reached, "node", "left_semi").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    trusted = (
-        placed.where("label is not null")
-        .groupBy("component", "label")
-        .count()
-        .groupBy("component")
-        .agg(F.min_by("label", F.struct(-F.col("count"), F.col("label"))).alias("most"))
-    )
-    labelled = placed.join(trusted, "component").select(
-        "skeleton", F.coalesce("label", "most").alias("spread"), F.coalesce("how", F.lit("spread")).alias("how")
-    )
-    return found.select("origin", "row_id", "part", "skeleton", F.col("label").alias("own")).join(labelled, "skeleton").select(
+        reached = reached.unionByName(new.select("node", "label", F.lit("spread").alias("how")))
+        frontier = marked.drop("label").join(new, "node")
+    labelled = reached.select("node", F.col("label").alias("spread"), "how")
+    return found.select("origin", "row_id", "part", "node", F.col("label").alias("own")).join(labelled, "node").select(
         "origin",
         "row_id",
         "part",
-        "skeleton",
         F.coalesce("own", "spread").alias("label"),
         # a segment without open syntax of its own shares its skeleton with one that has some
         F.when(F.col("own").isNull() & (F.col("how") == "seed"), "spread").otherwise(F.col("how")).alias("how"),
