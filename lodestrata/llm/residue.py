@@ -352,7 +352,8 @@ def residue_segments(texts: DataFrame) -> DataFrame:
     distinct = found.where("skeleton is not null").groupBy("node").agg(F.min("skeleton").alias("skeleton"), F.min("label").alias("label"))
     marked = stage(distinct.mapInArrow(_hash_rows, "node bigint, skeleton string, label string, how string, mark bigint"), "marks")
     masks = tables(marked.count())
-    frontier = marked.where("label is not null")
+    # staged, so that its true size tells Spark how to join it
+    frontier = stage(marked.where("label is not null"), "frontier")
     reached = frontier.select("node", "label", "how")
     while True:  # ends, as every hop but the last reaches new segments
         # only residue and what it reached look for neighbours: the work follows the residue, not the corpus
@@ -361,8 +362,8 @@ def residue_segments(texts: DataFrame) -> DataFrame:
         if new.isEmpty():
             break
         reached = reached.unionByName(new.select("node", "label", F.lit("spread").alias("how")))
-        frontier = marked.drop("label").join(new, "node")
-    labelled = reached.select("node", F.col("label").alias("spread"), "how")
+        frontier = stage(marked.drop("label").join(new, "node"), "frontier")
+    labelled = stage(reached.select("node", F.col("label").alias("spread"), "how"), "labels")
     return found.select("origin", "row_id", "part", "node", F.col("label").alias("own")).join(labelled, "node").select(
         "origin",
         "row_id",
