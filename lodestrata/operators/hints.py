@@ -12,6 +12,7 @@ PY_TAINT = (
     r"\bos\.environ(?:\.get)?(?:\([^)]*\)|\[[^\]]*\])?",
     r"\binput\(\)",
     r"\bsys\.argv\b\[?\d*\]?",
+    r"\bself\.[a-z_]+ = .*request",
 )
 JS_TAINT = (
     r"\breq\.(?:body|query|params|headers|cookies|files?)\b[\.\[\w_'\"]*",
@@ -25,7 +26,9 @@ PY_SINKS = {
     "shell_true": r"\bshell\s*=\s*True\b",
     "exec_eval": r"\b(?:exec|eval|compile|__import__)\s*\(",
     "sql_execute": r"\b(?:cur(?:sor)?|conn(?:ection)?|db)\.execute(?:many)?\s*\(",
+    "sql_raw": r"\.raw\s*\(",
     "fs_open": r"\b(?:open|os\.path\.join|Path|send_file|FileResponse|sendfile)\s*\(",
+    "fs_read": r"\b(?:fs\.readFile|fs\.readFileSync|f\.read)\s*\(",
     "pickle_yaml": r"\b(?:pickle\.(?:loads?|load)|yaml\.load|marshal\.loads?)\s*\(",
     "xml_parse": r"\b(?:xml\.etree|lxml\.etree|minidom)\.[\w]+\s*\(",
     "render_template": r"\b(?:render_template_string|render_template|jinja2\.Template|mark_safe|Markup)\s*\(",
@@ -33,6 +36,9 @@ PY_SINKS = {
     "redirect": r"\b(?:redirect|HttpResponseRedirect)\s*\(",
     "hash_weak": r"\bhashlib\.(?:md5|sha1)\s*\(",
     "random_weak": r"\brandom\.(?:random|randint|choice|sample|shuffle)\b",
+    "string_format_sql": r"f[\"\'].*(?:SELECT|INSERT|UPDATE|DELETE|FROM|WHERE).*[\"\']",
+    "fstring_sql": r"\.(?:execute|raw)\s*\(\s*f[\"\']",
+    "shell_concat": r"(?:os\.system|subprocess\.\w+)\s*\([^)]*\+",
 }
 JS_SINKS = {
     "child_process": r"\bchild_process\.(?:exec|execSync|spawn|spawnSync|fork)\s*\(",
@@ -40,10 +46,14 @@ JS_SINKS = {
     "dangerouslySIH": r"\bdangerouslySetInnerHTML\b",
     "innerHTML": r"\.(?:innerHTML|outerHTML)\s*=",
     "document_write": r"\bdocument\.write(?:ln)?\s*\(",
+    "shell_true": r"\bshell\s*:\s*true\b",
     "fs_read": r"\bfs\.(?:readFile|readFileSync|createReadStream)\s*\(",
     "send_file": r"\bres\.(?:sendFile|download)\s*\(",
     "sql_query": r"\b(?:pool|conn(?:ection)?|client|db)\.(?:query|execute)\s*\(",
+    "mongoose_where": r"\$where\b",
     "redirect": r"\bres\.redirect\s*\(",
+    "template_literal_sql": r"`[^`]*(?:SELECT|INSERT|UPDATE|DELETE)[^`]*\$\{",
+    "require_dynamic": r"\brequire\s*\([^)]*req\.\w+",
     "fetch_outbound": r"\b(?:fetch|axios\.\w+|undici\.fetch)\s*\(",
 }
 
@@ -58,7 +68,7 @@ def is_script(language: Column) -> Column:
 
 def taint_sources(code: Column, language: Column) -> Column:
     """Distinct tainted inputs in the order of their pattern and place, 80 characters at most."""
-    every = lambda patterns: F.flatten(F.array(*[F.regexp_extract_all(code, F.lit(f"({p})"), 1) for p in patterns]))
+    every = lambda patterns: F.flatten(F.array(*[F.regexp_extract_all(code, F.lit(f"(?d)({p})"), 1) for p in patterns]))
     found = F.when(is_python(language), every(PY_TAINT)).when(is_script(language), every(JS_TAINT)).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.transform(found, lambda s: F.substring(s, 1, 80)))
 
@@ -66,7 +76,7 @@ def taint_sources(code: Column, language: Column) -> Column:
 def sinks(code: Column, language: Column) -> Column:
     """Array of (name, text): the first call of each dangerous kind, in their order."""
     every = lambda table: F.filter(
-        F.array(*[F.struct(F.lit(n).alias("name"), F.regexp_extract(code, f"({p})", 1).alias("text")) for n, p in table.items()]), lambda s: s["text"] != ""
+        F.array(*[F.struct(F.lit(n).alias("name"), F.regexp_extract(code, f"(?d)({p})", 1).alias("text")) for n, p in table.items()]), lambda s: s["text"] != ""
     )
     return F.when(is_python(language), every(PY_SINKS)).when(is_script(language), every(JS_SINKS)).otherwise(F.array().cast("array<struct<name:string,text:string>>"))
 

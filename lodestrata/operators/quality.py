@@ -26,7 +26,7 @@ def family_hits(text: Column) -> Column:
         return F.array(
             *[
                 F.struct(F.size(F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(low, m))).alias("n"), F.lit(-i).alias("turn"), F.lit(name).alias("name"))
-                for i, (name, (_, markers)) in enumerate(dims.FAMILIES.items())
+                for i, (name, markers) in enumerate((n, f.markers) for n, f in dims.FAMILIES.items())
             ]
         )
 

@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.functions import dims
 from lodestrata.functions import text as T
 from lodestrata.operators import findings as O
 from lodestrata.operators import hints as H
 from lodestrata.operators import quality as Q
 from lodestrata.operators import regions as R
+from lodestrata.operators import repair as repairs
 from lodestrata.operators import traces
+from lodestrata.operators.alignment import regions
+from lodestrata.operators.repair import normalize_safe as normalize
+from lodestrata.operators.repair import repair
 from lodestrata.plans import duck as D
 from lodestrata.plans.registry import query
 from lodestrata.sources import corpus, patches
@@ -20,7 +25,7 @@ from lodestrata.sources.sniff import resolve
 @query(per_row=True)
 def diff_region(spark: SparkSession, d: str) -> DataFrame:
     """Changed lines and identifiers of every fix (checked against the standard library's matcher in the tests)."""
-    return R.regions(corpus.pairs(spark, d), "pair_id", "vuln_code", "fixed_code")
+    return regions(corpus.pairs(spark, d), "pair_id", "vuln_code", "fixed_code")
 
 
 @query()
@@ -28,23 +33,106 @@ def located_gates(spark: SparkSession, d: str) -> DataFrame:
     """Grounded traces of all fixes against the gates, by CWE: what the assembler writes has to pass them."""
     p = corpus.pairs(spark, d)
     t = R.vulnerable_traces(p, "pair_id").where("ok")
-    both = t.join(p.select("pair_id", "vuln_code", "cwe"), "pair_id").join(R.regions(p, "pair_id", "vuln_code", "fixed_code").drop("source"), "pair_id")
+    both = t.join(p.select("pair_id", "vuln_code", "cwe"), "pair_id").join(regions(p, "pair_id", "vuln_code", "fixed_code").drop("source"), "pair_id")
     failed = Q.gate_failures(F.col("trace"), F.col("vuln_code"), F.col("lines"), F.col("identifiers"), F.col("cwe"))
     return both.select("cwe", F.size(failed).alias("failed")).groupBy("cwe").agg(F.count("*").alias("traces"), F.count_if(F.col("failed") == 0).alias("passed"))
 
 
-@query(per_row=True)
+def _first_before(x: str, starts: tuple[str, ...]) -> str:
+    return "CASE " + " ".join(f"WHEN contains({x}, {D.lit(s)}) THEN {D.strip(f'string_split({x}, {D.lit(s)})[1]')}" for s in starts) + " END"
+
+
+def _gaps(x: str, marks: str, blanks: str, every: bool = True) -> str:
+    """Parts of ``x`` between blanks behind one of ``marks``."""
+    return rf"string_split(regexp_replace({x}, '([{marks}]){blanks}', '\1' || chr(1){', $$g$$' if every else ''}), chr(1))"
+
+
+def _capped_sql(x: str) -> str:
+    return f"substring(regexp_replace({x}, ',+$', ''), 1, {repairs.TRACE_LENGTH})"
+
+
+_FIELD = r"'(?i)^\s*(status|cwe|severity|line|trace|fix)\s*:\s*(.*)$'"
+_PLAIN = lambda x: D.strip(f"trim({D.strip(f'replace({x}, $$**$$, $$$$)')}, '`')")
+_REPAIRED_SQL = D.query(
+    D.REC,
+    body=rf"""SELECT * FROM (
+WITH parts AS (
+  SELECT record_id, answer AS raw, {D.strip("regexp_extract(answer, '(?s)<think>(.*?)</think>', 1)")} AS th,
+    CASE WHEN regexp_matches(answer, '(?s)<think>.*?</think>') THEN substring(answer, length(regexp_extract(answer, '(?s)^(.*?<think>.*?</think>)', 1)) + 1) ELSE answer END AS body FROM rec),
+lines AS (SELECT record_id, unnest(s) AS s, unnest(range(len(s))) AS i FROM (SELECT record_id, regexp_split_to_array(body, '\r\n|[\n\r\v\f]') AS s FROM parts)),
+heads AS (SELECT *, lower(regexp_extract(s, {_FIELD}, 1)) AS name, count(*) FILTER (regexp_matches(s, {_FIELD})) OVER (PARTITION BY record_id ORDER BY i) AS block FROM lines),
+fields AS (
+  SELECT record_id, block, max(name) AS name, {D.strip(f"string_agg(CASE WHEN name <> '' THEN regexp_extract(s, {_FIELD}, 2) ELSE {D.strip('s')} END, ' ' ORDER BY i)")} AS value
+  FROM heads WHERE block > 0 GROUP BY record_id, block),
+last AS (SELECT record_id, name, arg_max(value, block) AS value FROM fields GROUP BY ALL),
+flat AS (SELECT p.*, {", ".join(f"(SELECT value FROM last l WHERE l.record_id = p.record_id AND l.name = '{n}') AS f_{n}" for n in T.FIELD_NAMES)} FROM parts p),
+named AS (
+  SELECT *, coalesce(lower(f_status) = 'safe', false) AS safe, {D.strip("regexp_replace(f_cwe, '[‐-―−]', '-', 'g')")} AS c,
+    CASE WHEN regexp_matches(th, '(?i)\bCVE-\d{{4}}-\d{{3,7}}\b') THEN list_filter({_gaps('th', '.!?', r'\s+')}, lambda x: NOT regexp_matches(x, '(?i)\bCVE-\d{{4}}-\d{{3,7}}\b')) END AS kept FROM flat),
+clean AS (
+  SELECT *, CASE WHEN safe THEN 'none' WHEN regexp_matches(c, '^\d{{1,4}}$') THEN 'CWE-' || c WHEN regexp_matches(c, '(?i)CWE-\d+') THEN upper(regexp_extract(c, '(?i)CWE-\d+')) ELSE c END AS cwe,
+    CASE WHEN kept IS NULL THEN th WHEN len(kept) > 0 THEN {D.strip("array_to_string(kept, ' ')")} ELSE regexp_replace(th, '(?i)\bCVE-\d{{4}}-\d{{3,7}}\b', 'the relevant weakness', 'g') END AS thought,
+    {D.strip(f"replace({_PLAIN('f_trace')}, '`', '')")} AS t,
+    {_PLAIN("CASE WHEN safe AND f_fix IS NOT NULL THEN 'none' ELSE f_fix END")} AS x, CASE WHEN safe AND f_fix IS NOT NULL THEN 'none' ELSE f_fix END AS fx FROM named),
+traced AS (
+  SELECT *, {_first_before('t', repairs.PROSE_STARTS)} AS head, list_distinct(regexp_extract_all(t, {D.lit(repairs.CODE_TOKEN)})) AS dt, regexp_extract_all(t, {D.lit(repairs.CODE_TOKEN)}) AS alltok FROM clean),
+ranked AS (SELECT *, list_filter(alltok, lambda a, i: list_position(alltok, a) = i)[1:{repairs.TRACE_TOKENS}] AS toks FROM traced),
+done AS (
+  SELECT *, CASE
+      WHEN contains(t, '->') OR contains(t, '→') THEN {_capped_sql(f"coalesce({_first_before('t', repairs.CHAIN_PROSE_STARTS)}, t)")}
+      WHEN regexp_matches(head, '[=(]') THEN {_capped_sql('head')}
+      WHEN (regexp_matches(t, {D.lit(repairs.PROSE)}) OR length(t) > {repairs.PLAIN_TRACE}) AND len(toks) > 0 THEN substring(array_to_string(toks, ' -> '), 1, {repairs.TRACE_LENGTH})
+      WHEN regexp_matches(t, {D.lit(repairs.PROSE)}) OR length(t) > {repairs.PLAIN_TRACE} THEN substring({D.strip("string_split(t, '.')[1]")}, 1, {repairs.CLAUSE_LENGTH})
+      ELSE {_capped_sql(D.strip(_gaps('t', '.;', r'\s', False) + '[1]'))} END AS trace,
+    CASE WHEN fx = '' OR contains(fx, '**') OR regexp_matches({D.strip('fx')}, {D.lit(repairs.ECHO)}) OR suffix({D.strip('fx')}, '...') OR suffix({D.strip('fx')}, '—')
+        OR (regexp_matches({D.strip('fx')}, '\b\w{{1,3}}$') AND length({D.strip('fx')}) > {repairs.RUN_ON})
+      THEN coalesce({D.lookup(dims.FIX_BY_CWE, "upper(coalesce(cwe, 'none'))")}, {D.lit(dims.FIX_DEFAULT)})
+      ELSE {D.strip(f"array_to_string({_gaps('x', '.', r'\s')}[1:2], ' ')")} END AS fix FROM ranked),
+told AS (
+  SELECT record_id, raw, CASE WHEN f_status IS NULL AND f_cwe IS NULL AND NOT safe THEN raw ELSE concat_ws(chr(10),
+    '<think>' || chr(10) || nullif(thought, '') || chr(10) || '</think>' || chr(10),
+    'status: ' || {_PLAIN('f_status')}, 'cwe: ' || {_PLAIN('cwe')}, 'severity: ' || {_PLAIN("CASE WHEN safe AND f_severity IS NOT NULL THEN 'none' ELSE f_severity END")},
+    'line: ' || {_PLAIN("CASE WHEN safe AND f_line IS NOT NULL THEN 'none' ELSE f_line END")}, 'trace: ' || CASE WHEN f_trace IS NOT NULL THEN trace END, 'fix: ' || CASE WHEN f_fix IS NOT NULL THEN fix END) END AS text FROM done)
+SELECT record_id, sha256(text) AS repaired_hash, {D.strip('text')} <> {D.strip('raw')} AS changed FROM told)""",
+)
+
+
+@query(_REPAIRED_SQL, per_row=True)
 def repair_output(spark: SparkSession, d: str) -> DataFrame:
     """Answers with repaired fields, and whether that changed them."""
     rec = corpus.records(spark, d).select("record_id", F.col("answer").alias("text"))
-    return R.repair(rec, "record_id").select("record_id", F.sha2("text", 256).alias("repaired_hash"), (T.strip(F.col("text")) != T.strip(F.col("before"))).alias("changed"))
+    return repair(rec, "record_id").select("record_id", F.sha2("text", 256).alias("repaired_hash"), (T.strip(F.col("text")) != T.strip(F.col("before"))).alias("changed"))
+
+
+_NORMALIZED_SQL = D.query(
+    D.REC,
+    body=rf"""SELECT * FROM (
+WITH parts AS (SELECT record_id, answer, regexp_extract(answer, '(?is)^(.*?<think>.*?</think>)', 1) AS th FROM rec WHERE label = 'safe'),
+lines AS (SELECT record_id, unnest(s) AS s, unnest(range(len(s))) AS i FROM (SELECT record_id, regexp_split_to_array(substring(answer, length(th) + 1), '\r\n|[\n\r\v\f]') AS s FROM parts)),
+owned AS (
+  SELECT *, nullif(CASE WHEN regexp_matches(s, {D.lit(repairs.REFERENCE_LIST)}) THEN 'refs' ELSE lower(regexp_extract(s, {D.lit(repairs.SAFE_FIELD)}, 2)) END, '') AS owner,
+    lower(regexp_extract(s, {D.lit(repairs.SAFE_FIELD)}, 2)) AS name, {D.strip(f"regexp_extract(s, {D.lit(repairs.SAFE_FIELD)}, 4)")} AS v,
+    row_number() OVER (PARTITION BY record_id ORDER BY i DESC) = 1 AND s = '' AS ending FROM lines),
+kept AS (SELECT *, last_value(owner IGNORE NULLS) OVER (PARTITION BY record_id ORDER BY i) AS above FROM owned WHERE NOT ending
+  QUALIFY NOT (owner IS NULL AND {D.strip('s')} <> '' AND coalesce(above = 'trace', false))),
+new AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(v, {D.lit(repairs.ANY_CWE)}, '', 'g'), {D.lit(repairs.STAND_IN_CWE)}, '', 'g'), '^[ \-|:]+|[ \-|:]+$', '', 'g') AS rest FROM kept),
+done AS (
+  SELECT record_id, string_agg(CASE WHEN name = '' THEN s ELSE regexp_extract(s, {D.lit(repairs.SAFE_FIELD)}, 1) || name || regexp_extract(s, {D.lit(repairs.SAFE_FIELD)}, 3) || CASE
+    WHEN name = 'status' THEN 'safe' WHEN name IN ('cwe', 'severity', 'line') THEN 'none' WHEN name <> 'trace' THEN v
+    WHEN v = '' THEN 'no untrusted input reaches a dangerous sink; code is safe'
+    WHEN regexp_matches(v, {D.lit(repairs.NAMED_TRACE)}) THEN 'no untrusted-input-to-sink data flow involving ' || regexp_extract(v, {D.lit(repairs.NAMED_TRACE)}, 1) || '; code is safe'
+    WHEN regexp_matches(v, {D.lit(repairs.ANY_CWE)}) OR regexp_matches(v, {D.lit(repairs.STAND_IN_CWE)}) THEN CASE WHEN length(rest) >= 8 THEN rest ELSE 'no untrusted input reaches a dangerous sink; code is safe' END
+    ELSE v END END, chr(10) ORDER BY i) AS tail FROM new GROUP BY record_id)
+SELECT p.record_id, CASE WHEN answer IS NOT NULL THEN th || coalesce(tail, '') END AS text FROM parts p LEFT JOIN done USING (record_id))""",
+)
 
 
-@query(per_row=True)
+@query(_NORMALIZED_SQL, per_row=True)
 def normalize_safe(spark: SparkSession, d: str) -> DataFrame:
     """Safe answers with fields that fit their verdict."""
     rec = corpus.records(spark, d).where("label = 'safe'").select("record_id", F.col("answer").alias("text"))
-    return R.normalize_safe(rec, "record_id").drop("before")
+    return normalize(rec, "record_id").drop("before")
 
 
 @query(per_row=True)
@@ -77,6 +165,100 @@ SUSPICIOUS_WORDS = (
 )
 
 
+# The SQL states its patterns by itself, so that a slip in the tables of ``operators.hints`` shows.
+_TAINTS_SQL = {
+    "python": [
+        r"\brequest\.(?:args|form|json|data|files|values|cookies|headers|GET|POST|method)\b[\.\[\w_'\"]*",
+        r"\breq\.(?:body|query|params|headers|cookies|file[s]?)\b[\.\[\w_'\"]*",
+        r"\bos\.environ(?:\.get)?(?:\([^)]*\)|\[[^\]]*\])?",
+        r"\binput\(\)",
+        r"\bsys\.argv\b\[?\d*\]?",
+        r"\bself\.[a-z_]+ = .*request",
+    ],
+    "script": [
+        r"\breq\.(?:body|query|params|headers|cookies|files?)\b[\.\[\w_'\"]*",
+        r"\bdocument\.(?:cookie|location)\b",
+        r"\bwindow\.location\b",
+        r"\bprocess\.env\.[A-Z_]+\b",
+        r"\bparams\.(?:get\([^)]+\)|[\w_]+)\b",
+    ],
+}
+_SINKS_SQL = {
+    "python": [
+        ("subprocess.exec", r"\b(?:subprocess\.(?:run|call|Popen|check_output|check_call)|os\.(?:system|popen))\s*\("),
+        ("shell_true", r"\bshell\s*=\s*True\b"),
+        ("exec_eval", r"\b(?:exec|eval|compile|__import__)\s*\("),
+        ("sql_execute", r"\b(?:cur(?:sor)?|conn(?:ection)?|db)\.execute(?:many)?\s*\("),
+        ("sql_raw", r"\.raw\s*\("),
+        ("fs_open", r"\b(?:open|os\.path\.join|Path|send_file|FileResponse|sendfile)\s*\("),
+        ("fs_read", r"\b(?:fs\.readFile|fs\.readFileSync|f\.read)\s*\("),
+        ("pickle_yaml", r"\b(?:pickle\.(?:loads?|load)|yaml\.load|marshal\.loads?)\s*\("),
+        ("xml_parse", r"\b(?:xml\.etree|lxml\.etree|minidom)\.[\w]+\s*\("),
+        ("render_template", r"\b(?:render_template_string|render_template|jinja2\.Template|mark_safe|Markup)\s*\("),
+        ("http_outbound", r"\b(?:requests\.(?:get|post|put|delete)|urlopen|urllib\.request)\s*\("),
+        ("redirect", r"\b(?:redirect|HttpResponseRedirect)\s*\("),
+        ("hash_weak", r"\bhashlib\.(?:md5|sha1)\s*\("),
+        ("random_weak", r"\brandom\.(?:random|randint|choice|sample|shuffle)\b"),
+        ("string_format_sql", r"f[\"\'].*(?:SELECT|INSERT|UPDATE|DELETE|FROM|WHERE).*[\"\']"),
+        ("fstring_sql", r"\.(?:execute|raw)\s*\(\s*f[\"\']"),
+        ("shell_concat", r"(?:os\.system|subprocess\.\w+)\s*\([^)]*\+"),
+    ],
+    "script": [
+        ("child_process", r"\bchild_process\.(?:exec|execSync|spawn|spawnSync|fork)\s*\("),
+        ("exec_eval", r"\b(?:eval|new\s+Function|Function\s*\()\s*\(?"),
+        ("dangerouslySIH", r"\bdangerouslySetInnerHTML\b"),
+        ("innerHTML", r"\.(?:innerHTML|outerHTML)\s*="),
+        ("document_write", r"\bdocument\.write(?:ln)?\s*\("),
+        ("shell_true", r"\bshell\s*:\s*true\b"),
+        ("fs_read", r"\bfs\.(?:readFile|readFileSync|createReadStream)\s*\("),
+        ("send_file", r"\bres\.(?:sendFile|download)\s*\("),
+        ("sql_query", r"\b(?:pool|conn(?:ection)?|client|db)\.(?:query|execute)\s*\("),
+        ("mongoose_where", r"\$where\b"),
+        ("redirect", r"\bres\.redirect\s*\("),
+        ("template_literal_sql", r"`[^`]*(?:SELECT|INSERT|UPDATE|DELETE)[^`]*\$\{"),
+        ("require_dynamic", r"\brequire\s*\([^)]*req\.\w+"),
+        ("fetch_outbound", r"\b(?:fetch|axios\.\w+|undici\.fetch)\s*\("),
+    ],
+}
+_SCRIPT_SQL = "language IN ('javascript', 'typescript', 'react')"
+
+
+def _in_order(lists: list[str]) -> str:
+    """Distinct items of several lists in the order of their first place."""
+    return f"list_filter(flatten([{', '.join(lists)}]), lambda a, i: list_position(flatten([{', '.join(lists)}]), a) = i)"
+
+
+def _elements_sql(kind: str) -> str:
+    taints = [f"list_transform(regexp_extract_all(code, {D.lit(p)}), lambda t: substring(t, 1, 80))" for p in _TAINTS_SQL[kind]]
+    sinks = ", ".join(f"CASE WHEN regexp_matches(code, {D.lit(p)}) THEN {D.lit(n)} END" for n, p in _SINKS_SQL[kind])
+    names, imports = "CAST([] AS VARCHAR[])", "CAST([] AS VARCHAR[])"
+    if kind == "script":
+        names = _in_order([
+            rf"regexp_extract_all(code, '{p}', 1)" for p in (
+                r"\bfunction\s+([A-Za-z_$][\w$]*)\s*\(",
+                r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s+)?(?:function|\([^)]*\)\s*=>)",
+                r"\bclass\s+([A-Za-z_$][\w$]*)\b",
+                r"\bexport\s+(?:default\s+)?(?:function\s+|class\s+|const\s+)([A-Za-z_$][\w$]*)",
+            )
+        ])
+        imports = _in_order([f"regexp_extract_all(code, {D.lit(p)}, 1)" for p in (r"""\brequire\s*\(\s*["']([^"']+)["']\s*\)""", r"""\bimport\s+(?:[\w*\s{},]+\s+from\s+)?["']([^"']+)["']""")])
+    where = "language = 'python'" if kind == "python" else _SCRIPT_SQL
+    return f"SELECT task_no, {_in_order(taints)} AS taints, list_filter([{sinks}], lambda n: n IS NOT NULL) AS sinks, {names} AS names, {imports} AS imports FROM tasks WHERE length(code) >= 20 AND {where}"
+
+
+@query(D.query(D.TASKS, body=f"{_elements_sql('python')} UNION ALL {_elements_sql('script')}"), per_row=True)
+def code_elements(spark: SparkSession, d: str) -> DataFrame:
+    """Tainted inputs, kinds of sinks, and of scripts the names and imports, in every task's code."""
+    code, language = F.col("code"), F.col("language")
+    t = corpus.tasks(spark, d).where((F.length(code) >= 20) & (H.is_python(language) | H.is_script(language)))
+    empty = F.array().cast("array<string>")
+    found = F.transform(H.sinks(code, language), lambda s: s["name"])
+    return t.select(
+        "task_no", H.taint_sources(code, language).alias("taints"), found.alias("sinks"),
+        F.when(H.is_script(language), H.script_names(code)).otherwise(empty).alias("names"), F.when(H.is_script(language), H.script_imports(code)).otherwise(empty).alias("imports"),
+    )
+
+
 @query()
 def code_hints(spark: SparkSession, d: str) -> DataFrame:
     """Concrete elements of every task's code, rendered for a prompt."""

@@ -209,7 +209,7 @@ def coverage_left_join(spark: SparkSession, d: str) -> DataFrame:
 @query(
     D.query(
         D.PAIRS,
-        body=f"SELECT cwe, coalesce({D.lookup(dims.severity_by_cwe(), 'cwe')}, 'MEDIUM') AS by_cwe, coalesce({D.lookup(dims.SEVERITY_BY_FAMILY, '(' + D.family('cwe') + ')')}, 'MEDIUM') AS by_family, CAST(count(*) AS BIGINT) AS n FROM pairs GROUP BY ALL",
+        body=f"SELECT cwe, coalesce({D.lookup(dims.SEVERITY_BY_CWE, 'cwe')}, 'MEDIUM') AS by_cwe, coalesce({D.lookup(dims.SEVERITY_BY_FAMILY, '(' + D.family('cwe') + ')')}, 'MEDIUM') AS by_family, CAST(count(*) AS BIGINT) AS n FROM pairs GROUP BY ALL",
     )
 )
 def severity_lookup_left_join(spark: SparkSession, d: str) -> DataFrame:
@@ -221,7 +221,7 @@ def severity_lookup_left_join(spark: SparkSession, d: str) -> DataFrame:
         .agg(F.count("*").alias("n"))
         .select(
             "cwe",
-            F.coalesce(dims.lookup(dims.severity_by_cwe(), cwe), F.lit("MEDIUM")).alias("by_cwe"),
+            F.coalesce(dims.lookup(dims.SEVERITY_BY_CWE, cwe), F.lit("MEDIUM")).alias("by_cwe"),
             F.coalesce(dims.lookup(dims.SEVERITY_BY_FAMILY, T.family(cwe)), F.lit("MEDIUM")).alias("by_family"),
             "n",
         )

@@ -90,7 +90,7 @@ def label_from_answer(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FIELDS = ", ".join(f"{D.field(n, 'answer')} AS f_{n}" for n in ("status", "cwe", "severity", "trace", "fix"))
-_FAMS = ", ".join(f"{D.marker_hits('answer', m)} AS h_{name}" for name, (_, m) in dims.FAMILIES.items())
+_FAMS = ", ".join(f"{D.marker_hits('answer', m)} AS h_{name}" for name, m in ((n, f.markers) for n, f in dims.FAMILIES.items()))
 _NAMES = list(dims.FAMILIES)
 _OWN = "CASE fam " + " ".join(f"WHEN '{n}' THEN h_{n}" for n in _NAMES) + " END"
 _OTHER = "greatest(" + ", ".join(f"CASE WHEN fam <> '{n}' THEN h_{n} ELSE -1 END" for n in _NAMES) + ")"

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from lodestrata.functions import dims
 from lodestrata.functions import text as T
-from lodestrata.operators import dedup, generation, regions, sampling
+from lodestrata.operators import dedup, generation, sampling
+from lodestrata.operators.alignment import regions
 from lodestrata.operators.quality import severities_fall
 from lodestrata.plans import duck as D
 from lodestrata.plans.registry import query
@@ -319,7 +320,7 @@ def ratio_tasks(spark: SparkSession, d: str) -> DataFrame:
 def balanced_tasks(spark: SparkSession, d: str) -> DataFrame:
     """The first 60 located fixes, vulnerability types taking turns."""
     p = corpus.pairs(spark, d).where("vuln_type is not null")
-    where = regions.regions(p, "pair_id", "vuln_code", "fixed_code").withColumnRenamed("source", "region_source")
+    where = regions(p, "pair_id", "vuln_code", "fixed_code").withColumnRenamed("source", "region_source")
     return generation.balanced_tasks(p.join(where, "pair_id"), 60).select("pair_id", "vuln_type")
 
 

@@ -206,7 +206,7 @@ def reasoning_dataset(rows: DataFrame) -> DataFrame:
     label = traces.is_vulnerable(F.col("vulnerable"))
     cwe, lang = T.loose_cwe(F.get("cwe_id", 0)), traces.normal_language(F.col("lang"))
     good = T.strip(traces.clean_reasoning(F.coalesce("positive_reasoning", F.lit(""))))
-    severity = F.coalesce(dims.lookup(dims.severity_by_cwe(), cwe), F.lit("MEDIUM"))
+    severity = F.coalesce(dims.lookup(dims.SEVERITY_BY_CWE, cwe), F.lit("MEDIUM"))
     head = F.concat(F.lit("<think>\n"), good, F.lit("\n</think>\n\n"))
     vuln = F.concat(
         head, F.lit("status: confirmed\ncwe: "), F.coalesce(cwe, F.lit("CWE-UNK")), F.lit("\nseverity: "), severity,

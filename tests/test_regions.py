@@ -4,58 +4,121 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodestrata.operators import regions as R
+from lodestrata.operators.alignment import align, regions
+from lodestrata.operators.repair import concise_trace, normalize_safe, repair
 from lodestrata.sources import patches
 
 VULN = "def view(name):\n    path = join(base, name)\n    log(path)\n    return send_file(path)"
 FIXED = "def view(name):\n    path = join(base, name)\n    log(path)\n    safe = confine(path)\n    return send_file(safe)"
 
 
-def test_changed_line_and_identifier():
-    lines, names, source = R.changed_region(VULN, FIXED)
+def changed(spark, before, after):
+    df = spark.createDataFrame([(1, before, after, "x", 2)], "k long, a string, b string, lines string, removed int")
+    r = regions(df, "k", "a", "b").first()
+    return r["lines"], r["identifiers"], r["source"]
+
+
+def test_changed_line_and_identifier(spark):
+    lines, names, source = changed(spark, VULN, FIXED)
     assert 4 in lines and "send_file" in names and source == "diff"
 
 
-def test_pure_insertion_marks_its_neighbours():
-    lines, names, _ = R.changed_region("a = one\nb = two", "a = one\ncheck(value)\nb = two")
+def test_pure_insertion_marks_its_neighbours(spark):
+    lines, names, _ = changed(spark, "a = one\nb = two", "a = one\ncheck(value)\nb = two")
     assert lines == [1, 2] and "check" in names and "value" in names
+    assert changed(spark, "a = one", "check(value)\na = one")[0] == [1]
+    assert changed(spark, "a = one\r\nb = two\r\n", "a = one\nb = two\nlast(word)")[0] == [2]
 
 
-def test_snippet_fix_falls_back_to_identifiers():
-    lines, names, _ = R.changed_region("alpha(beta)\ngamma(delta)\nepsilon(zeta)", "only(beta)")
+def test_snippet_fix_falls_back_to_identifiers(spark):
+    lines, names, _ = changed(spark, "alpha(beta)\ngamma(delta)\nepsilon(zeta)", "only(beta)")
     assert names == sorted({"alpha", "gamma", "delta", "epsilon", "zeta", "only"}) and lines == [1, 2, 3]
 
 
-def test_equal_and_null_sides():
-    assert R.changed_region("a\nb", "a\nb") == ([], [], "none")
-    assert R.changed_region(None, "a") == ([], [], "none")
-
+def test_equal_and_null_sides(spark):
+    assert changed(spark, "a\nb", "a\nb") == ([], [], "none")
+    assert changed(spark, None, "a") == ([], [], "none") == changed(spark, "a", None)
+    assert changed(spark, "", "") == ([], [], "none") and changed(spark, "", "word(value)") == ([], ["value", "word"], "none")
+    empty = spark.createDataFrame([], "k long, a string, b string")
+    assert regions(empty, "k", "a", "b").count() == 0
 
-def test_repair():
-    raw = "<think>See CVE-2020-1234 here. Then it flows.</think>\nstatus: safe\ncwe: 79\nseverity: HIGH\nline: 3\ntrace: a -> b. Since more\nfix: do"
-    out = R.repaired(raw)
-    assert "CVE-" not in out and "cwe: none" in out and "severity: none" in out and "trace: a -> b" in out and "fix: none" in out
-    assert "cwe: CWE-79" in R.repaired("status: confirmed\ncwe: 79")
-    assert R.repaired("just prose") == "just prose" and R.repaired(None) is None
-    assert R.FIX_BY_CWE if hasattr(R, "FIX_BY_CWE") else True
-    assert "parameterized" in R.repaired("status: confirmed\ncwe: CWE-89\nfix: **Analysis** of it")
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=7), st.lists(st.sampled_from("abc"), max_size=7))
+def test_alignment_rebuilds_the_new_side(old, new):
+    removed, seams, added = align(old, new)
+    kept = [line for i, line in enumerate(old, 1) if i not in removed]
+    left = iter(new)
+    assert all(line in left for line in kept)  # what has a partner stands in the new side in order
+    assert seams == sorted(set(seams)) and all(0 <= s <= len(old) for s in seams) and (added or not seams)
+    if not removed:
+        assert len(new) == len(old) + len(added)
 
-def test_concise_trace():
-    assert R.concise_trace("the vulnerability is in `load(x)` because of a.b") == "load(x) -> a.b"
-    assert R.concise_trace("a -> b, because it is bad") == "a -> b"
 
+def repairs(spark, raws):
+    df = spark.createDataFrame(list(enumerate(raws)), "k int, text string")
+    return [r["text"] for r in repair(df, "k").orderBy("k").collect()]
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(max_size=200))
-def test_repair_is_idempotent_on_its_own_output(text):
-    once = R.repaired("<think>" + text.replace("<", "") + "</think>\nstatus: confirmed\ncwe: CWE-89\ntrace: a -> b\nfix: Use bound parameters.")
-    assert R.repaired(once) == once
 
+def test_repair(spark):
+    raw = "<think>See CVE-2020-1234 here. Then it flows.</think>\nstatus: safe\ncwe: 79\nseverity: HIGH\nline: 3\ntrace: a -> b. Since more\nfix: do"
+    cases = {
+        raw: "<think>\nThen it flows.\n</think>\n\nstatus: safe\ncwe: none\nseverity: none\nline: none\ntrace: a -> b\nfix: none",
+        "status: confirmed\ncwe: 79": "status: confirmed\ncwe: CWE-79",
+        "status: confirmed\ncwe: cwe‑89 (injection)": "status: confirmed\ncwe: CWE-89",
+        "just prose": "just prose",
+        None: None,
+        "": "",
+        "status: confirmed\ncwe: CWE-89\nfix: **Analysis** of it": "status: confirmed\ncwe: CWE-89\nfix: Use parameterized queries / prepared statements; never interpolate input into SQL.",
+        "status: confirmed\ncwe: CWE-1\nfix:": "status: confirmed\ncwe: CWE-1\nfix: Validate/neutralize the untrusted input before it reaches the sink.",
+        "status: confirmed\nfix: One.\nTwo.  Three.\nstatus: maybe": "status: maybe\nfix: One. Two.",
+        "status: safe\ntrace: x": "status: safe\ncwe: none\ntrace: x",
+        "<think>CVE-2020-1234</think>status: confirmed": "<think>\nthe relevant weakness\n</think>\n\nstatus: confirmed",
+        "<think> </think>\nstatus: confirmed\ncwe: `CWE-7`": "status: confirmed\ncwe: CWE-7",
+        "trace: only a trace": "trace: only a trace",
+    }
+    got = repairs(spark, list(cases))
+    # a kept thought ends its block with a blank line only where the format has one
+    assert [g and g.replace("</think>\n\n", "</think>\n") for g in got] == [c and c.replace("</think>\n\n", "</think>\n") for c in cases.values()]
+
+
+def test_repair_is_idempotent_on_its_own_output(spark):
+    thoughts = ["plain", "a. b. c", "", "CVE-2021-44228 alone", "x CVE-2021-44228. y", "ünï ´` *"]
+    once = repairs(spark, [f"<think>{t}</think>\nstatus: confirmed\ncwe: CWE-89\ntrace: a -> b\nfix: Use bound parameters." for t in thoughts])
+    assert repairs(spark, once) == once
+
+
+def test_concise_trace(spark):
+    from pyspark.sql import functions as F
 
-def test_normalized_safe():
-    raw = "<think>t</think>\nstatus: confirmed\ncwe: CWE-79\nseverity: HIGH\ntrace: CWE-79 in `foo`\ndangling words\nfix: keep me\nfollow_up_refs:\n  - x"
-    out = R.normalized_safe(raw)
-    assert "status: safe" in out and "CWE" not in out.split("</think>")[1] and "dangling" not in out and "fix: keep me" in out and "  - x" in out
+    cases = {
+        "the vulnerability is in `load(x)` because of a.b": "load(x) -> a.b",
+        "a -> b, because it is bad": "a -> b",
+        "uid → f-string → q → db.execute(q)": "uid → f-string → q → db.execute(q)",
+        "--label` The vulnerability is primarily related to the handling of the `--label` argument in the `argparse.ParserArgument": "--label -> argparse.ParserArgument",
+        "open(path) — which is bad": "open(path)",
+        "due to nothing that is code. And so on": "due to nothing that is code",
+        "short words; and more": "short words;",
+        "": "",
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "t string").select(concise_trace(F.col("t")).alias("t"))
+    assert [r["t"] for r in df.collect()] == list(cases.values())
+
+
+def test_normalized_safe(spark):
+    head = "<think>t\nstatus: x</think>"
+    cases = {
+        head + "\nstatus: confirmed\ncwe: CWE-79\nseverity: HIGH\ntrace: CWE-79 in `foo`\ndangling words\n\nmore\nfix: keep me\nfollow_up_refs:\n  - x": head
+        + "\nstatus: safe\ncwe: none\nseverity: none\ntrace: no untrusted-input-to-sink data flow involving `foo`; code is safe\n\nfix: keep me\nfollow_up_refs:\n  - x",
+        "trace: CWE-1 | a longer rest": "trace: a longer rest",
+        "  Trace : CWE-XX": "  trace : no untrusted input reaches a dangerous sink; code is safe",
+        "trace:": "trace:no untrusted input reaches a dangerous sink; code is safe",
+        "trace: fine\ntail\nopen_refs:\n- y\nline: 3": "trace: fine\nopen_refs:\n- y\nline: none",
+        "": "",
+        None: None,
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, text string")
+    assert [r["text"] for r in normalize_safe(df, "k").orderBy("k").collect()] == list(cases.values())
 
 
 def test_python_functions():
