@@ -1,16 +1,17 @@
 """Problem 7: mixing sources to target weights.
 
-Weights come from temperature: source shares are raised to an exponent and
-normalised; the exponent is found by bisection so that the weights reach a
-target entropy, or as flat as they get before a source would be repeated more
-often than allowed. Explicit target shares are used as they are. A mix is
-realised as budgeted block permutations: a source's rows are one block, its
-budget is so many whole blocks plus the first rows of a permutation of the
+Weights come from temperature: source token shares are raised to an exponent
+and normalised; the exponent is found by bisection so that the weights reach a
+target entropy, or stay within the repetition limits where that needs less
+flatness (``fit``). Explicit target shares are used as they are. Either way a
+mix is realised as budgeted block permutations: a source's rows are one block,
+its budget is so many whole blocks plus the first rows of a permutation of the
 block, so no row is used more than one time more often than another.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import exp, log
 
 from pyspark.sql import DataFrame
@@ -21,6 +22,8 @@ from lodestrata.llm.quota import take_quota, uniform
 from lodestrata.staging import stage
 
 SEED, STEPS = 20240602, 80
+#: Beyond this exponent shares that differ in the ninth digit are apart by more than a double holds.
+MOST_EXPONENT = 2.0**40
 
 
 def tempered(shares: dict[str, float], exponent: float) -> dict[str, float]:
@@ -42,12 +45,14 @@ def bisect_exponent(
     sizes: dict[str, float] | None = None,
     most_repeats: dict[str, float] | None = None,
 ) -> float:
-    """The exponent in [0, 8] at which the tempered shares meet the target.
-
-    With ``target_entropy`` the weights have that entropy (entropy falls as
-    the exponent grows). Otherwise it is the least exponent, that is the
-    flattest mix, at which no source needs more than its size times its
-    repeats out of ``budget``; 1 (the natural mix) where even that needs more.
+    """The least exponent of 0 or more at which the tempered shares meet the target.
+
+    With ``target_entropy`` the weights have that entropy at most (entropy
+    falls as the exponent grows, down to that of the largest sources alone;
+    a target below that gives the exponent at which nothing else is left).
+    Otherwise it is the flattest mix at which no source needs more than its
+    size times its repeats out of ``budget``; 1 (the natural mix) where even
+    that needs more.
     """
     if not any(v > 0 for v in shares.values()):
         return 1.0
@@ -58,15 +63,50 @@ def bisect_exponent(
             return entropy(weights) <= target_entropy
         return all(weights[s] * budget <= sizes[s] * most_repeats.get(s, 1) * (1 + 1e-12) for s in shares)
 
-    low, high = 0.0, 8.0 if target_entropy is not None else 1.0
+    low, high = 0.0, 1.0
     if flat_enough(low):
         return low
+    if target_entropy is not None:
+        while not flat_enough(high) and high < MOST_EXPONENT:  # widen until the target lies inside
+            low, high = high, high * 2
     for _ in range(STEPS):
         middle = (low + high) / 2
         low, high = (low, middle) if flat_enough(middle) else (middle, high)
     return high
 
 
+@dataclass(frozen=True)
+class Source:
+    """What a mix asks of a source, and what the source has."""
+
+    share: float
+    most_repeats: float
+    tokens: float
+    rows: float
+
+
+def fit(sources: dict[str, Source], total_rows: float) -> tuple[float, float, float, dict[str, float], dict[str, float]]:
+    """(entropy exponent, limit exponent, exponent, token shares, weights) of one mix.
+
+    The weights have the entropy of the explicit shares, unless a source would
+    then be repeated too often: then they are the flattest within the limits.
+    """
+    tokens = {s: v.tokens for s, v in sources.items()}
+    total = sum(tokens.values())
+    shares = {s: v / (total or 1.0) for s, v in tokens.items()}
+    full = max(sum(v > 0 for v in shares.values()), 1)
+    wanted = bisect_exponent(shares, target_entropy=min(entropy({s: v.share for s, v in sources.items()}), log(full)))
+    mean = total / max(sum(v.rows for v in sources.values()), 1.0)
+    within = bisect_exponent(shares, budget=mean * total_rows, sizes=tokens, most_repeats={s: v.most_repeats for s, v in sources.items()})
+    # beyond 1 small sources shrink, within their limits at first; a large one may then need too much
+    exponent = wanted if wanted >= within and _within(tempered(shares, wanted), sources, mean * total_rows) else within
+    return wanted, within, exponent, shares, tempered(shares, exponent)
+
+
+def _within(weights: dict[str, float], sources: dict[str, Source], budget: float) -> bool:
+    return all(weights[s] * budget <= v.tokens * v.most_repeats * (1 + 1e-9) for s, v in sources.items())
+
+
 def mix_report(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """Each row of ``targets`` with what its source can give.
 
@@ -99,6 +139,11 @@ def mix(rows: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
     """
     one = rows.where("source is not null").select("mix", "source", "id").distinct()
     report = stage(mix_report(rows, targets), "budgets")  # as many rows as targets
+    return permuted(one, report, seed)
+
+
+def permuted(one: DataFrame, report: DataFrame, seed: int = SEED) -> DataFrame:
+    """The blocks of ``report`` (mix, source, available, budget) out of distinct (mix, source, id)."""
     plan = report.where("budget > 0").select(
         "mix",
         "source",
@@ -122,7 +167,11 @@ def mix(rows: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def actual_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Rows and share of each target's source in the mix that was made, beside its target."""
+    """Rows and share of each target's source in the mix that was made, beside its target.
+
+    ``missing`` rows of a source are those that its target asks for and its
+    repetition limit does not give; the other sources do not fill them up.
+    """
     got = mixed.groupBy("mix", "source").agg(
         F.count("*").alias("rows"), F.count_distinct("id").alias("records"), (F.max("used") + 1).alias("most_uses")
     )
@@ -130,4 +179,16 @@ def actual_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
         targets.join(got, ["mix", "source"], "left")
         .na.fill(0, ["rows", "records", "most_uses"])
         .withColumn("share", F.col("rows") / F.greatest(F.sum("rows").over(Window.partitionBy("mix")), F.lit(1)))
+        .withColumn("missing", F.greatest(F.lit(0), F.round(F.col("target_share") * F.col("total_rows")).cast("bigint") - F.col("rows")))
     )
+
+
+def short_sources(rows: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
+    """Each target with the rows it got in the mix, where these and all its source may give stay below its share.
+
+    ``rows`` and ``targets`` as of ``mix``. A mix that has fewer rows by
+    rounding alone is not short: all rows of its source are not used up.
+    """
+    got = mix(rows, targets, seed).groupBy("mix", "source").agg(F.count("*").alias("rows"))
+    report = mix_report(rows, targets).join(got, ["mix", "source"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    return report.where((F.col("rows") < F.col("wanted_rows")) & (F.col("rows") == F.col("capacity")))

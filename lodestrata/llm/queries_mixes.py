@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from math import log
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.encoding import count_tokens
-from lodestrata.llm.mixing import actual_shares, bisect_exponent, entropy, mix, mix_report, tempered
+from lodestrata.llm.mixing import Source, actual_shares, fit, mix, permuted, short_sources, tempered
 from lodestrata.llm.records import clean_key, table
-from lodestrata.llm.target_sample import category_report, draw, fitted_quotas
+from lodestrata.llm.target_sample import category_report, draw, fitted_quotas, sample_report
+from lodestrata.staging import stage
 
 
 def _category_rows(spark: SparkSession, directory: str) -> DataFrame:
@@ -31,36 +30,37 @@ def _category_targets(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, directory: str) -> DataFrame:
-    return category_report(_category_rows(spark, directory), _category_targets(spark, directory)).where("short").select("request", "category")
+    """Categories of which the sample that was drawn has too few rows, and the table no more."""
+    return sample_report(_category_rows(spark, directory), _category_targets(spark, directory)).where("short").select("request", "category")
 
 
 def p1_sample(spark: SparkSession, directory: str) -> DataFrame:
     return draw(_category_rows(spark, directory), _category_targets(spark, directory))
 
 
+def p1_counts(spark: SparkSession, directory: str) -> DataFrame:
+    """Rows that the sample has of each category, those of no rows left out."""
+    return p1_sample(spark, directory).groupBy("request", "category").agg(F.count("*").alias("drawn"), F.count_distinct("id").alias("ids"))
+
+
 def p1_report(spark: SparkSession, directory: str) -> DataFrame:
     """Targets, quotas and deficits of every request."""
     return fitted_quotas(category_report(_category_rows(spark, directory), _category_targets(spark, directory)))
 
 
+#: Rows that a request table (mix_targets) may have: it is read by the driver to fit exponents.
+MOST_TARGETS = 10_000
+
+
 def _in_mixes(spark: SparkSession, directory: str, records: DataFrame) -> DataFrame:
-    """``records`` (with record_shape) in every mix whose shape they have, as column mix instead."""
-    mixes = table(spark, directory, "mix_targets").select("mix", "shape").distinct()
-    names = [c for c in records.columns if c != "record_shape"]
-    # the mixes go into one array on every record: a request table of a few rows, no join of two growing sides
-    wanted = [(r["mix"], r["shape"]) for r in mixes.orderBy("mix", "shape").collect()]
-    if not wanted:
-        return records.select(F.lit("").alias("mix"), *names).limit(0)
-    each = F.array(*[F.struct(F.lit(m).alias("mix"), F.lit(s).cast("string").alias("shape")) for m, s in wanted])
-    return (
-        records.select(*names, "record_shape", F.inline(each))
-        .where(F.col("shape").isNull() | (F.col("shape") == F.col("record_shape")))
-        .select("mix", *names)
-    )
+    """``records`` (source, record_shape) in every mix that has a target for their source and admits their shape."""
+    asked = table(spark, directory, "mix_targets").select("mix", "source", "shape").distinct()
+    names = [c for c in records.columns if c not in ("record_shape", "source")]
+    admitted = F.col("shape").isNull() | (F.col("shape") == F.col("record_shape"))
+    return records.join(asked, "source").where(admitted).select("mix", "source", *names)
 
 
 def _mix_rows(spark: SparkSession, directory: str) -> DataFrame:
-    """Every record in every mix whose shape it has; there are few mixes, so they go into the plan as one array."""
     records = table(spark, directory, "pilot_records").select(
         F.col("record_id").alias("id"), clean_key("_meta.source").alias("source"), F.col("_meta.shape").alias("record_shape")
     )
@@ -68,7 +68,7 @@ def _mix_rows(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _mix_sizes(spark: SparkSession, directory: str) -> DataFrame:
-    """mix, source, tokens, rows: what each source has for a mix, in the records whose shape it has.
+    """mix, source, tokens, rows: what each source has for a mix, in the records that the mix admits.
 
     The tokens are those of the contents of all messages; a redelivered record counts once.
     """
@@ -86,7 +86,8 @@ def _mix_targets(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, directory: str) -> DataFrame:
-    return mix_report(_mix_rows(spark, directory), _mix_targets(spark, directory)).where("short").select("mix", "source")
+    """Targets that the mix which was made could not give their share."""
+    return short_sources(_mix_rows(spark, directory), _mix_targets(spark, directory)).select("mix", "source")
 
 
 def p7_mix(spark: SparkSession, directory: str) -> DataFrame:
@@ -99,42 +100,68 @@ def p7_report(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p7_temperature(spark: SparkSession, directory: str) -> DataFrame:
-    """Tempered weights of the sources by their tokens in the records that a mix admits.
+    """Tempered weights of the sources by their tokens in the records that a mix admits, and the rows they come to.
 
-    For each mix: the exponent that gives the entropy of its target shares,
-    and the flattest exponent within the repetition limits.
+    For each mix: the exponent that gives the entropy of its target shares, the
+    flattest one within the repetition limits, and the weights of the one that
+    is used (``mixing.fit``). rows_wanted is what the weight comes to in rows
+    of the source's mean size, out of the mix's rows of mean size.
     """
-    found = {(r["mix"], r["source"]): (float(r["tokens"]), float(r["rows"])) for r in _mix_sizes(spark, directory).collect()}
+    asked = _mix_targets(spark, directory).join(_mix_sizes(spark, directory), ["mix", "source"], "left").na.fill(0, ["tokens", "rows"])
+    found = asked.limit(MOST_TARGETS + 1).collect()  # one row for each target, of which there are few
+    if len(found) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} mix targets")
+    mixes: dict[str, dict[str, Source]] = {}
+    totals: dict[str, float] = {}
+    for r in found:
+        mixes.setdefault(r["mix"], {})[r["source"]] = Source(r["target_share"], float(r["max_repeats"]), float(r["tokens"]), float(r["rows"]))
+        totals[r["mix"]] = float(r["total_rows"])
     rows = []
-    requests: dict[str, list] = {}
-    for r in table(spark, directory, "mix_targets").collect():
-        requests.setdefault(r["mix"], []).append(r)
-    for name, wanted in sorted(requests.items()):
-        tokens = {r["source"]: found.get((name, r["source"]), (0.0, 0.0))[0] for r in wanted}
-        shares = {s: v / (sum(tokens.values()) or 1.0) for s, v in tokens.items()}
-        goal = entropy({r["source"]: r["target_share"] for r in wanted})
-        alpha = bisect_exponent(shares, target_entropy=min(goal, log(max(sum(v > 0 for v in shares.values()), 1))))
-        mean = sum(tokens.values()) / max(sum(found.get((name, r["source"]), (0, 0))[1] for r in wanted), 1.0)
-        beta = bisect_exponent(
-            shares,
-            budget=mean * wanted[0]["total_rows"],
-            sizes=tokens,
-            most_repeats={r["source"]: float(r["max_repeats"]) for r in wanted},
-        )
-        first, second = tempered(shares, alpha), tempered(shares, beta)
-        rows += [(name, s, shares[s], alpha, first[s], beta, second[s]) for s in sorted(shares)]
-    schema = "mix string, source string, token_share double, entropy_exponent double, entropy_weight double, limit_exponent double, limit_weight double"
+    for name, sources in sorted(mixes.items()):
+        alpha, beta, gamma, shares, weights = fit(sources, totals[name])
+        mean = sum(v.tokens for v in sources.values()) / max(sum(v.rows for v in sources.values()), 1.0)
+        by_entropy, by_limit = tempered(shares, alpha), tempered(shares, beta)
+        for s, v in sorted(sources.items()):
+            wanted = weights[s] * mean * totals[name] / (v.tokens / v.rows) if v.tokens else 0.0
+            rows.append((name, s, shares[s], alpha, by_entropy[s], beta, by_limit[s], gamma, weights[s], wanted, int(v.rows), int(v.most_repeats)))
+    schema = (
+        "mix string, source string, token_share double, entropy_exponent double, entropy_weight double, limit_exponent double, limit_weight double, "
+        "exponent double, weight double, rows_wanted double, available bigint, max_repeats bigint"
+    )
     return spark.createDataFrame(rows, schema)
 
 
+def _tempered(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    """The weights with the rows that each source gives (as many as targets), and the mixes that come of them."""
+    budget = F.least(F.col("available") * F.col("max_repeats"), F.round("rows_wanted").cast("bigint"))
+    report = stage(p7_temperature(spark, directory).withColumn("budget", budget), "budgets")
+    return report, permuted(_mix_rows(spark, directory).distinct(), report)
+
+
+def p7_tempered(spark: SparkSession, directory: str) -> DataFrame:
+    """The mixes by their tempered weights, as budgeted block permutations."""
+    return _tempered(spark, directory)[1]
+
+
+def p7_tempered_report(spark: SparkSession, directory: str) -> DataFrame:
+    """Rows, records and most uses of each source in the tempered mixes, beside what its weight comes to."""
+    report, mixed = _tempered(spark, directory)
+    got = mixed.groupBy("mix", "source").agg(F.count("*").alias("rows"), F.count_distinct("id").alias("records"), (F.max("used") + 1).alias("most_uses"))
+    wanted = report.select("mix", "source", "weight", "rows_wanted", "available", "max_repeats")
+    return wanted.join(got, ["mix", "source"], "left").na.fill(0, ["rows", "records", "most_uses"])
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_sample": p1_sample,
+    "p1_counts": p1_counts,
     "p1_report": p1_report,
     "p7_found": p7_found,
     "p7_mix": p7_mix,
     "p7_report": p7_report,
     "p7_temperature": p7_temperature,
+    "p7_tempered": p7_tempered,
+    "p7_tempered_report": p7_tempered_report,
 }
 
 _CATEGORY_ROWS = """
@@ -149,6 +176,15 @@ ORACLES = {
     "p1_found": f"""WITH {_CATEGORY_ROWS}
 SELECT t.request, t.category FROM category_targets t LEFT JOIN seen USING (request, category)
 WHERE coalesce(observed, 0) < greatest(min_rows, target_share * sample_rows)""",
+    "p1_counts": f"""WITH {_CATEGORY_ROWS},
+asked AS (SELECT t.*, coalesce(observed, 0) AS seen, greatest(min_rows, target_share * sample_rows) AS needed FROM category_targets t LEFT JOIN seen USING (request, category)),
+quotas AS (SELECT *, least(seen, CAST(ceil(round(needed, 6)) AS BIGINT)) AS quota, least(seen, greatest(min_rows, 0)) AS least_rows FROM asked),
+over AS (SELECT *, greatest(0, sum(quota) OVER r - sample_rows) AS surplus, CAST(quota - least_rows AS DOUBLE) AS spare, CAST(sum(quota - least_rows) OVER r AS DOUBLE) AS spares FROM quotas WINDOW r AS (PARTITION BY request)),
+cut AS (SELECT *, CASE WHEN spares > 0 THEN least(1.0, surplus / spares) * spare ELSE 0.0 END AS less FROM over),
+rounded AS (SELECT *, CAST(floor(less) AS BIGINT) AS whole, least(surplus, CAST(round(sum(less) OVER r) AS BIGINT)) - sum(CAST(floor(less) AS BIGINT)) OVER r AS more,
+  row_number() OVER (PARTITION BY request ORDER BY less - floor(less) DESC, category) AS turn FROM cut WINDOW r AS (PARTITION BY request)),
+fitted AS (SELECT request, category, CAST(quota - whole - CASE WHEN turn <= more THEN 1 ELSE 0 END AS BIGINT) AS drawn FROM rounded)
+SELECT request, category, drawn, drawn AS ids FROM fitted WHERE drawn > 0""",
     "p7_found": """
 SELECT t.mix, t.source FROM mix_targets t LEFT JOIN (
   SELECT DISTINCT record_id, lower(regexp_replace(_meta.source, '^\\s+|\\s+$', '', 'g')) AS s, _meta.shape AS shape FROM pilot_records
@@ -164,6 +200,6 @@ WITH seen AS (
   GROUP BY ALL
 ), budgets AS (SELECT *, least(available * max_repeats, CAST(round(target_share * total_rows) AS BIGINT)) AS rows FROM seen)
 SELECT mix, source, target_share, max_repeats, rows, least(rows, available) AS records, CASE WHEN rows > 0 THEN CAST(ceil(rows / available) AS BIGINT) ELSE 0 END AS most_uses,
-  CAST(rows AS DOUBLE) / greatest(sum(rows) OVER (PARTITION BY mix), 1) AS share
+  greatest(0, CAST(round(target_share * total_rows) AS BIGINT) - rows) AS missing, CAST(rows AS DOUBLE) / greatest(sum(rows) OVER (PARTITION BY mix), 1) AS share
 FROM budgets""",
 }

@@ -4,7 +4,7 @@ Per category an acceptance probability comes from the ratio of its quota to
 its observed rows, a little above it; every row is kept independently if its
 keyed uniform number lies below that. The kept rows are then cut back to the
 exact quota. Should chance have kept too few rows of a category, all of its
-rows are taken into account for the cut, so counts are exact in any case. What
+rows are accepted, so counts are exact in any case. What
 cannot be met, because a category has fewer rows than asked for, is reported.
 """
 
@@ -81,15 +81,25 @@ def draw(rows: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
     report = stage(fitted_quotas(category_report(rows, targets)), "quotas")  # as many rows as targets
     wanted = report.where("quota > 0").select("request", "category", "observed", "quota")
     slack = F.greatest(F.col("quota") * SLACK_SHARE, F.sqrt("quota") * 4) + SLACK_ROWS
-    offered = one.join(wanted, ["request", "category"]).withColumn("u", uniform(seed, "request", "id"))
     accepted = F.least(F.lit(1.0), (F.col("quota") + slack) / F.col("observed"))
-    first = offered.where(F.col("u") < accepted)
-    got = first.groupBy("request", "category").agg(F.count("*").alias("got"))
-    low = wanted.join(got, ["request", "category"], "left").where(F.coalesce("got", F.lit(0)) < F.col("quota"))
-    again = offered.join(low.select("request", "category"), ["request", "category"], "left_semi").where(F.col("u") >= accepted)
-    kept = first.unionByName(again)
+    offered = one.join(wanted, ["request", "category"]).withColumn("u", uniform(seed, "request", "id"))
+    got = offered.where(F.col("u") < accepted).groupBy("request", "category").agg(F.count("*").alias("got"))
+    # where chance took too few, every row of the category is accepted; the least numbers are the same ones
+    low = wanted.join(got, ["request", "category"], "left").where(F.coalesce("got", F.lit(0)) < F.col("quota")).select("request", "category", F.lit(True).alias("low"))
+    limit = F.when(F.col("low"), F.lit(1.0)).otherwise(accepted)
+    kept = offered.join(low, ["request", "category"], "left").withColumn("limit", limit).where(F.col("u") < F.col("limit"))
     # the acceptance probability cuts the histogram's range to the kept part
-    kept = kept.withColumn("u", F.least(F.lit(1.0 - 2.0**-52), F.col("u") / accepted)).withColumn(
-        "group_rows", F.least(F.col("observed"), F.ceil(F.col("quota") + slack))
-    )
+    kept = kept.withColumn("u", F.col("u") / F.col("limit")).withColumn("group_rows", F.least(F.col("observed"), F.when(F.col("low"), F.col("observed")).otherwise(F.ceil(F.col("quota") + slack))))
     return take_quota(kept, ["request", "category"]).select("request", "category", "id")
+
+
+def sample_report(rows: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
+    """``category_report`` with the rows that the sample has of each category as ``drawn``.
+
+    A category falls short if its sample stays below what it needs and the
+    category has no more rows to give; below by less than a row, or because
+    the request's size was kept, is not short.
+    """
+    drawn = draw(rows, targets, seed).groupBy("request", "category").agg(F.count("*").alias("drawn"))
+    report = category_report(rows, targets).join(drawn, ["request", "category"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)).cast("bigint"))
+    return report.withColumn("short", (F.col("drawn") < F.col("needed")) & F.col("short"))

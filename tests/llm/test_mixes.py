@@ -1,3 +1,4 @@
+import random
 from math import isclose, log
 
 from pyspark.sql import functions as F
@@ -84,6 +85,38 @@ def test_temperature():
     assert mixing.bisect_exponent({}, target_entropy=log(2)) == 1.0 and mixing.tempered({"a": 0.0}, 1.0) == {"a": 0.0}
 
 
+def test_exponents_beyond_any_fixed_bracket():
+    shares = {"a": 0.3334, "b": 0.3333, "c": 0.3333}
+    x = mixing.bisect_exponent(shares, target_entropy=0.5)
+    assert x > 1000 and isclose(mixing.entropy(mixing.tempered(shares, x)), 0.5, abs_tol=1e-6)
+    ties = {"a": 0.5, "b": 0.5}
+    assert mixing.entropy(mixing.tempered(ties, mixing.bisect_exponent(ties, target_entropy=0.1))) == pytest.approx(log(2))  # cannot be met
+
+
+def test_fitted_weights_keep_the_limits():
+    sources = {"a": mixing.Source(0.4, 2, 8000, 80), "b": mixing.Source(0.3, 2, 1500, 15), "c": mixing.Source(0.3, 2, 500, 5)}
+    alpha, beta, gamma, shares, weights = mixing.fit(sources, 60)
+    assert gamma == max(alpha, beta) and all(weights[s] * 6000 <= v.tokens * v.most_repeats + 1e-6 for s, v in sources.items())
+    roomy = {s: mixing.Source(v.share, 100, v.tokens, v.rows) for s, v in sources.items()}
+    alpha, beta, gamma, shares, weights = mixing.fit(roomy, 60)
+    assert gamma == alpha and isclose(mixing.entropy(weights), mixing.entropy({s: v.share for s, v in roomy.items()}), abs_tol=1e-6)
+
+
+def test_short_sources_are_those_of_the_definition(spark):
+    rng = random.Random(3)
+    rows, targets = [], []
+    for m in range(12):
+        for s in "abcd":
+            have, share, repeats = rng.randint(0, 12), rng.choice([0.0, 0.1, 0.25, 0.26, 0.4]), rng.randint(1, 4)
+            rows += [(f"m{m}", 100 * ord(s) + i, s) for i in range(have)] * rng.randint(1, 2)
+            targets.append((f"m{m}", s, share, repeats, rng.choice([40, 41, 100])))
+    df = spark.createDataFrame(rows, "mix string, id long, source string")
+    asked = spark.createDataFrame(targets, "mix string, source string, target_share double, max_repeats long, total_rows long")
+    expected = {(m, s) for m, s, share, repeats, total in targets if len({r for r in rows if r[0] == m and r[2] == s}) * repeats < share * total}
+    assert {(r["mix"], r["source"]) for r in mixing.short_sources(df, asked).collect()} == expected
+    assert mixing.short_sources(df.limit(0), asked.limit(0)).count() == 0
+
+
 def test_mix_budgets_and_repeats(spark):
     rows = [("m", i, "big") for i in range(500)] + [("m", 1000 + i, "few") for i in range(10)] + [("m", 3, "big"), ("m", 77, None), ("m", 78, "unasked")]
     df = spark.createDataFrame(rows, "mix string, id long, source string")
@@ -118,6 +151,10 @@ def test_mix_queries(spark, small):
     wanted = {(r["mix"], r["source"]): r for r in QUERIES["p7_report"](spark, small).collect()}
     assert wanted and all(r["most_uses"] <= r["max_repeats"] for r in wanted.values())
     assert QUERIES["p7_temperature"](spark, small).count() == len(wanted)
+    for r in QUERIES["p7_tempered_report"](spark, small).collect():
+        assert abs(r["rows"] - min(r["rows_wanted"], r["available"] * r["max_repeats"])) <= 1 and r["most_uses"] <= r["max_repeats"]
+    short = {(r["request"], r["category"]) for r in QUERIES["p1_found"](spark, small).collect()}
+    assert short == {(r["request"], r["category"]) for r in QUERIES["p1_report"](spark, small).where("short").collect()}
     report = {(r["request"], r["category"]): r["quota"] for r in QUERIES["p1_report"](spark, small).collect()}
     sample = {(r["request"], r["category"]): r["count"] for r in QUERIES["p1_sample"](spark, small).groupBy("request", "category").count().collect()}
     assert sample == {k: v for k, v in report.items() if v}
