@@ -7,9 +7,10 @@ round-robin: each source earns its target share of the window's tokens and
 gives items while its deficit lasts; what is earned and not spent goes on to
 the next window. A lane starts with the deficits that the lanes before it
 left, which a running sum over per-lane token counts gives without running
-them. Within a window the chosen items are placed best-fit, largest first,
-and containers that stay open are carried to the next window. What is left in
-open containers at the end of all lanes is packed once more, together.
+them; no more is made good than one window gives a source. Within a window the
+chosen items are placed best-fit, largest first, and containers that stay open
+are carried to the next window. What is left in open containers at the end of
+all lanes is packed once more, together.
 
 An item above the capacity is split: its full containers stand on their own
 and its rest is an item like any other.
@@ -61,9 +62,10 @@ def pack_lane(
     for row in items:
         queues.setdefault(row[0], deque()).append(row)
     names = sorted(queues)
-    owed = {s: deficits.get(s, 0.0) for s in names}
     boxes, number = Containers(capacity), 0
     quantum = capacity * window
+    # what other lanes left is made good within a window: a target that the corpus cannot give would add up over them
+    owed = {s: max(-1.0, min(1.0, deficits.get(s, 0.0) / (quantum * shares[s]))) * quantum * shares[s] if shares.get(s) else 0.0 for s in names}
     while any(queues[s] for s in names):
         chosen, room = [], quantum
         alive = [s for s in names if queues[s]]
@@ -93,9 +95,10 @@ def pack_lane(
     ]
 
 
-def _lane_function(capacity: int, shares: dict[str, float], window: int):
+def _lane_function(capacity: int, window: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rank", "item", "piece"], kind="stable")
+        shares = dict(zip(pdf["source"], pdf["share"], strict=True))
         deficits = dict(zip(pdf["source"], pdf["deficit"], strict=True))
         rows = pack_lane(
             list(zip(pdf["source"], pdf["n_tokens"], pdf["item"], pdf["piece"], strict=True)), capacity, shares, deficits, window
@@ -121,10 +124,10 @@ def pack(
     unless it is larger than ``capacity``; then its pieces of ``capacity``
     tokens fill containers and the rest is packed as an item. Items of null
     or no tokens are left out; a null source is a source of its own, shown as
-    null. ``targets`` gives each source's share of the tokens of a window;
-    without it the shares of the corpus hold, so that no source runs out
-    before the others. ``targets`` and the sources of a corpus are read by
-    the driver: there are few. An empty table gives no rows.
+    null. ``targets`` gives each source's share of the tokens of a window, as
+    long as the source has items (sources without a share go last); without it
+    the shares of the corpus hold, so that no source runs out before the
+    others. An empty table gives no rows.
     """
     sized = items.select(
         F.col("item").cast("bigint").alias("item"),
@@ -149,14 +152,14 @@ def pack(
         F.floor(F.col("n_tokens") / capacity).cast("int").alias("piece"),
         (F.col("n_tokens") % capacity).alias("n_tokens"),
     ).where("n_tokens > 0")
-    totals = rest.groupBy("source").agg(F.sum("n_tokens").alias("n")).orderBy("source").collect()
-    total = sum(r["n"] for r in totals)
+    totals = rest.groupBy("source").agg(F.sum("n_tokens").cast("double").alias("n"))
+    total = rest.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     lanes = max(1, -(-total // lane_tokens))
-    shares = (
-        {r["source"]: r["n"] / total for r in totals}
-        if targets is None
-        else {"\0" if s is None else s: float(v) for s, v in targets.items()}
-    )
+    if targets is None:
+        shares = totals.select("source", (F.col("n") / F.lit(float(total or 1))).alias("share"))
+    else:
+        named = [("\0" if s is None else s, float(v)) for s, v in targets.items()]
+        shares = items.sparkSession.createDataFrame(named, "source string, share double")
     dealt = rest.withColumn("rank", F.xxhash64("item", "piece")).withColumn("lane", F.pmod("rank", F.lit(lanes)))
     first = stage(_run(dealt, capacity, shares, window), "lanes")
     settled = first.where("not open")
@@ -186,27 +189,27 @@ def pack(
     )
 
 
-def _run(dealt: DataFrame, capacity: int, shares: dict[str, float], window: int) -> DataFrame:
-    """Pack each lane; the deficits that earlier lanes leave come from a running sum."""
-    spark = dealt.sparkSession
+def _run(dealt: DataFrame, capacity: int, shares: DataFrame, window: int) -> DataFrame:
+    """Pack each lane; the deficits that earlier lanes leave come from a running sum. ``shares``: source, share."""
     loads = dealt.groupBy("lane", "source").agg(F.sum("n_tokens").alias("tokens"))
     by_lane = loads.groupBy("lane").agg(F.sum("tokens").alias("all_tokens"))
-    share = spark.createDataFrame([(s, v) for s, v in shares.items()] or [("", 0.0)], "source string, share double")
     earlier = Window.partitionBy("source").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
+    share = F.coalesce("share", F.lit(0.0))
     deficits = (
         loads.join(by_lane, "lane")
-        .join(share, "source", "left")
+        .join(shares, "source", "left")
         .select(
             "lane",
             "source",
-            F.coalesce(F.sum(F.coalesce("share", F.lit(0.0)) * F.col("all_tokens") - F.col("tokens")).over(earlier), F.lit(0.0)).alias("deficit"),
+            share.alias("share"),
+            F.coalesce(F.sum(share * F.col("all_tokens") - F.col("tokens")).over(earlier), F.lit(0.0)).alias("deficit"),
         )
     )
     return (
         dealt.join(deficits, ["lane", "source"], "left")
-        .select("lane", "source", "n_tokens", "item", "piece", "rank", F.coalesce("deficit", F.lit(0.0)).alias("deficit"))
+        .select("lane", "source", "n_tokens", "item", "piece", "rank", F.coalesce("deficit", F.lit(0.0)).alias("deficit"), share.alias("share"))
         .groupBy("lane")
-        .applyInPandas(_lane_function(capacity, shares, window), _OUT)
+        .applyInPandas(_lane_function(capacity, window), _OUT)
     )
 
 

@@ -1,11 +1,16 @@
 """Problem 10: splitting oversized items at natural boundaries.
 
 A text is encoded once; every token edge gets the coarsest separator it lies
-at (section, paragraph, sentence or line, word, character). Pieces are packed
-greedily: each takes as many tokens as the limit allows and ends at the last
-edge of the coarsest kind that leaves it at least ``fill`` of the room; finer
-kinds are tried in turn. The next piece starts ``overlap`` tokens back, or at
-the first character edge before that where a token splits a character.
+at (section, paragraph, sentence or line, word, character). The text falls
+into sections; one that has more tokens than a piece has room falls into its
+paragraphs, and so on down to characters, so that a unit that fits whole is
+never cut. Units are packed greedily, as many as the limit allows. The next
+piece starts ``overlap`` tokens back, or at the first character edge before
+that where a token splits a character, and has so much less room.
+
+The recursion runs from cut to cut: the unit that starts at an edge is the
+block of the coarsest kind that starts there and fits, and blocks of one kind
+are taken in one step up to the end of the block they are parts of.
 """
 
 from __future__ import annotations
@@ -74,9 +79,44 @@ def edges_of(text: str, ids: np.ndarray, folder: str, name: str) -> tuple[np.nda
     return place, np.where(place >= 0, at[place], WORST + 1)
 
 
-def cut(
-    text: str, limit: int, overlap: int, fill: float = 0.5, folder: str = FOLDER, name: str = NAME
-) -> list[tuple[int, int, int, int]]:
+class _Edges:
+    """Token edges by separator level."""
+
+    def __init__(self, place: np.ndarray, level: np.ndarray) -> None:
+        self.place, self.level, self.n = place, level, len(place) - 1
+        self.at = [np.flatnonzero(level <= kind) for kind in range(WORST + 1)]
+
+    def after(self, edge: int, kind: int) -> int:
+        """The next edge of a level of ``kind`` or coarser; the end where there is none."""
+        found = self.at[kind] if kind >= 0 else ()
+        i = np.searchsorted(found, edge, side="right") if kind >= 0 else 0
+        return int(found[i]) if i < len(found) else self.n
+
+    def upto(self, edge: int, kind: int) -> int:
+        """The last edge of a level of ``kind`` or coarser that is not behind ``edge``; -1 where there is none."""
+        i = int(np.searchsorted(self.at[kind], edge, side="right")) - 1
+        return int(self.at[kind][i]) if i >= 0 else -1
+
+    def unit(self, edge: int, room: int) -> tuple[int, int]:
+        """(level, end) of the unit that starts at ``edge``: the coarsest block that has at most ``room`` tokens."""
+        for kind in range(0 if edge == 0 else min(int(self.level[edge]), WORST), WORST + 1):
+            end = self.after(edge, kind)
+            if end - edge <= room:
+                return kind, end
+        return WORST, end  # one character of more tokens than that
+
+    def fill(self, start: int, fresh: int, most: int, room: int) -> int:
+        """The end of the piece from ``start`` whose new tokens begin at ``fresh``: the last unit's that ends by ``most``."""
+        end = fresh
+        while end < self.n:
+            kind, close = self.unit(end, room)
+            if close > most:
+                return end if end > fresh else close
+            end = max(close, self.upto(min(most, self.after(end, kind - 1)), kind))
+        return end
+
+
+def cut(text: str, limit: int, overlap: int, folder: str = FOLDER, name: str = NAME) -> list[tuple[int, int, int, int]]:
     """Pieces of one text: (first character, end character, tokens, repeated tokens).
 
     ``tokens`` counts the piece encoded on its own and never exceeds ``limit``
@@ -87,19 +127,20 @@ def cut(
         return [(0, len(text), len(ids), 0)] if len(ids) else []
     tokenizer = rank_tokenizer(folder, name)
     place, level = edges_of(text, ids, folder, name)
+    edges = _Edges(place, level)
     out, start, fresh = [], 0, 0
     while fresh < len(ids):
         room = limit
         while True:
-            most = min(start + room, len(ids))
-            end = _choose(place, level, fresh, start, most, len(ids), fill)
-            piece = text[place[start] : place[end]]
+            end = edges.fill(start, fresh, min(start + room, len(ids)), max(1, room - (fresh - start)))
             # a piece that starts or ends inside a word may encode to more tokens than it had
-            count = len(tokenizer.encode_ordinary(piece))
+            count = len(tokenizer.encode_ordinary(text[place[start] : place[end]]))
             if count <= limit or end - start <= 1:
                 break
             room = min(room, end - start) - (count - limit)
             if start + room <= fresh:
+                if fresh == start:
+                    break  # one character of more tokens than the limit
                 # no room beside the repeated tokens: repeat fewer
                 start = _character_edge(place, min(start + count - limit, fresh))
                 room = limit
@@ -115,24 +156,7 @@ def _character_edge(place: np.ndarray, token: int) -> int:
     return token
 
 
-def _choose(place: np.ndarray, level: np.ndarray, fresh: int, start: int, most: int, n: int, fill: float) -> int:
-    """The edge that ends a piece: after ``fresh``, at ``most`` at the latest."""
-    if most == n:
-        return n
-    least = max(fresh + 1, start + int((most - start) * fill))
-    for first in (least, fresh + 1):
-        window = level[first : most + 1]
-        if len(window):
-            best = window.min()
-            if best <= WORST:
-                return first + int(np.flatnonzero(window == best)[-1])
-    end = most + 1  # no character ends within the room
-    while place[end] < 0:
-        end += 1
-    return end
-
-
-def _split(limit: int, overlap: int, fill: float, key: str, with_text: bool, folder: str, name: str):
+def _split(limit: int, overlap: int, key: str, with_text: bool, folder: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
@@ -141,7 +165,7 @@ def _split(limit: int, overlap: int, fill: float, key: str, with_text: bool, fol
                     # every token has at least one byte, so a text within the limit in bytes needs no encoding
                     if text is None or (len(text) <= limit // 4) or len(text.encode("utf-8", "replace")) <= limit:
                         continue
-                    pieces = cut(text, limit, overlap, fill, folder, name)
+                    pieces = cut(text, limit, overlap, folder, name)
                     if len(pieces) > 1:
                         rows.extend((at, i, *p, text[p[0] : p[1]] if with_text else None) for i, p in enumerate(pieces))
                 if not rows:
@@ -167,7 +191,6 @@ def split_oversized(
     limit: int,
     overlap: int,
     key: str = "doc_id",
-    fill: float = 0.5,
     with_text: bool = True,
     folder: str = FOLDER,
     name: str = NAME,
@@ -185,5 +208,5 @@ def split_oversized(
     kind = texts.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, piece int, start_char bigint, end_char bigint, n_tokens int, repeated_tokens int"
     return texts.select(key, "text").mapInArrow(
-        _split(limit, overlap, fill, key, with_text, folder, name), schema + (", text string" if with_text else "")
+        _split(limit, overlap, key, with_text, folder, name), schema + (", text string" if with_text else "")
     )

@@ -118,6 +118,29 @@ def test_cuts_prefer_coarse_places():
         assert text[end - 2 : end] == "\n\n" or text[:end].endswith("\n\n")
 
 
+def test_what_fits_whole_is_not_cut():
+    words = "alpha beta gamma delta".split()
+    rng = random.Random(9)
+    count = lambda t: len(E.rank_tokenizer(E.FOLDER, E.NAME).encode_ordinary(t))
+    for limit, overlap in ((120, 0), (120, 20), (203, 0)):
+        for _ in range(12):
+            sections = ["# Head\n" + "\n\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(3, 60))) + "." for _ in range(rng.randint(1, 4))) + "\n\n" for _ in range(8)]
+            text, at, spans = "".join(sections), 0, []
+            for section in sections:
+                spans.append((at, at + len(section)))
+                at += len(section)
+            ends = [p[1] for p in splitting.cut(text, limit, overlap)[:-1]]
+            for a, b in spans:
+                if count(text[a:b]) <= limit - overlap - 2:  # edges may shift a token
+                    assert not any(a < e < b for e in ends)
+
+
+def test_units_fill_a_piece():
+    text = " ".join(f"word{i}" for i in range(4000))
+    pieces = splitting.cut(text, 100, 10)
+    assert all(n >= 95 for _, _, n, _ in pieces[:-1]) and all(r == 10 for _, _, _, r in pieces[1:])
+
+
 def test_split_operator(spark):
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(TEXTS)], "doc_id long, text string, piece int")
     got = splitting.split_oversized(df, 64, 8)
@@ -166,6 +189,22 @@ def test_windows_follow_the_target_mixture():
         assert abs(tokens["a"] / sum(tokens.values()) - 0.5) < 0.06, window
 
 
+def test_targets_reach_the_windows(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.randint(1, 40)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "item long, source string, n_tokens long")
+    got = packing.pack(df, 100, {"a": 0.4, "b": 0.4, None: 0.2}, lane_tokens=30_000, window=16).collect()
+    assert sum(r["n_tokens"] for r in got) == sum(n for _, _, n in rows)
+    by = {}
+    for r in got:
+        if r["window"].startswith("a-"):
+            by.setdefault(r["window"], {}).setdefault(r["source"], 0)
+            by[r["window"]][r["source"]] += r["n_tokens"]
+    # the windows in which the scarce source has settled and is not used up
+    first = [w for w in by if w.endswith("-2")]
+    assert first and all(abs(by[w].get("b", 0) / sum(by[w].values()) - 0.4) < 0.1 for w in first)
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack(spark.createDataFrame([], "item long, source string, n_tokens long"), 100).count() == 0
 
