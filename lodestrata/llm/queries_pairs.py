@@ -44,11 +44,11 @@ def p5_report(spark: SparkSession, directory: str) -> DataFrame:
         .where("split in ('val', 'eval')")
         .dropDuplicates(["eval_id"])
     )
-    leaked = (
-        _cross_pairs(spark, directory)
-        .groupBy("eval_id")
-        .agg(F.count("*").alias("train_records"), F.max("overlap").alias("overlap"))
-    )
+    pairs, members = cross_split_pairs(_sides(spark, directory), WORDS, OVERLAP)
+    # by class: pairs of records are counted, not listed
+    train = members.where("not indexed").groupBy(F.col("rep").alias("rep_b")).agg(F.count("*").alias("records"))
+    by_class = pairs.join(train, "rep_b").groupBy(F.col("rep_a").alias("rep")).agg(F.sum("records").alias("train_records"), F.max("overlap").alias("overlap"))
+    leaked = members.where("indexed").join(by_class, "rep").select(F.col("id").alias("eval_id"), "train_records", "overlap")
     return (
         facts.join(leaked, "eval_id", "left")
         .groupBy("split", "shape", "source")

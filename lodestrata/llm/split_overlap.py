@@ -7,17 +7,20 @@ evaluation prefixes and probing with the training prefixes loses no pair.
 Length and position filters drop pairs that cannot reach t, and what is left
 is verified on the texts themselves.
 
-How rare a shingle is comes from a histogram of all evaluation shingles over
-``buckets`` hash buckets. That array has a fixed size (4 bytes a bucket, 4 MB),
-so it is the only thing that is broadcast, whatever the corpus holds. A
-training shingle whose bucket is empty occurs in no evaluation text and is left
-out of the probe (it keeps its place in the order).
+How often a shingle occurs in the evaluation texts is counted exactly, by an
+aggregation over all of them. What is broadcast of it has a fixed size at any
+scale: the counts of the ``MOST_FREQUENT`` most frequent shingles (12 bytes
+each), which the order puts last, and a bitmap of ``BITMAP_BITS`` address bits
+(8 MB) that tells most shingles of no evaluation text; these are never probed,
+but keep their place in the order. All other shingles are rare, and are
+ordered by their hash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,57 +30,87 @@ from pyspark.sql import functions as F
 from lodestrata.llm.shingles import fingerprints, pair_overlaps, shingle_sets, slices
 from lodestrata.staging import stage
 
-BUCKETS = 1 << 20
+MOST_FREQUENT, BITMAP_BITS = 1 << 20, 26
 
 
-def _histogram(k: int, buckets: int):
+class Order(NamedTuple):
+    """What both sides need to order their shingles alike: frequent ones with counts, ascending, and the bitmap."""
+
+    frequent: np.ndarray
+    counts: np.ndarray
+    bitmap: np.ndarray
+    bits: int
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        """Rank of each shingle: 0 occurs nowhere, 1 is rare, else its count."""
+        word, bit = _address(values, self.bits)
+        rank = ((self.bitmap[word] >> bit) & np.uint64(1)).astype(np.int64)
+        if len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, values), len(self.frequent) - 1)
+            rank = np.where(self.frequent[at] == values, self.counts[at], rank)
+        return rank
+
+
+def _address(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    place = values >> np.uint64(64 - bits)
+    return (place >> np.uint64(6)).astype(np.int64), place & np.uint64(63)
+
+
+def _counted(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, dtype=np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                values, _ = shingle_sets(part.column("text"), k)
-                total += np.bincount((values % np.uint64(buckets)).astype(np.int64), minlength=buckets)
-        full = np.flatnonzero(total)
-        for at in range(0, len(full), 65536):
-            some = full[at : at + 65536]
-            yield pa.record_batch({"bucket": pa.array(some.astype(np.int32)), "n": pa.array(total[some])})
+                values, counts = np.unique(shingle_sets(part.column("text"), k)[0], return_counts=True)
+                yield pa.record_batch({"shingle": pa.array(values.view(np.int64)), "n": pa.array(counts.astype(np.int64))})
 
     return run
 
 
-def rarity(index_side: DataFrame, k: int, buckets: int = BUCKETS) -> np.ndarray:
-    """Occurrences of the shingles of ``text`` by hash bucket: a fixed-size array."""
-    counts = (
-        index_side.select("text")
-        .mapInArrow(_histogram(k, buckets), "bucket int, n bigint")
-        .groupBy("bucket")
-        .agg(F.sum("n").alias("n"))
-        .toArrow()  # at most ``buckets`` rows
+def shingle_order(texts: DataFrame, k: int, most: int = MOST_FREQUENT, bits: int = BITMAP_BITS) -> Order:
+    """The order of the shingles of ``text``, by exact counts over all of them."""
+    counted = stage(
+        texts.select("text").mapInArrow(_counted(k), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")), "frequencies"
     )
-    out = np.zeros(buckets, dtype=np.uint32)
-    out[counts.column("bucket").to_numpy()] = np.minimum(counts.column("n").to_numpy(), 2**32 - 1).astype(np.uint32)
-    return out
+    # the least power of two such that at most ``most`` shingles occur so often; there are at most 64 powers
+    powers = counted.where("n > 1").groupBy(F.floor(F.log2("n")).cast("int").alias("power")).count().orderBy(F.desc("power")).collect()
+    least, room = None, most
+    for r in powers:
+        room -= r["count"]
+        if room < 0:
+            break
+        least = 1 << r["power"]
+    frequent = counted.where(F.col("n") >= least).toArrow() if least else None  # at most ``most`` rows
+    place = F.shiftrightunsigned("shingle", 64 - bits)
+    words = (
+        counted.groupBy(F.shiftrightunsigned(place, 6).cast("int").alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(shingle, %d) & 63 AS int))" % (64 - bits))).alias("flags"))
+        .toArrow()  # at most 2 ** (bits - 6) rows
+    )
+    bitmap = np.zeros(max(1, 1 << (bits - 6)), dtype=np.uint64)
+    bitmap[words.column("word").to_numpy()] = words.column("flags").to_numpy().view(np.uint64)
+    if frequent is None:
+        return Order(np.empty(0, np.uint64), np.empty(0, np.int64), bitmap, bits)
+    values, n = frequent.column("shingle").to_numpy().view(np.uint64), frequent.column("n").to_numpy()
+    by_value = np.argsort(values)
+    return Order(values[by_value], n[by_value], bitmap, bits)
 
 
 def _prefixes(k: int, threshold: float, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        size = np.uint64(len(counts))
+        order_of = shared.value
         t = Fraction(str(threshold))
         for batch in batches:
             for part in slices(batch, "text"):
                 values, starts = shingle_sets(part.column("text"), k)
                 sizes = np.diff(starts)
                 row = np.repeat(np.arange(len(sizes)), sizes)
-                often = counts[(values % size).astype(np.int64)]
+                often = order_of.of(values)
                 order = np.lexsort((values, often, row))
                 values, often = values[order], often[order]
                 place = np.arange(len(values)) - starts[:-1][row]
                 length = sizes - -(-(sizes * t.numerator) // t.denominator) + 1
                 keep = (place < length[row]) & (often > 0)
                 ends = np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=len(sizes)))))
-                # 32 bits are enough to find candidates: they are verified on the texts
-                key = (values[keep] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 lists = ends.astype(np.int32)
                 a, b = fingerprints(values, starts)
                 full = pa.array(sizes > 0)
@@ -88,7 +121,7 @@ def _prefixes(k: int, threshold: float, shared):
                         "size": pa.array(sizes.astype(np.int32)),
                         "mark_a": pa.array(a),
                         "mark_b": pa.array(b),
-                        "keys": pa.ListArray.from_arrays(pa.array(lists), pa.array(key)),
+                        "keys": pa.ListArray.from_arrays(pa.array(lists), pa.array(values[keep].view(np.int64))),
                         "places": pa.ListArray.from_arrays(pa.array(lists), pa.array(place[keep].astype(np.int32))),
                     }
                 ).filter(full)
@@ -96,6 +129,40 @@ def _prefixes(k: int, threshold: float, shared):
     return run
 
 
+def prefixes(rows: DataFrame, k: int, threshold: float, order: Order) -> DataFrame:
+    """id, indexed, size, mark_a, mark_b and the prefix (keys, places) of every row (id, indexed, text) with shingles."""
+    shared = rows.sparkSession.sparkContext.broadcast(order)
+    return rows.select("id", "indexed", "text").mapInArrow(
+        _prefixes(k, threshold, shared),
+        "id bigint, indexed boolean, size int, mark_a bigint, mark_b bigint, keys array<bigint>, places array<int>",
+    )
+
+
+def prefix_tokens(rows: DataFrame, side: str) -> DataFrame:
+    """One row for each key of the prefixes: key, rep_<side>, size_<side>, place_<side>."""
+    return rows.select("id", "size", F.inline(F.arrays_zip("keys", "places"))).select(
+        F.col("keys").alias("key"), F.col("id").alias(f"rep_{side}"), F.col("size").alias(f"size_{side}"), F.col("places").alias(f"place_{side}")
+    )
+
+
+def prefix_candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Distinct (rep_a, rep_b) that share a prefix key and may reach the threshold by size and place."""
+    t = Fraction(str(threshold))
+    need = F.ceil(F.lit(t.numerator) * (F.col("size_a") + F.col("size_b")) / F.lit(t.numerator + t.denominator) - F.lit(1e-9))
+    return (
+        left.join(right, "key")
+        .where(sizes_fit(threshold) & (F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + F.least("place_a", "place_b") >= need))
+        .select("rep_a", "rep_b")
+        .distinct()
+    )
+
+
+def sizes_fit(threshold: float):
+    """Whether sets of size_a and size_b shingles can reach the threshold."""
+    t = Fraction(str(threshold))
+    return (F.col("size_a") * t.denominator >= F.col("size_b") * t.numerator) & (F.col("size_b") * t.denominator >= F.col("size_a") * t.numerator)
+
+
 def _verify(k: int, threshold: float):
     t = Fraction(str(threshold))
 
@@ -131,7 +198,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
 
 
 def cross_split_pairs(
-    texts: DataFrame, k: int = 5, threshold: float = 0.8, buckets: int = BUCKETS
+    texts: DataFrame, k: int = 5, threshold: float = 0.8, most: int = MOST_FREQUENT, bits: int = BITMAP_BITS
 ) -> tuple[DataFrame, DataFrame]:
     """Overlapping pairs between two sides, between classes of equal shingle sets.
 
@@ -142,39 +209,15 @@ def cross_split_pairs(
     has rep, indexed, id. Null texts, and texts of fewer than k words, have
     no shingle and overlap nothing; empty tables give no rows. A class is
     named by its least id, so repeated rows and ties give one result.
+    ``most`` and ``bits`` bound what is broadcast and change no result.
     """
-    spark = texts.sparkSession
     rows = texts.select(F.col("id"), F.col("indexed"), F.lower("text").alias("text")).where("text is not null")
-    counts = rarity(rows.where("indexed"), k, buckets)
-    shared = spark.sparkContext.broadcast(counts)
-    prefixes = stage(
-        rows.mapInArrow(
-            _prefixes(k, threshold, shared),
-            "id bigint, indexed boolean, size int, mark_a bigint, mark_b bigint, keys array<int>, places array<int>",
-        ),
-        "prefixes",
-    )
+    found = stage(prefixes(rows, k, threshold, shingle_order(rows.where("indexed"), k, most, bits)), "prefixes")
     sets = ["indexed", "mark_a", "mark_b", "size"]
-    classes = prefixes.groupBy(*sets).agg(F.min("id").alias("rep"))
-    members = prefixes.select("id", *sets).distinct().join(classes, sets).select("rep", "indexed", "id")
+    classes = found.groupBy(*sets).agg(F.min("id").alias("rep"))
+    members = found.select("id", *sets).distinct().join(classes, sets).select("rep", "indexed", "id")
     # the least id of a class carries its prefix; a redelivered id is kept once by the distinct pairs below
-    tokens = (
-        prefixes.join(classes.select(F.col("rep").alias("id"), "indexed"), ["id", "indexed"], "left_semi")
-        .select("id", "indexed", "size", F.inline(F.arrays_zip("keys", "places")))
-        .withColumnsRenamed({"keys": "key", "places": "place"})
-    )
-    left = tokens.where("indexed").select("key", F.col("id").alias("rep_a"), F.col("size").alias("size_a"), F.col("place").alias("place_a"))
-    right = tokens.where("not indexed").select("key", F.col("id").alias("rep_b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"))
-    t = Fraction(str(threshold))
-    need = F.ceil(F.lit(t.numerator) * (F.col("size_a") + F.col("size_b")) / F.lit(t.numerator + t.denominator) - F.lit(1e-9))
-    candidates = (
-        left.join(right, "key")
-        .where(
-            (F.col("size_a") * t.denominator >= F.col("size_b") * t.numerator)
-            & (F.col("size_b") * t.denominator >= F.col("size_a") * t.numerator)
-            & (F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + F.least("place_a", "place_b") >= need)
-        )
-        .select("rep_a", "rep_b")
-        .distinct()
-    )
+    reps = found.join(classes.select(F.col("rep").alias("id"), "indexed"), ["id", "indexed"], "left_semi")
+    # staged, so that its true size tells Spark how to find the candidates' texts
+    candidates = stage(prefix_candidates(prefix_tokens(reps.where("indexed"), "a"), prefix_tokens(reps.where("not indexed"), "b"), threshold), "candidates")
     return verified(candidates, rows.select("id", "text"), k, threshold), members

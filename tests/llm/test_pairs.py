@@ -6,7 +6,7 @@ import pytest
 from lodestrata.llm.catalog import QUERIES
 from lodestrata.llm.components import connected_components
 from lodestrata.llm.near_duplicates import expand, least_matches, near_duplicate_groups, near_duplicate_pairs
-from lodestrata.llm.split_overlap import cross_split_pairs
+from lodestrata.llm.split_overlap import cross_split_pairs, shingle_order
 from tests.llm.test_shingles import brute
 
 
@@ -73,12 +73,12 @@ def test_bayesian_limits_keep_true_pairs():
         near_duplicate_pairs(None, bands=50, rows=3, hashes=128)
 
 
-@pytest.mark.parametrize("buckets", [4, 1 << 20])
-def test_cross_split_pairs_equal_brute_force(spark, buckets):
+@pytest.mark.parametrize("most,bits", [(4, 8), (0, 6), (1 << 20, 26)])
+def test_cross_split_pairs_equal_brute_force(spark, most, bits):
     texts = edited(random.Random(3), 100) + ODD
     side = [i % 3 == 0 for i in range(len(texts))]
     df = spark.createDataFrame([(i, t, s, 1) for i, (t, s) in enumerate(zip(texts, side, strict=True))] + [(0, texts[0], True, 2)], "id long, text string, indexed boolean, size int")
-    pairs, members = cross_split_pairs(df, 3, 0.6, buckets)
+    pairs, members = cross_split_pairs(df, 3, 0.6, most, bits)
     of = defaultdict(set)
     for r in members.collect():
         of[r["rep"], r["indexed"]].add(r["id"])
@@ -87,6 +87,20 @@ def test_cross_split_pairs_equal_brute_force(spark, buckets):
     assert got == {p for p in near(sets, list(sets)) if side[p[0]] != side[p[1]]}
 
 
+def test_order_counts_exactly(spark):
+    import numpy as np
+
+    texts = ["a b c d", "a b c d", "a b c", "x y z", None, "b c d"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    from lodestrata.llm.shingles import shingle_sets
+    import pyarrow as pa
+
+    order = shingle_order(df, 3, 2, 10)
+    values = [shingle_sets(pa.array([t]), 3)[0][0] for t in ("a b c", "b c d", "x y z")]
+    assert list(order.of(np.array(values, dtype=np.uint64))) == [3, 3, 1] and len(order.frequent) == 2
+    assert not len(shingle_order(df, 3, 1, 10).frequent) and not shingle_order(df.limit(0), 3).bitmap.any()
+
+
 def test_components_of_chains_cycles_and_loops(spark):
     chain = [(i, i + 1) for i in range(100, 140)]
     df = spark.createDataFrame(chain + [(1, 2), (2, 3), (3, 1), (1, 2), (7, 7)], "a long, b long")
