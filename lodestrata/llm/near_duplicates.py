@@ -7,9 +7,18 @@ dropped as soon as the posterior probability that its similarity reaches the
 threshold falls under the chosen miss probability; survivors are verified
 exactly on their texts.
 
+A band key that very many classes share (a licence text at the head of every
+file) would make all of them candidates of each other. The classes under such
+hot keys leave the bands of these keys and meet in an exact prefix-filter join
+instead, ordered so that what they have in common comes last: a pair that
+shares a hot key is found there for certain if it reaches the threshold.
+
 Misses: a pair of similarity s shares no band with probability
 (1 - s**rows)**bands, which for the defaults is under 0.001 at s = 0.6 and
-1e-9 at 0.8, plus at most ``miss`` for the pruning.
+1e-9 at 0.8. Pruning drops a pair when, after a batch, the posterior
+probability that it reaches the threshold is below ``miss``; over the
+sequence of batches a pair of similarity exactly at the threshold is dropped
+with the probability that ``miss_rate`` gives (2.7e-4 for 0.6).
 """
 
 from __future__ import annotations
@@ -24,10 +33,12 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.components import connected_components
 from lodestrata.llm.shingles import fingerprints, minhash, mix, shingle_sets, slices
-from lodestrata.llm.split_overlap import verified
+from lodestrata.llm.split_overlap import prefix_candidates, prefix_tokens, prefixes, shingle_order, sizes_fit, verified
 from lodestrata.staging import stage
 
 HASHES, BANDS, ROWS, BATCH, MISS = 128, 32, 3, 32, 1e-4
+#: Classes under a band key beyond which the key is hot, and the number of such keys that are looked for.
+HOT, HOT_KEYS = 2000, 2000
 
 
 def least_matches(threshold: float, hashes: int, batch: int, miss: float) -> list[tuple[int, int]]:
@@ -47,6 +58,19 @@ def least_matches(threshold: float, hashes: int, batch: int, miss: float) -> lis
     return out
 
 
+def miss_rate(threshold: float, tests: list[tuple[int, int]]) -> float:
+    """Probability that the batches drop a pair of exactly this similarity, for independent hashes."""
+    alive, done, dropped = {0: 1.0}, 0, 0.0
+    for n, least in tests:
+        step: dict[int, float] = {}
+        for m, p in alive.items():
+            for more in range(n - done + 1):
+                step[m + more] = step.get(m + more, 0.0) + p * comb(n - done, more) * threshold**more * (1 - threshold) ** (n - done - more)
+        dropped += sum(p for m, p in step.items() if m < least)
+        alive, done = {m: p for m, p in step.items() if m >= least}, n
+    return dropped
+
+
 def _signatures(k: int, hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,6 +114,7 @@ def _band_keys(hashes: int, bands: int, rows: int):
                     {
                         "key": pa.array(keys.ravel()),
                         "rep": pa.array(np.repeat(part.column("rep").to_numpy(), bands)),
+                        "size": pa.array(np.repeat(part.column("size").to_numpy(), bands)),
                     }
                 )
 
@@ -117,6 +142,7 @@ def near_duplicate_pairs(
     bands: int = BANDS,
     rows: int = ROWS,
     miss: float = MISS,
+    hot: int = HOT,
 ) -> tuple[DataFrame, DataFrame]:
     """Pairs of near-duplicate classes and the members of every class.
 
@@ -125,7 +151,8 @@ def near_duplicate_pairs(
     rep_a < rep_b and overlap for classes of equal shingle sets that reach
     ``threshold``; members has rep, id, each id once. Null texts and texts of
     fewer than k words have no shingle, no class and no row; empty tables
-    give no rows. A class is named by its least id.
+    give no rows. A class is named by its least id. ``hot`` chooses which
+    pairs are found by prefixes and changes no result.
     """
     if bands * rows > hashes:
         raise ValueError("bands * rows must not exceed hashes")
@@ -140,16 +167,21 @@ def near_duplicate_pairs(
     classes = signed.groupBy(*sets).agg(F.min("id").alias("rep"))
     members = signed.select("id", *sets).distinct().join(classes, sets).select("rep", "id")
     reps = stage(
-        signed.select(F.col("id").alias("rep"), "signature")
+        signed.select(F.col("id").alias("rep"), "size", "signature")
         .join(classes.select("rep"), "rep", "left_semi")
         .dropDuplicates(["rep"]),
         "representatives",
     )
-    keys = reps.mapInArrow(_band_keys(hashes, bands, rows), "key bigint, rep bigint")
+    keys = reps.mapInArrow(_band_keys(hashes, bands, rows), "key bigint, rep bigint, size int")
+    hot_keys = _hot_keys(keys, hot)
+    if hot_keys:
+        flagged = keys.withColumn("hot", F.col("key").isin(hot_keys))  # at most HOT_KEYS
+        crowded = stage(flagged.where("hot").select("rep").distinct(), "crowded")
+        keys = flagged.where("not hot").drop("hot")
     candidates = (
-        keys.withColumnRenamed("rep", "rep_a")
-        .join(keys.withColumnRenamed("rep", "rep_b"), "key")
-        .where("rep_a < rep_b")
+        keys.withColumnsRenamed({"rep": "rep_a", "size": "size_a"})
+        .join(keys.withColumnsRenamed({"rep": "rep_b", "size": "size_b"}), "key")
+        .where((F.col("rep_a") < F.col("rep_b")) & sizes_fit(threshold))
         .select("rep_a", "rep_b")
         .distinct()
     )
@@ -159,7 +191,29 @@ def near_duplicate_pairs(
     survivors = signed_pairs.select("rep_a", "rep_b", "sig_a", "sig_b").mapInArrow(
         _prune(hashes, least_matches(threshold, hashes, BATCH, miss)), "rep_a bigint, rep_b bigint"
     )
-    return verified(stage(survivors, "survivors"), lower, k, threshold), members
+    survivors = stage(survivors, "survivors")
+    if hot_keys:
+        survivors = survivors.unionByName(_crowded_pairs(crowded, lower, k, threshold)).distinct()
+    return verified(survivors, lower, k, threshold), members
+
+
+def _hot_keys(keys: DataFrame, hot: int) -> list[int]:
+    """Band keys that more than ``hot`` classes share, by a sketch of fixed size.
+
+    The sketch counts within its error; which keys are told hot changes the
+    way a pair is found, not whether it is found.
+    """
+    row = keys.agg(F.expr(f"approx_top_k(key, {HOT_KEYS}, {HOT_KEYS * 5})").alias("top")).first()
+    return [r["item"] for r in row["top"] or [] if r["count"] > hot]
+
+
+def _crowded_pairs(crowded: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Candidates among the classes of hot keys: those that share a rare shingle of their prefixes."""
+    rows = texts.join(crowded.withColumnRenamed("rep", "id"), "id", "left_semi").dropDuplicates(["id"]).withColumn("indexed", F.lit(True))
+    rows = stage(rows.select("id", "indexed", "text"), "crowded_texts")
+    found = stage(prefixes(rows, k, threshold, shingle_order(rows, k)), "crowded_prefixes")
+    pairs = prefix_candidates(prefix_tokens(found, "a"), prefix_tokens(found, "b"), threshold)
+    return stage(pairs.where("rep_a < rep_b"), "crowded_pairs")
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:

@@ -98,6 +98,29 @@ p AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g
 SELECT {columns} FROM p JOIN n a ON a.id = x JOIN n b ON b.id = y WHERE k * 10 >= 6 * (a.n + b.n - k)"""
 
 
+_LEAKS_SQL = _overlap_sql(
+    "pilot_records",
+    "record_id",
+    "list_filter(messages, lambda m: m.role = 'user')[1].content",
+    "split",
+    "a.side = 'train' AND b.side IN ('val', 'eval')",
+    "y AS eval_id, CAST(k AS DOUBLE) / (a.n + b.n - k) AS overlap",
+)
+
+
+def _groups_sql(origin: str, key: str, text: str) -> str:
+    """Classes of equal shingle sets, links between them, and their components by reachability."""
+    return f"""SELECT '{origin}' AS origin, id AS row_id, class_id, coalesce(links, 0) AS links FROM (
+WITH RECURSIVE w AS (SELECT DISTINCT {key} AS id, regexp_extract_all(lower({text}), '[a-z0-9_]+') AS w FROM {origin} WHERE {text} IS NOT NULL),
+s AS (SELECT id, unnest(list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM w WHERE len(w) > 2),
+c AS (SELECT id, count(*) AS n, min(id) OVER (PARTITION BY list_sort(list(g))) AS rep FROM s GROUP BY id),
+r AS (SELECT s.id, s.g, c.n FROM s JOIN c ON c.id = s.id AND c.rep = c.id),
+e AS (SELECT a.id AS x, b.id AS y FROM r a JOIN r b ON a.g = b.g AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) * 10 >= 6 * (a.n + b.n - count(*))),
+reach AS (SELECT rep AS x, rep AS y FROM c UNION SELECT reach.x, e.y FROM reach JOIN e ON e.x = reach.y),
+m AS (SELECT x, min(y) AS class_id FROM reach GROUP BY x), l AS (SELECT x, count(*) AS links FROM e GROUP BY x)
+SELECT c.id, m.class_id, l.links FROM c JOIN m ON m.x = c.rep LEFT JOIN l ON l.x = c.rep)"""
+
+
 _CODE_SQL = "SELECT '{origin}' AS origin, row_lo, row_hi FROM ({inner})"
 ORACLES: dict[str, str] = {
     "p5_found": _overlap_sql(
@@ -108,6 +131,11 @@ ORACLES: dict[str, str] = {
         "a.side = 'train' AND b.side IN ('val', 'eval')",
         "least(x, y) AS record_lo, greatest(x, y) AS record_hi",
     ),
+    "p5_report": f"""
+SELECT split, shape, source, count(*) AS records, count(overlap) AS leaked, CAST(coalesce(count_if(overlap >= 1), 0) AS BIGINT) AS leaked_exactly, CAST(coalesce(sum(train_records), 0) AS BIGINT) AS train_links FROM (
+  SELECT DISTINCT ON (record_id) record_id AS eval_id, split, _meta.shape AS shape, lower(regexp_replace(_meta.source, '^\\s+|\\s+$', '', 'g')) AS source FROM pilot_records WHERE split IN ('val', 'eval')
+) f LEFT JOIN (SELECT eval_id, count(*) AS train_records, max(overlap) AS overlap FROM ({_LEAKS_SQL}) GROUP BY eval_id) USING (eval_id) GROUP BY ALL""",
+    "p6_groups": " UNION ALL ".join(_groups_sql(*origin) for origin in (("fix_pairs", "pair_id", "vuln_code"), ("shape1", "task_no", "code"))),
     "p6_found": " UNION ALL ".join(
         _CODE_SQL.format(origin=origin, inner=_overlap_sql(origin, key, text, "NULL", "a.id < b.id", "x AS row_lo, y AS row_hi"))
         for origin, key, text in (("fix_pairs", "pair_id", "vuln_code"), ("shape1", "task_no", "code"))

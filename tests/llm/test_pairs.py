@@ -5,7 +5,7 @@ import pytest
 
 from lodestrata.llm.catalog import QUERIES
 from lodestrata.llm.components import connected_components
-from lodestrata.llm.near_duplicates import expand, least_matches, near_duplicate_groups, near_duplicate_pairs
+from lodestrata.llm.near_duplicates import expand, least_matches, miss_rate, near_duplicate_groups, near_duplicate_pairs
 from lodestrata.llm.split_overlap import cross_split_pairs, shingle_order
 from tests.llm.test_shingles import brute
 
@@ -47,6 +47,22 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == sorted(near(sets, list(sets)))
 
 
+@pytest.mark.parametrize("hot", [3, 10**6])
+def test_hot_bands_lose_nothing(spark, hot):
+    rng = random.Random(11)
+    head = " ".join(f"licence{i}" for i in range(40))
+    texts = [head + " " + " ".join(f"w{rng.randint(0, 400)}" for _ in range(rng.randint(5, 60))) for _ in range(60)]
+    texts += [t.replace("w1", "v1", 2) for t in texts[:20]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    pairs, members = near_duplicate_pairs(df, k=3, threshold=0.6, hot=hot)
+    sets = {i: brute(t, 3) for i, t in enumerate(texts)}
+    assert sorted(map(tuple, expand(pairs, members).collect())) == sorted(near(sets, list(sets)))
+
+
+def test_pruning_misses_what_is_said():
+    assert round(miss_rate(0.6, least_matches(0.6, 128, 32, 1e-4)), 6) <= 3e-4 and miss_rate(0.8, least_matches(0.6, 128, 32, 1e-4)) < 1e-8
+
+
 def test_hot_group_of_copies_and_groups(spark):
     rows = [(i, "one two three four five six") for i in range(200)] + [(300 + i, t) for i, t in enumerate(edited(random.Random(1), 40))]
     df = spark.createDataFrame(rows, "id long, text string")
