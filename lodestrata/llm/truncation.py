@@ -12,12 +12,15 @@ sentences, and the lengths of the texts of each source. Around them stand
   context that hardly ever ends a sentence was cut between words. Ends of
   whole texts without an end mark count as ends only beside contexts that are
   known otherwise, as they may be cuts themselves;
-* length evidence: a source in which texts without an end pile up at one
-  length cuts there, and weaker context evidence is enough for such a text.
+* length evidence: a source in which far more texts without an end have one
+  length than have the lengths near it cuts there; a text that ends openly at
+  such a length is cut unless its last words plainly end a sentence.
 
 The second pass looks at the end of every text and keeps those that are not
 clearly complete, with what the statistics have to decide about. Open code
-spans, open tags, open brackets and signs of omission decide at once.
+spans, open tags, open brackets and signs of omission decide where the
+vocabulary and the lengths do not. Code between tags is looked at too: tags may
+be put around what was cut before.
 """
 
 from __future__ import annotations
@@ -29,26 +32,30 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lodestrata.llm.prose import CODE_TAGS, FIELDS, INVISIBLE, TICKS, has_visible, is_code_line, prose_lines, split_sentences
+from lodestrata.llm.prose import CODE_TAGS, FIELDS, INVISIBLE, TICKS, has_visible, is_code_line, mostly_code, prose_lines, split_sentences
 from lodestrata.llm.residue import residue_segments
 from lodestrata.staging import stage
 
 #: A context that ends a sentence less often than this is no end; with length evidence the second holds.
-RARE_END, RARE_END_AT_LIMIT = 0.1, 0.5
+RARE_END, RARE_END_AT_LIMIT = 0.1, 0.8
 #: Occurrences a context needs to count as evidence.
 LEAST_SEEN = 3
 #: A piece is known if it occurs at least this often, and this often for each word it begins.
 KNOWN_COUNT, KNOWN_RATIO = 2, 1e-3
-#: A length is a limit if so many unended texts of a source have it, and this share of its texts of that length.
-LIMIT_ROWS, LIMIT_SHARE, LIMIT_PEAK = 5, 0.5, 8.0
+#: Shares of lines that end like statements, and with a semicolon, from which on a last line without end is cut.
+STATEMENT_SHARE, SEMICOLON_SHARE = 0.6, 0.25
+#: A length is a limit if so many unended texts of a source have it, this share of its texts of that length, and so
+#: many times as many as a length near it, up to so many characters away, has on average.
+LIMIT_ROWS, LIMIT_SHARE, LIMIT_PEAK, LIMIT_NEAR = 5, 0.5, 8.0, 10
 #: Longest run of letters that is a word (longer ones are data); counters are handed on beyond so many keys.
 WORD_LETTERS, MOST_KEYS = 64, 200_000
 
 #: Signs that something was left out, at the end of a text. Fixed values.
 SIGN = re.compile(
     r"(?:\.{3,}|…+|�+"
-    r"|[\[(<{]\s*(?:\.{2,}|…|(?:output |text |message |trace )?(?:truncated|cut(?: off)?|snip(?:ped)?|shortened|abbreviated|clipped|omitted)|(?:read |see |show )?more|cont(?:inued|\.|'d)?|rest omitted)[^\])>}]{0,24}[\])>}]"
+    r"|[\[(<{]\s*(?:\.{2,}|…|(?:(?:output |text |message |trace )?(?:truncated|cut(?: off)?|snip(?:ped)?|shortened|abbreviated|clipped|omitted)|(?:read |see |show )?more|cont(?:inued|\.|'d)?|rest omitted)(?!\w))[^\])>}]{0,24}[\])>}]"
     r"|-{2,}\s*more\s*-{2,}|\b(?:read|show) more)\s*$",
     re.I,
 )
@@ -63,6 +70,10 @@ _TOKEN = re.compile(
 )
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿]")
 _IDENTIFIER = re.compile(r"[_$\d]|[a-z][A-Z]")
+_WRAPPED = re.compile(r"<(" + "|".join(CODE_TAGS) + r")>((?:(?!<\1>).)*)</\1>$", re.S | re.I)
+_CUT_LINE = re.compile(r"^\s{2,}\S|[({\[=]")
+_NAME = re.compile(r"[A-Za-z_$][\w$]*")
+_LAST_NAME = re.compile(r"[A-Za-z_$][\w$]*$")
 _CLOSED = re.compile(r"</(?:" + "|".join((*CODE_TAGS, "think")) + r")>$|```$", re.I)
 #: Characters at the end of a text in which its last piece, end mark or sign is sought (none is longer).
 _REACH = 96
@@ -131,10 +142,46 @@ def unbalanced(code: str) -> bool:
     tail = no_strings.rstrip().rsplit("\n", 1)[-1]
     if tail.count('"') % 2 or "`" in tail:
         return True
-    for a, b in ("()", "[]", "{}"):
+    # a block whose end got lost in its middle still ends with one
+    for a, b in ("()", "[]") if last.rstrip().endswith("}") else ("()", "[]", "{}"):
         if no_strings.count(a) > no_strings.count(b):
             return True
-    return bool(re.search(r"(?:[=+*/%&|^,.(\[<-]|->|&&|\|\|)\s*$", last)) and not last.rstrip().endswith(("++", "--", "*/", "/>", "->"))
+    return _dangling(last)
+
+
+def _dangling(line: str) -> bool:
+    """Whether a line of code ends with an operator that wants more."""
+    return bool(re.search(r"(?:[=+*/%&|^,.(\[<-]|->|&&|\|\|)\s*$", line)) and not line.rstrip().endswith(("++", "--", "*/", "/>", "->"))
+
+
+def wrapped_cut(code: str) -> bool:
+    """Whether code between tags stops inside its last statement.
+
+    Blocks left open do not count: the tags show that the piece is meant to
+    end here. A line without end is cut where most of the others have one, as
+    is one whose last name only begins another name of the code.
+    """
+    code = code.rstrip()
+    last = re.sub(r"\s+(?://|#\s).*$", "", code.rsplit("\n", 1)[-1]).rstrip()
+    if not is_code_line(last) and not _CUT_LINE.search(last) or last.lstrip().startswith(("//", "#", "*", "/*", "<!--")):
+        return False
+    closed = all(last.count(a) <= last.count(b) for a, b in ("()", "[]")) and last.count('"') % 2 == 0
+    if closed and last.endswith((";", "{", "}", ":", ")", "]", ">", '"', "'")):
+        return False
+    bare = re.sub(r"\"[^\"\n]*\"|'[^'\n]*'|`[^`]*`", "S", re.sub(r"(?m)//[^\n]*$|/\*.*?\*/", "", re.sub(r"\\.", "", code)))
+    if any(bare.count(a) > bare.count(b) for a, b in ("()", "[]")) or last.count('"') % 2 or _dangling(last):
+        return True
+    lines = [x.rstrip() for x in code.split("\n")[:-1] if x.strip()]
+    ends = Counter(x[-1] for x in lines)
+    if len(lines) > 2 and ends[";"] >= SEMICOLON_SHARE * len(lines) and ends[";"] + ends["{"] + ends["}"] >= STATEMENT_SHARE * len(lines):
+        return True
+    name = _LAST_NAME.search(last)
+    names = Counter(_NAME.findall(code)) if name else {}
+    return bool(name) and names[name.group()] == 1 and any(x.startswith(name.group()) and len(x) > len(name.group()) for x in names)
+
+
+def mostly_prose(body: str) -> bool:
+    return not mostly_code(body.strip().splitlines())
 
 
 def _open_tag(text: str) -> bool:
@@ -163,7 +210,8 @@ def look_at_end(text: str) -> tuple[str, str | None, str | None, list[str]] | No
         return ("cut", None, None, [])
     last_line = whole.rsplit("\n", 1)[-1]
     if _CLOSED.search(reach):
-        return None
+        inner = _WRAPPED.search(whole) if reach.endswith(">") else None
+        return ("cut", None, None, []) if inner and not mostly_prose(inner.group(2)) and wrapped_cut(inner.group(2)) else None
     if last_line.count("`") % 2:
         # a template literal of a code text may span lines; a code span of prose does not
         return ("cut", None, None, []) if not is_code_line(last_line) or whole.count("`") % 2 else None
@@ -286,7 +334,11 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = look_at_end(text)
             if seen is None:
                 continue
-            rows.append((at, *seen, len(text), len(text.encode("utf-8", "replace"))))
+            verdict, piece, kind, found = seen
+            if verdict == "cut":  # what the vocabulary and the lengths say of it comes first
+                last = _LAST_PIECE.search(body_of(text)[-_REACH:])
+                piece = (pieces_of(last.group(1)) or [None])[-1] if last else None
+            rows.append((at, verdict, piece, kind, found, len(text), len(text.encode("utf-8", "replace"))))
         if rows:
             at, verdict, piece, kind, context, chars, octets = zip(*rows, strict=True)
             where = pa.array(at)
@@ -339,9 +391,10 @@ def _limits(lengths: DataFrame) -> DataFrame:
         .groupBy("part", "source", "unit", "size")
         .agg(F.sum("n").alias("n"), F.sum("unended").alias("unended"))
     )
-    around = counted.groupBy("part", "source", "unit").agg((F.sum("unended") / F.count("*")).alias("usual"))
+    # a row is a length, of which a source has as many as its longest text has characters at most
+    near = Window.partitionBy("part", "source", "unit").orderBy("size").rangeBetween(-LIMIT_NEAR, LIMIT_NEAR)
     return (
-        counted.join(around, ["part", "source", "unit"])
+        counted.withColumn("usual", (F.sum("unended").over(near) - F.col("unended")) / (2 * LIMIT_NEAR))
         .where((F.col("unended") >= LIMIT_ROWS) & (F.col("unended") >= LIMIT_SHARE * F.col("n")) & (F.col("unended") >= LIMIT_PEAK * F.col("usual")))
         .select("part", "source", "unit", "size")
     )
@@ -355,9 +408,10 @@ def truncated_texts(texts: DataFrame, part: str | None = None, residue: DataFram
     origin, row_id, part of the texts of problem 3, if they are known already.
 
     ``texts``: origin, row_id, part, source, text; other columns are ignored.
-    evidence is ``sign`` (the text shows it: an omission sign, an open span,
-    tag or bracket), ``word`` (cut inside a word) or ``context`` (cut between
-    words). Null, empty and blank texts, and texts of residue, are none; a
+    evidence is the first of ``word`` (its last piece is an unknown proper
+    prefix of known words), ``length`` (it ends openly at a length at which its
+    source cuts), ``sign`` (the text shows it: an omission sign, an open span,
+    tag or bracket) and ``context`` (cut between words) that holds. Null, empty and blank texts, and texts of residue, are none; a
     null source is a source of its own; repeated rows stay repeated; an empty
     table gives no rows.
     """
@@ -374,7 +428,7 @@ def truncated_texts(texts: DataFrame, part: str | None = None, residue: DataFram
         ),
         "ends",
     )
-    undecided = ends.where("verdict = 'open'").withColumn("row", F.xxhash64("origin", "row_id", "part", "piece", "contexts"))
+    undecided = ends.withColumn("row", F.xxhash64("origin", "row_id", "part", "piece", "contexts"))
     pieces = undecided.where("piece is not null").select("piece", "kind").distinct()
     vocabulary = statistics.where("kind in ('w', 'c')").groupBy("key").agg(F.sum("n").alias("n"))
     known = _known(vocabulary, pieces.select("piece").distinct())
@@ -418,14 +472,17 @@ def truncated_texts(texts: DataFrame, part: str | None = None, residue: DataFram
         .withColumn(
             "evidence",
             F.when(F.col("unknown_prefix"), "word")
+            .when((F.col("verdict") == "cut") & at_limit, "length")
+            .when(F.col("verdict") == "cut", "sign")
             # in prose no sentence knows the last token: the beginning of a word, even if it is one elsewhere
             .when(F.col("prefix") & (F.size("contexts") > 0) & F.col("end_share").isNull(), "word")
-            .when(F.col("end_share") < F.when(at_limit, RARE_END_AT_LIMIT).otherwise(RARE_END), "context"),
+            .when(at_limit & (F.col("end_share") < RARE_END_AT_LIMIT), "length")
+            .when(F.col("end_share") < RARE_END, "context"),
         )
         .where("evidence is not null")
     )
     names = ["origin", "row_id", "part", "source"]
-    cut = ends.where("verdict = 'cut'").select(*names, F.lit("sign").alias("evidence")).unionByName(decided.select(*names, "evidence"))
+    cut = decided.select(*names, "evidence")
     if residue is None:
         residue = residue_segments(rows).select("origin", "row_id", "part").distinct()
     return cut.join(residue, ["origin", "row_id", "part"], "left_anti")

@@ -125,6 +125,38 @@ def test_truncation_against_cuts_of_known_texts(spark):
     assert U.truncated_texts(spark.createDataFrame([], TEXTS)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "code,cut",
+    [
+        ("a = one();\nb = two();\nc = three();\nfor (const item of order.par", True),
+        ("a = one();\nb = two();\nc = three();\nreturn valu", True),
+        ("def f(x):\n    first = g(x)\n    return fir", True),
+        ("def f(x):\n    first = g(x)\n    return first", False),
+        ("func f() error {\n\tif x {\n\t\ty()\n\t}\n\treturn nil\n}", False),
+        ("func f() error {\n\tif x {\n\t\ty()\n\t}\n\treturn nil", False),
+        ("a = one();\nb = two();\nc = three();\n}  // todo: drop this once it ships", False),
+        ("if (a) {\n  while (b) {\n  c();\n}", False),  # a block's end got lost inside
+        ("The value is bound before the call", False),
+        ("", False),
+    ],
+)
+def test_code_cut_before_it_was_wrapped(code, cut):
+    text = f"<SCAN>\n{code}\n</SCAN>"
+    assert (U.look_at_end(text) is not None) == cut
+
+
+def test_names_in_brackets_are_no_signs():
+    assert not any(U.SIGN.search(t) for t in ("a.b(control_margin)", "f(content_id)", "(morellos)", "x(snippets)"))
+    assert all(U.SIGN.search(t) for t in ("so (more)", "and [cont.]", "it [truncated]", "a (continued on the next page)", "the <snip>", "b [...]"))
+
+
+def test_limits_stand_out_from_the_lengths_near_them(spark):
+    rows = [("l", f"trace\tfeed\tc\t{size}\t0", n) for size, n in [(200, 30), (199, 3), (198, 3), (140, 6), (141, 6), (142, 7), (139, 5), (138, 6), (300, 4)]]
+    rows += [("l", "trace\tfeed\tc\t200\t1", 5), ("l", "trace\tother\tc\t90\t0", 8), ("l", "trace\tother\tc\t90\t1", 9)]
+    got = U._limits(spark.createDataFrame(rows, "kind string, key string, n long")).collect()
+    assert [(r["source"], r["size"]) for r in got] == [("feed", 200)]
+
+
 def test_length_evidence(spark):
     rows, n = corpus()
     cut = [("findings", n + i, "trace", "fixed", (GOOD[i % 2] + " " + GOOD[(i + 1) % 2])[: 120 + (i % 3 == 2) * 0]) for i in range(12)]
