@@ -29,7 +29,7 @@ from lodestrata.llm.truncation import truncated_texts
 from lodestrata.staging import stage
 
 #: A copy: with the question as dictionary it takes at most this share of its own compressed size, or so few
-#: bytes (a lead-in) and the second share. Shorter answers are no copies.
+#: bytes (a lead-in) and the second share. Texts of fewer than COPY_BYTES bytes are compared as they are.
 COPY_SHARE, COPY_LEAD_IN, COPY_SHARE_WITH_LEAD_IN, COPY_BYTES, COPY_LEVEL = 0.25, 40, 0.5, 40, 3
 #: Lead over the next language that a sentence needs; letters of another script that count.
 LEAST_LEAD, LEAST_LETTERS = 0.3, 4
@@ -56,15 +56,15 @@ REFUSAL = re.compile(
 )
 _VERDICT = re.compile(r"(?im)^\s*(?:status|cwe)\s*:\s*\S")
 
-#: Common function words and words of review requests by language. Fixed values.
+#: Articles, pronouns, prepositions, conjunctions, auxiliaries and common adverbs by language. Fixed values.
 FUNCTION_WORDS = {
-    "en": "the and of to is are was were in that which with for this by from before after not be as it its on at or an only so because then when into can has have does do than between no never any all been who what they you your code function review check data flow explain verdict line look decide whether report value output list user parameter",
-    "es": "el la los las un una y de del que en por para con sin se es son no al lo su sus como pero más desde hasta entre sobre antes después puede cuando donde quien qué ninguna esta este estas código función segura seguro veredicto frases completas revisa siguiente explica flujo datos justifica conviene valor línea",
-    "de": "der die das und ist sind nicht ein eine einen einem einer mit von zu zum zur im in den dem des auf für aus nach vor durch wird werden kann sollte auch es wenn wie bei keine kein deshalb bevor hat als funktion sicher urteil sätzen ganzen begründe bitte prüfe folgenden erkläre datenfluss wert zeile man wer",
-    "fr": "le la les un une et de du des que qui est sont ne pas dans par pour avec sans sur au aux il elle ce cette ces avant après donc peut vers entre aucun seulement on se fonction sûre sûr phrases complètes suivant expliquez flux données valeur ligne faudrait",
-    "pt": "o a os as um uma e de do da dos das que em no na nos nas por para com sem se é são não ao à pelo pela como mas mais entre sobre antes depois pode quando onde quem nenhuma esta este também isso função segura seguro veredito frases completas código seguinte explique fluxo dados valor linha melhor",
-    "it": "il lo la gli le un una e di del della che in per con senza si è sono non al alla come ma più da dal tra prima dopo può quando dove chi nessun questo questa",
-    "nl": "de het een en van dat die in is zijn niet met voor op aan door naar uit bij wordt worden kan ook als maar om te geen voordat deze dit",
+    "en": "the a an and or but nor so yet if then than because while when where who whom which whose what that this these those of to in on at by for from with without into onto over under before after between through during about against above below up down out off is are was were be been being am do does did has have had can could will would shall should may might must not no never any all each every both few more most other some such only own same too very just also again once here there it its he she they them their we us our you your i me my as how why whether",
+    "es": "el la los las un una unos unas lo al del de a ante bajo con contra desde durante en entre hacia hasta mediante para por según sin sobre tras y e o u ni pero sino aunque porque pues si cuando donde como que quien quienes cual cuales cuyo qué quién cuál cómo cuándo dónde este esta estos estas ese esa esos esas aquel aquella esto eso yo tú él ella nosotros ellos ellas me te se nos les le su sus mi tu nuestro no sí ya más menos muy también tampoco siempre nunca antes después solo cada todo toda todos todas ninguno ninguna alguna alguno es son era fue ser está están estar ha han haber hay puede pueden debe deben tiene",
+    "de": "der die das den dem des ein eine einen einem einer eines und oder aber sondern denn weil dass ob wenn als wie wo wer wen wem was welche welcher welches dieser diese dieses diesem diesen jener jede jeder jedes alle kein keine keinen keinem man ich du er sie es wir ihr mich dich sich uns mein dein sein ihre ihrer seine in im an am auf aus bei beim bis durch für gegen hinter mit nach neben ohne seit über um unter von vom vor während wegen zu zum zur zwischen ist sind war waren sein bin hat haben hatte wird werden wurde kann können soll sollte muss müssen darf nicht nie noch nur schon sehr auch so dann hier dort immer bevor nachdem deshalb damit",
+    "fr": "le la les l un une des du de d au aux à dans en sur sous par pour avec sans chez vers entre contre depuis pendant avant après et ou mais donc car ni si que qui quoi dont où quand comme lorsque puisque parce afin ce cet cette ces celui celle ceux il elle on nous vous ils elles je tu me te se lui leur leurs son sa ses mon ma mes ton notre votre ne pas plus jamais rien aucun aucune tout toute tous toutes chaque même aussi très bien ainsi puis alors est sont était être été a ont avoir avait peut peuvent doit doivent fait faut",
+    "pt": "o a os as um uma uns umas ao aos à às do da dos das de no na nos nas em num numa por pelo pela pelos pelas para com sem sob sobre entre até desde contra antes depois e ou mas nem porém portanto porque pois se quando onde como que quem qual quais cujo este esta estes estas esse essa isso isto aquele aquela eu tu ele ela nós eles elas me te lhe lhes seu sua seus suas meu minha não sim já mais menos muito também sempre nunca só cada todo toda todos todas nenhum nenhuma algum alguma é são era foi ser está estão estar há tem têm ter pode podem deve devem",
+    "it": "il lo la i gli le un uno una di del dello della dei degli delle a al allo alla ai agli alle da dal dalla in nel nella con su sul sulla per tra fra e o ma però perché se quando dove come che chi cui quale questo questa questi quello quella io tu lui lei noi voi loro mi ti si ci vi suo sua non più meno molto anche sempre mai prima dopo ogni tutto tutti nessun nessuna è sono era essere stato ha hanno avere può possono deve devono",
+    "nl": "de het een en of maar want dus omdat als dan toen dat die dit deze wie wat waar hoe wanneer welke ik je jij hij zij ze wij we jullie u mij hem haar ons hun zijn mijn van in op aan bij met naar uit voor door over onder tussen tegen zonder om te tot is was waren wordt worden werd heeft hebben had kan kunnen moet moeten mag niet geen nooit ook nog al alleen zeer hier daar elke alle voordat nadat",
 }
 _LANGUAGE_OF = {}
 for _language, _words in FUNCTION_WORDS.items():
@@ -140,8 +140,6 @@ def copy_sizes(answer: str, question: str) -> tuple[int, int]:
     import zstandard
 
     a, q = folded(answer), folded(question)
-    if len(a) < COPY_BYTES or len(q) < 8:
-        return 1, 1
     size = 1 << max(10, min(27, (len(a) + len(q)).bit_length() + 1))
     settings = zstandard.ZstdCompressionParameters.from_level(
         COPY_LEVEL, window_log=size.bit_length() - 1, write_content_size=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS
@@ -152,7 +150,13 @@ def copy_sizes(answer: str, question: str) -> tuple[int, int]:
 
 
 def is_copy(answer: str, question: str) -> bool:
-    """Whether the question explains nearly all of the answer, but for a lead-in."""
+    """Whether the question explains nearly all of the answer, but for a lead-in.
+
+    Texts too short to show anything by their compression have to be equal.
+    """
+    a, q = folded(answer), folded(question)
+    if len(a) < COPY_BYTES or len(q) < COPY_BYTES:
+        return bool(a) and a == q
     known, plain = copy_sizes(answer, question)
     return known <= COPY_SHARE * plain or (known <= COPY_LEAD_IN and known <= COPY_SHARE_WITH_LEAD_IN * plain)
 

@@ -202,6 +202,8 @@ QUESTION = "Review the snippet.\n<SCAN>\ndef handler(request_name):\n    value =
         (QUESTION, "Sorry wording in the comment aside, `value` cannot influence `render`.", None),
         (QUESTION, "I can't find a path from `value` to `render` that avoids the check.", None),
         (QUESTION, "TBD", None),
+        ("Is x safe?", "is  X safe?", "copy"),
+        ("Is x safe?", "safe", None),
         (QUESTION, "The lines\n    value = lookup(request_name)\nmatter here. The value of `value` is checked before it is shown, so this is safe.", None),
     ],
 )
