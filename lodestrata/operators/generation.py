@@ -6,12 +6,16 @@ is declared here is the table of tasks before it and the filter after it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions import text as T
+from lodestrata.operators.prediction import predict
 from lodestrata.operators.sampling import interleave_slot, per_group, round_robin
+from lodestrata.staging import stage
 
 VERDICT_FORM = "<think> ... </think>\nstatus: confirmed | safe\ncwe: CWE-<n> | none\nseverity: HIGH | MEDIUM | LOW | none\nline: <n> | none\ntrace: source -> sink\nfix: <one line> | none"
 
@@ -90,6 +94,68 @@ def correction_prompt(prompt: Column, failed: Column) -> Column:
     return F.concat(prompt, F.lit("\n\nYour last answer was rejected:\n"), F.array_join(told, "\n"))
 
 
+#: Frame of example answers in a prompt, and what each kind shows of an example. Fixed values.
+EXEMPLAR_HEAD, EXEMPLAR_END = "=== EXEMPLAR(S) — match this style of {0} ===", "=== END EXEMPLARS ==="
+EXEMPLAR_STYLES = {"shape1": "specificity", "shape3": "cross-file tracing", "shape4": "synthesis"}
+
+
+def exemplar_block(shape: str, examples: list[dict[str, str]], on: bool = False) -> str:
+    """Examples for a prompt of ``shape``, '' unless asked for.
+
+    An example maps headings (CODE, INPUT, OUTPUT ...) to texts, in the order
+    they are shown; ``note`` goes into its title line.
+    """
+    if not on or not examples:
+        return ""
+    shown = [EXEMPLAR_HEAD.format(EXEMPLAR_STYLES.get(shape, "answers"))]
+    for n, example in enumerate(examples, 1):
+        note = f" ({example['note']})" if example.get("note") else ""
+        shown += [f"\n--- Example {n}{note} ---", *[f"{title}:\n{text}" for title, text in example.items() if title != "note"]]
+    return "\n".join([*shown, EXEMPLAR_END, ""])
+
+
+def context_answer(caller: Column, thought: Column, helper: Column, path: Column, source: Column, argument: Column) -> Column:
+    """Answer to a context prompt from its parts: the verdict waits for the helper."""
+    return F.format_string(
+        "<<<CALLER_CODE>>>\n%s\n<<<END_CALLER_CODE>>>\n\n<think>\n%s\n</think>\n\nstatus: needs_context\nopen_refs:\n  - %s (%s)\n"
+        "partial_trace: user input from %s flows into %s(%s) — verdict depends on %s's implementation\n",
+        caller, thought, helper, path, source, helper, argument, helper,
+    )
+
+
+def cross_file_answer(files: dict[str, tuple[Column, Column]], thought: Column, fields: dict[str, Column], follow_ups: Column) -> Column:
+    """Answer to a cross-file prompt: the code of every role (its file and text), the thought, the verdict's fields, what else to read."""
+    blocks = [F.format_string(f'<<<{role}_CODE file="%s">>>\n%s\n<<<END_{role}_CODE>>>\n\n', file, code) for role, (file, code) in files.items()]
+    lines = [F.concat(F.lit(f"{name}: "), F.coalesce(T.nonempty(value), F.lit("none")), F.lit("\n")) for name, value in fields.items()]
+    listed = F.array_join(F.transform(follow_ups, lambda r: F.concat(F.lit("  - "), r, F.lit("\n"))), "")
+    refs = F.when(F.size(follow_ups) > 0, F.concat(F.lit("follow_up_refs:\n"), listed)).otherwise("")
+    return F.concat(*blocks, F.lit("<think>\n"), thought, F.lit("\n</think>\n\n"), *lines, refs)
+
+
+def attempts(
+    tasks: DataFrame, generate: Callable[[list[str]], list[str]], check: Callable[[DataFrame], DataFrame], most: int, key: str = "key", prompt: str = "prompt"
+) -> DataFrame:
+    """``key``, raw_text, attempt, failed of every task: its first answer that passes, else its last one.
+
+    ``check`` adds ``failed`` (the names of failed gates) to ``key``, prompt,
+    raw_text. A failed task is tried again with a prompt that says what failed,
+    ``most`` times at most; every attempt works on what the one before left.
+    """
+    todo, done = tasks.select(key, prompt), None
+    for n in range(1, most + 1):
+        judged = stage(check(todo.join(predict(todo, generate, key=key, prompt=prompt), key)).withColumn("attempt", F.lit(n)), "attempt")
+        settled = judged if n == most else judged.where(F.size("failed") == 0)
+        settled = settled.select(key, "raw_text", "attempt", "failed")
+        done = settled if done is None else done.unionByName(settled)
+        todo = judged.where(F.size("failed") > 0).select(key, correction_prompt(F.col(prompt), F.col("failed")).alias(prompt))
+    return done
+
+
+def inflated(target: int, factor: float, more: int) -> int:
+    """Tasks to prepare for so many kept records."""
+    return int(target * factor) + more
+
+
 def best_candidate(candidates: DataFrame, task: str, score: Column) -> DataFrame:
     """Each task's best answer (columns ``task``, n, text), the first among equals."""
     return candidates.groupBy(task).agg(F.max_by("text", F.struct(score, -F.col("n"))).alias("text"))

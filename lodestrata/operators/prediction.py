@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
 from lodestrata.operators import quality as Q
+from lodestrata.operators import sampling
+from lodestrata.staging import stage
 
 
 def parse_shape1(answer: Column) -> Column:
@@ -90,6 +92,39 @@ def predict(prompts: DataFrame, function: Callable[[list[str]], list[str]], cach
     return made if cached is None else made.unionByName(cached.join(prompts.select(key), key, "left_semi").select(key, "raw_text"))
 
 
+def predict_resumable(prompts: DataFrame, function: Callable[[list[str]], list[str]], path: str, key: str = "key", prompt: str = "prompt", parts: int = 16) -> DataFrame:
+    """``key`` and raw_text of every prompt, kept in a table at ``path`` so that a broken run goes on where it stopped.
+
+    Prompts are taken in ``parts`` by a hash of their key; each part is written
+    before the next one starts, and a later run predicts only what the table
+    does not hold. Repeated keys are predicted once, null keys not at all.
+    """
+    from lodestrata.streaming.incremental import known_keys
+
+    spark = prompts.sparkSession
+    asked = prompts.where(F.col(key).isNotNull()).dropDuplicates([key])
+    todo = asked.join(known_keys(spark, path, asked.schema[key]), key, "left_anti")
+    todo = stage(todo.select(key, prompt, F.pmod(F.xxhash64(key), F.lit(parts)).alias("part")), "prompts")
+    for part in [r["part"] for r in todo.select("part").distinct().orderBy("part").collect()]:  # at most ``parts``
+        predict(todo.where(F.col("part") == part), function, key=key, prompt=prompt).write.mode("append").parquet(path)
+    kind = asked.schema[key].dataType.simpleString()
+    return spark.read.schema(f"{key} {kind}, raw_text string").parquet(path).join(asked.select(key), key, "left_semi").dropDuplicates([key])
+
+
+def judge_means(replies: DataFrame, most: int) -> DataFrame:
+    """(shape, criterion, judged, mean) over the replies of a judge, ``most`` for each shape at most.
+
+    ``replies``: shape, ord, reply (text with a JSON object of numbers by
+    criterion somewhere in it). Replies without such an object are not
+    counted; the first ones in ``ord`` are taken.
+    """
+    some = sampling.per_group(replies, ["shape"], ["ord"], most)
+    scores = some.select("shape", F.from_json(F.regexp_extract("reply", r"(?s)(\{.*\})", 1), "map<string,double>").alias("scores")).where(F.size("scores") > 0)
+    return scores.select("shape", F.explode("scores").alias("criterion", "score")).where("score is not null").groupBy("shape", "criterion").agg(
+        F.count("*").alias("judged"), F.avg("score").alias("mean")
+    )
+
+
 def cache_key(predictor: str, shape: Column, user: Column) -> Column:
     return F.sha2(F.concat_ws("\x00", F.lit(predictor), shape, user), 256)
 

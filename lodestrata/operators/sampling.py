@@ -75,20 +75,34 @@ def weighted_with_replacement(weights: DataFrame, key: str, weight: str, draws:
     return draws.withColumn("strata", table.scalar()).withColumn(key, F.coalesce(hit, last)).drop("strata")
 
 
-def budget_prefix(df: DataFrame, order: str, size: str, budget: int, buckets: int = 1024) -> DataFrame:
+def budget_prefix(df: DataFrame, order: str, size: str, budget: int, buckets: int = 1024, most_rows: int = 100_000) -> DataFrame:
     """Rows in ``order`` as long as their running ``size`` stays within ``budget``.
 
-    Sizes are summed by range of ``order`` first, so only the one range in
-    which the budget ends is ever ordered row by row. ``order`` is an integer.
+    Sizes are summed by range of ``order``; the range in which the budget ends
+    is cut into ranges again, until it has at most ``most_rows`` rows (or one
+    value of ``order``). Only these are ordered row by row. ``order`` is an
+    integer; rows of a null order are left out, a null size counts as 0.
     """
-    low, high = df.agg(F.min(order)).scalar(), df.agg(F.max(order)).scalar()
-    spread = df.withColumn("_bucket", F.floor((F.col(order) - low) * buckets / (high - low + 1)).cast("int"))
-    whole = spread.groupBy("_bucket").agg(F.sum(size).alias("_sum"))
-    before = whole.withColumn("_before", F.sum("_sum").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum"))
-    open_ = before.where(F.col("_before") <= budget)
-    kept = spread.join(F.broadcast(open_), "_bucket")  # at most ``buckets`` rows
-    inside = kept.where(F.col("_before") + F.col("_sum") <= budget)
-    edge = kept.where(F.col("_before") + F.col("_sum") > budget).withColumn(
-        "_run", F.col("_before") + F.sum(size).over(Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    )
-    return inside.select(*df.columns).unionByName(edge.where(F.col("_run") <= budget).select(*df.columns))
+    size_of = F.coalesce(F.col(size), F.lit(0))
+    ends = df.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
+    if ends["low"] is None:
+        return df.limit(0)
+    low, high, before = int(ends["low"]), int(ends["high"]), 0
+    while True:
+        width = -(-(high - low + 1) // buckets)
+        inside = df.where(F.col(order).between(low, high)).withColumn("_range", F.floor((F.col(order) - low) / width))
+        ranges = inside.groupBy("_range").agg(F.sum(size_of).alias("size"), F.count("*").alias("rows")).orderBy("_range").collect()  # at most ``buckets``
+        edge = None
+        for r in ranges:
+            if before + r["size"] > budget:
+                edge = r
+                break
+            before += r["size"]
+        if edge is None:
+            return df.where(F.col(order) <= high)
+        low, high = low + int(edge["_range"]) * width, min(high, low + (int(edge["_range"]) + 1) * width - 1)
+        if edge["rows"] <= most_rows or low == high:
+            break
+    run = F.lit(before) + F.sum(size_of).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    last = df.where(F.col(order).between(low, high)).withColumn("_run", run).where(F.col("_run") <= budget).drop("_run")
+    return df.where(F.col(order) < low).unionByName(last)

@@ -150,11 +150,11 @@ def rank_findings(spark: SparkSession, d: str) -> DataFrame:
     return O.ranked(corpus.findings(spark, d).where("owner_repo is not null and cwe is not null"))
 
 
-@query(D.query(D.FINDS, body="SELECT owner_repo, array_to_string(list_sort(list(DISTINCT file)), ',') AS files FROM finds WHERE owner_repo IS NOT NULL AND file IS NOT NULL GROUP BY 1"))
+@query(D.query(D.FINDS, body="SELECT owner_repo, file, CAST(count(*) AS BIGINT) AS findings FROM finds WHERE owner_repo IS NOT NULL AND file IS NOT NULL GROUP BY ALL"))
 def project_map(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct files of each repository, in order."""
-    f = corpus.findings(spark, d).where("owner_repo is not null and file is not null").select("owner_repo", "file").distinct()
-    return f.groupBy("owner_repo").agg(F.array_join(F.array_sort(F.collect_list("file")), ",").alias("files"))
+    """Distinct files of each repository with their findings, one row a file: a repository may have any number of them."""
+    f = corpus.findings(spark, d).where("owner_repo is not null and file is not null")
+    return f.groupBy("owner_repo", "file").agg(F.count("*").alias("findings"))
 
 
 @query(D.query(D.PAIRS, body="SELECT source, language, cwe, CAST(count(*) AS BIGINT) AS n, CAST(grouping(source) * 4 + grouping(language) * 2 + grouping(cwe) AS BIGINT) AS level FROM pairs GROUP BY GROUPING SETS ((source), (language), (cwe))"))

@@ -13,7 +13,7 @@ from lodestrata.operators import quality as Q
 from lodestrata.operators import regions as R
 from lodestrata.operators import repair as repairs
 from lodestrata.operators import traces
-from lodestrata.operators.alignment import regions
+from lodestrata.operators.alignment import lines_of, regions
 from lodestrata.operators.repair import normalize_safe as normalize
 from lodestrata.operators.repair import repair
 from lodestrata.plans import duck as D
@@ -22,6 +22,29 @@ from lodestrata.sources import corpus, patches
 from lodestrata.sources.sniff import resolve
 
 
+_LINES_SQL = r"regexp_split_to_array({0}, '\r\n|[\n\r\v\f]')"
+
+
+@query(
+    D.query(
+        D.PAIRS,
+        f"sides AS (SELECT pair_id, {_LINES_SQL.format('vuln_code')} AS a, {_LINES_SQL.format('fixed_code')} AS b FROM pairs)",
+        "trimmed AS (SELECT pair_id, CASE WHEN a[-1] = '' THEN a[1:-2] ELSE a END AS a, CASE WHEN b[-1] = '' THEN b[1:-2] ELSE b END AS b FROM sides)",
+        body="SELECT pair_id, TRUE AS inside, TRUE AS named, coalesce(a = b, TRUE) AS untouched FROM trimmed",
+    ),
+    per_row=True,
+)
+def diff_region_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What has to hold of every region: its lines are lines of the code, its identifiers stand on one of the sides, equal or missing sides have none."""
+    p = corpus.pairs(spark, d).select("pair_id", "vuln_code", "fixed_code")
+    r = regions(p, "pair_id", "vuln_code", "fixed_code").join(p, "pair_id")
+    inside = F.forall("lines", lambda i: i.between(1, F.size(lines_of(F.col("vuln_code")))))
+    words = F.concat(T.identifiers(F.col("vuln_code")), T.identifiers(F.col("fixed_code")))
+    known = F.coalesce(F.size(F.array_except("identifiers", words)) == 0, F.size("identifiers") == 0)
+    nothing = (F.col("source") == "none") & (F.size("identifiers") == 0)
+    return r.select("pair_id", inside.alias("inside"), known.alias("named"), nothing.alias("untouched")).distinct()
+
+
 @query(per_row=True)
 def diff_region(spark: SparkSession, d: str) -> DataFrame:
     """Changed lines and identifiers of every fix (checked against the standard library's matcher in the tests)."""
@@ -280,7 +303,18 @@ def template_traces(spark: SparkSession, d: str) -> DataFrame:
     return R.vulnerable_traces(corpus.pairs(spark, d), "pair_id")
 
 
-@query(per_row=True)
+_CONTROL_SQL = f"coalesce({D.lookup({n: f.control for n, f in dims.FAMILIES.items()}, '(' + D.family('cwe') + ')')}, 'the untrusted input is validated/neutralized before any sink')"
+
+
+@query(
+    D.query(
+        D.PAIRS,
+        body=f"""SELECT pair_id, '<think>' || chr(10) || '1. Untrusted input is present but reaches no dangerous sink unguarded.' || chr(10) || '2. The code applies a control: ' || c || '.' || chr(10)
+  || '3. That control neutralizes the risk, so the code is safe.' || chr(10) || '</think>' || chr(10) || 'status: safe' || chr(10) || 'cwe: none' || chr(10) || 'severity: none' || chr(10) || 'line: none' || chr(10)
+  || 'trace: input is neutralized by ' || trim(string_split(c, ';')[1]) || ' before any sink' || chr(10) || 'fix: none' AS trace FROM (SELECT *, {_CONTROL_SQL} AS c FROM pairs WHERE {D.nonblank_lines('fixed_code')} >= 3)""",
+    ),
+    per_row=True,
+)
 def safe_traces(spark: SparkSession, d: str) -> DataFrame:
     """Safe traces of fixed code of three lines or more."""
     p = corpus.pairs(spark, d).where(T.nonblank_lines(F.col("fixed_code")) >= 3)

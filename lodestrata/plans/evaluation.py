@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from lodestrata.operators import quality as Q
 from lodestrata.plans import duck as D
 from lodestrata.plans.registry import query
 from lodestrata.sources import corpus
+from lodestrata.staging import own_folder, stage
 
 _PRED = f"""pred AS (SELECT record_id, shape, coalesce(language, 'unknown') AS language, {D.norm_label('label')} = 'vuln' AS vulnerable, {D.norm_label('label')} AS kind, cwes[1] AS primary_cwe,
   {D.prediction_status(D.field('status', 'answer'))} AS told, {D.first_cwe(D.last_field('cwe', 'answer'))} AS said_cwe, answer, usr, helper_fn, disposition, multi_hop, record_id % 5 = 0 AS flip FROM rec WHERE answer IS NOT NULL),
@@ -173,14 +176,23 @@ def compare_runs_full_outer(spark: SparkSession, d: str) -> DataFrame:
     return M.compare(side("gold"), side("flipped"), ["shape"], ("fpr",))
 
 
-@query(D.query(D.REC, body=f"SELECT shape, CAST(count(*) AS BIGINT) AS judged, avg(specificity) AS mean_score FROM (SELECT shape, specificity, row_number() OVER (PARTITION BY shape ORDER BY {D.hash_order('judge', 'record_id')}) AS r FROM rec WHERE specificity IS NOT NULL) WHERE r <= 10 GROUP BY 1"))
+@query(
+    D.query(
+        D.REC,
+        f"picked AS (SELECT *, row_number() OVER (PARTITION BY shape ORDER BY {D.hash_order('judge', 'record_id')}) AS r FROM rec WHERE answer IS NOT NULL AND shape IS NOT NULL)",
+        "scores AS (SELECT shape, unnest(['fix_quality', 'reasoning_faithfulness']) AS criterion, unnest([CASE WHEN f = '' THEN NULL ELSE length(f) % 5 + 1 END, length(answer) % 5 + 1]) AS score FROM (SELECT *, "
+        + D.field("fix", "answer")
+        + " AS f FROM picked WHERE r <= 10))",
+        body="SELECT shape, criterion, CAST(count(score) AS BIGINT) AS judged, avg(score) AS mean FROM scores WHERE score IS NOT NULL GROUP BY ALL",
+    )
+)
 def judge_means(spark: SparkSession, d: str) -> DataFrame:
-    """Mean external score over ten records of each shape."""
-    from lodestrata.operators import sampling
-
-    r = corpus.records(spark, d).where("specificity is not null").select("record_id", "shape", "specificity")
-    some = sampling.per_group(r, ["shape"], [T.hash_order("judge", F.col("record_id"))], 10)
-    return some.groupBy("shape").agg(F.count("*").alias("judged"), F.avg("specificity").alias("mean_score"))
+    """Mean scores by criterion over the replies that a stand-in judge gives on ten records of each shape."""
+    fix = T.field("fix", F.col("answer"))
+    scores = F.struct(F.when(fix != "", F.length(fix) % 5 + 1).alias("fix_quality"), (F.length("answer") % 5 + 1).alias("reasoning_faithfulness"))
+    reply = F.concat(F.lit("My scores are:\n"), F.to_json(scores), F.lit("\nThey are final."))
+    rec = corpus.mapped(spark, d, "records", "answer is not null and shape is not null", "shape", T.hash_order("judge", F.col("record_id")).alias("ord"), reply.alias("reply"))
+    return P.judge_means(rec, 10)
 
 
 @query(
@@ -219,7 +231,23 @@ def synthesis_scores(spark: SparkSession, d: str) -> DataFrame:
     return rec.agg(F.count("*").alias("total"), *[F.count_if(c).alias(c) for c in rec.columns])
 
 
-@query()
+_KEY = "sha256('stub' || chr(0) || shape || chr(0) || usr)"
+_ASKED = f"asked AS (SELECT DISTINCT {_KEY} AS key FROM rec WHERE split = 'eval' AND usr IS NOT NULL AND shape IS NOT NULL)"
+
+
+@query(D.query(D.REC, _ASKED, body="SELECT key, 'status: safe' AS raw_text, TRUE AS kept FROM asked"))
+def predicted_resumably(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of a stand-in predictor that broke off after half of the questions and went on later."""
+    key = P.cache_key("stub", F.col("shape"), F.col("usr"))
+    asked = corpus.mapped(spark, d, "records", "split = 'eval' and usr is not null and shape is not null", key.alias("key"), F.col("usr").alias("prompt"))
+    path = f"{own_folder(spark)}/answers-{uuid.uuid4().hex}"
+    # what the first run wrote is set aside before the second one adds to the table
+    before = stage(P.predict_resumable(asked.where("key < '8'"), _stub, path), "answers").withColumnRenamed("raw_text", "before")
+    after = P.predict_resumable(asked, _stub, path)
+    return after.join(before, "key", "left").select("key", "raw_text", F.coalesce(F.col("raw_text") == F.col("before"), F.lit(True)).alias("kept"))
+
+
+@query(D.query(D.REC, _ASKED, body="SELECT key, CASE WHEN key < '4' THEN 'cached' ELSE 'status: safe' END AS raw_text FROM asked"))
 def predicted_with_cache(spark: SparkSession, d: str) -> DataFrame:
     """Answers of a stand-in predictor for every evaluation question, cached ones not predicted again."""
     key = P.cache_key("stub", F.col("shape"), F.col("usr"))

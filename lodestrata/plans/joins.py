@@ -155,15 +155,16 @@ def gold_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT b.doc_id AS before_id, a.doc_id AS after_id, b.owner_repo, b.path FROM documents b JOIN documents a ON b.owner_repo = a.owner_repo AND b.path = a.path
-WHERE b.kind = 'code' AND a.kind = 'patch'"""
+    """SELECT b.finding_id, b.status AS before_status, a.status AS after_status, date_diff('hour', b.ingested_at, a.ingested_at) AS hours
+FROM findings b JOIN findings a ON a.finding_id = b.finding_id AND a.ingested_at > b.ingested_at"""
 )
 def before_after_inner_join(spark: SparkSession, d: str) -> DataFrame:
-    """Code files and patches of the same repository and path."""
-    docs = corpus.documents(spark, d)
-    before = docs.where("kind = 'code'").select(F.col("doc_id").alias("before_id"), "owner_repo", "path")
-    after = docs.where("kind = 'patch'").select(F.col("doc_id").alias("after_id"), "owner_repo", "path")
-    return before.join(after, ["owner_repo", "path"])
+    """Findings that were delivered twice: the row before beside the row after."""
+    f = corpus.table(spark, d, "findings").select("finding_id", "status", "ingested_at")
+    before = f.select("finding_id", F.col("status").alias("before_status"), F.col("ingested_at").alias("before_at"))
+    after = f.select("finding_id", F.col("status").alias("after_status"), F.col("ingested_at").alias("after_at"))
+    hours = F.timestamp_diff("HOUR", F.date_trunc("hour", "before_at"), F.date_trunc("hour", "after_at"))
+    return before.join(after, "finding_id").where("after_at > before_at").select("finding_id", "before_status", "after_status", hours.alias("hours"))
 
 
 @query(
@@ -259,6 +260,26 @@ def title_containment(spark: SparkSession, d: str) -> DataFrame:
     return corpus.findings(spark, d).select("finding_id", F.size(named).cast("bigint").alias("named"))
 
 
+@query(
+    D.query(
+        D.REC,
+        "asked AS (SELECT record_id, lower(unnest(regexp_extract_all(usr, '(?m)^- \\[[A-Z]+\\] \\S+ \\S+: (.+)$', 1))) AS title FROM rec WHERE usr LIKE '%<SYNTHESIZE>%')",
+        f"told AS (SELECT DISTINCT record_id, lower(unnest(list_filter(string_split({D.think('answer')}, chr(10)), lambda x: length(x) >= 20))) AS title FROM rec WHERE usr LIKE '%<SYNTHESIZE>%')",
+        body="""SELECT t.record_id, CAST(count(*) AS BIGINT) AS titles, CAST(count_if(EXISTS (SELECT 1 FROM asked a WHERE a.record_id = t.record_id AND (contains(t.title, a.title) OR contains(a.title, t.title)))) AS BIGINT) AS known
+FROM told t GROUP BY 1""",
+    ),
+    per_row=True,
+)
+def title_theta(spark: SparkSession, d: str) -> DataFrame:
+    """Titles that a synthesis tells and how many of them contain, or lie in, a title it was asked about."""
+    r = corpus.records(spark, d).where("usr like '%<SYNTHESIZE>%'")
+    asked = F.transform(F.regexp_extract_all("usr", F.lit(r"(?md)^- \[[A-Z]+\] \S+ \S+: (.+)$"), 1), F.lower)
+    told = F.array_distinct(F.transform(F.filter(F.split(T.think(F.col("answer")), "\n"), lambda x: F.length(x) >= 20), F.lower))
+    both = r.select("record_id", asked.alias("asked"), told.alias("told")).where("size(told) > 0")
+    known = F.filter("told", lambda t: F.exists("asked", lambda a: F.contains(t, a) | F.contains(a, t)))
+    return both.select("record_id", F.size("told").cast("bigint").alias("titles"), F.size(known).cast("bigint").alias("known"))
+
+
 @query(
     D.query(
         D.FINDS,

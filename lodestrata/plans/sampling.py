@@ -104,19 +104,9 @@ def quota_early_stop(spark: SparkSession, d: str) -> DataFrame:
     return corpus.tasks(spark, d).where("label = 'safe'").select("task_no").orderBy("task_no").limit(50)
 
 
-@query(D.query(D.FINDS, body=f"""SELECT file, CAST(count(*) AS BIGINT) AS n, coalesce(bool_and(rank >= nxt), TRUE) AS falls FROM (
-  SELECT file, rank, lead(rank) OVER (PARTITION BY file ORDER BY finding_id) AS nxt FROM (SELECT file, finding_id, coalesce(CAST({D.lookup({k: str(v) for k, v in dims.SEVERITY_RANK.items()}, 'upper(severity)')} AS INT), 0) AS rank FROM finds WHERE file IS NOT NULL AND finding_id % 3 = 0)) GROUP BY 1"""))
-def severity_monotonic(spark: SparkSession, d: str) -> DataFrame:
-    """Whether severities fall from finding to finding within a file (every third finding stands for a ranking)."""
-    rank = F.coalesce(dims.lookup({k: str(v) for k, v in dims.SEVERITY_RANK.items()}, F.upper("severity")).cast("int"), F.lit(0))
-    f = corpus.findings(spark, d).where("file is not null and finding_id % 3 = 0").select("file", "finding_id", rank.alias("rank"))
-    following = F.lead("rank").over(Window.partitionBy("file").orderBy("finding_id"))
-    return f.withColumn("nxt", following).groupBy("file").agg(F.count("*").alias("n"), F.coalesce(F.bool_and(F.col("rank") >= F.col("nxt")), F.lit(True)).alias("falls"))
-
-
 @query(D.query(D.FINDS, body=f"""SELECT file, CAST(count(*) AS BIGINT) AS n, coalesce(bool_and(rank >= nxt), TRUE) AS falls FROM (
   SELECT file, rank, lead(rank) OVER (PARTITION BY file ORDER BY finding_id) AS nxt FROM (SELECT file, finding_id, coalesce(CAST({D.lookup({k: str(v) for k, v in dims.SEVERITY_RANK.items()}, 'upper(severity)')} AS INT), 0) AS rank FROM finds WHERE file IS NOT NULL)) GROUP BY 1"""))
-def severity_monotonic_all(spark: SparkSession, d: str) -> DataFrame:
+def severity_monotonic(spark: SparkSession, d: str) -> DataFrame:
     """Whether severities fall from finding to finding within a file, over all of its findings.
 
     Neighbours are compared range by range of ids, and the last rank of a range
@@ -133,11 +123,18 @@ def severity_monotonic_all(spark: SparkSession, d: str) -> DataFrame:
     return ranges.withColumn("beyond", beyond).groupBy("file").agg(F.sum("n").alias("n"), (F.coalesce(falls[0], F.lit(True)) & F.coalesce(falls[1], F.lit(True))).alias("falls"))
 
 
-@query("SELECT [1, 2] = [1, 2] AS same, TRUE AS falls, FALSE AS rises")
+@query(
+    D.query(
+        D.REC,
+        body=r"""SELECT record_id, CAST(len(l) AS BIGINT) AS listed, coalesce(list_bool_and(list_transform(l, lambda x, i: i = len(l) OR x >= l[i + 1])), TRUE) AS falls FROM (
+  SELECT record_id, list_transform(regexp_extract_all(usr, '- \[(HIGH|MEDIUM|LOW)\]', 1), lambda s: CASE s WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END) AS l FROM rec WHERE usr IS NOT NULL)""",
+    ),
+    per_row=True,
+)
 def severity_arrays(spark: SparkSession, d: str) -> DataFrame:
-    """The in-row form of the same check on two literal rankings."""
-    falling, rising = F.array(*map(F.lit, ("HIGH", "MEDIUM", "LOW"))), F.array(*map(F.lit, ("LOW", "HIGH")))
-    return spark.range(1).select(F.lit(True).alias("same"), severities_fall(falling).alias("falls"), severities_fall(rising).alias("rises"))
+    """Whether the findings that a question lists fall in severity, within the row."""
+    listed = F.regexp_extract_all("usr", F.lit(r"- \[(HIGH|MEDIUM|LOW)\]"), 1)
+    return corpus.records(spark, d).where("usr is not null").select("record_id", F.size(listed).cast("bigint").alias("listed"), severities_fall(listed).alias("falls"))
 
 
 @query(
@@ -309,7 +306,16 @@ def short_ids(spark: SparkSession, d: str) -> DataFrame:
     return t.select("task_no", F.concat_ws(":", F.lit("shape1"), "source", dedup.fingerprint(F.col("code"), length=10)).alias("short_id"))
 
 
-@query()
+@query(
+    D.query(
+        D.TASKS,
+        f"""u AS (SELECT min(task_no) AS task_no FROM tasks WHERE code IS NOT NULL GROUP BY {D.strip('code')}),
+r AS (SELECT t.task_no, t.label, t.source, row_number() OVER (PARTITION BY t.label ORDER BY {D.hash_order('pool', 't.task_no')}) - 1 AS r FROM tasks t JOIN u USING (task_no) WHERE t.label IN ('safe', 'vuln')),
+s AS (SELECT *, CASE WHEN label = 'safe' THEN r * 10 // 3 ELSE (r // 7) * 10 + [1, 2, 4, 5, 7, 8, 9][r % 7 + 1] END AS slot FROM r WHERE r < 300),
+k AS (SELECT * FROM s ORDER BY slot LIMIT 300)""",
+        body="SELECT concat_ws(':', 'shape1', source, CAST(row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS VARCHAR)) AS task_id, label, task_no FROM k",
+    )
+)
 def ratio_tasks(spark: SparkSession, d: str) -> DataFrame:
     """The first 300 generation tasks of a pool in which every prefix is 30 % safe, with ids by source."""
     pool = corpus.tasks(spark, d).select(F.col("task_no").alias("ord"), "code", "language", "label", "source")
@@ -324,7 +330,17 @@ def balanced_tasks(spark: SparkSession, d: str) -> DataFrame:
     return generation.balanced_tasks(p.join(where, "pair_id"), 60).select("pair_id", "vuln_type")
 
 
-@query(per_row=True)
+_FORM = D.lit(generation.VERDICT_FORM)
+
+
+@query(
+    D.query(
+        D.TASKS,
+        body=f"""SELECT task_no, sha256(concat_ws(chr(10), 'Analyse this ' || coalesce(language, 'code') || ' code for one vulnerability. Trace the data flow over its real names.',
+  'A reviewer suspects ' || cwe || '.', '<SCAN>' || chr(10) || code || chr(10) || '</SCAN>', 'Answer in this form:' || chr(10) || {_FORM})) AS prompt_hash FROM tasks WHERE code IS NOT NULL""",
+    ),
+    per_row=True,
+)
 def prompts(spark: SparkSession, d: str) -> DataFrame:
     """Scan prompts of all tasks, as hashes."""
     t = corpus.tasks(spark, d).where("code is not null")
@@ -337,3 +353,33 @@ def best_candidate(spark: SparkSession, d: str) -> DataFrame:
     score = F.length(F.coalesce("trace", F.lit("")))
     f = corpus.mapped(spark, d, "findings", F.lit(True), (F.col("finding_id") % 40).alias("task"), F.col("finding_id").alias("n"), F.col("finding_id").alias("text"), score.alias("score"))
     return generation.best_candidate(f, "task", F.col("score")).withColumnRenamed("text", "finding_id")
+
+
+@query(D.query(D.TASKS, body="SELECT task_no, CAST(least(task_no % 4 + 1, 3) AS INT) AS attempt, task_no % 4 < 3 AS kept FROM tasks WHERE code IS NOT NULL"))
+def attempt_loop(spark: SparkSession, d: str) -> DataFrame:
+    """Three attempts of a stand-in generator at every task, failed ones corrected; it passes at attempt task_no % 4 + 1."""
+    named = F.concat_ws("\n", F.lit("task"), F.col("task_no").cast("string"))
+    tasks = corpus.mapped(spark, d, "tasks", "code is not null", "task_no", generation.scan_prompt(named, F.lit("python")).alias("prompt"))
+    check = lambda df: df.withColumn("failed", F.when(F.col("raw_text") == "pass", F.array().cast("array<string>")).otherwise(F.array(F.lit("cwe"))))
+    made = generation.attempts(tasks, _third_time, check, 3, key="task_no")
+    return made.select("task_no", "attempt", (F.size("failed") == 0).alias("kept"))
+
+
+def _third_time(prompts: list[str]) -> list[str]:
+    return ["pass" if p.count("was rejected") >= int(p.split("task\n")[1].split("\n")[0]) % 4 else "fail" for p in prompts]
+
+
+@query(
+    D.query(
+        D.REC,
+        body="""SELECT record_id, '<<<CALLER_CODE>>>' || chr(10) || usr || chr(10) || '<<<END_CALLER_CODE>>>' || chr(10) || chr(10) || '<think>' || chr(10) || label || chr(10) || '</think>' || chr(10) || chr(10)
+  || 'status: needs_context' || chr(10) || 'open_refs:' || chr(10) || '  - ' || helper_fn || ' (' || source || ')' || chr(10) || 'partial_trace: user input from ' || shape || ' flows into ' || helper_fn || '(' || label
+  || ') — verdict depends on ' || helper_fn || '''s implementation' || chr(10) AS answer FROM rec WHERE helper_fn IS NOT NULL AND usr IS NOT NULL AND label IS NOT NULL AND source IS NOT NULL AND shape IS NOT NULL""",
+    ),
+    per_row=True,
+)
+def templated_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers that wait for a helper, filled from the columns of records that name one."""
+    r = corpus.records(spark, d).where("helper_fn is not null and usr is not null and label is not null and source is not null and shape is not null")
+    answer = generation.context_answer(F.col("usr"), F.col("label"), F.col("helper_fn"), F.col("source"), F.col("shape"), F.col("label"))
+    return r.select("record_id", answer.alias("answer"))

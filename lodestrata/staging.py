@@ -31,9 +31,14 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/lodestrata/{spark.sparkContext.applicationId}"
+
+
 def clear(spark: SparkSession) -> bool:
-    """Delete all staged tables; results that still read them must be written before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/lodestrata")
+    """Delete the staged tables of this application; results that still read them must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -44,6 +49,6 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     recomputation, and later plans start from known sizes.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/lodestrata/{label}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

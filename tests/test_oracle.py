@@ -13,11 +13,17 @@ def test_query_equals_oracle(name, spark, small, duck):
     assert got == expected
 
 
+#: Queries of which the small tables may have no rows.
+MAY_BE_EMPTY = {"synthesis_scores", "ranked_findings"}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_runs(name, spark, small):
     df = QUERIES[name](spark, small)
     assert len(df.columns) == len(set(df.columns))
-    assert df.count() >= 0
+    rows = sorted(map(repr, df.collect()))
+    assert rows or name in MAY_BE_EMPTY
+    assert rows == sorted(map(repr, QUERIES[name](spark, small).collect()))  # the same rows every time
 
 
 def test_entry(spark, small):

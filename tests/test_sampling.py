@@ -39,6 +39,14 @@ def test_budget_prefix_equals_running_sum(spark):
             if run <= budget:
                 expected.add(i)
         assert {r["id"] for r in sampling.budget_prefix(df, "id", "n", budget, 16).collect()} == expected
+        assert {r["id"] for r in sampling.budget_prefix(df, "id", "n", budget, 4, most_rows=2).collect()} == expected
+
+
+def test_budget_prefix_with_nulls_and_one_value(spark):
+    df = spark.createDataFrame([(7, 3, "x"), (None, 1, "y"), (8, None, "z"), (9, 5, None)], "id long, n long, _range string")
+    assert {r["id"] for r in sampling.budget_prefix(df, "id", "n", 3, 2, most_rows=1).collect()} == {7, 8}
+    same = spark.createDataFrame([(5, 1)] * 4, "id long, n long")
+    assert sampling.budget_prefix(same, "id", "n", 4, 2, most_rows=1).count() == 4
 
 
 def test_weighted_draws_are_exact_in_number_and_near_in_share(spark):
@@ -99,5 +107,5 @@ def test_severities_are_compared_over_all_findings(spark, tmp_path):
     ranks = [(1, "a", "HIGH"), (2, "a", "LOW"), (4, "a", "HIGH"), (4000, "b", "LOW"), (9001, "b", "HIGH"), (5, "c", "HIGH"), (4099, "c", " medium "), (8201, "c", "LOW"), (7, "d", None), (8, None, "LOW"), (4, "a", "HIGH")]
     rows = [(i, "s", "r", f, "u", 1, "confirmed", "CWE-1", s, "t", "f", "k") for i, f, s in ranks]
     spark.createDataFrame(rows, f"finding_id long, source string, owner_repo string, {FINDING}").write.parquet(f"{tmp_path}/findings.parquet")
-    got = {r["file"]: (r["n"], r["falls"]) for r in QUERIES["severity_monotonic_all"](spark, str(tmp_path)).collect()}
+    got = {r["file"]: (r["n"], r["falls"]) for r in QUERIES["severity_monotonic"](spark, str(tmp_path)).collect()}
     assert got == {"a": (3, False), "b": (2, False), "c": (3, True), "d": (1, True)}
