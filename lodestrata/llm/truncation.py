@@ -1,7 +1,7 @@
 """Problem 2: texts cut off by field limits or in transfer.
 
-Two passes over the texts. The first gathers corpus statistics: the vocabulary
-of word pieces that occur before the end of a text, the skeletons of all prose
+One pass over the texts gathers corpus statistics: the vocabulary of word
+pieces that occur before the end of a text, the skeletons of all prose
 sentences, and the lengths of the texts of each source. Around them stand
 
 * a trie of the vocabulary, kept as a table of all proper prefixes of its
@@ -16,7 +16,7 @@ sentences, and the lengths of the texts of each source. Around them stand
   length than have the lengths near it cuts there; a text that ends openly at
   such a length is cut unless its last words plainly end a sentence.
 
-The second pass looks at the end of every text and keeps those that are not
+The same pass looks at the end of every text and keeps those that are not
 clearly complete, with what the statistics have to decide about. Open code
 spans, open tags, open brackets and signs of omission decide where the
 vocabulary and the lengths do not. Code between tags is looked at too: tags may
@@ -247,60 +247,101 @@ def look_at_end(text: str) -> tuple[str, str | None, str | None, list[str]] | No
     return ("open", piece if not last_line.endswith("`") else None, None, contexts(words))
 
 
-def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words: Counter = Counter()
-    spoken: Counter = Counter()
-    last_words: Counter = Counter()
-    other: Counter = Counter()
-
-    def flush() -> pa.RecordBatch:
+_READ = (
+    "kind string, key string, n bigint, origin string, row_id bigint, part string, source string, verdict string, piece string, "
+    "contexts array<string>, chars bigint, octets bigint"
+)
+_FIELDS = {
+    "kind": pa.string(), "key": pa.string(), "n": pa.int64(), "origin": pa.string(), "row_id": pa.int64(), "part": pa.string(), "source": pa.string(),
+    "verdict": pa.string(), "piece": pa.string(), "contexts": pa.list_(pa.string()), "chars": pa.int64(), "octets": pa.int64(),
+}
+
+
+def _rows(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """A batch of ``_READ`` with nulls in the columns that are not given."""
+    size = len(next(iter(columns.values())))
+    return pa.record_batch({name: columns[name] if name in columns else pa.nulls(size, kind) for name, kind in _FIELDS.items()})
+
+
+class _Statistics:
+    """Counts of words, sentences, last fragments and lengths, until there are too many keys to keep."""
+
+    def __init__(self) -> None:
+        self.words: Counter = Counter()
+        self.spoken: Counter = Counter()
+        self.last_words: Counter = Counter()
+        self.other: Counter = Counter()
+
+    def add(self, text: str, part: str | None, source: str | None, octets: int) -> None:
+        whole = body_of(text)
+        found = _LETTERS.findall(whole)
+        reach = whole[-_REACH:]
+        if found and _LAST_PIECE.search(reach):
+            found.pop()  # what stands last may be cut: it vouches for no word
+        self.words.update(found)
+        for cwe in _CWE.finditer(whole):
+            if cwe.end() < len(whole):
+                self.other["c", cwe.group().lower()] += 1
+        done, last = sentences(whole)
+        self.spoken.update(sentence.rstrip(".!?。！？") for sentence in done)
+        if last is not None and last.count("`") % 2 == 0:
+            self.last_words[last] += 1
+        ended = int(bool(_ENDED.search(reach)))
+        for unit, size in (("c", len(text)), ("b", octets)):
+            self.other["l", f"{part}\t{source or ''}\t{unit}\t{size}\t{ended}"] += 1
+
+    def full(self) -> bool:
+        return len(self.words) + len(self.spoken) + len(self.last_words) + len(self.other) > MOST_KEYS
+
+    def flush(self) -> pa.RecordBatch:
         # each distinct word and sentence is taken apart once
         pieces: Counter = Counter()
-        for word, n in words.items():
+        for word, n in self.words.items():
             for piece in pieces_of(word):
                 pieces[piece] += n
-        skeletons: Counter = Counter()
-        for sentence, n in spoken.items():
-            skeletons[" ".join(tokens(sentence))] += n
-        loose: Counter = Counter()
-        for sentence, n in last_words.items():
-            loose[" ".join(tokens(sentence))] += n
-        rows = [("w", k, n) for k, n in pieces.items()] + [("s", k, n) for k, n in skeletons.items()] + [("u", k, n) for k, n in loose.items()]
-        rows += [(kind, key, n) for (kind, key), n in other.items()]
-        words.clear()
-        spoken.clear()
-        last_words.clear()
-        other.clear()
+        rows = [("w", k, n) for k, n in pieces.items()]
+        for kind, counted in (("s", self.spoken), ("u", self.last_words)):
+            skeletons: Counter = Counter()
+            for sentence, n in counted.items():
+                skeletons[" ".join(tokens(sentence))] += n
+            rows += [(kind, k, n) for k, n in skeletons.items()]
+        rows += [(kind, key, n) for (kind, key), n in self.other.items()]
+        self.__init__()
         kinds, keys, counts = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.record_batch(
-            {"kind": pa.array(kinds, pa.string()), "key": pa.array(keys, pa.string()), "n": pa.array(counts, pa.int64())}
-        )
-
-    for batch in batches:
-        sources = batch.column("source").to_pylist()
-        parts = batch.column("part").to_pylist()
-        for text, source, part in zip(batch.column("text").to_pylist(), sources, parts, strict=True):
-            if not text:
-                continue
-            whole = body_of(text)
-            found = _LETTERS.findall(whole)
-            reach = whole[-_REACH:]
-            if found and _LAST_PIECE.search(reach):
-                found.pop()  # what stands last may be cut: it vouches for no word
-            words.update(found)
-            for cwe in _CWE.finditer(whole):
-                if cwe.end() < len(whole):
-                    other["c", cwe.group().lower()] += 1
-            done, last = sentences(whole)
-            spoken.update(sentence.rstrip(".!?。！？") for sentence in done)
-            if last is not None and last.count("`") % 2 == 0:
-                last_words[last] += 1
-            ended = bool(_ENDED.search(reach))
-            for unit, size in (("c", len(text)), ("b", len(text.encode("utf-8", "replace")))):
-                other["l", f"{part}\t{source or ''}\t{unit}\t{size}\t{int(ended)}"] += 1
-            if len(words) + len(spoken) + len(last_words) + len(other) > MOST_KEYS:
-                yield flush()
-    yield flush()
+        return _rows({"kind": pa.array(kinds, pa.string()), "key": pa.array(keys, pa.string()), "n": pa.array(counts, pa.int64())})
+
+
+def _read(judged: str | None):
+    """One pass over the texts: the statistics of all of them, and what the ends of the judged ones say."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = _Statistics()
+        for batch in batches:
+            rows = []
+            columns = (batch.column(c).to_pylist() for c in ("text", "part", "source"))
+            for at, (text, part, source) in enumerate(zip(*columns, strict=True)):
+                if not text:
+                    continue
+                octets = len(text.encode("utf-8", "replace"))
+                counted.add(text, part, source, octets)
+                if counted.full():
+                    yield counted.flush()
+                seen = look_at_end(text) if judged in (None, part) else None
+                if seen is None:
+                    continue
+                verdict, piece, _, found = seen
+                if verdict == "cut":  # what the vocabulary and the lengths say of it comes first
+                    last = _LAST_PIECE.search(body_of(text)[-_REACH:])
+                    piece = (pieces_of(last.group(1)) or [None])[-1] if last else None
+                rows.append((at, verdict, piece, found, len(text), octets))
+            if rows:
+                at, *values = zip(*rows, strict=True)
+                where = pa.array(at)
+                ends = {name: pa.array(v, _FIELDS[name]) for name, v in zip(("verdict", "piece", "contexts", "chars", "octets"), values, strict=True)}
+                yield _rows({name: batch.column(name).take(where).cast(_FIELDS[name]) for name in ("origin", "row_id", "part", "source")} | ends)
+        yield counted.flush()
+
+    return run
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,36 +366,6 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for at, text in enumerate(batch.column("text").to_pylist()):
-            if not text:
-                continue
-            seen = look_at_end(text)
-            if seen is None:
-                continue
-            verdict, piece, kind, found = seen
-            if verdict == "cut":  # what the vocabulary and the lengths say of it comes first
-                last = _LAST_PIECE.search(body_of(text)[-_REACH:])
-                piece = (pieces_of(last.group(1)) or [None])[-1] if last else None
-            rows.append((at, verdict, piece, kind, found, len(text), len(text.encode("utf-8", "replace"))))
-        if rows:
-            at, verdict, piece, kind, context, chars, octets = zip(*rows, strict=True)
-            where = pa.array(at)
-            yield pa.record_batch(
-                {name: batch.column(name).take(where) for name in ("origin", "row_id", "part", "source")}
-                | {
-                    "verdict": pa.array(verdict, pa.string()),
-                    "piece": pa.array(piece, pa.string()),
-                    "kind": pa.array(kind, pa.string()),
-                    "contexts": pa.array(context, pa.list_(pa.string())),
-                    "chars": pa.array(chars, pa.int64()),
-                    "octets": pa.array(octets, pa.int64()),
-                }
-            )
-
-
 def _known(counts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(piece, unknown_prefix, prefix) for the wanted pieces, by the trie of the vocabulary.
 
@@ -416,22 +427,12 @@ def truncated_texts(texts: DataFrame, part: str | None = None, residue: DataFram
     table gives no rows.
     """
     rows = texts.select("origin", "row_id", "part", "source", "text").where("text is not null")
-    statistics = stage(
-        rows.mapInArrow(_statistics, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")),
-        "statistics",
-    )
-    ends = stage(
-        (rows if part is None else rows.where(F.col("part") == part)).mapInArrow(
-            _ends,
-            "origin string, row_id bigint, part string, source string, verdict string, piece string, kind string, "
-            "contexts array<string>, chars bigint, octets bigint",
-        ),
-        "ends",
-    )
+    read = stage(rows.mapInArrow(_read(part), _READ), "read")
+    statistics = stage(read.where("kind is not null").groupBy("kind", "key").agg(F.sum("n").alias("n")), "statistics")
+    ends = read.where("verdict is not null").drop("kind", "key", "n")
     undecided = ends.withColumn("row", F.xxhash64("origin", "row_id", "part", "piece", "contexts"))
-    pieces = undecided.where("piece is not null").select("piece", "kind").distinct()
     vocabulary = statistics.where("kind in ('w', 'c')").groupBy("key").agg(F.sum("n").alias("n"))
-    known = _known(vocabulary, pieces.select("piece").distinct())
+    known = _known(vocabulary, undecided.where("piece is not null").select("piece").distinct())
     wanted = undecided.select("row", F.posexplode("contexts").alias("order", "context"))
     counts = (
         statistics.where("kind in ('s', 'u') and key <> ''")
