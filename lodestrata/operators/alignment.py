@@ -9,7 +9,7 @@ top of it.
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -95,3 +95,42 @@ def regions(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
     lines = F.when(snippet, having).otherwise(F.coalesce("touched", nothing))
     result = told.select(key, lines.cast("array<int>").alias("lines"), F.when(snippet, F.col("one_sided")).otherwise(F.coalesce("names", F.array().cast("array<string>"))).alias("identifiers"))
     return result.select("*", F.when(F.size("lines") > 0, "diff").otherwise("none").alias("source"))
+
+
+Analyser = Callable[[list[str]], list[list[tuple[int, str | None]]]]
+
+
+def located(pairs: DataFrame, key: str, before: str, after: str, cwe: str, language: str, analyser: Analyser | None = None) -> DataFrame:
+    """``regions`` with the pair's CWE, and with what an analyser finds where a fix shows nothing.
+
+    ``analyser`` maps codes to their findings (line, CWE id or None); it runs
+    on the executors, on Python code without a region from its fix. Its lines
+    and the identifiers on them become the region (source analyser); its first
+    CWE stands in for a missing one.
+    """
+    told = regions(pairs, key, before, after).join(pairs.select(key, F.col(cwe).alias("cwe"), F.col(before).alias("code"), F.col(language).alias("language")), key)
+    if analyser is None:
+        return told.drop("code", "language")
+    open_ = (F.col("source") == "none") & F.coalesce(F.startswith(F.lower("language"), F.lit("py")), F.lit(False)) & F.col("code").isNotNull()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = analyser(batch.column("code").to_pylist())
+            yield pa.record_batch(
+                {
+                    key: batch.column(key),
+                    "code": batch.column("code"),
+                    "cwe": batch.column("cwe"),
+                    "hits": pa.array([sorted({line for line, _ in f}) for f in found], pa.list_(pa.int32())),
+                    "hit_cwe": pa.array([next((c for _, c in f if c), None) for f in found], pa.string()),
+                }
+            )
+
+    kind = pairs.schema[key].dataType.simpleString()
+    analysed = told.where(open_).select(key, "code", "cwe").mapInArrow(run, f"{key} {kind}, code string, cwe string, hits array<int>, hit_cwe string")
+    at = F.filter("hits", lambda i: i.between(1, F.size(lines_of(F.col("code")))))
+    names = T.identifiers(F.array_join(F.transform(at, lambda i: F.get(lines_of(F.col("code")), i - 1)), "\n"))
+    told_by_it = analysed.select(
+        key, at.alias("lines"), names.alias("identifiers"), F.when(F.size(at) > 0, "analyser").otherwise("none").alias("source"), F.coalesce("cwe", "hit_cwe").alias("cwe")
+    )
+    return told.where(~open_).drop("code", "language").unionByName(told_by_it)

@@ -149,8 +149,10 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
     return first.select("cwe", F.to_json(rule).alias("rule"))
 
 
-def sarif_document(findings: DataFrame, tool: str = "lodestrata") -> DataFrame:
-    """The whole SARIF report as one row, for reports of a bounded number of findings."""
+def sarif_document(findings: DataFrame, tool: str = "lodestrata", most: int = 100_000) -> DataFrame:
+    """The whole SARIF report as one row, for ``most`` findings at most; more are an error, as they would not fit in one."""
+    if findings.limit(most + 1).count() > most:
+        raise ValueError(f"a report of one document takes {most} findings at most; write sarif_results instead")
     rules = sarif_rules(findings).agg(F.array_sort(F.collect_list("rule"))).scalar()
     results = sarif_results(findings).agg(F.array_sort(F.collect_list(F.struct("finding_id", "result"))).alias("r")).withColumn("u", rules)
     body = F.concat(

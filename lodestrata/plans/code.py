@@ -381,13 +381,32 @@ def multi_file_patches(spark: SparkSession, d: str) -> DataFrame:
     return _patches(spark, d).where(F.regexp_count("text", F.lit(r"(?md)^diff --git a/.+ b/.+\.(?:py|js|ts|jsx|tsx|php|rb)\s*$")) >= 2).select("doc_id")
 
 
-@query(per_row=True)
+_NAMED = f"coalesce({D.lookup(dims.CWE_NAMES, 'cwe')}, cwe)"
+
+
+@query(
+    D.query(
+        D.FINDS,
+        body=f"""SELECT finding_id, to_json({{'ruleId': cwe, 'level': coalesce({D.lookup(dims.SARIF_LEVEL, 'upper(severity)')}, 'warning'),
+  'message': {{'text': trim(concat_ws(' ', cwe, coalesce({D.lookup(dims.CWE_NAMES, 'cwe')}, '') || ':', trace)) || CASE WHEN lower(coalesce(fix, 'none')) <> 'none' THEN '  Fix: ' || fix ELSE '' END}},
+  'locations': [{{'physicalLocation': {{'artifactLocation': {{'uri': replace(file, chr(92), '/')}}, 'region': {{'startLine': greatest(1, coalesce(line, 1))}}}}}}],
+  'partialFingerprints': {{'primary': substring(sha256(concat_ws('', file, cwe, unit)), 1, 16)}}}}) AS result FROM finds WHERE file IS NOT NULL AND cwe IS NOT NULL""",
+    ),
+    per_row=True,
+)
 def sarif_report(spark: SparkSession, d: str) -> DataFrame:
     """SARIF results of the findings, one JSON object a row."""
     return O.sarif_results(corpus.findings(spark, d).where("file is not null and cwe is not null"))
 
 
-@query()
+@query(
+    D.query(
+        D.FINDS,
+        "firsts AS (SELECT cwe, arg_min(severity, finding_id) FILTER (severity IS NOT NULL) AS severity FROM finds WHERE cwe IS NOT NULL GROUP BY 1)",
+        body=f"""SELECT cwe, to_json({{'id': cwe, 'name': {_NAMED}, 'shortDescription': {{'text': {_NAMED}}}, 'helpUri': 'https://cwe.mitre.org/data/definitions/' || regexp_extract(cwe, '(\\d+)$', 1) || '.html',
+  'properties': {{'tags': ['security', 'external/cwe/cwe-' || lpad(regexp_extract(cwe, '(\\d+)$', 1), greatest(3, 3), '0')], 'security-severity': coalesce({D.lookup(dims.SARIF_SCORE, 'upper(severity)')}, '5.5')}}}}) AS rule FROM firsts""",
+    )
+)
 def sarif_rules(spark: SparkSession, d: str) -> DataFrame:
     """SARIF rules of the findings' CWEs."""
     return O.sarif_rules(corpus.findings(spark, d).where("cwe is not null"))

@@ -209,7 +209,24 @@ def smoke_metrics(spark: SparkSession, d: str) -> DataFrame:
     return c.select("run", T.percent(tp + tn, judged + miss).alias("accuracy"), T.percent(fp, fp + tn).alias("fpr"), T.percent(fn, fn + tp).alias("fnr"), T.percent(judged, judged + miss).alias("parsed"))
 
 
-@query(per_row=True)
+def _items_sql(header: str) -> str:
+    block = rf"regexp_extract(answer, '(?i){header}\s*:\s*\n((?:\s*-\s*[^\n]+\n?)+)', 1)"
+    return f"CAST(len(list_filter(string_split({block}, chr(10)), lambda x: starts_with({D.strip('x')}, '-'))) AS INT)"
+
+
+_STATED = D.prediction_status(f"nullif({D.field('status', 'answer')}, '')")
+
+
+@query(
+    D.query(
+        D.REC,
+        body=rf"""SELECT record_id, CASE WHEN shape IS NULL OR shape = 'shape4' THEN NULL ELSE {_STATED} END AS status,
+  CASE WHEN shape = 'shape2' THEN {_items_sql('open_refs')} END AS open_refs, CASE WHEN shape = 'shape3' THEN {_items_sql('follow_up_refs')} END AS follow_ups,
+  CASE WHEN shape = 'shape4' THEN CAST(len(list_filter(regexp_split_to_array(regexp_extract(answer, '(?is)(?:^|\n)[^\n]*?ranked_findings\s*:\s*\n(.*)', 1), '(?:^|\n)\s*-\s*rank\s*:\s*'),
+    lambda x: regexp_matches(x, '^\s*\d') AND regexp_matches(x, '(?im)title\s*:\s*\S'))) AS INT) END AS ranked FROM rec WHERE answer IS NOT NULL""",
+    ),
+    per_row=True,
+)
 def parse_by_shape(spark: SparkSession, d: str) -> DataFrame:
     """Every answer under the parser of its shape (checked on fixtures in the tests)."""
     rec = corpus.records(spark, d).where("answer is not null")
@@ -261,7 +278,19 @@ def _stub(prompts: list[str]) -> list[str]:
     return ["status: safe" for _ in prompts]
 
 
-@query()
+_STATUS = lambda x: D.prediction_status(f"nullif({D.field('status', x)}, '')")
+_TURN = rf"""CASE WHEN {D.hash_uniform('perturb', 'record_id')} >= 0.2 THEN answer
+  WHEN {_STATUS('answer')} = 'confirmed' THEN regexp_replace(answer, '(?im)^(\s*status\s*:\s*)(?:confirmed|vuln\w*)\b', '\1 safe', 'g')
+  ELSE regexp_replace(answer, '(?im)^(\s*status\s*:\s*)(?:safe|clean)\b', '\1 confirmed', 'g') END"""
+
+
+@query(
+    D.query(
+        D.REC,
+        f"turned AS (SELECT answer, {_TURN} AS t FROM rec WHERE answer IS NOT NULL)",
+        body=f"SELECT {_STATUS('answer')} AS before, {_STATUS('t')} AS after, CAST(count(*) AS BIGINT) AS n FROM turned GROUP BY ALL",
+    )
+)
 def perturbed_answers(spark: SparkSession, d: str) -> DataFrame:
     """Answers with the verdict of about a fifth turned around: statuses before and after."""
     turned = P.perturbed(F.col("answer"), 0.2, "perturb", F.col("record_id"))

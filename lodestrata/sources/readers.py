@@ -49,9 +49,16 @@ def _located(df: DataFrame) -> DataFrame:
     )
 
 
-def records(spark: SparkSession, path: str | list[str], strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Training records, (rows, rejects); rows without messages are rejects' business only if they do not parse."""
-    return jsonl(spark, path, schemas.RECORD, strict)
+def records(spark: SparkSession, path: str | list[str], strict: bool = False, skip: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Training records, (rows, rejects); rows without messages are rejects' business only if they do not parse.
+
+    Files whose stem is in ``skip`` are left out.
+    """
+    rows, rejects = jsonl(spark, path, schemas.RECORD, strict)
+    if skip:
+        stem = F.regexp_extract("file", r"(.+?)\.[^.]+$", 1)
+        rows, rejects = rows.where(~stem.isin(*skip)), rejects.where(~stem.isin(*skip))
+    return rows, rejects
 
 
 def eval_set(spark: SparkSession, folder: str, shapes: tuple[str, ...] = schemas.EVAL_SHAPES) -> DataFrame:
@@ -142,9 +149,13 @@ def tagged_union(*sources: DataFrame, languages: tuple[str, ...] = ()) -> DataFr
     )
 
 
-def split_dataset(spark: SparkSession, path: str, splits: tuple[str, ...] = ("train",)) -> DataFrame:
-    """Rows of a Parquet dataset with a ``split`` column or partition; unknown splits have no rows."""
-    return spark.read.parquet(path).where(F.col("split").isin(*splits))
+def split_dataset(spark: SparkSession, path: str, splits: tuple[str, ...] = ("train",), most: int | None = None) -> DataFrame:
+    """Rows of a Parquet dataset with a ``split`` column or partition; unknown splits have no rows.
+
+    With ``most`` the scan stops once so many rows are read.
+    """
+    rows = spark.read.parquet(path).where(F.col("split").isin(*splits))
+    return rows if most is None else rows.limit(most)
 
 
 def paired_files(spark: SparkSession, folder: str, pattern: str = "*.js") -> DataFrame:

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodestrata.operators import regions as R
-from lodestrata.operators.alignment import align, regions
+from lodestrata.operators.alignment import align, located, regions
 from lodestrata.operators.repair import concise_trace, normalize_safe, repair
 from lodestrata.sources import patches
 
@@ -43,6 +43,14 @@ def test_equal_and_null_sides(spark):
     assert regions(empty, "k", "a", "b").count() == 0
 
 
+def test_an_analyser_finds_what_a_fix_does_not_show(spark):
+    rows = [(1, "alpha(beta)\ngamma()", "alpha(beta)\ngamma()", None, "python"), (2, "a(first)", "b(second)", "CWE-1", "python"), (3, "x()", None, "CWE-2", "go"), (4, "y()", None, None, None), (5, None, None, None, "python")]
+    df = spark.createDataFrame(rows, "k long, a string, b string, cwe string, language string")
+    got = {r["k"]: (r["lines"], r["source"], r["cwe"]) for r in located(df, "k", "a", "b", "cwe", "language", lambda codes: [[(1, "CWE-9"), (7, None)] for _ in codes]).collect()}
+    assert got == {1: ([1], "analyser", "CWE-9"), 2: ([1], "diff", "CWE-1"), 3: ([], "none", "CWE-2"), 4: ([], "none", None), 5: ([], "none", None)}
+    assert located(df, "k", "a", "b", "cwe", "language").where("source = 'none'").count() == 4
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=7), st.lists(st.sampled_from("abc"), max_size=7))
 def test_alignment_rebuilds_the_new_side(old, new):
