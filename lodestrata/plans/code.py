@@ -359,7 +359,25 @@ def patch_fix_pairs(spark: SparkSession, d: str) -> DataFrame:
     return patches.fix_pairs(_patches(spark, d))
 
 
-@query()
+_FILES_SQL = r"""files AS (SELECT doc_id, regexp_extract(regexp_extract(body, '^([^\n]*)', 1), '^a/(.+?) b/(.+?)\s*$', 1) AS old_path, regexp_extract(regexp_extract(body, '^([^\n]*)', 1), '^a/(.+?) b/(.+?)\s*$', 2) AS new_path, body
+  FROM (SELECT doc_id, unnest(string_split(chr(10) || text, chr(10) || 'diff --git ')[2:]) AS body FROM documents WHERE kind = 'patch' AND text IS NOT NULL))"""
+_SIDES_SQL = rf"""WITH {_FILES_SQL},
+lines AS (SELECT *, list_filter(string_split(body, chr(10)), lambda x: NOT regexp_matches(x, '^(?:\+\+\+|---|@@|index |a/|new file|deleted file|similarity|rename|\\)')) AS l FROM files WHERE new_path <> ''),
+parts AS (SELECT *, list_transform(list_filter(l, lambda x: starts_with(x, ' ')), lambda x: x[2:]) AS c FROM lines),
+ends AS (SELECT *, list_slice(c, greatest(1, len(c) - 7), greatest(1, len(c) - 7) + 4) AS head, list_slice(c, greatest(1, len(c) - 2), greatest(1, len(c) - 2) + 2) AS tail FROM parts),
+sides AS (SELECT *, unnest(['vuln', 'safe']) AS label, unnest(['-', '+']) AS mark FROM ends)
+SELECT doc_id, old_path, new_path, label, array_to_string(list_concat(list_concat(head, list_transform(list_filter(l, lambda x: starts_with(x, mark)), lambda x: x[2:])), tail), chr(10)) AS code
+FROM sides WHERE len(list_filter(l, lambda x: starts_with(x, mark))) > 0"""
+
+
+@query(rf"WITH {_FILES_SQL} SELECT doc_id, new_path, CAST(len(regexp_extract_all(body, '(?m)^@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@[^\n]*\n.')) AS BIGINT) AS hunks FROM files WHERE new_path <> '' AND regexp_matches(body, '(?m)^@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@[^\n]*\n.')")
+def patch_hunk_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Number of hunks that are read of every file of a patch: as many as it has headers with lines behind them."""
+    read = patches.patch_hunks(patches.patch_files(_patches(spark, d)))
+    return read.groupBy("doc_id", "new_path").agg(F.count("*").alias("hunks"))
+
+
+@query(_SIDES_SQL)
 def patch_sides(spark: SparkSession, d: str) -> DataFrame:
     """Labelled rows of both sides of the patch documents' files."""
     return patches.flattened_sides(patches.patch_files(_patches(spark, d)))
@@ -412,7 +430,18 @@ def sarif_rules(spark: SparkSession, d: str) -> DataFrame:
     return O.sarif_rules(corpus.findings(spark, d).where("cwe is not null"))
 
 
-@query()
+@query(
+    D.query(
+        D.FINDS,
+        r"flows AS (SELECT finding_id, cwe, file, coalesce(line, 1) AS line, string_split(trace, ' -> ') AS s FROM finds WHERE trace LIKE '%->%' AND file IS NOT NULL AND cwe IS NOT NULL)",
+        r"""steps AS (SELECT *, unnest(s) AS step, unnest(range(len(s))) AS i, len(s) - 1 AS last FROM flows WHERE len(s) >= 2)""",
+        r"""told AS (SELECT *, regexp_extract(CASE WHEN i % 2 = 0 THEN file ELSE file || '.helper' END, '([^/]+)$', 1) || ':' || CAST(line + i AS INT) AS place,
+  CASE WHEN i = 0 THEN 'Source' WHEN i = last THEN 'Sink' ELSE 'Step' END AS role, trim(step) AS said FROM steps WHERE i < 8)""",
+        body=r"""SELECT coalesce('CWE-' || nullif(regexp_extract(any_value(cwe), '0*(\d+)', 1), ''), 'CWE-20') AS cwe, string_agg(place, ' -> ' ORDER BY i) AS trace,
+  string_agg((i + 1) || '. [' || role || ' — ' || place || '] ' || CASE WHEN said <> '' THEN said WHEN i = 0 THEN 'untrusted input enters here' WHEN i = last THEN 'the tainted value reaches a dangerous operation' ELSE 'the value propagates unchanged' END, chr(10) ORDER BY i) AS think,
+  2 AS files FROM told GROUP BY finding_id""",
+    )
+)
 def sarif_flows(spark: SparkSession, d: str) -> DataFrame:
     """Cross-file flows read back from SARIF that the findings of each repository make up."""
     return O.flow_trace(O.sarif_flows(_sarif_of_repositories(spark, d)))

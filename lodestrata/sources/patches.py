@@ -123,12 +123,12 @@ def flattened_sides(files: DataFrame, before: int = 5, after: int = 3) -> DataFr
     row, added ones the safe row. A side without changed lines gives no row.
     """
     lines = F.filter(F.split("body", "\n"), lambda x: ~x.rlike(r"^(?:\+\+\+|---|@@|index |a/|new file|deleted file|similarity|rename|\\)"))
-    context = F.transform(F.filter(lines, lambda x: x.startswith(" ")), lambda x: F.substring(x, 2, 100000))
+    context = F.transform(F.filter(lines, lambda x: x.startswith(" ")), lambda x: F.substring(x, F.lit(2), F.length(x)))
     head = F.slice(context, F.greatest(F.lit(1), F.size(context) - after - before + 1), before)
     tail = F.slice(context, F.greatest(F.lit(1), F.size(context) - after + 1), after)
 
     def side(mark: str, label: str):
-        changed = F.transform(F.filter(lines, lambda x: x.startswith(mark)), lambda x: F.substring(x, 2, 100000))
+        changed = F.transform(F.filter(lines, lambda x: x.startswith(mark)), lambda x: F.substring(x, F.lit(2), F.length(x)))
         return F.struct(F.lit(label).alias("label"), F.size(changed).alias("changed"), F.array_join(F.concat(head, changed, tail), "\n").alias("code"))
 
     others = [c for c in files.columns if c != "body"]
