@@ -129,17 +129,21 @@ def prose_language(sentences: list[str]) -> str | None:
     return max(votes.items(), key=lambda kv: (kv[1], kv[0]))[0] if votes else None
 
 
+_WRAPPING = re.compile(r"</?(?:scan|generate|explain|synthesize|think)>|```\w*")
+
+
 def folded(text: str) -> bytes:
     """``text`` in lower case without tags, fences, field names and white space runs."""
-    text = re.sub(r"</?(?:scan|generate|explain|synthesize|think)>|```\w*", " ", text.lower())
-    return re.sub(r"\s+", " ", text).strip().encode("utf-8", "replace")
+    text = text.lower()
+    if "<" in text or "```" in text:
+        text = _WRAPPING.sub(" ", text)
+    return " ".join(text.split()).encode("utf-8", "replace")
 
 
-def copy_sizes(answer: str, question: str) -> tuple[int, int]:
-    """Bytes of the answer compressed with the question as dictionary, and without."""
+def copy_sizes(a: bytes, q: bytes) -> tuple[int, int]:
+    """Bytes of a folded answer compressed with the folded question as dictionary, and without."""
     import zstandard
 
-    a, q = folded(answer), folded(question)
     size = 1 << max(10, min(27, (len(a) + len(q)).bit_length() + 1))
     settings = zstandard.ZstdCompressionParameters.from_level(
         COPY_LEVEL, window_log=size.bit_length() - 1, write_content_size=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS
@@ -157,7 +161,7 @@ def is_copy(answer: str, question: str) -> bool:
     a, q = folded(answer), folded(question)
     if len(a) < COPY_BYTES or len(q) < COPY_BYTES:
         return bool(a) and a == q
-    known, plain = copy_sizes(answer, question)
+    known, plain = copy_sizes(a, q)
     return known <= COPY_SHARE * plain or (known <= COPY_LEAD_IN and known <= COPY_SHARE_WITH_LEAD_IN * plain)
 
 

@@ -59,8 +59,20 @@ SIGN = re.compile(
     r"|-{2,}\s*more\s*-{2,}|\b(?:read|show) more)\s*$",
     re.I,
 )
+#: What a sign ends with.
+_SIGN_ENDS = frozenset(".…\ufffd])>}-eE")
+
+
+def ending_sign(reach: str) -> re.Match | None:
+    """The sign of omission that a text ends in."""
+    last = reach.rstrip()[-1:]
+    if last not in _SIGN_ENDS or last == "." and not reach.rstrip().endswith("..."):
+        return None
+    return SIGN.search(reach)
+
+
 _ENDED = re.compile(r"[.!?。！？][\"'”’)\]*_]*$")
-_LETTERS = re.compile(rf"[A-Za-z]{{1,{WORD_LETTERS}}}(?![A-Za-z])")
+_LETTERS = re.compile(r"[A-Za-z]+")
 _HUMPS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _LAST_PIECE = re.compile(r"([A-Za-z]+)$")
 _CWE = re.compile(r"(?i)cwe-\d+")
@@ -121,7 +133,7 @@ def sentences(text: str) -> tuple[list[str], str | None]:
         for at, part in enumerate(parts):
             if number < len(lines) - 1 or at < len(parts) - 1:
                 done.append(part)
-            elif not SIGN.search(part[-_REACH:]):
+            elif not ending_sign(part[-_REACH:]):
                 if _ENDED.search(part[-_REACH:]):
                     done.append(part)
                 else:
@@ -203,10 +215,10 @@ def look_at_end(text: str) -> tuple[str, str | None, str | None, list[str]] | No
     if not whole or not has_visible(whole):
         return None
     reach = whole[-_REACH:]
-    sign = SIGN.search(reach)
+    sign = ending_sign(reach)
     if sign:
         return ("cut", None, None, []) if has_visible(whole[: len(whole) - len(reach) + sign.start()]) else None
-    if _open_tag(whole) or whole.count("```") % 2:
+    if "<" in whole and _open_tag(whole) or whole.count("```") % 2:
         return ("cut", None, None, [])
     last_line = whole.rsplit("\n", 1)[-1]
     if _CLOSED.search(reach):
@@ -297,7 +309,7 @@ class _Statistics:
         # each distinct word and sentence is taken apart once
         pieces: Counter = Counter()
         for word, n in self.words.items():
-            for piece in pieces_of(word):
+            for piece in pieces_of(word) if len(word) <= WORD_LETTERS else ():
                 pieces[piece] += n
         rows = [("w", k, n) for k, n in pieces.items()]
         for kind, counted in (("s", self.spoken), ("u", self.last_words)):
