@@ -310,22 +310,22 @@ def _keys(masks: list[int]) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("table"), F.col("mark").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
 
 
-def _neighbours(frontier: DataFrame, marked: DataFrame, masks: list[int]) -> DataFrame:
-    """(node, label): the near-duplicates of the frontier among all segments, with the label of the node that is near.
+def _neighbours(frontier: DataFrame, others: DataFrame, masks: list[int]) -> DataFrame:
+    """(node, label): the near-duplicates of the frontier among ``others``, with the label of the node that is near.
 
     Only marks are exchanged; the words of the few pairs that pass come in afterwards.
     """
     probes = frontier.select(F.col("node").alias("a"), F.col("mark").alias("mark_a"), F.inline(_keys(masks)))
-    index = marked.select(F.col("node").alias("b"), F.col("mark").alias("mark_b"), F.inline(_keys(masks)))
+    index = others.select(F.col("node").alias("b"), F.col("mark").alias("mark_b"), F.inline(_keys(masks)))
     close = (
         probes.join(index, ["table", "key"])
-        .where((F.col("a") != F.col("b")) & (F.bit_count(F.col("mark_a").bitwiseXOR(F.col("mark_b"))) <= NEAR))
+        .where(F.bit_count(F.col("mark_a").bitwiseXOR(F.col("mark_b"))) <= NEAR)
         .select("a", "b")
         .distinct()
     )
     words = F.array_distinct(F.filter(F.split("skeleton", " "), lambda w: w.rlike(rf"^(\w|{SLOT})")))
     left = frontier.select(F.col("node").alias("a"), F.col("label"), words.alias("words_a"))
-    right = marked.select(F.col("node").alias("b"), words.alias("words_b"))
+    right = others.select(F.col("node").alias("b"), words.alias("words_b"))
     alike = F.size(F.array_intersect("words_a", "words_b")) >= ALIKE * F.size(F.array_union("words_a", "words_b"))
     # what makes a placeholder has to be in both
     shared = (F.col("label") != "placeholder") | F.array_contains("words_b", SLOT)
@@ -355,14 +355,17 @@ def residue_segments(texts: DataFrame) -> DataFrame:
     # staged, so that its true size tells Spark how to join it
     frontier = stage(marked.where("label is not null"), "frontier")
     reached = frontier.select("node", "label", "how")
+    others = marked.where("label is null")
     while True:  # ends, as every hop but the last reaches new segments
-        # only residue and what it reached look for neighbours: the work follows the residue, not the corpus
-        near = _neighbours(frontier, marked, masks).join(reached.select("node"), "node", "left_anti").groupBy("node", "label").count()
+        # only residue and what it reached look for neighbours, and only among what is not labelled yet:
+        # the work follows the residue, not the corpus, and a large kind of residue is not paired with itself
+        near = _neighbours(frontier, others, masks).groupBy("node", "label").count()
         new = stage(near.groupBy("node").agg(F.min_by("label", F.struct(-F.col("count"), F.col("label"))).alias("label")), "reached")
         if new.isEmpty():
             break
         reached = reached.unionByName(new.select("node", "label", F.lit("spread").alias("how")))
-        frontier = stage(marked.drop("label").join(new, "node"), "frontier")
+        frontier = stage(others.drop("label").join(new, "node"), "frontier")
+        others = others.join(new.select("node"), "node", "left_anti")
     labelled = stage(reached.select("node", F.col("label").alias("spread"), "how"), "labels")
     return found.select("origin", "row_id", "part", "node", F.col("label").alias("own")).join(labelled, "node").select(
         "origin",
